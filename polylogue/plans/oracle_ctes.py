@@ -75,7 +75,11 @@ def with_ctes(body: str, *names: str) -> str:
         visit(n)
     if not seen:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in seen) + "\n" + body
+    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in seen)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return head + ",\n" + stripped[5:]
+    return head + "\n" + body
 
 
 def add_cte(name: str, deps: list[str], body: str) -> None:
