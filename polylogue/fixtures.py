@@ -89,15 +89,18 @@ def predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None
     fs = nxt.select("lang", F.lit("fs").alias("system"), "pos", "prediction")
     toks = split_space(F.col("response"))
     half = F.slice(toks, 1, F.ceil(F.size(toks) / 2).cast("int"))
-    fs_prompt = base.select(
-        "lang", F.lit("fs_prompt").alias("system"), "pos",
-        F.concat(F.lit(MASK1 + " "), F.array_join(half, " "), F.lit(" " + MASK2)).alias("prediction"))
-    mtl = base.select("lang", F.lit("mtl").alias("system"), "pos", F.col("context").alias("prediction"))
     kept = F.array_join(F.filter(toks, lambda t, i: (i + 1) % 5 != 0), " ")
-    mtl_prompt = base.select(
-        "lang", F.lit("mtl_prompt").alias("system"), "pos",
-        F.when(F.col("pos") % 2 == 0, F.concat(F.lit(MASK1 + " "), kept)).otherwise(kept).alias("prediction"))
-    return fs.unionByName(fs_prompt).unionByName(mtl).unionByName(mtl_prompt)
+    # the three row-local systems come from one scan of the pairs
+    local = F.array(
+        F.struct(F.lit("fs_prompt").alias("system"),
+                 F.concat(F.lit(MASK1 + " "), F.array_join(half, " "), F.lit(" " + MASK2)).alias("prediction")),
+        F.struct(F.lit("mtl").alias("system"), F.col("context").alias("prediction")),
+        F.struct(F.lit("mtl_prompt").alias("system"),
+                 F.when(F.col("pos") % 2 == 0, F.concat(F.lit(MASK1 + " "), kept)).otherwise(kept)
+                 .alias("prediction")))
+    others = base.select("lang", "pos", F.explode(local).alias("x")).select(
+        "lang", "x.system", "pos", "x.prediction")
+    return fs.unionByName(others)
 
 
 def clean_predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
@@ -109,3 +112,12 @@ def clean_predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None
 def languages(spark: SparkSession) -> DataFrame:
     """The language-family dimension (a fixed 7-row table)."""
     return spark.createDataFrame(LANGUAGE_FAMILIES, "lang string, family string")
+
+
+def ballots(spark: SparkSession, sf_dir: str, answered: bool = True) -> DataFrame:
+    """Ballots over the languages of the family table, with stand-in answers."""
+    from .operators.human_eval import build_ballots, fill_answers
+
+    lp = lang_pairs(spark, sf_dir)
+    b = build_ballots(lp, clean_predictions(spark, sf_dir, lp), languages=languages(spark))
+    return fill_answers(b) if answered else b
