@@ -82,20 +82,28 @@ def with_row_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str]
             .drop(_OFF, *[c for c in bucket_cols if c == _B]))
 
 
-def file_order_index(df: DataFrame, by: Sequence[str] = (), out: str = "pos") -> DataFrame:
+def file_order_index(df: DataFrame, by: Sequence[str] = (), out: str = "pos",
+                     dir_col: str | None = None) -> DataFrame:
     """Row position in file order for a file scan without a key column.
 
     Order is (file path, split start, row order inside the split). The bucket is
     the split, so numbering never needs more than one split per task; the rows of
     one split are numbered by ``monotonically_increasing_id`` only relative to
-    each other, which does not depend on partition ids.
+    each other, which does not depend on partition ids. With ``dir_col`` the
+    parent folder of each file becomes a column of that name and positions
+    restart in every folder (a folder written by Spark is one logical file).
+    ``df`` must be the file scan itself (its ``_metadata`` is read here).
     """
+    extra = []
+    if dir_col:
+        extra.append(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias(dir_col))
     tagged = df.select(
-        "*",
+        "*", *extra,
         F.col("_metadata.file_path").alias("__pl_file"),
         F.col("_metadata.file_block_start").alias("__pl_block"),
         F.monotonically_increasing_id().alias("__pl_row"),
     )
-    return (with_row_index(tagged, ["__pl_file", "__pl_block", "__pl_row"], by=by,
+    groups = list(by) + ([dir_col] if dir_col else [])
+    return (with_row_index(tagged, ["__pl_file", "__pl_block", "__pl_row"], by=groups,
                            bucket=["__pl_file", "__pl_block"], out=out)
             .drop("__pl_file", "__pl_block", "__pl_row"))

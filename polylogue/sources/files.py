@@ -29,7 +29,7 @@ def _mode(overwrite: bool) -> str:
 def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Header CSV, every column a string, empty and missing cells as ''."""
     df = spark.read.options(**CSV_READ).csv(path)
-    return df.na.fill("")
+    return df.na.fill("", subset=[f.name for f in df.schema.fields if f.dataType.simpleString() == "string"])
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False, partition_by: Sequence[str] = ()) -> None:
@@ -47,16 +47,18 @@ def ordered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame
     return df.repartitionByRange(*cols).sortWithinPartitions(*cols)
 
 
-def read_positioned(spark: SparkSession, path: str, fmt: str = "csv", by: Sequence[str] = ()) -> DataFrame:
+def read_positioned(spark: SparkSession, path: str, fmt: str = "csv", by: Sequence[str] = (),
+                    dir_col: str | None = None) -> DataFrame:
     """A file read with its 0-based line position (header excluded) per ``by``
-    group, recovered from (file, split, order inside the split)."""
+    group (and per folder with ``dir_col``), recovered from (file, split, order
+    inside the split)."""
     if fmt == "csv":
         df = read_csv(spark, path)
     elif fmt == "text":
         df = spark.read.text(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return file_order_index(df, by=by, out="pos")
+    return file_order_index(df, by=by, out="pos", dir_col=dir_col)
 
 
 def write_lines(df: DataFrame, path: str, text: str, order: Sequence[str], by: Sequence[str] = (),
