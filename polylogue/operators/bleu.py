@@ -41,12 +41,14 @@ def check_reference_counts(df: DataFrame, refs: str, keys: Sequence[str] = ()) -
 
 def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
                hypothesis: str = "prediction", references: str = "references",
-               tokenize: str = "13a", lowercase: bool = False,
+               tokenize: str | Sequence[str] = "13a", lowercase: bool = False,
                method: str = "arrow", strict: bool = True) -> DataFrame:
     """Sufficient statistics per group.
 
     ``references`` is an ``ARRAY<STRING>`` column (or a plain string column for
     one reference). ``keys`` + ``row_keys`` must identify an input row.
+    ``tokenize`` may list several tokenisers: each row is then expanded once per
+    tokeniser and a ``tokenizer`` key column is added, all in one pass.
 
     ``method="arrow"`` (default): tokens are built natively, then per-row n-gram
     counters run in ``mapInArrow`` and emit 11 integers per row; only those are
@@ -62,11 +64,19 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
     keys, row_keys = list(keys), list(row_keys)
     single = not dict(df.dtypes)[references].startswith("array")
     ref_arr = F.array(F.col(references)) if single else F.col(references)
-    base = df.select(
-        *keys, *row_keys,
-        tokenize_col(F.coalesce(F.col(hypothesis), F.lit("")), tokenize, lowercase).alias("__h"),
-        F.transform(ref_arr, lambda r: tokenize_col(F.coalesce(r, F.lit("")), tokenize, lowercase)).alias("__r"),
-    )
+
+    def toks(method: str) -> list[Column]:
+        return [tokenize_col(F.coalesce(F.col(hypothesis), F.lit("")), method, lowercase).alias("__h"),
+                F.transform(ref_arr, lambda r: tokenize_col(F.coalesce(r, F.lit("")), method, lowercase))
+                .alias("__r")]
+
+    if isinstance(tokenize, str):
+        base = df.select(*keys, *row_keys, *toks(tokenize))
+    else:
+        per = F.array(*[F.struct(F.lit(m).alias("tokenizer"), *toks(m)) for m in tokenize])
+        base = (df.select(*keys, *row_keys, F.explode(per).alias("__x"))
+                .select(*keys, *row_keys, "__x.tokenizer", "__x.__h", "__x.__r"))
+        keys = ["tokenizer"] + keys
     if method == "arrow":
         stats = _arrow_row_stats(base, keys, row_keys)
     elif method == "native":
@@ -176,9 +186,10 @@ def _arrow_row_stats(base: DataFrame, keys: list[str], row_keys: list[str]) -> D
                                       F.min("nref").alias("__lo"), F.max("nref").alias("__hi"))
 
 
-def bleu_score(stats: DataFrame, smooth_method: str = "exp", smooth_value: float | None = None,
-               use_effective_order: bool = False, keep_stats: bool = False) -> DataFrame:
-    """Add ``score``, ``p1..p4`` and ``bp`` to a statistics table.
+def score_columns(smooth_method: str = "exp", smooth_value: float | None = None,
+                  use_effective_order: bool = False) -> dict[str, Column]:
+    """Column expressions ``score``, ``p1..p4`` and ``bp`` over m1..m4, t1..t4,
+    sys_len and ref_len.
 
     Orders are visited 1..4 and stop at the first order with no n-grams.
     A zero match count is smoothed: ``exp`` 100/(2^z * total) with z the number of
@@ -218,13 +229,19 @@ def bleu_score(stats: DataFrame, smooth_method: str = "exp", smooth_value: float
     bp = (F.when(sys_len < ref_len, F.when(sys_len > 0, F.exp(F.lit(1.0) - ref_len / sys_len))
                  .otherwise(F.lit(0.0))).otherwise(F.lit(1.0)))
     no_match = (F.col("m1") == 0) & (F.col("m2") == 0) & (F.col("m3") == 0) & (F.col("m4") == 0)
-    score = bp * F.exp(logsum / eff)
-    out = stats.select(
-        "*",
-        F.when(no_match, F.lit(0.0)).otherwise(score).alias("score"),
-        *[F.when(no_match, F.lit(0.0)).otherwise(p).alias(f"p{n}") for n, p in enumerate(precisions, start=1)],
-        F.when(no_match, F.lit(0.0)).otherwise(bp).alias("bp"),
-    )
+    zero = F.lit(0.0)
+    out = {"score": F.when(no_match, zero).otherwise(bp * F.exp(logsum / eff))}
+    for n, p in enumerate(precisions, start=1):
+        out[f"p{n}"] = F.when(no_match, zero).otherwise(p)
+    out["bp"] = F.when(no_match, zero).otherwise(bp)
+    return out
+
+
+def bleu_score(stats: DataFrame, smooth_method: str = "exp", smooth_value: float | None = None,
+               use_effective_order: bool = False, keep_stats: bool = False) -> DataFrame:
+    """Add ``score``, ``p1..p4`` and ``bp`` (see ``score_columns``) to a statistics table."""
+    cols = score_columns(smooth_method, smooth_value, use_effective_order)
+    out = stats.select("*", *[c.alias(name) for name, c in cols.items()])
     return out if keep_stats else out.drop(*STAT_COLS)
 
 

@@ -94,14 +94,12 @@ BLEU_SMOOTH_SQL = with_ctes(
 
 @query("bleu_smoothing", BLEU_SMOOTH_SQL)
 def bleu_smoothing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four smoothing methods scored from one statistics table (one pass)."""
     stats = B.bleu_stats(_scored_rows(spark, sf_dir), ["lang", "system"], ["pos"], references="response")
-    parts = [B.bleu_score(stats, m, v).select(F.lit(m).alias("smooth_method"), "lang", "system",
-                                              F.round("score", 6).alias("score"))
-             for m, v in SMOOTHINGS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    per = F.array(*[F.struct(F.lit(m).alias("smooth_method"),
+                             F.round(B.score_columns(m, v)["score"], 6).alias("score")) for m, v in SMOOTHINGS])
+    return stats.select("lang", "system", F.explode(per).alias("x")).select(
+        "x.smooth_method", "lang", "system", "x.score")
 
 
 add_cte("dp_rows", ["dialogue_pairs"], f"""
@@ -159,15 +157,11 @@ BLEU_TOK_SQL = with_ctes(
 
 @query("bleu_tokenizers", BLEU_TOK_SQL)
 def bleu_tokenizers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """four tokenisers; rows are expanded per tokeniser so the fixture is read once."""
     rows = _scored_rows(spark, sf_dir)
-    parts = [B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="response", tokenize=t,
-                           keep_stats=False)
-             .select(F.lit(t).alias("tokenizer"), "lang", "system", F.round("score", 6).alias("score"))
-             for t in BLEU_TOKENIZERS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="response", tokenize=BLEU_TOKENIZERS,
+                        keep_stats=False)
+    return out.select("tokenizer", "lang", "system", F.round("score", 6).alias("score"))
 
 
 REF_CHECK_SQL = with_ctes("""
