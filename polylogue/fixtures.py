@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hashlib
+
 from .functions.text import clean_prediction, split_space
 from .operators.index import with_row_index
+from .session import checkpoint_root
 
 # The two mask tokens of the prompt settings and the language families.
 MASK1 = "<extra_id_0>"
@@ -30,14 +33,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Derived input tables written once per application (driver-side map of paths).
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write ``build()`` once per application as Parquet below the shared
+    checkpoint folder and read it back.
+
+    The reference keeps its pair corpora and prediction files on disk and every
+    job reads them; the derived tables here play that role. Writing them once
+    also cuts the lineage, so a lost executor recomputes from the written table
+    rather than from the raw documents.
+    """
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        path = f"{checkpoint_root(spark)}/polylogue/inputs/{app}/{tag}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair corpus (see ``build_lang_pairs``), written once per application."""
+    return materialized(spark, sf_dir, "lang_pairs", lambda: build_lang_pairs(spark, sf_dir))
+
+
+def build_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context/response pairs: consecutive non-blank lines of a document.
 
     Built per row with array functions (no shuffle); only the row position
     ``pos`` needs the bucketed index.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    # the line array is projected once; the lambda below only indexes into it
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"))
+    lines = F.col("lines")
     blank = lambda s: F.btrim(s, F.lit(" \t\r")) == F.lit("")
     pairs = F.filter(
         F.transform(lines, lambda x, i: F.struct(
@@ -78,16 +112,22 @@ def lang_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """The four systems' outputs (see ``build_predictions``), written once per application."""
+    return materialized(spark, sf_dir, "predictions",
+                        lambda: build_predictions(spark, sf_dir, pairs))
+
+
+def build_predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     """Deterministic stand-in outputs of four systems over ``lang_pairs``."""
     lp = pairs if pairs is not None else lang_pairs(spark, sf_dir)
-    base = lp.select("lang", "pos", "context", "response")
+    base = lp.select("lang", "pos", "context", "response", split_space(F.col("response")).alias("__toks"))
     # fs: the response of the next row of the language (cyclic). The per-language
     # size table has one row per language, so its broadcast is bounded.
     nxt = (base.join(F.broadcast(lang_sizes(lp)), "lang")
            .select("lang", ((F.col("pos") - 1 + F.col("n")) % F.col("n")).alias("pos"),
                    F.col("response").alias("prediction")))
     fs = nxt.select("lang", F.lit("fs").alias("system"), "pos", "prediction")
-    toks = split_space(F.col("response"))
+    toks = F.col("__toks")
     half = F.slice(toks, 1, F.ceil(F.size(toks) / 2).cast("int"))
     kept = F.array_join(F.filter(toks, lambda t, i: (i + 1) % 5 != 0), " ")
     # the three row-local systems come from one scan of the pairs

@@ -23,8 +23,9 @@ def _md5_rank(part: str, draw: str | None = None) -> str:
 
 @query("row_index", with_ctes("SELECT lang, pair_id, pos FROM lang_pairs", "lang_pairs"))
 def row_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I1 on the pairs: position per language in pair_id order (the fixture's own pos)."""
-    return fx.lang_pairs(spark, sf_dir).select("lang", "pair_id", "pos")
+    """I1 on the pairs: position per language in pair_id order, computed here
+    from the documents (not read from the written pair table)."""
+    return fx.build_lang_pairs(spark, sf_dir).select("lang", "pair_id", "pos")
 
 
 @query("row_index_documents", """
