@@ -52,7 +52,10 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     if path is None:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_root(spark)}/polylogue/inputs/{app}/{tag}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        # as many files as shuffle partitions, so that the CPU-heavy text stages
+        # reading them get full parallelism even when the table is small
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        build().repartition(parts).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 

@@ -49,6 +49,9 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
     one reference). ``keys`` + ``row_keys`` must identify an input row.
     ``tokenize`` may list several tokenisers: each row is then expanded once per
     tokeniser and a ``tokenizer`` key column is added, all in one pass.
+    ``tokenize=None`` means the columns already hold tokens: ``ARRAY<STRING>``
+    for the hypothesis and ``ARRAY<ARRAY<STRING>>`` for the references (see
+    ``tokenized_references``: tokenise a shared reference once, not once per system).
 
     ``method="arrow"`` (default): tokens are built natively, then per-row n-gram
     counters run in ``mapInArrow`` and emit 11 integers per row; only those are
@@ -62,7 +65,14 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
     prediction.
     """
     keys, row_keys = list(keys), list(row_keys)
-    single = not dict(df.dtypes)[references].startswith("array")
+    rtype = dict(df.dtypes)[references]
+    if tokenize is None:
+        single = False
+        base = df.select(*keys, *row_keys, F.col(hypothesis).alias("__h"), F.col(references).alias("__r"))
+        stats = (_arrow_row_stats(base, keys, row_keys) if method == "arrow"
+                 else _native_stats(base, keys, row_keys, False))
+        return _checked(stats, keys, strict)
+    single = not rtype.startswith("array")
     ref_arr = F.array(F.col(references)) if single else F.col(references)
 
     def toks(method: str) -> list[Column]:
@@ -83,7 +93,11 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
         stats = _native_stats(base, keys, row_keys, single)
     else:
         raise ValueError(f"unknown method {method!r}")
-    if strict and not single:
+    return _checked(stats, keys, strict and not single)
+
+
+def _checked(stats: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    if strict:
         bad = F.col("__lo") != F.col("__hi")
         msg = F.lit("the same number of references is required for each prediction")
         return stats.select(*keys, *[F.when(bad, F.raise_error(msg)).otherwise(F.col(c)).alias(c)
@@ -91,6 +105,20 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
     return stats.drop("__lo", "__hi")
 
 
+def tokenized_references(refs: DataFrame, on: Sequence[str], references: Sequence[str],
+                         tokenize: str = "13a", lowercase: bool = False, out: str = "__ref_tokens") -> DataFrame:
+    """(on..., out ARRAY<ARRAY<STRING>>): the reference texts of each aligned row,
+    tokenised once. Join it to the hypotheses on ``on`` and pass
+    ``tokenize=None`` to ``bleu_stats``."""
+    toks = [tokenize_col(F.coalesce(F.col(c), F.lit("")), tokenize, lowercase) for c in references]
+    return refs.select(*on, F.array(*toks).alias(out))
+
+
+def tokenized_hypotheses(df: DataFrame, hypothesis: str, tokenize: str = "13a", lowercase: bool = False,
+                         out: str = "__hyp_tokens") -> DataFrame:
+    return df.withColumn(out, tokenize_col(F.coalesce(F.col(hypothesis), F.lit("")), tokenize, lowercase))
+
+
 def _order_structs(toks: Column, j: Column) -> list[Column]:
     """(j, n, w=1, grams) for n = 1..4 of one token array."""
     return [F.struct(j.cast("int").alias("j"), F.lit(n).alias("n"), F.lit(1).cast("long").alias("w"),

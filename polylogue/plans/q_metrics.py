@@ -19,6 +19,23 @@ def _r6(df: DataFrame, cols) -> DataFrame:
     return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _token_rows(spark: SparkSession, sf_dir: str, refs=("response",), tokenize: str = "13a",
+                lowercase: bool = False, split: str | None = None) -> DataFrame:
+    """J4 with tokens: hypothesis tokens per (lang, system, pos) joined with the
+    reference tokens of (lang, pos), each reference tokenised once."""
+    lp = fx.lang_pairs(spark, sf_dir)
+    if split:
+        lp = lp.filter(F.col("split") == split)
+    prc = B.tokenized_hypotheses(fx.clean_predictions(spark, sf_dir), "prediction", tokenize, lowercase)
+    ref = B.tokenized_references(lp, ["lang", "pos"], list(refs), tokenize, lowercase)
+    return prc.join(ref, ["lang", "pos"])
+
+
+def _stats(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    rows = _token_rows(spark, sf_dir, **kw)
+    return B.bleu_stats(rows, ["lang", "system"], ["pos"], "__hyp_tokens", "__ref_tokens", tokenize=None)
+
+
 def _scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned predictions aligned with the reference response of the same (lang, pos)."""
     lp = fx.lang_pairs(spark, sf_dir)
@@ -66,8 +83,7 @@ BLEU_STATS_SQL = with_ctes(
 
 @query("bleu_stats", BLEU_STATS_SQL)
 def bleu_stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_rows(spark, sf_dir)
-    return B.bleu_stats(rows, ["lang", "system"], ["pos"], references="response")
+    return _stats(spark, sf_dir)
 
 
 SCORE_COLS = ["score", "p1", "p2", "p3", "p4", "bp"]
@@ -78,9 +94,7 @@ BLEU_CORPUS_SQL = with_ctes(
 
 @query("bleu_corpus", BLEU_CORPUS_SQL)
 def bleu_corpus_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_rows(spark, sf_dir)
-    out = B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="response", force=True,
-                        keep_stats=False)
+    out = B.bleu_score(_stats(spark, sf_dir))
     return _r6(out, set(SCORE_COLS))
 
 
@@ -95,7 +109,7 @@ BLEU_SMOOTH_SQL = with_ctes(
 @query("bleu_smoothing", BLEU_SMOOTH_SQL)
 def bleu_smoothing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four smoothing methods scored from one statistics table (one pass)."""
-    stats = B.bleu_stats(_scored_rows(spark, sf_dir), ["lang", "system"], ["pos"], references="response")
+    stats = _stats(spark, sf_dir)
     per = F.array(*[F.struct(F.lit(m).alias("smooth_method"),
                              F.round(B.score_columns(m, v)["score"], 6).alias("score")) for m, v in SMOOTHINGS])
     return stats.select("lang", "system", F.explode(per).alias("x")).select(
@@ -127,8 +141,7 @@ BLEU_MULTI_SQL = with_ctes(
 
 @query("bleu_multi_ref", BLEU_MULTI_SQL)
 def bleu_multi_ref_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_rows(spark, sf_dir).withColumn("references", F.array("response", "context"))
-    out = B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="references")
+    out = B.bleu_score(_stats(spark, sf_dir, refs=("response", "context")), keep_stats=True)
     return out.select("lang", "system", F.round("score", 6).alias("score"), "ref_len")
 
 
@@ -140,8 +153,7 @@ BLEU_LOWER_SQL = with_ctes(
 
 @query("bleu_lowercase", BLEU_LOWER_SQL)
 def bleu_lowercase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.corpus_bleu(_scored_rows(spark, sf_dir), ["lang", "system"], ["pos"], references="response",
-                        lowercase=True, keep_stats=False)
+    out = B.bleu_score(_stats(spark, sf_dir, lowercase=True))
     return out.select("lang", "system", F.round("score", 6).alias("score"))
 
 
@@ -201,10 +213,8 @@ SELECT lang, system, metric, value FROM (
 
 @query("metrics_report", METRICS_SQL)
 def metrics_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lp = fx.lang_pairs(spark, sf_dir)
-    prc = fx.clean_predictions(spark, sf_dir, lp)
-    rows = prc.join(lp.select("lang", "pos", "response"), ["lang", "pos"])
-    return metrics_report(prc, rows, ["lang", "system"], ["pos"])
+    prc = fx.clean_predictions(spark, sf_dir)
+    return metrics_report(prc, _token_rows(spark, sf_dir), ["lang", "system"], ["pos"], reference=None)
 
 
 _rows_cte("bl_rows_val", split="validation")
@@ -219,10 +229,6 @@ GROUP BY lang
 @query("best_run", BEST_RUN_SQL)
 def best_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language, the system with the best validation BLEU (ties: system name)."""
-    lp = fx.lang_pairs(spark, sf_dir)
-    prc = fx.clean_predictions(spark, sf_dir, lp)
-    val = lp.filter(F.col("split") == "validation").select("lang", "pos", "response")
-    rows = prc.join(val, ["lang", "pos"])
-    scores = B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="response", keep_stats=False)
+    scores = B.bleu_score(_stats(spark, sf_dir, split="validation"))
     scores = scores.select("lang", "system", F.round("score", 6).alias("score"))
     return best_run(scores, ["lang"], "system", "score")
