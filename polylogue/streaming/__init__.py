@@ -1 +1,7 @@
-"""streaming."""
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks, windows over time or state. Every
+operator in this package is a batch DataFrame function; the batch-apply
+operators (``operators.apply``) also accept streaming DataFrames, as
+``mapInPandas`` does, but no streaming query is defined here.
+"""
