@@ -191,16 +191,103 @@ def _row_stats(hyp: list, refs: list) -> list[int]:
     return out
 
 
+def _batch_stats(hyp, refs):
+    """Statistics of every row of an Arrow batch at once (numpy, no per-row loop).
+
+    ``hyp`` is a ``list<string>`` array, ``refs`` a ``list<list<string>>`` array.
+    Tokens get dense integer codes; an n-gram's code is built from the
+    (n-1)-gram code and the next token code, re-densified each order, so codes
+    are exact (no hashing). Counts per (row, gram) come from sorting; the
+    reference count is the maximum over a row's references.
+    Returns an int64 array (rows x 11) in ``STAT_COLS`` order plus the number
+    of references.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = len(hyp)
+    out = np.zeros((rows, len(STAT_COLS) + 1), dtype=np.int64)
+    if rows == 0:
+        return out
+    h_off = np.asarray(hyp.offsets, dtype=np.int64)
+    h_off = h_off - h_off[0]
+    r_off = np.asarray(refs.offsets, dtype=np.int64)
+    r_off = r_off - r_off[0]
+    r_lists = refs.flatten()
+    rl_off = np.asarray(r_lists.offsets, dtype=np.int64)
+    rl_off = rl_off - rl_off[0]
+    h_tok, r_tok = hyp.flatten(), r_lists.flatten()
+    n_h = len(h_tok)
+    tokens = pa.concat_arrays([h_tok.cast(pa.large_string()), r_tok.cast(pa.large_string())])
+    codes = np.asarray(pc.dictionary_encode(tokens).indices, dtype=np.int64) if len(tokens) else \
+        np.zeros(0, dtype=np.int64)
+
+    hl = np.diff(h_off)
+    n_ref = np.diff(r_off)
+    rlen = np.diff(rl_off)
+    ref_row = np.repeat(np.arange(rows), n_ref)
+    out[:, 8] = hl
+    out[:, 10] = n_ref
+    if len(rlen):
+        key = np.abs(rlen - hl[ref_row]) * (1 << 32) + rlen
+        best = np.full(rows, np.iinfo(np.int64).max, dtype=np.int64)
+        np.minimum.at(best, ref_row, key)
+        out[:, 9] = np.where(n_ref > 0, best & ((1 << 32) - 1), 0)
+
+    # every token position: its sequence (rows first, then references), the
+    # sequence end, and the row it belongs to
+    seq_len = np.concatenate([hl, rlen])
+    seq_start = np.concatenate([h_off[:-1], n_h + rl_off[:-1]])
+    seq_row = np.concatenate([np.arange(rows), ref_row])
+    seq_id = np.repeat(np.arange(len(seq_len)), seq_len)
+    pos_end = np.repeat(seq_start + seq_len, seq_len)
+    pos = np.arange(len(codes))
+    is_hyp = pos < n_h
+    gram = codes
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            ok = pos + n - 1 < pos_end
+            nxt = np.where(ok, codes[np.minimum(pos + n - 1, len(codes) - 1)] if len(codes) else 0, 0)
+            width = int(codes.max()) + 1 if len(codes) else 1
+            pair = np.where(ok & (gram >= 0), gram * width + nxt, -1)
+            valid = pair >= 0
+            dense = np.full(len(pair), -1, dtype=np.int64)
+            if valid.any():
+                dense[valid] = np.unique(pair[valid], return_inverse=True)[1]
+            gram = dense
+        valid = gram >= 0
+        if not valid.any():
+            break
+        g_count = int(gram.max()) + 1
+        # hypothesis counts per (row, gram)
+        hv = valid & is_hyp
+        hk, hc = np.unique(seq_row[seq_id[hv]] * g_count + gram[hv], return_counts=True)
+        # reference counts per (reference, gram), then the max per (row, gram)
+        rv = valid & ~is_hyp
+        rk_seq, rc_seq = np.unique(seq_id[rv] * g_count + gram[rv], return_counts=True)
+        rk_row = seq_row[rk_seq // g_count] * g_count + rk_seq % g_count
+        order = np.argsort(rk_row, kind="stable")
+        rk_row, rc_seq = rk_row[order], rc_seq[order]
+        rk, first = np.unique(rk_row, return_index=True)
+        rc = np.maximum.reduceat(rc_seq, first) if len(first) else rc_seq
+        idx = np.searchsorted(rk, hk)
+        idx_c = np.minimum(idx, max(len(rk) - 1, 0))
+        hit = (idx < len(rk)) & (rk[idx_c] == hk) if len(rk) else np.zeros(len(hk), dtype=bool)
+        clipped = np.where(hit, np.minimum(hc, rc[idx_c] if len(rk) else 0), 0)
+        out[:, n - 1] = np.bincount(hk // g_count, weights=clipped, minlength=rows).astype(np.int64)
+        out[:, 3 + n] = np.maximum(hl - n + 1, 0)
+    return out
+
+
 def _row_stats_batches(batches, key_cols):
     """Arrow path: per-row statistics, one output row per input row."""
     import pyarrow as pa
 
     names = STAT_COLS + ["nref"]
     for rb in batches:
-        hyps = rb.column("__h").to_pylist()
-        refss = rb.column("__r").to_pylist()
-        cols = list(zip(*[_row_stats(h or [], r or []) for h, r in zip(hyps, refss)])) or [[]] * len(names)
-        arrays = [rb.column(k) for k in key_cols] + [pa.array(c, pa.int64()) for c in cols]
+        stats = _batch_stats(rb.column("__h"), rb.column("__r"))
+        arrays = [rb.column(k) for k in key_cols] + [pa.array(stats[:, i]) for i in range(len(names))]
         yield pa.RecordBatch.from_arrays(arrays, names=key_cols + names)
 
 

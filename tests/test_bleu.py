@@ -136,3 +136,25 @@ def test_unequal_reference_counts_fail(spark):
 def test_unknown_smoothing_rejected(spark):
     with pytest.raises(ValueError):
         B.score_columns("bogus")
+
+
+def test_vectorised_batch_stats_equal_counters():
+    """The numpy batch statistics equal the per-row counter statement."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    vocab = ["a", "b", "c", "d", "é", ".", "a b"[0]]
+    for trial in range(200):
+        rows = rng.randint(1, 10)
+        hyps = [[rng.choice(vocab) for _ in range(rng.randint(0, 9))] for _ in range(rows)]
+        refs = [[[rng.choice(vocab) for _ in range(rng.randint(0, 9))] for _ in range(rng.choice([0, 1, 2, 3]))]
+                for _ in range(rows)]
+        h = pa.array(hyps, pa.list_(pa.string()))
+        r = pa.array(refs, pa.list_(pa.list_(pa.string())))
+        if rows > 2 and trial % 2:
+            h, r, hyps, refs = h.slice(1, rows - 2), r.slice(1, rows - 2), hyps[1:-1], refs[1:-1]
+        want = np.array([B._row_stats(x, y) for x, y in zip(hyps, refs)])
+        assert (B._batch_stats(h, r) == want).all()
