@@ -61,15 +61,29 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
 
 
 def lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair corpus (see ``build_lang_pairs``), written once per application."""
-    return materialized(spark, sf_dir, "lang_pairs", lambda: build_lang_pairs(spark, sf_dir))
+    """The pair corpus (see ``build_lang_pairs``), written once per application.
+
+    The documents are parsed once into an unindexed pair table; the row index then
+    reads that table, and its counting passes read only (lang, pair_id).
+    """
+    def build() -> DataFrame:
+        raw = materialized(spark, sf_dir, "lang_pairs_unindexed", lambda: pairs_from_documents(spark, sf_dir))
+        return with_row_index(raw, "pair_id", by=["lang"], width=LANG_PAIRS_INDEX_WIDTH)
+
+    return materialized(spark, sf_dir, "lang_pairs", build)
 
 
 def build_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context/response pairs with ``pos``, as one lazy plan from the documents."""
+    return with_row_index(pairs_from_documents(spark, sf_dir), "pair_id", by=["lang"],
+                          width=LANG_PAIRS_INDEX_WIDTH)
+
+
+def pairs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context/response pairs: consecutive non-blank lines of a document.
 
     Built per row with array functions (no shuffle); only the row position
-    ``pos`` needs the bucketed index.
+    ``pos`` (added by the callers) needs the bucketed index.
     """
     # the line array is projected once; the lambda below only indexes into it
     docs = table(spark, sf_dir, "documents").select(
@@ -91,7 +105,7 @@ def build_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation")
         .otherwise("train").alias("split"),
     )
-    return with_row_index(df, "pair_id", by=["lang"], width=LANG_PAIRS_INDEX_WIDTH)
+    return df
 
 
 def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

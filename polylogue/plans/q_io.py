@@ -19,7 +19,7 @@ from ..sources import files as IO
 from ..sources.catalog import discover_languages
 from .oracle_ctes import with_ctes
 from .q_human import ballot_build_query  # noqa: F401  (registers the ballot CTEs)
-from .q_sampling import _interleave_sql
+from .q_sampling import _interleave_sql  # noqa: F401  (also registers 'shots')
 from .registry import query
 from .sqltext import split_ws
 
@@ -132,3 +132,18 @@ def apply_generator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generator built once per task runs over the test split in batches."""
     test = fx.lang_pairs(spark, sf_dir).filter(F.col("split") == "test")
     return apply_generator(test, FirstTokens, "context", ["pair_id"], max_length=16, num_beams=4)
+
+
+@query("few_shot_roundtrip", with_ctes("SELECT lang, shot_ordinal - 1 AS pos, pair_id FROM shots", "shots"))
+def few_shot_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the k-shot sample of every language as ``<lang>_fs_10.csv`` in position
+    order (one distributed write), read back with line positions."""
+    from ..operators.sampling import sample_k
+
+    path = scratch_path(spark, "fs")
+    shots = sample_k(fx.lang_pairs(spark, sf_dir), 10).select("lang", "shot_ordinal", "pair_id", "context",
+                                                             "response")
+    IO.write_per_key(shots, path, "lang", "{}_fs_10.csv", order=["shot_ordinal"])
+    back = IO.read_positioned(spark, f"{path}/*", "csv", dir_col="__dir")
+    return back.select(F.regexp_extract("__dir", r"/([^/_]+)_fs_10\.csv$", 1).alias("lang"), "pos",
+                       F.col("pair_id").cast("long").alias("pair_id"))

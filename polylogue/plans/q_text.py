@@ -96,7 +96,7 @@ def _tok_query(method: str):
 
 
 for _name, _m in [("tokenize_whitespace", "whitespace"), ("tokenize_13a", "13a"), ("tokenize_char", "char"),
-                  ("tokenize_intl", "intl")]:
+                  ("tokenize_intl", "intl"), ("tokenize_zh", "zh")]:
     _fn, _sql = _tok_query(_m)
     query(_name, _sql)(_fn)
 

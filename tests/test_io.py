@@ -53,3 +53,13 @@ def test_cached_table_reused(spark):
     again = cached_table(spark, spark.range(50), path)
     assert first.count() == again.count() == 5
     assert cached_table(spark, spark.range(50), path, overwrite=True).count() == 50
+
+
+def test_metric_files_have_split_prefix(spark):
+    from polylogue.operators.report import write_metrics
+
+    m = spark.createDataFrame([("de", "fs", "sacrebleu_score", 1.5)], "lang string, system string, metric string, "
+                              "value double")
+    path = scratch_path(spark, "t-metrics")
+    write_metrics(m, path, "predict")
+    assert spark.read.json(path).first()["metric"] == "predict_sacrebleu_score"
