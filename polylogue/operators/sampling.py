@@ -21,12 +21,22 @@ def sufficiency(df: DataFrame, k: int, by: Sequence[str] = ("lang",)) -> DataFra
                                        (F.col("n") >= F.lit(k)).alias("is_sufficient"))
 
 
+def _allow_group_limit(spark: SparkSession, k: int) -> None:
+    """The partial WindowGroupLimit is planned only for limits up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise it when needed so a
+    large k still never ships a whole group to one task."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if k > int(spark.conf.get(key, "1000")):
+        spark.conf.set(key, str(k))
+
+
 def first_n(df: DataFrame, n: int, by: Sequence[str], order: str) -> DataFrame:
     """P5: the first ``n`` rows of every group in ``order``.
 
     ``row_number() <= n`` plans as a WindowGroupLimit before and after the shuffle,
     so at most ``n`` rows per group leave each task.
     """
+    _allow_group_limit(df.sparkSession, n)
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
@@ -59,6 +69,7 @@ def sample_k(df: DataFrame, k: int, seed: int = DEFAULT_SEED, by: Sequence[str]
     ``ordinal`` numbers the kept rows 1..k in ascending ``pos``.
     """
     by = list(by)
+    _allow_group_limit(df.sparkSession, k)
     src = df
     part = list(by)
     if draws:

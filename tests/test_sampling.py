@@ -68,3 +68,11 @@ def test_first_n_and_sample_sizes(spark):
     assert sorted(r["k"] for r in S.first_n(df, 5, ["lang"], "k").collect()) == [0, 1, 2, 3, 4]
     assert S.sample_sizes(df, 100, ["lang"]).first()["n_reported"] == 30
     assert S.sample_sizes(df, 7, ["lang"]).first()["n_reported"] == 7
+
+
+def test_large_k_still_plans_partial_group_limit(spark):
+    df = spark.range(5000).select((F.col("id") % 2).cast("string").alias("lang"), F.col("id").alias("pos"))
+    out = S.sample_k(df, 1500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert out.count() == 3000
