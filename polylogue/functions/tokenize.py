@@ -7,6 +7,7 @@ library-backed tokeniser and runs as an Arrow ``pandas_udf``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,24 +110,23 @@ def tokenize(c, method: str = "13a", lowercase: bool = False) -> Column:
     raise ValueError(f"unknown tokenizer {method!r}; choose one of: {', '.join(TOKENIZERS)}")
 
 
+_SP_CACHE: dict = {}
+
+
 def sentencepiece_tokenizer(model_path: str):
     """A ``pandas_udf`` that splits text into SentencePiece pieces.
 
     The model file is user-supplied (no download); it is loaded once per Python
     worker and reused across Arrow batches.
     """
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def _pieces(texts: pd.Series) -> pd.Series:
         import sentencepiece as spm
 
-        global _SP_CACHE
-        try:
-            proc = _SP_CACHE[model_path]
-        except (NameError, KeyError):
-            proc = spm.SentencePieceProcessor(model_file=model_path)
-            _SP_CACHE = {model_path: proc}
+        proc = _SP_CACHE.get(model_path)
+        if proc is None:
+            proc = _SP_CACHE[model_path] = spm.SentencePieceProcessor(model_file=model_path)
         return texts.fillna("").map(lambda t: proc.encode(t, out_type=str))
 
     return _pieces
