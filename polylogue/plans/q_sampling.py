@@ -147,3 +147,15 @@ def interleave_reference_pairs_query(spark: SparkSession, sf_dir: str) -> DataFr
 def interleave_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + M4 in spread mode: every target gets all k shots."""
     return interleave(fx.lang_pairs(spark, sf_dir), "en", K, SEED, mode="spread", key="pair_id")
+
+
+@query("interleave_reference_mt19937")
+def interleave_reference_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M3 exactly as the reference: Mersenne Twister shots (seed 2023, k=10)
+    placed by the float-modulus rule, on the documents."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs = with_row_index(docs, "doc_id", by=["lang"], width=1024)
+    targets = S.group_counts(docs.filter((docs.lang != "en") & (docs.lang != "pl")), ["lang"])
+    draws = S.draw_positions_mt(spark, targets, K, SEED).drop("draw")
+    shots = S.pick_rows(docs, draws)
+    return interleave(docs, "en", K, SEED, mode="reference", key="doc_id", shots=shots)

@@ -60,3 +60,28 @@ def test_interleave_matches_walk(spark, mode, n_src):
     assert sorted(r["out_pos"] for r in got) == list(range(len(want)))
     if mode == "spread":
         assert len(shots) == k
+
+
+def test_exact_reference_reproduction(spark, sf):
+    """Mersenne Twister shots + float-modulus placement equal a direct Python walk."""
+    import random
+
+    import __spark_entry__ as E
+    from polylogue import fixtures as fx
+
+    got = E.queries()["interleave_reference_mt19937"](spark, sf).collect()
+    docs = sorted((r["lang"], r["doc_id"]) for r in fx.table(spark, sf, "documents").select("lang", "doc_id").collect())
+    by = {}
+    for lang, d in docs:
+        by.setdefault(lang, []).append(d)
+    src = by["en"]
+    for tgt in sorted(set(by) - {"en", "pl"}):
+        rows = by[tgt]
+        if len(rows) < 10:
+            continue
+        random.seed(2023)
+        picked = sorted(random.sample(range(len(rows)), 10))
+        shots = [rows[p] for p in picked]
+        want = walk(src, shots, 10, "reference")
+        mine = sorted((r for r in got if r["tgt_lang"] == tgt), key=lambda r: r["out_pos"])
+        assert [("shot" if r["is_shot"] else "src", r["doc_id"]) for r in mine] == want
