@@ -27,7 +27,7 @@ def _case(col: str, mapping: Mapping[str, str]) -> F.Column:
 def build_ballots(pairs: DataFrame, predictions: DataFrame, k: int = 100, seed: int = DEFAULT_SEED,
                   languages: DataFrame | None = None, context: str = "context",
                   comparisons: Mapping[str, tuple[str, str]] = COMPARISONS,
-                  strict: bool = True) -> DataFrame:
+                  strict: bool = True, sampler: str = "hash") -> DataFrame:
     """Draw k test rows per language for each comparison and place the two
     systems' outputs side by side, blinded by row parity.
 
@@ -36,11 +36,22 @@ def build_ballots(pairs: DataFrame, predictions: DataFrame, k: int = 100, seed:
     positions ascending inside a block). With ``strict``, a missing prediction
     for a drawn row fails the job, as a short prediction file does.
     Languages with fewer than k rows get no ballot.
+    ``sampler="mt19937"`` draws the blocks as the reference does: one seeded
+    Mersenne Twister stream per language, one ``sample`` call per comparison.
     """
     names = list(comparisons)
     if languages is not None:
         pairs = pairs.join(F.broadcast(languages.select("lang").distinct()), "lang", "left_semi")
-    drawn = sample_k(pairs.select("lang", "pos", context), k, seed, ["lang"], "pos", draws=names)
+    if sampler == "mt19937":
+        from .sampling import draw_positions_mt, group_counts, pick_rows
+
+        draws = draw_positions_mt(pairs.sparkSession, group_counts(pairs, ["lang"]), k, seed, draws=len(names))
+        draws = draws.withColumn("draw", _case("draw", {str(i): c for i, c in enumerate(names)}))
+        drawn = pick_rows(pairs.select("lang", "pos", context), draws)
+    elif sampler == "hash":
+        drawn = sample_k(pairs.select("lang", "pos", context), k, seed, ["lang"], "pos", draws=names)
+    else:
+        raise ValueError(f"unknown sampler {sampler!r}; choose 'hash' or 'mt19937'")
     keys = drawn.select("lang", "pos", F.col("draw").alias("comparison"), "shot_ordinal",
                         F.col(context).alias("context"))
     plain = _case("comparison", {c: s[0] for c, s in comparisons.items()})

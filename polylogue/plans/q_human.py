@@ -93,3 +93,11 @@ def run_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages found in the data, with their family, times the four settings."""
     langs = fx.lang_pairs(spark, sf_dir).select("lang")
     return run_catalog(langs, fx.languages(spark), "results")
+
+
+@query("ballot_build_mt19937")
+def ballot_build_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 exactly as the reference: two successive Mersenne Twister draws per language."""
+    lp = fx.lang_pairs(spark, sf_dir)
+    b = H.build_ballots(lp, fx.clean_predictions(spark, sf_dir), languages=fx.languages(spark), sampler="mt19937")
+    return b.select("lang", "comparison", "random_id", "context", "response_a", "response_b")

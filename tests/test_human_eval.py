@@ -36,3 +36,19 @@ def test_missing_prediction_fails_in_strict_mode(spark, sf):
     preds = fx.clean_predictions(spark, sf).filter(~((F.col("system") == "fs") & (F.col("pos") % 3 == 0)))
     with pytest.raises(Exception, match="prediction is missing"):
         H.build_ballots(lp, preds, languages=fx.languages(spark)).collect()
+
+
+def test_mt19937_ballots_follow_the_reference_stream(spark, sf):
+    import random
+
+    import __spark_entry__ as E
+
+    got = E.queries()["ballot_build_mt19937"](spark, sf).collect()
+    sizes = {r["lang"]: r["n"] for r in fx.lang_pairs(spark, sf).groupBy("lang").count()
+             .withColumnRenamed("count", "n").collect()}
+    for lang in {r["lang"] for r in got}:
+        random.seed(2023)
+        fs = sorted(random.sample(range(sizes[lang]), 100))
+        mtl = sorted(random.sample(range(sizes[lang]), 100))
+        assert sorted(r["random_id"] for r in got if r["lang"] == lang and r["comparison"] == "fs") == fs
+        assert sorted(r["random_id"] for r in got if r["lang"] == lang and r["comparison"] == "mtl") == mtl
