@@ -104,7 +104,7 @@ SELECT DISTINCT lang FROM lang_pairs WHERE split = 'train' AND lang NOT IN ('en'
 """, "lang_pairs"))
 def lang_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages from file names ``<lang>_train.csv``, without source and block list."""
-    root = scratch_path(spark, "mdia")
+    root = scratch_path(spark, "corpus")
     lp = fx.lang_pairs(spark, sf_dir).filter(F.col("split") == "train").select("lang", "context", "response")
     IO.write_per_key(lp, root, "lang", "{}_train.csv")
     return discover_languages(spark, root, "en", ["pl"])
