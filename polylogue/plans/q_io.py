@@ -96,7 +96,8 @@ def load_splits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             part.write.json(p)
         else:
             IO.write_csv(part, p)
-    return IO.load_splits(spark, files).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    schema = "pair_id string, context string, response string"
+    return IO.load_splits(spark, files, schema).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("lang_catalog", with_ctes("""

@@ -79,15 +79,21 @@ def read_lines(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFr
     return read_positioned(spark, path, "text", by).withColumnRenamed("value", "line")
 
 
-def load_splits(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+def load_splits(spark: SparkSession, files: Mapping[str, str], schema: str | None = None) -> DataFrame:
     """S3: train/validation/test files, CSV or JSON by extension, as one table
-    with a ``split`` column. Other extensions are refused."""
+    with a ``split`` column. Other extensions are refused.
+
+    With ``schema`` (a DDL string, normally all strings) JSON is read without the
+    schema-inference pass, which would otherwise scan every file twice."""
     parts = []
     for split, path in files.items():
         ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
         if ext not in SPLIT_FORMATS:
             raise ValueError(f"`{split}` file should be a csv or a json file, got {path!r}")
-        df = read_csv(spark, path) if ext == "csv" else spark.read.json(path)
+        if ext == "csv":
+            df = read_csv(spark, path)
+        else:
+            df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
         parts.append(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
                      .na.fill("").withColumn("split", F.lit(split)))
     if not parts:
