@@ -26,9 +26,10 @@ def _token_rows(spark: SparkSession, sf_dir: str, refs=("response",), tokenize:
     lp = fx.lang_pairs(spark, sf_dir)
     if split:
         lp = lp.filter(F.col("split") == split)
-    prc = B.tokenized_hypotheses(fx.clean_predictions(spark, sf_dir), "prediction", tokenize, lowercase)
     ref = B.tokenized_references(lp, ["lang", "pos"], list(refs), tokenize, lowercase)
-    return prc.join(ref, ["lang", "pos"])
+    # the hypotheses cross the join as text (smaller than token arrays), then are tokenised
+    aligned = fx.clean_predictions(spark, sf_dir).join(ref, ["lang", "pos"])
+    return B.tokenized_hypotheses(aligned, "prediction", tokenize, lowercase)
 
 
 def _stats(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
