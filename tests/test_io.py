@@ -63,3 +63,21 @@ def test_metric_files_have_split_prefix(spark):
     path = scratch_path(spark, "t-metrics")
     write_metrics(m, path, "predict")
     assert spark.read.json(path).first()["metric"] == "predict_sacrebleu_score"
+
+
+def test_discover_languages_flat_layout(spark, tmp_path):
+    from polylogue.sources.catalog import discover_languages
+
+    for name in ["en_train.csv", "de_train.csv", "de_test.csv", "pl_train.csv", "fr_train.csv", "_SUCCESS", ".hidden"]:
+        (tmp_path / name).write_text("context,response\na,b\n")
+    got = [r["lang"] for r in discover_languages(spark, str(tmp_path)).collect()]
+    assert got == ["de", "fr"]
+
+
+def test_written_pairs_equal_lazy_plan(spark, sf):
+    from polylogue import fixtures as fx
+
+    cols = ["pair_id", "lang", "doc_id", "context", "response", "split", "pos"]
+    a = fx.lang_pairs(spark, sf).select(*cols).collect()
+    b = fx.build_lang_pairs(spark, sf).select(*cols).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
