@@ -158,7 +158,7 @@ def bleu_lowercase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "system", F.round("score", 6).alias("score"))
 
 
-BLEU_TOKENIZERS = ["none", "13a", "intl", "char"]
+BLEU_TOKENIZERS = ["none", "13a", "intl", "char", "zh"]
 for _t in BLEU_TOKENIZERS:
     _rows_cte(f"bl_rows_{_t}", tok=_t)
 BLEU_TOK_SQL = with_ctes(
