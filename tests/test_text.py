@@ -106,3 +106,14 @@ def test_id_list_functions(spark):
     assert [x["m"] for x in m] == [[5, 6, 7, -100], [-100] * 4]
     u = df.select(I.unmask_pad(I.mask_pad(I.pad_to("ids", 4))).alias("u")).collect()
     assert [x["u"] for x in u] == [[5, 6, 7, 0], [0] * 4]
+
+
+def test_dynamic_batch_padding_of_labels(spark):
+    rows = [(i, list(range(1, 2 + (i * 3) % 11))) for i in range(40)]
+    df = spark.createDataFrame(rows, "pos long, labels array<bigint>")
+    out = I.pad_batches(df, "labels", "pos", 16, 8, pad=I.IGNORE_ID, out="padded").collect()
+    for r in out:
+        batch = [x for x in rows if x[0] // 16 == r["pos"] // 16]
+        width = -(-max(len(x[1]) for x in batch) // 8) * 8
+        assert r["padded_len"] == width
+        assert r["padded"] == r["labels"] + [I.IGNORE_ID] * (width - len(r["labels"]))
