@@ -233,3 +233,19 @@ def best_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = B.bleu_score(_stats(spark, sf_dir, split="validation"))
     scores = scores.select("lang", "system", F.round("score", 6).alias("score"))
     return best_run(scores, ["lang"], "system", "score")
+
+
+METRIC_FILES_SQL = ("SELECT lang, system, 'predict_' || metric AS metric, value FROM ("
+                    + METRICS_SQL + ")")
+
+
+@query("metrics_files", METRIC_FILES_SQL)
+def metrics_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the metric table saved as JSON lines under the ``predict`` prefix, read back."""
+    from ..operators.report import write_metrics
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "metrics")
+    write_metrics(metrics_report_query(spark, sf_dir), path, "predict")
+    back = spark.read.schema("lang string, system string, metric string, value double").json(path)
+    return back.select("lang", "system", "metric", "value")
