@@ -76,3 +76,10 @@ def test_large_k_still_plans_partial_group_limit(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert out.count() == 3000
+
+
+def test_row_index_independent_of_partitioning(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("lang", "doc_id")
+    a = with_row_index(docs.repartition(1), "doc_id", by=["lang"], width=4, fanout=3).collect()
+    b = with_row_index(docs.repartition(13, "doc_id"), "doc_id", by=["lang"], width=4, fanout=3).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
