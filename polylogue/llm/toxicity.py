@@ -279,6 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     marks = (usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1 << 20)) < round(share * (1 << 20)))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     toxic, clean = train.where("toxic = 1").select("text"), train.where("toxic <> 1").select("text")
     seen = (toxic.mapInArrow(_contexts, "word string, place string").groupBy("word", "place").agg(F.count("*").alias("n"))
             .groupBy("word").agg(F.sum("n").alias("docs"), F.count("*").alias("places"))
@@ -293,11 +294,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
              if (n + 0.5) / (bad + 1) >= ODDS * (in_clean.get(w, 0) + 0.5) / (good + 1)
              and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= np.log(len(seen)) + 2]
     automata = [Automaton(terms[i:i + TABLE_TERMS]) for i in range(0, len(terms), TABLE_TERMS)]
-    variants = clean.mapInArrow(_variants(send(automata)), "word string").distinct().toPandas()["word"]
-    model = ToxicityModel(automata, frozenset(variants) - frozenset(terms), np.zeros(9))
+    # variants found in one half of the clean texts are left out when the weights are fitted on the other
+    # half, so that unseen words near a term weigh what they weigh in texts not read yet
+    halves = {h: frozenset(clean_half.mapInArrow(_variants(send(automata)), "word string").distinct().toPandas()["word"]) - frozenset(terms)
+              for h in (0, 1) for clean_half in [train.where((half == h) & (F.col("toxic") != 1)).select("text")]}
+    model = ToxicityModel(automata, halves[0], np.zeros(9))
     # the weights come from counts of equal cells; steps beyond four hits are alike
-    cells = (_counted(train, model, "toxic").select("toxic", *(F.least(F.col(c), F.lit(4)).alias(c) for c in ("abuse", "misspelled", "quoted")))
+    cells = (_counted(train.where(half == 1), model, "toxic").select("toxic", *(F.least(F.col(c), F.lit(4)).alias(c) for c in ("abuse", "misspelled", "quoted")))
              .groupBy("toxic", "abuse", "misspelled", "quoted").agg(F.count("*").alias("n")).toPandas())
+    model.clean_variants = halves[0] | halves[1]
     if len(cells):
         model.weights = _fit(cells[["abuse", "misspelled", "quoted"]].to_numpy(), (cells["toxic"] == 1).to_numpy(float), cells["n"].to_numpy(float))
     return model
