@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import hashlib
-
 from .functions.text import clean_prediction, split_space
 from .operators.index import with_row_index
-from .session import checkpoint_root
+from .session import checkpoint_root, fingerprint, removed_at_end, table_bytes
 
 # The two mask tokens of the prompt settings and the language families.
 MASK1 = "<extra_id_0>"
@@ -24,9 +22,10 @@ LANGUAGE_FAMILIES = [
     ("fr", "Romance"),
 ]
 SYSTEMS = ("fs", "fs_prompt", "mtl", "mtl_prompt")
-PAIR_ID_STRIDE = 1_000_000
-# a bucket of the row index = 64 documents' worth of pair ids
-LANG_PAIRS_INDEX_WIDTH = 64 * PAIR_ID_STRIDE
+# a bucket of the row index holds the pairs of so many consecutive document ids
+INDEX_DOCS = 64
+# bytes of text of a written file; more files if the cluster shuffles into more partitions
+FILE_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, order: tuple[str, ...] = ()) -> DataFrame:
     """Write ``build()`` once per application as Parquet below the shared
     checkpoint folder and read it back.
 
@@ -47,15 +46,19 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     rather than from the raw documents.
     """
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir, name)
+    tag = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    key = (app, tag, name)
     path = _WRITTEN.get(key)
     if path is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_root(spark)}/polylogue/inputs/{app}/{tag}/{name}"
-        # as many files as shuffle partitions, so that the CPU-heavy text stages
-        # reading them get full parallelism even when the table is small
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        build().repartition(parts).write.mode("overwrite").parquet(path)
+        removed_at_end(spark, path)
+        df = build()
+        # sorted ranges, so that filters on language and position skip files; their
+        # number follows the input, with the cluster's shuffle parallelism as least
+        if order:
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(spark, f"{sf_dir}/documents.parquet") // FILE_BYTES)
+            df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        df.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
@@ -68,15 +71,27 @@ def lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def build() -> DataFrame:
         raw = materialized(spark, sf_dir, "lang_pairs_unindexed", lambda: pairs_from_documents(spark, sf_dir))
-        return with_row_index(raw, "pair_id", by=["lang"], width=LANG_PAIRS_INDEX_WIDTH)
+        return indexed_pairs(raw)
+
+    return materialized(spark, sf_dir, "lang_pairs", build, ("lang", "pos"))
+
 
-    return materialized(spark, sf_dir, "lang_pairs", build)
+def indexed_pairs(pairs: DataFrame) -> DataFrame:
+    """``pos`` in the language and ``split_pos`` in the language's split, both in order of (doc_id, line_pos)."""
+    order, bucket = ["doc_id", "line_pos"], F.floor(F.col("doc_id") / INDEX_DOCS)
+    whole = with_row_index(pairs, order, by=["lang"], bucket=bucket)
+    return with_row_index(whole, order, by=["lang", "split"], bucket=bucket, out="split_pos")
 
 
 def build_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context/response pairs with ``pos``, as one lazy plan from the documents."""
-    return with_row_index(pairs_from_documents(spark, sf_dir), "pair_id", by=["lang"],
-                          width=LANG_PAIRS_INDEX_WIDTH)
+    return indexed_pairs(pairs_from_documents(spark, sf_dir))
+
+
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training pairs; ``pos`` is the position in the language's training file."""
+    lp = lang_pairs(spark, sf_dir)
+    return lp.filter(F.col("split") == "train").drop("pos").withColumnRenamed("split_pos", "pos")
 
 
 def pairs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +113,11 @@ def pairs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     exploded = docs.select("doc_id", "lang", F.explode(pairs).alias("p"))
     df = exploded.select(
-        (F.col("doc_id") * F.lit(PAIR_ID_STRIDE) + F.col("p.line_pos")).alias("pair_id"),
-        "lang", "doc_id",
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("p.line_pos").cast("string")).alias("pair_id"),
+        "lang", "doc_id", F.col("p.line_pos").alias("line_pos"),
         F.col("p.context").alias("context"),
         F.col("p.response").alias("response"),
-        F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation")
+        F.when(F.col("doc_id") % 10 < 4, "test").when(F.col("doc_id") % 10 == 4, "validation")
         .otherwise("train").alias("split"),
     )
     return df
@@ -120,7 +135,7 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bot = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("response"))
     return user.join(bot, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair_id"),
         "conv_id", "turn", "context", "response")
 
 
@@ -131,7 +146,7 @@ def lang_sizes(pairs: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     """The four systems' outputs (see ``build_predictions``), written once per application."""
     return materialized(spark, sf_dir, "predictions",
-                        lambda: build_predictions(spark, sf_dir, pairs))
+                        lambda: build_predictions(spark, sf_dir, pairs), ("lang", "system", "pos"))
 
 
 def build_predictions(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
@@ -171,10 +186,10 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LANGUAGE_FAMILIES, "lang string, family string")
 
 
-def ballots(spark: SparkSession, sf_dir: str, answered: bool = True) -> DataFrame:
-    """Ballots over the languages of the family table, with stand-in answers."""
+def ballots(spark: SparkSession, sf_dir: str, answered: bool = True, k: int = 100) -> DataFrame:
+    """Ballots over test rows of the languages of the family table, with stand-in answers."""
     from .operators.human_eval import build_ballots, fill_answers
 
     lp = lang_pairs(spark, sf_dir)
-    b = build_ballots(lp, clean_predictions(spark, sf_dir, lp), languages=languages(spark))
+    b = build_ballots(lp.filter(F.col("split") == "test"), clean_predictions(spark, sf_dir, lp), k, languages=languages(spark))
     return fill_answers(b) if answered else b

@@ -14,15 +14,13 @@ UNK_ID = 2
 IGNORE_ID = -100
 
 
-def truncate(ids, max_len: int | None, eos: bool = True) -> Column:
-    """keep at most ``max_len`` ids, the end-of-sequence id included."""
+def truncate(ids, max_len: int | Column | None, eos: bool = True, end: int | str = EOS_ID) -> Column:
+    """keep at most ``max_len`` ids or tokens, the end mark included."""
     x = _col(ids)
-    if max_len is None:
-        return F.concat(x, F.array(F.lit(EOS_ID))) if eos else x
-    if eos:
-        return F.concat(F.slice(x, 1, max(max_len - 1, 0)) if max_len > 1 else F.array().cast("array<int>"),
-                        F.array(F.lit(EOS_ID)))
-    return F.slice(x, 1, max_len)
+    if max_len is not None:
+        most = F.lit(max_len) if isinstance(max_len, int) else max_len
+        x = F.slice(x, F.lit(1), F.greatest(most - 1, F.lit(0)) if eos else most)
+    return F.concat(x, F.array(F.lit(end))) if eos else x
 
 
 def target_max_length(split: Column, train_len: int, eval_len: int | None = None) -> Column:

@@ -3,11 +3,14 @@ and a write-once cache of a transformed table."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import fingerprint, hadoop_path
+
 
 def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
                 columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,20 +43,21 @@ def apply_generator(df: DataFrame, factory: Callable[[], Callable[..., Sequence[
     return df.select(*keys, text).mapInPandas(run, f"{key_schema}, `{out}` string")
 
 
-class FirstTokens:
-    """Deterministic stand-in generator: the first ``max_length`` whitespace tokens."""
+class Reversed:
+    """Deterministic stand-in generator: the whitespace tokens of the whole text, last first."""
 
-    def __call__(self, texts: Sequence[str], max_length: int = 16, num_beams: int | None = None) -> list[str]:
+    def __call__(self, texts: Sequence[str], num_beams: int | None = None) -> list[str]:
         del num_beams
-        return [" ".join(t.split()[:max_length]) for t in texts]
+        return [" ".join(reversed(t.split())) for t in texts]
 
 
 def cached_table(spark: SparkSession, df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Write ``df`` to Parquet once and read it back; an existing copy is
-    reused unless ``overwrite``. This also cuts the lineage."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if overwrite or not fs.exists(hpath.suffix("/_SUCCESS") if hasattr(hpath, "suffix") else hpath):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Write ``df`` to Parquet below ``path`` once and read it back. A copy is
+    reused, unless ``overwrite``, if it was made by the same plan over files of the
+    same names, sizes and times. This also cuts the lineage."""
+    inputs = "|".join(fingerprint(spark, f) for f in sorted(df.inputFiles()))
+    own = f"{path}/{hashlib.sha1(f'{df.semanticHash()}|{df.schema.json()}|{inputs}'.encode()).hexdigest()[:16]}"
+    fs, done = hadoop_path(spark, f"{own}/_SUCCESS")
+    if overwrite or not fs.exists(done):
+        df.write.mode("overwrite").parquet(own)
+    return spark.read.parquet(own)

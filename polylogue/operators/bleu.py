@@ -42,8 +42,8 @@ def check_reference_counts(df: DataFrame, refs: str, keys: Sequence[str] = ()) -
 def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
                hypothesis: str = "prediction", references: str = "references",
                tokenize: str | Sequence[str] = "13a", lowercase: bool = False,
-               method: str = "arrow", strict: bool = True) -> DataFrame:
-    """Sufficient statistics per group.
+               method: str = "arrow", strict: bool = True, count: str | None = None) -> DataFrame:
+    """Sufficient statistics per group, and with ``count`` its number of rows under that name.
 
     ``references`` is an ``ARRAY<STRING>`` column (or a plain string column for
     one reference). ``keys`` + ``row_keys`` must identify an input row.
@@ -69,9 +69,9 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str],
     if tokenize is None:
         single = False
         base = df.select(*keys, *row_keys, F.col(hypothesis).alias("__h"), F.col(references).alias("__r"))
-        stats = (_arrow_row_stats(base, keys, row_keys) if method == "arrow"
+        stats = (_arrow_row_stats(base, keys, row_keys, count) if method == "arrow"
                  else _native_stats(base, keys, row_keys, False))
-        return _checked(stats, keys, strict)
+        return _checked(stats, keys + ([count] if count else []), strict)
     single = not rtype.startswith("array")
     ref_arr = F.array(F.col(references)) if single else F.col(references)
 
@@ -164,33 +164,6 @@ def _native_stats(base: DataFrame, keys: list[str], row_keys: list[str], single:
         pick("lo", -1).alias("__lo"), pick("hi", -1).alias("__hi"))
 
 
-def _row_stats(hyp: list, refs: list) -> list[int]:
-    """Clipped matches m1..m4, totals t1..t4, hypothesis length, closest reference
-    length and number of references of one row (small per-row helper)."""
-    from collections import Counter
-
-    hl = len(hyp)
-    out = [0] * (len(STAT_COLS) + 1)
-    best = None
-    for ref in refs:
-        cand = (abs(len(ref) - hl), len(ref))
-        if best is None or cand < best:
-            best = cand
-    out[8], out[9], out[10] = hl, (best[1] if best else 0), len(refs)
-    for n in range(1, min(hl, ORDER) + 1):
-        hc = Counter(zip(*[hyp[k:] for k in range(n)])) if n > 1 else Counter(hyp)
-        if len(refs) == 1:
-            ref = refs[0]
-            rc = Counter(zip(*[ref[k:] for k in range(n)])) if n > 1 else Counter(ref)
-        else:
-            rc = Counter()
-            for ref in refs:
-                rc |= Counter(zip(*[ref[k:] for k in range(n)])) if n > 1 else Counter(ref)
-        out[n - 1] = sum(min(c, rc[g]) for g, c in hc.items() if g in rc)
-        out[3 + n] = hl - n + 1
-    return out
-
-
 def _batch_stats(hyp, refs):
     """Statistics of every row of an Arrow batch at once (numpy, no per-row loop).
 
@@ -291,13 +264,26 @@ def _row_stats_batches(batches, key_cols):
         yield pa.RecordBatch.from_arrays(arrays, names=key_cols + names)
 
 
-def _arrow_row_stats(base: DataFrame, keys: list[str], row_keys: list[str]) -> DataFrame:
-    key_cols = keys + row_keys
+def _arrow_rows(base: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Statistics of every row, with the number of its references."""
     fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*key_cols).dtypes)
     schema = fields + ", " + ", ".join(f"{c} long" for c in STAT_COLS + ["nref"])
-    per_row = base.select(*key_cols, "__h", "__r").mapInArrow(
-        lambda it: _row_stats_batches(it, key_cols), schema)
+    return base.select(*key_cols, "__h", "__r").mapInArrow(lambda it: _row_stats_batches(it, key_cols), schema)
+
+
+def sentence_bleu(df: DataFrame, keys: Sequence[str], hypothesis: str, reference: str, tokenize: str = "13a",
+                  lowercase: bool = False, smooth_method: str = "exp", smooth_value: float | None = None,
+                  use_effective_order: bool = True) -> DataFrame:
+    """(keys..., score, p1..p4, bp) of every row on its own; nothing is shuffled."""
+    base = df.select(*keys, tokenize_col(F.coalesce(F.col(hypothesis), F.lit("")), tokenize, lowercase).alias("__h"),
+                     F.array(tokenize_col(F.coalesce(F.col(reference), F.lit("")), tokenize, lowercase)).alias("__r"))
+    return bleu_score(_arrow_rows(base, list(keys)).drop("nref"), smooth_method, smooth_value, use_effective_order)
+
+
+def _arrow_row_stats(base: DataFrame, keys: list[str], row_keys: list[str], count: str | None = None) -> DataFrame:
+    per_row = _arrow_rows(base, keys + row_keys)
     return per_row.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in STAT_COLS],
+                                      *([F.count(F.lit(1)).alias(count)] if count else []),
                                       F.min("nref").alias("__lo"), F.max("nref").alias("__hi"))
 
 
@@ -310,7 +296,8 @@ def score_columns(smooth_method: str = "exp", smooth_value: float | None = None,
     A zero match count is smoothed: ``exp`` 100/(2^z * total) with z the number of
     zero orders so far; ``floor`` 100*value/total; ``add-k`` adds value to counts and
     totals for n > 1; ``none`` leaves 0. Any zero precision makes the score 0.
-    If all four raw match counts are 0, score, precisions and bp are 0.
+    If all four raw match counts are 0, score and precisions are 0; bp depends on
+    the lengths alone (as the public library has it from version 2.0 on).
     """
     if smooth_method not in SMOOTH_DEFAULTS:
         raise ValueError(f"unknown smooth_method {smooth_method!r}; choose one of: {', '.join(SMOOTH_DEFAULTS)}")
@@ -348,7 +335,7 @@ def score_columns(smooth_method: str = "exp", smooth_value: float | None = None,
     out = {"score": F.when(no_match, zero).otherwise(bp * F.exp(logsum / eff))}
     for n, p in enumerate(precisions, start=1):
         out[f"p{n}"] = F.when(no_match, zero).otherwise(p)
-    out["bp"] = F.when(no_match, zero).otherwise(bp)
+    out["bp"] = bp
     return out
 
 

@@ -41,7 +41,7 @@ def build_ballots(pairs: DataFrame, predictions: DataFrame, k: int = 100, seed:
     """
     names = list(comparisons)
     if languages is not None:
-        pairs = pairs.join(F.broadcast(languages.select("lang").distinct()), "lang", "left_semi")
+        pairs = pairs.join(languages.select("lang").distinct(), "lang", "left_semi")
     if sampler == "mt19937":
         from .sampling import draw_positions_mt, group_counts, pick_rows
 
@@ -57,9 +57,8 @@ def build_ballots(pairs: DataFrame, predictions: DataFrame, k: int = 100, seed:
     plain = _case("comparison", {c: s[0] for c, s in comparisons.items()})
     prompt = _case("comparison", {c: s[1] for c, s in comparisons.items()})
     systems = sorted({s for pair in comparisons.values() for s in pair})
-    # drawn keys: k rows per language and comparison, a bounded broadcast
     side = (predictions.filter(F.col("system").isin(*systems))
-            .join(F.broadcast(keys.select("lang", "pos", "comparison")), ["lang", "pos"])
+            .join(keys.select("lang", "pos", "comparison"), ["lang", "pos"])
             .groupBy("lang", "pos", "comparison")
             .agg(F.max(F.when(F.col("system") == plain, F.col("prediction"))).alias("plain"),
                  F.max(F.when(F.col("system") == prompt, F.col("prediction"))).alias("prompt")))
@@ -108,8 +107,8 @@ def with_positional_comparison(ballots: DataFrame, block_size: int = 100,
 
 
 def tally_by_family(ballots: DataFrame, languages: DataFrame) -> DataFrame:
-    """Tallies per language family; the family table is a small dimension."""
-    fam = ballots.join(F.broadcast(languages.select("lang", "family")), "lang")
+    """Tallies per language family."""
+    fam = ballots.join(languages.select("lang", "family"), "lang")
     return tally(fam, ["family", "comparison"])
 
 

@@ -25,23 +25,31 @@ def _exclusive_sum(df: DataFrame, by: list[str], order: list[str], value: str, o
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str, value: str,
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equi-join in which NULL equals NULL; the columns of ``left`` stay."""
+    renamed = right.withColumnsRenamed({c: f"__pl_r_{c}" for c in on})
+    match = [left[c].eqNullSafe(renamed[f"__pl_r_{c}"]) for c in on]
+    return left.join(renamed, match).drop(*[f"__pl_r_{c}" for c in on])
+
+
+def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str | Sequence[str], value: str,
                    out: str = _OFF, fanout: int | None = 4096) -> DataFrame:
-    """Exclusive prefix sum of ``value`` over ``bucket`` within ``by``.
+    """Exclusive prefix sum of ``value`` over ``bucket`` (one or more columns) within ``by``.
 
-    With a numeric bucket and ``fanout``, a second level of super-buckets keeps
-    every window small: the top window sees (#buckets / fanout) rows per key and
-    each inner window at most ``fanout`` rows.
+    If the first bucket column is numeric and ``fanout`` is given, a second level of
+    super-buckets of that column keeps every window small: the top window sees
+    (#buckets / fanout) rows per key and each inner window ``fanout`` values of it.
     """
     by = list(by)
-    if not fanout:
-        return _exclusive_sum(counts, by, [bucket], value, out)
-    sup = counts.withColumn(_SB, F.floor(F.col(bucket) / F.lit(fanout)))
+    bucket = [bucket] if isinstance(bucket, str) else list(bucket)
+    if not fanout or dict(counts.dtypes)[bucket[0]] == "string":
+        return _exclusive_sum(counts, by, bucket, value, out)
+    sup = counts.withColumn(_SB, F.floor(F.col(bucket[0]) / F.lit(fanout)))
     top = (sup.groupBy(*by, _SB).agg(F.sum(value).alias("__pl_sv"))
            .transform(lambda d: _exclusive_sum(d, by, [_SB], "__pl_sv", "__pl_soff"))
            .drop("__pl_sv"))
-    inner = _exclusive_sum(sup, by + [_SB], [bucket], value, "__pl_ioff")
-    return (inner.join(top, by + [_SB])
+    inner = _exclusive_sum(sup, by + [_SB], bucket, value, "__pl_ioff")
+    return (_same(inner, top, by + [_SB])
             .withColumn(out, F.col("__pl_soff") + F.col("__pl_ioff"))
             .drop("__pl_soff", "__pl_ioff", _SB))
 
@@ -54,8 +62,8 @@ def with_row_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str]
     ``order`` must be unique within ``by``. By default the bucket is
     ``floor(order / width)`` for a single numeric order column, so a bucket
     holds at most ``width`` rows. ``bucket`` may instead name columns (for
-    example a file path and block start) that are constant over contiguous
-    runs of ``order``.
+    example a file's number and block start) that are constant over contiguous
+    runs of ``order``. Rows whose ``by`` is NULL are a group of their own.
     """
     by = list(by)
     order_cols = [order] if isinstance(order, str) else list(order)
@@ -70,14 +78,10 @@ def with_row_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str]
     else:
         tagged = df
         bucket_cols = list(bucket)
-        fanout = None
     counts = tagged.groupBy(*by, *bucket_cols).agg(F.count(F.lit(1)).alias(_N))
-    if len(bucket_cols) == 1:
-        offsets = bucket_offsets(counts, by, bucket_cols[0], _N, _OFF, fanout)
-    else:
-        offsets = _exclusive_sum(counts, by, bucket_cols, _N, _OFF)
+    offsets = bucket_offsets(counts, by, bucket_cols, _N, _OFF, fanout)
     w = Window.partitionBy(*by, *bucket_cols).orderBy(*order_cols)
-    return (tagged.join(offsets.drop(_N), by + bucket_cols)
+    return (_same(tagged, offsets.drop(_N), by + bucket_cols)
             .withColumn(out, (F.col(_OFF) + F.row_number().over(w) - 1).cast("long"))
             .drop(_OFF, *[c for c in bucket_cols if c == _B]))
 
@@ -86,7 +90,9 @@ def file_order_index(df: DataFrame, by: Sequence[str] = (), out: str = "pos",
                      dir_col: str | None = None) -> DataFrame:
     """Row position in file order for a file scan without a key column.
 
-    Order is (file path, split start, row order inside the split). The bucket is
+    Order is (part number, file path, split start, row order inside the split); the
+    number is that of Spark's part files, compared as a number, so files past
+    part-99999 keep their place. Other files come first, by path. The bucket is
     the split, so numbering never needs more than one split per task; the rows of
     one split are numbered by ``monotonically_increasing_id`` only relative to
     each other, which does not depend on partition ids. With ``dir_col`` the
@@ -99,11 +105,12 @@ def file_order_index(df: DataFrame, by: Sequence[str] = (), out: str = "pos",
         extra.append(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias(dir_col))
     tagged = df.select(
         "*", *extra,
+        F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS bigint)"), F.lit(-1)).alias("__pl_part"),
         F.col("_metadata.file_path").alias("__pl_file"),
         F.col("_metadata.file_block_start").alias("__pl_block"),
         F.monotonically_increasing_id().alias("__pl_row"),
     )
     groups = list(by) + ([dir_col] if dir_col else [])
-    return (with_row_index(tagged, ["__pl_file", "__pl_block", "__pl_row"], by=groups,
-                           bucket=["__pl_file", "__pl_block"], out=out)
-            .drop("__pl_file", "__pl_block", "__pl_row"))
+    return (with_row_index(tagged, ["__pl_part", "__pl_file", "__pl_block", "__pl_row"], by=groups,
+                           bucket=["__pl_part", "__pl_file", "__pl_block"], out=out)
+            .drop("__pl_part", "__pl_file", "__pl_block", "__pl_row"))

@@ -3,9 +3,9 @@
 Output positions are computed, not produced by a sequential walk: with 1-based
 source row i and ascending hit rows h_1..h_m (the source rows after which a
 shot is written), source row i lands at i + #{t: h_t < i} and shot t at
-h_t + t (both 1-based; ``out_pos`` is 0-based). Source rows are replicated once
-per target by an equi-join on the source language with the per-target plan
-table, which has one row per target language and is broadcast.
+h_t + t (both 1-based; ``out_pos`` is 0-based). The sizes of the languages, one
+row each, are read first; source rows are then repeated by exploding the list of
+target languages, which needs no join.
 """
 
 from __future__ import annotations
@@ -40,39 +40,52 @@ def hits_array(n_src: F.Column, k: F.Column, mode: str) -> F.Column:
     raise ValueError(f"unknown mode {mode!r}; choose one of: {', '.join(MODES)}")
 
 
+def placed_before(i: F.Column, n_src: int, k: int, mode: str) -> F.Column:
+    """How many shots stand before the 1-based source row ``i``."""
+    if mode == "spread":
+        # #{j in 1..k : floor(j*N/k) < i} = floor((i*k - 1) / N)
+        return F.floor((i * k - 1) / F.lit(n_src))
+    if mode != "reference":
+        raise ValueError(f"unknown mode {mode!r}; choose one of: {', '.join(MODES)}")
+    # candidate j stands at floor(j*N/k + 1/2); row i has ceil((2i-1)k/2N) - 1 of them before it,
+    # of which those that pass the float test count: a prefix sum, looked up
+    step, passed, last = n_src / k, [0], 0
+    for j in range(1, k + 1):
+        c = (2 * j * n_src + k) // (2 * k)
+        passed.append(passed[-1] + int(1 <= c <= n_src and c != last and c % step == 0.0))
+        last = c
+    below = F.least(F.ceil(((2 * i - 1) * k).cast("double") / F.lit(2.0 * n_src)).cast("int") - 1, F.lit(k))
+    return F.element_at(F.array(*[F.lit(p) for p in passed]), below + 1).cast("long")
+
+
 def interleave(corpus: DataFrame, source_lang: str, k: int, seed: int = DEFAULT_SEED,
                mode: str = "spread", key: str = "pair_id", payload: Sequence[str] = (),
                lang: str = "lang", pos: str = "pos", blocklist: Sequence[str] = ("pl",),
-               shots: DataFrame | None = None) -> DataFrame:
+               shots: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Interleave all rows of ``source_lang`` with k sampled rows of every other language.
 
-    ``corpus`` needs ``lang``, a 0-based ``pos`` per language and ``key``.
+    ``corpus`` needs ``lang``, a 0-based ``pos`` per language and ``key``; ``counts``
+    (lang, n) saves counting it where its rows cost something to make.
     Returns (tgt_lang, out_pos, key, is_shot, *payload), one block per target.
-    Targets with fewer than k rows are skipped (the sufficiency guard).
+    Targets with fewer than k rows are skipped (the sufficiency guard). In mode
+    ``reference`` shots for which no row passes the float test are not written.
     """
     payload = list(payload)
-    counts = group_counts(corpus.select(lang), [lang])
-    src_n = counts.filter(F.col(lang) == source_lang).select(F.col("n").alias("n_src"))
-    targets = counts.filter((F.col(lang) != source_lang) & ~F.col(lang).isin(*blocklist)
-                            & (F.col("n") >= k))
-    # one row per target language: a bounded broadcast side
-    plan = (targets.select(F.col(lang).alias("tgt_lang"), F.lit(source_lang).alias("__src"))
-            .join(src_n.withColumn("__src", F.lit(source_lang)), "__src")
-            .withColumn("__hits", hits_array(F.col("n_src"), F.lit(k), mode)))
-    src = corpus.filter(F.col(lang) == source_lang).select(
-        F.col(lang).alias("__src"), (F.col(pos) + 1).alias("__i"), key, *payload)
-    if mode == "spread":
-        # #{j in 1..k : floor(j*N/k) < i} = floor((i*k - 1) / N), no array scan
-        before = F.floor((F.col("__i") * F.lit(k) - 1) / F.col("n_src"))
-    else:
-        before = F.size(F.filter("__hits", lambda h: h < F.col("__i")))
-    src_out = src.join(F.broadcast(plan.select("tgt_lang", "__src", "__hits", "n_src")), "__src").select(
-        "tgt_lang", (F.col("__i") + before - 1).cast("long").alias("out_pos"),
-        key, F.lit(False).alias("is_shot"), *payload)
+    counts = group_counts(corpus.select(lang), [lang]) if counts is None else counts
+    sizes = {r[lang]: r["n"] for r in counts.collect()}  # one row per language
+    n_src = sizes.get(source_lang, 0)
+    targets = sorted(t for t, n in sizes.items() if t not in (None, source_lang, *blocklist) and n >= k)
+    if not n_src or not targets:
+        return corpus.select(F.col(lang).alias("tgt_lang"), F.col(pos).cast("long").alias("out_pos"), key,
+                             F.lit(False).alias("is_shot"), *payload).limit(0)
+    i = F.col(pos) + 1
+    src_out = corpus.filter(F.col(lang) == source_lang).select(
+        F.explode(F.array(*[F.lit(t) for t in targets])).alias("tgt_lang"),
+        (i + placed_before(i, n_src, k, mode) - 1).cast("long").alias("out_pos"), key, F.lit(False).alias("is_shot"), *payload)
     if shots is None:
-        tgt_rows = corpus.filter((F.col(lang) != source_lang) & ~F.col(lang).isin(*blocklist))
-        shots = sample_k(tgt_rows, k, seed, [lang], pos)
-    shot_out = (shots.join(F.broadcast(plan.select(F.col("tgt_lang").alias(lang), "__hits")), lang)
+        shots = sample_k(corpus.filter(F.col(lang).isin(targets)), k, seed, [lang], pos)
+    hits = hits_array(F.lit(n_src).cast("long"), F.lit(k).cast("long"), mode)
+    shot_out = (shots.filter(F.col(lang).isin(targets)).withColumn("__hits", hits)
                 .filter(F.col("shot_ordinal") <= F.size("__hits"))
                 .select(F.col(lang).alias("tgt_lang"),
                         (F.element_at("__hits", F.col("shot_ordinal").cast("int")) + F.col("shot_ordinal") - 1)

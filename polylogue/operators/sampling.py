@@ -21,24 +21,25 @@ def sufficiency(df: DataFrame, k: int, by: Sequence[str] = ("lang",)) -> DataFra
                                        (F.col("n") >= F.lit(k)).alias("is_sufficient"))
 
 
-def _allow_group_limit(spark: SparkSession, k: int) -> None:
-    """The partial WindowGroupLimit is planned only for limits up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise it when needed so a
-    large k still never ships a whole group to one task."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if k > int(spark.conf.get(key, "1000")):
-        spark.conf.set(key, str(k))
+# Parts into which a group's rows are dealt before the final ranking.
+TOP_PARTS = 64
 
 
-def first_n(df: DataFrame, n: int, by: Sequence[str], order: str) -> DataFrame:
-    """P5: the first ``n`` rows of every group in ``order``.
-
-    ``row_number() <= n`` plans as a WindowGroupLimit before and after the shuffle,
-    so at most ``n`` rows per group leave each task.
+def _smallest(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows of every group in ``order``: first of each of TOP_PARTS
+    parts of the group, then of what these leave, at most k x TOP_PARTS rows. So a
+    large group is never ranked in one task, whatever ``k`` is; for small ``k`` Spark
+    also limits each task's rows before they move.
     """
-    _allow_group_limit(df.sparkSession, n)
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    part = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(TOP_PARTS)))
+    inner = Window.partitionBy(*by, "__part").orderBy(*order)
+    some = part.withColumn("__rn", F.row_number().over(inner)).filter(F.col("__rn") <= k).drop("__part")
+    return some.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rn") <= k).drop("__rn")
+
+
+def first_n(df: DataFrame, n: int, by: Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """P5: the first ``n`` rows of every group in ``order``."""
+    return _smallest(df, by, [order] if isinstance(order, str) else list(order), n)
 
 
 def sample_sizes(df: DataFrame, n: int | None, by: Sequence[str]) -> DataFrame:
@@ -62,28 +63,24 @@ def sample_k(df: DataFrame, k: int, seed: int = DEFAULT_SEED, by: Sequence[str]
     """M1/M2: exactly ``k`` rows per group (and per draw), without replacement.
 
     A row's rank is ``md5(seed|group|draw|pos)`` with ``pos`` as tie-break; the k
-    smallest are kept. The rank depends only on the row, not on partitioning.
-    ``row_number() <= k`` plans as a partial WindowGroupLimit before the shuffle,
-    so at most ``k`` rows per group leave a task even for a hot group. Groups
-    with fewer than ``k`` rows yield nothing (the sufficiency guard).
+    smallest are kept (see ``_smallest``). The rank depends only on the row, not on
+    partitioning. Groups with fewer than ``k`` rows yield nothing (the sufficiency guard).
     ``ordinal`` numbers the kept rows 1..k in ascending ``pos``.
     """
     by = list(by)
-    _allow_group_limit(df.sparkSession, k)
     src = df
     part = list(by)
     if draws:
         src = df.withColumn("draw", F.explode(F.array(*[F.lit(d) for d in draws])))
         part = by + ["draw"]
     ranked = src.withColumn("__h", _hash_key(seed, by, pos, "draw" if draws else None))
-    w = Window.partitionBy(*part).orderBy("__h", pos)
-    top = ranked.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k)
+    top = _smallest(ranked, part, ["__h", pos], k)
     # a group is kept only if it has k rows: count the survivors (at most k per group)
     full = Window.partitionBy(*part)
     top = top.withColumn("__cnt", F.count(F.lit(1)).over(full)).filter(F.col("__cnt") == k)
     ordw = Window.partitionBy(*part).orderBy(pos)
     return (top.withColumn(ordinal, F.row_number().over(ordw).cast("long"))
-            .drop("__h", "__rn", "__cnt"))
+            .drop("__h", "__cnt"))
 
 
 def draw_positions_mt(spark: SparkSession, counts: DataFrame, k: int, seed: int = DEFAULT_SEED,
@@ -109,6 +106,5 @@ def draw_positions_mt(spark: SparkSession, counts: DataFrame, k: int, seed: int
 
 
 def pick_rows(df: DataFrame, draws: DataFrame, keys: Sequence[str] = ("lang", "pos")) -> DataFrame:
-    """Rows of ``df`` at the drawn positions. ``draws`` holds k rows per group,
-    so it is broadcast."""
-    return df.join(F.broadcast(draws), list(keys), "inner")
+    """Rows of ``df`` at the drawn positions (Spark broadcasts ``draws`` if it is small)."""
+    return df.join(draws, list(keys), "inner")

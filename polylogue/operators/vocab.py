@@ -1,67 +1,62 @@
 """vocabulary, token -> id encoding and id -> text decoding.
 
-Encoding explodes each row's tokens with their positions, looks them up in the
-vocabulary with a broadcast join (the vocabulary has a fixed maximum size) and
-rebuilds the ordered id list per row. Rows are hash-partitioned by their key
-first, so the rebuild needs no second shuffle.
+The vocabulary is a table of any size. Encoding cuts each row's tokens to the
+length that can be kept, explodes them with their positions, looks them up with an
+ordinary join (broadcast by Spark if the table is small) and rebuilds the ordered
+id list per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import EOS_ID, PAD_ID, UNK_ID, truncate
+from ..functions.ids import EOS_ID, PAD_ID, UNK_ID
 from ..functions.text import split_space
+from .index import with_row_index
 
 SPECIAL_IDS = (PAD_ID, EOS_ID, UNK_ID)
 
 
-def build_vocab(texts: DataFrame, cols: Sequence[str], size: int = 5000, first_id: int = 3) -> DataFrame:
-    """The ``size`` most frequent space-separated tokens (ties by token), with ids
-    from ``first_id`` in that order. ``size`` bounds the table, so it may be broadcast.
+def build_vocab(texts: DataFrame, cols: Sequence[str], first_id: int = 3) -> DataFrame:
+    """(token, id) of all space-separated tokens, the most frequent first (ties by token), ids from ``first_id``.
 
-    The top-k is Spark's ordered limit: each task keeps its best ``size`` rows, and
-    one task merges them.
+    Ids are positions counted in buckets of equal frequency and leading characters, so
+    no task sorts the whole vocabulary.
     """
     toks = texts.select(F.explode(F.concat(*[split_space(F.col(c)) for c in cols])).alias("token"))
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.orderBy(F.col("c").desc(), F.col("token")).limit(size)
-    w = Window.orderBy(F.col("c").desc(), F.col("token"))
-    return top.select("token", (F.row_number().over(w) + F.lit(first_id - 1)).cast("long").alias("id"))
+    counts = toks.groupBy("token").agg((-F.count(F.lit(1))).alias("__neg"))
+    placed = with_row_index(counts.withColumn("__start", F.substring("token", 1, 3)), ["__neg", "token"], bucket=["__neg", "__start"], out="id")
+    return placed.select("token", (F.col("id") + first_id).alias("id"))
 
 
 def encode(df: DataFrame, keys: Sequence[str], text: str | Column, vocab: DataFrame,
            max_len: int | Column | None = None, out: str = "ids") -> DataFrame:
     """(keys..., out ARRAY<BIGINT>): ids of the text's tokens (unknown -> 2),
-    truncated so that the appended end-of-sequence id fits in ``max_len``."""
+    truncated so that the appended end-of-sequence id fits in ``max_len``.
+    ``keys`` must identify a row."""
     keys = list(keys)
     t = F.col(text) if isinstance(text, str) else text
-    extra = [] if max_len is None or isinstance(max_len, int) else [max_len.alias("__max")]
-    base = df.select(*keys, split_space(t).alias("__t"), *extra).repartition(*keys)
-    toks = base.select(*keys, *(["__max"] if extra else []), F.posexplode_outer("__t").alias("__i", "token"))
-    looked = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    tokens = split_space(t)
+    if max_len is not None:
+        most = F.lit(max_len) if isinstance(max_len, int) else max_len
+        tokens = F.slice(tokens, F.lit(1), F.greatest(most - 1, F.lit(0)))
+    toks = df.select(*keys, tokens.alias("__t")).select(*keys, F.posexplode_outer("__t").alias("__i", "token"))
+    looked = toks.join(vocab.select("token", "id"), "token", "left")
     item = F.when(F.col("__i").isNotNull(), F.struct(F.col("__i"), F.coalesce(F.col("id"), F.lit(UNK_ID))
                                                      .cast("long").alias("id")))
-    grouped = looked.groupBy(*keys, *(["__max"] if extra else [])).agg(
-        F.sort_array(F.collect_list(item)).alias("__s"))
-    ids = F.col("__s.id")
-    if extra:
-        trunc = F.concat(F.slice(ids, 1, F.greatest(F.col("__max") - 1, F.lit(0))), F.array(F.lit(EOS_ID).cast("long")))
-    else:
-        trunc = truncate(ids, max_len).cast("array<bigint>")
-    return grouped.select(*keys, trunc.alias(out))
+    grouped = looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s"))
+    return grouped.select(*keys, F.concat(F.col("__s.id"), F.array(F.lit(EOS_ID).cast("long"))).alias(out))
 
 
 def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """Ids back to space-joined tokens, dropping the special ids (pad, eos, unk)."""
     keys = list(keys)
-    base = df.select(*keys, ids).repartition(*keys)
-    exploded = base.select(*keys, F.posexplode_outer(ids).alias("__i", "id"))
+    exploded = df.select(*keys, F.posexplode_outer(ids).alias("__i", "id"))
     # special ids (0-2) are below every vocabulary id, so they find no token
-    looked = exploded.join(F.broadcast(vocab.select("token", "id")), "id", "left")
+    looked = exploded.join(vocab.select("token", "id"), "id", "left")
     item = F.when(F.col("token").isNotNull(), F.struct("__i", "token"))
     return looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s")).select(
         *keys, F.array_join(F.col("__s.token"), " ").alias(out))

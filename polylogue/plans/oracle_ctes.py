@@ -21,16 +21,17 @@ cte("lp_lines", [], """
   FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 """)
 cte("lang_pairs", ["lp_lines"], f"""
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pair_id) - 1 AS pos
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_pos) - 1 AS pos,
+         row_number() OVER (PARTITION BY lang, split ORDER BY doc_id, line_pos) - 1 AS split_pos
   FROM (
-    SELECT doc_id * 1000000 + i AS pair_id, lang, doc_id, lines[i + 1] AS context, lines[i + 2] AS response,
-           CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split
+    SELECT doc_id || ':' || i AS pair_id, lang, doc_id, i AS line_pos, lines[i + 1] AS context, lines[i + 2] AS response,
+           CASE WHEN doc_id % 10 < 4 THEN 'test' WHEN doc_id % 10 = 4 THEN 'validation' ELSE 'train' END AS split
     FROM lp_lines
     WHERE trim(lines[i + 1], {_BLANK}) <> '' AND trim(lines[i + 2], {_BLANK}) <> ''
   )
 """)
 cte("dialogue_pairs", [], """
-  SELECT u.conv_id * 100 + u.turn AS pair_id, u.conv_id, u.turn,
+  SELECT u.conv_id || ':' || u.turn AS pair_id, u.conv_id, u.turn,
          coalesce(u.text, '') AS context, coalesce(a.text, '') AS response
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import human_eval as H
 from ..sources.catalog import run_catalog
+from . import q_sampling  # noqa: F401  (registers 'test_pairs')
 from .oracle_ctes import add_cte, with_ctes
 from .registry import query
 from .sqltext import WS_SQL
 
-add_cte("ballot_draws", ["lang_pairs", "languages"], """
+add_cte("ballot_draws", ["test_pairs", "languages"], """
   SELECT lang, draw AS comparison, pos, context, row_number() OVER (PARTITION BY lang, draw ORDER BY pos) AS ord
   FROM (SELECT lp.lang, lp.pos, lp.context, d.draw,
                row_number() OVER (PARTITION BY lp.lang, d.draw
                                   ORDER BY md5(concat_ws('|', '2023', lp.lang, d.draw, CAST(lp.pos AS VARCHAR))), lp.pos) AS rn,
                count(*) OVER (PARTITION BY lp.lang, d.draw) AS n
-        FROM lang_pairs lp, (VALUES ('fs'), ('mtl')) AS d(draw)
+        FROM test_pairs lp, (VALUES ('fs'), ('mtl')) AS d(draw)
         WHERE lp.lang IN (SELECT lang FROM languages))
   WHERE rn <= 100 AND n >= 100
 """)
@@ -97,7 +99,9 @@ def run_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ballot_build_mt19937")
 def ballot_build_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2 exactly as the reference: two successive Mersenne Twister draws per language."""
-    lp = fx.lang_pairs(spark, sf_dir)
-    b = H.build_ballots(lp, fx.clean_predictions(spark, sf_dir), languages=fx.languages(spark), sampler="mt19937")
+    """M2 exactly as the reference: two successive Mersenne Twister draws per language, of lines of its test file."""
+    lp = fx.lang_pairs(spark, sf_dir).filter("split = 'test'").withColumnsRenamed({"pos": "whole_pos", "split_pos": "pos"})
+    lines = lp.select("lang", F.col("whole_pos").alias("pos"), F.col("pos").alias("line"))
+    preds = fx.clean_predictions(spark, sf_dir).join(lines, ["lang", "pos"]).drop("pos").withColumnRenamed("line", "pos")
+    b = H.build_ballots(lp.drop("whole_pos"), preds, languages=fx.languages(spark), sampler="mt19937")
     return b.select("lang", "comparison", "random_id", "context", "response_a", "response_b")

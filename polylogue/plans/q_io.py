@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import human_eval as H
-from ..operators.apply import FirstTokens, apply_generator, batched_map
+from ..operators.apply import Reversed, apply_generator, batched_map
 from ..operators.mixing import interleave
 from ..session import scratch_path
 from ..sources import files as IO
@@ -37,33 +37,33 @@ def csv_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv_roundtrip")
     IO.write_csv(fx.dialogue_pairs(spark, sf_dir).select("pair_id", "context", "response"), path)
     back = IO.read_csv(spark, path)
-    return back.select(F.col("pair_id").cast("long").alias("pair_id"), "context", "response")
+    return back.select("pair_id", "context", "response")
 
 
 @query("predictions_roundtrip", with_ctes("""
-SELECT lang, pos, regexp_replace(prediction, '\\r\\n|\\r|\\n', ' ', 'g') AS prediction FROM prc WHERE system = 'mtl'
+SELECT lang, system, pos, regexp_replace(prediction, '\\r\\n|\\r|\\n', ' ', 'g') AS prediction FROM prc
 """, "prc"))
 def predictions_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prediction per line in position order, read back with positions."""
     path = scratch_path(spark, "predictions")
-    prc = fx.clean_predictions(spark, sf_dir).filter(F.col("system") == "mtl")
-    IO.write_lines(prc, path, "prediction", order=["pos"], by=["lang"])
-    return IO.read_lines(spark, path, by=["lang"]).select("lang", "pos", F.col("line").alias("prediction"))
+    by = ["lang", "system"]
+    IO.write_lines(fx.clean_predictions(spark, sf_dir), path, "prediction", order=["pos"], by=by)
+    return IO.read_lines(spark, path, by=by).select("lang", "system", "pos", F.col("line").alias("prediction"))
 
 
 @query("interleave_roundtrip", with_ctes(
-    "SELECT tgt_lang, out_pos, pair_id FROM (" + _interleave_sql("lang_pairs", "pair_id", "spread") + ")",
-    "lang_pairs"))
+    "SELECT tgt_lang, out_pos, pair_id FROM (" + _interleave_sql("train_pairs", "pair_id", "spread") + ")",
+    "train_pairs"))
 def interleave_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: one CSV per target named ``en_<tgt>_10_train.csv``, rows in output
     order; read back, the line position is the output position."""
     path = scratch_path(spark, "multitask")
-    mixed = interleave(fx.lang_pairs(spark, sf_dir), "en", 10, mode="spread", key="pair_id",
+    mixed = interleave(fx.train_pairs(spark, sf_dir), "en", 10, mode="spread", key="pair_id",
                        payload=["context", "response"])
     IO.write_per_key(mixed.drop("is_shot"), path, "tgt_lang", "en_{}_10_train.csv", order=["out_pos"])
     back = IO.read_positioned(spark, f"{path}/*", "csv", dir_col="__dir")
     return back.select(F.regexp_extract("__dir", r"en_([^_/]+)_10_train\.csv$", 1).alias("tgt_lang"),
-                       F.col("pos").alias("out_pos"), F.col("pair_id").cast("long").alias("pair_id"))
+                       F.col("pos").alias("out_pos"), "pair_id")
 
 
 @query("ballot_roundtrip", with_ctes(
@@ -84,20 +84,23 @@ def ballot_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(H.BALLOT_HEADER[2]).alias("response_a"), F.col(H.BALLOT_HEADER[3]).alias("response_b"))
 
 
-@query("load_splits", with_ctes("SELECT split, count(*) AS rows FROM lang_pairs GROUP BY split", "lang_pairs"))
+@query("load_splits", with_ctes("""
+SELECT split, pair_id, context, response, CASE WHEN split = 'test' THEN lang ELSE '' END AS lang FROM lang_pairs
+""", "lang_pairs"))
 def load_splits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: train and test as CSV, validation as JSON, loaded into one table."""
+    """S3: train and test as CSV, validation as JSON, loaded into one table. Only the
+    test file has a language column; its cells are empty elsewhere."""
     root = scratch_path(spark, "splits")
-    lp = fx.lang_pairs(spark, sf_dir).select("split", "pair_id", "context", "response")
+    lp = fx.lang_pairs(spark, sf_dir).select("split", "pair_id", "context", "response", "lang")
     files = {"train": f"{root}/train.csv", "validation": f"{root}/validation.json", "test": f"{root}/test.csv"}
     for split, p in files.items():
-        part = lp.filter(F.col("split") == split).drop("split")
+        part = lp.filter(F.col("split") == split).drop("split", *([] if split == "test" else ["lang"]))
         if p.endswith(".json"):
             part.write.json(p)
         else:
             IO.write_csv(part, p)
     schema = "pair_id string, context string, response string"
-    return IO.load_splits(spark, files, schema).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return IO.load_splits(spark, files, schema).select("split", "pair_id", "context", "response", "lang")
 
 
 @query("lang_catalog", with_ctes("""
@@ -123,16 +126,16 @@ FROM dialogue_pairs""", "dialogue_pairs"))
 def batched_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user function over Arrow batches adds character and token counts."""
     dp = fx.dialogue_pairs(spark, sf_dir)
-    return batched_map(dp, _lengths, "pair_id long, n_chars long, n_tokens long", ["pair_id", "response"])
+    return batched_map(dp, _lengths, "pair_id string, n_chars long, n_tokens long", ["pair_id", "response"])
 
 
 @query("apply_generator", with_ctes(f"""
-SELECT pair_id, array_to_string({split_ws('context')}[1:16], ' ') AS prediction
+SELECT pair_id, array_to_string(list_reverse({split_ws('context')}), ' ') AS prediction
 FROM lang_pairs WHERE split = 'test'""", "lang_pairs"))
 def apply_generator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generator built once per task runs over the test split in batches."""
     test = fx.lang_pairs(spark, sf_dir).filter(F.col("split") == "test")
-    return apply_generator(test, FirstTokens, "context", ["pair_id"], max_length=16, num_beams=4)
+    return apply_generator(test, Reversed, "context", ["pair_id"], num_beams=4)
 
 
 @query("few_shot_roundtrip", with_ctes("SELECT lang, shot_ordinal - 1 AS pos, pair_id FROM shots", "shots"))
@@ -142,9 +145,7 @@ def few_shot_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sampling import sample_k
 
     path = scratch_path(spark, "fs")
-    shots = sample_k(fx.lang_pairs(spark, sf_dir), 10).select("lang", "shot_ordinal", "pair_id", "context",
-                                                             "response")
+    shots = sample_k(fx.train_pairs(spark, sf_dir), 10).select("lang", "shot_ordinal", "pair_id", "context", "response")
     IO.write_per_key(shots, path, "lang", "{}_fs_10.csv", order=["shot_ordinal"])
     back = IO.read_positioned(spark, f"{path}/*", "csv", dir_col="__dir")
-    return back.select(F.regexp_extract("__dir", r"/([^/_]+)_fs_10\.csv$", 1).alias("lang"), "pos",
-                       F.col("pair_id").cast("long").alias("pair_id"))
+    return back.select(F.regexp_extract("__dir", r"/([^/_]+)_fs_10\.csv$", 1).alias("lang"), "pos", "pair_id")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import bleu as B
 from ..operators.distinct import distinct_n
-from ..operators.report import best_run, metrics_report
+from ..functions.text import clean_prediction
+from ..operators.report import aligned_strictly, best_run, metrics_report, write_metrics
+from ..session import scratch_path
 from . import bleu_sql as BS
 from .oracle_ctes import add_cte, with_ctes
 from .registry import query
-from .sqltext import ngram_list, r6, split_ws, tokenize
+from .sqltext import ngram_list, r6, split_ws, strip_masks, strip_ws, tokenize
 
 
 def _r6(df: DataFrame, cols) -> DataFrame:
@@ -22,16 +24,23 @@ def _r6(df: DataFrame, cols) -> DataFrame:
 def _token_rows(spark: SparkSession, sf_dir: str, refs=("response",), tokenize: str = "13a",
                 lowercase: bool = False, split: str | None = None) -> DataFrame:
     """J4 with tokens: hypothesis tokens per (lang, system, pos) joined with the
-    reference tokens of (lang, pos), each reference tokenised once."""
-    lp = fx.lang_pairs(spark, sf_dir)
+    reference tokens of (lang, pos), each reference tokenised once. With ``split`` only
+    that split is evaluated; else a prediction without a reference is an error."""
+    lp = _cleaned(fx.lang_pairs(spark, sf_dir))
     if split:
         lp = lp.filter(F.col("split") == split)
     ref = B.tokenized_references(lp, ["lang", "pos"], list(refs), tokenize, lowercase)
     # the hypotheses cross the join as text (smaller than token arrays), then are tokenised
-    aligned = fx.clean_predictions(spark, sf_dir).join(ref, ["lang", "pos"])
+    prc = fx.clean_predictions(spark, sf_dir)
+    aligned = prc.join(ref, ["lang", "pos"]) if split else aligned_strictly(prc, ref, ["lang", "pos"], "__ref_tokens")
     return B.tokenized_hypotheses(aligned, "prediction", tokenize, lowercase)
 
 
+def _cleaned(pairs: DataFrame) -> DataFrame:
+    """Labels are cleaned as predictions are: mask tokens and outer white space go."""
+    return pairs.withColumns({c: clean_prediction(F.col(c), fx.MASK1, fx.MASK2) for c in ("context", "response")})
+
+
 def _stats(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     rows = _token_rows(spark, sf_dir, **kw)
     return B.bleu_stats(rows, ["lang", "system"], ["pos"], "__hyp_tokens", "__ref_tokens", tokenize=None)
@@ -41,7 +50,7 @@ def _scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned predictions aligned with the reference response of the same (lang, pos)."""
     lp = fx.lang_pairs(spark, sf_dir)
     prc = fx.clean_predictions(spark, sf_dir, lp)
-    return prc.join(lp.select("lang", "pos", "context", "response"), ["lang", "pos"])
+    return aligned_strictly(prc, _cleaned(lp).select("lang", "pos", "context", "response"), ["lang", "pos"], "response")
 
 
 # ---------------------------------------------------------------- distinct-n
@@ -68,8 +77,9 @@ query("distinct_n", DISTINCT_SQL)(distinct_query)
 
 # ---------------------------------------------------------------- BLEU
 def _rows_cte(name: str, tok: str = "13a", lower: bool = False, multi: bool = False, split: str | None = None):
-    refs = (f"[{tokenize('l.response', tok, lower)}, {tokenize('l.context', tok, lower)}]" if multi
-            else f"[{tokenize('l.response', tok, lower)}]")
+    label = {c: strip_ws(strip_masks(f"l.{c}", fx.MASK1, fx.MASK2)) for c in ("response", "context")}
+    refs = (f"[{tokenize(label['response'], tok, lower)}, {tokenize(label['context'], tok, lower)}]" if multi
+            else f"[{tokenize(label['response'], tok, lower)}]")
     where = f"WHERE l.split = '{split}'" if split else ""
     add_cte(name, ["prc", "lang_pairs"], f"""
       SELECT p.lang, p.system, p.pos, {tokenize('p.prediction', tok, lower)} AS h, {refs} AS refs
@@ -95,7 +105,9 @@ BLEU_CORPUS_SQL = with_ctes(
 
 @query("bleu_corpus", BLEU_CORPUS_SQL)
 def bleu_corpus_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.bleu_score(_stats(spark, sf_dir))
+    """G3 through the whole metric, with ``force`` (F19) set."""
+    out = B.corpus_bleu(_token_rows(spark, sf_dir), ["lang", "system"], ["pos"], "__hyp_tokens", "__ref_tokens",
+                        tokenize=None, force=True, keep_stats=False)
     return _r6(out, set(SCORE_COLS))
 
 
@@ -129,8 +141,7 @@ BLEU_SENTENCE_SQL = with_ctes(
 def bleu_sentence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-level BLEU: every pair is its own group, effective order on."""
     dp = fx.dialogue_pairs(spark, sf_dir)
-    out = B.corpus_bleu(dp, ["pair_id"], [], hypothesis="context", references="response",
-                        use_effective_order=True, keep_stats=False)
+    out = B.sentence_bleu(dp, ["pair_id"], "context", "response")
     return out.select("pair_id", F.round("score", 6).alias("score"))
 
 
@@ -179,35 +190,35 @@ def bleu_tokenizers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REF_CHECK_SQL = with_ctes("""
 SELECT lang, CAST(min(k) AS BIGINT) AS min_refs, CAST(max(k) AS BIGINT) AS max_refs, min(k) = max(k) AS is_valid
-FROM (SELECT lang, len(list_filter([response, context], lambda r: length(r) <= 500)) AS k FROM lang_pairs)
+FROM (SELECT lang, CASE WHEN lang <> 'en' AND line_pos % 2 = 1 THEN 2 ELSE 1 END AS k FROM lang_pairs)
 GROUP BY lang
 """, "lang_pairs")
 
 
 @query("reference_count_check", REF_CHECK_SQL)
 def reference_count_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16 on reference lists that drop references longer than 500 characters."""
+    """F16 on lists with a second reference at odd lines, but for one language."""
     lp = fx.lang_pairs(spark, sf_dir)
-    refs = lp.select("lang", F.filter(F.array("response", "context"), lambda r: F.char_length(r) <= 500)
-                     .alias("references"))
+    two = (F.col("lang") != "en") & (F.col("line_pos") % 2 == 1)
+    refs = lp.select("lang", F.when(two, F.array("response", "context")).otherwise(F.array("response")).alias("references"))
     return B.check_reference_counts(refs, "references", ["lang"])
 
 
 # ---------------------------------------------------------------- report
 METRICS_SQL = with_ctes(f"""
 SELECT lang, system, metric, value FROM (
-  SELECT d.lang, d.system, d.distinct_1, d.distinct_2, b.score AS sacrebleu_score, b.p1 AS sacrebleu_1,
+  SELECT s.lang, s.system, d.distinct_1, d.distinct_2, b.score AS sacrebleu_score, b.p1 AS sacrebleu_1,
          b.p2 AS sacrebleu_2, b.bp AS sacrebleu_bp, CAST(s.samples AS DOUBLE) AS samples
-  FROM (SELECT lang, system,
+  FROM (SELECT lang, system, count(*) AS samples FROM prc GROUP BY ALL) s
+  JOIN (SELECT lang, system, {BS.score_select(['score', 'p1', 'p2', 'bp'])}
+        FROM {BS.stats_sql("bl_rows", ["lang", "system"], ["pos"])}) b USING (lang, system)
+  LEFT JOIN (SELECT lang, system,
           {r6("100.0 * count(DISTINCT gram) FILTER (WHERE n = 1) / nullif(count(*) FILTER (WHERE n = 1), 0)")} AS distinct_1,
           {r6("100.0 * count(DISTINCT gram) FILTER (WHERE n = 2) / nullif(count(*) FILTER (WHERE n = 2), 0)")} AS distinct_2
         FROM (SELECT lang, system, 1 AS n, unnest(t) AS gram FROM prc_tok
               UNION ALL SELECT lang, system, 2 AS n, unnest({ngram_list('t', 2)}) AS gram FROM prc_tok)
-        GROUP BY lang, system) d
-  JOIN (SELECT lang, system, {BS.score_select(['score', 'p1', 'p2', 'bp'])}
-        FROM {BS.stats_sql("bl_rows", ["lang", "system"], ["pos"])}) b USING (lang, system)
-  JOIN (SELECT lang, system, count(*) AS samples FROM prc GROUP BY ALL) s USING (lang, system)
-) UNPIVOT (value FOR metric IN (distinct_1, distinct_2, sacrebleu_score, sacrebleu_1, sacrebleu_2,
+        GROUP BY lang, system) d USING (lang, system)
+) UNPIVOT INCLUDE NULLS (value FOR metric IN (distinct_1, distinct_2, sacrebleu_score, sacrebleu_1, sacrebleu_2,
                                sacrebleu_bp, samples))
 """, "prc_tok", "bl_rows")
 
@@ -235,17 +246,18 @@ def best_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_run(scores, ["lang"], "system", "score")
 
 
-METRIC_FILES_SQL = ("SELECT lang, system, 'predict_' || metric AS metric, value FROM ("
-                    + METRICS_SQL + ")")
+METRIC_FILES_SQL = ("SELECT lang, system, prefix || '_' || metric AS metric, value FROM ("
+                    + METRICS_SQL + ") m, (VALUES ('train'), ('eval'), ('predict')) AS p(prefix)")
 
 
 @query("metrics_files", METRIC_FILES_SQL)
 def metrics_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: the metric table saved as JSON lines under the ``predict`` prefix, read back."""
-    from ..operators.report import write_metrics
-    from ..session import scratch_path
-
+    """K5: the metric table, made once, saved as JSON lines under each of the three prefixes, read back."""
     path = scratch_path(spark, "metrics")
-    write_metrics(metrics_report_query(spark, sf_dir), path, "predict")
-    back = spark.read.schema("lang string, system string, metric string, value double").json(path)
+    metrics_report_query(spark, sf_dir).write.parquet(f"{path}/all")
+    report = spark.read.parquet(f"{path}/all")
+    prefixes = ("train", "eval", "predict")
+    for prefix in prefixes:
+        write_metrics(report, f"{path}/{prefix}_results.json", prefix)
+    back = spark.read.schema("lang string, system string, metric string, value double").json([f"{path}/{p}_results.json" for p in prefixes])
     return back.select("lang", "system", "metric", "value")

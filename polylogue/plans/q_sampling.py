@@ -38,12 +38,12 @@ def row_index_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("head_n", with_ctes("""
 SELECT lang, split, pair_id FROM (
-  SELECT lang, split, pair_id, row_number() OVER (PARTITION BY lang, split ORDER BY pair_id) AS rn FROM lang_pairs)
+  SELECT lang, split, pair_id, row_number() OVER (PARTITION BY lang, split ORDER BY doc_id, line_pos) AS rn FROM lang_pairs)
 WHERE rn <= 50
 """, "lang_pairs"))
 def head_n_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lp = fx.lang_pairs(spark, sf_dir)
-    return S.first_n(lp, 50, ["lang", "split"], "pair_id").select("lang", "split", "pair_id")
+    return S.first_n(lp, 50, ["lang", "split"], ["doc_id", "line_pos"]).select("lang", "split", "pair_id")
 
 
 @query("sample_sizes", with_ctes("""
@@ -66,23 +66,35 @@ def sufficiency_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sufficiency(fx.lang_pairs(spark, sf_dir), 1000, ["lang"])
 
 
-add_cte("shots", ["lang_pairs"], f"""
+add_cte("train_pairs", ["lang_pairs"], "SELECT * REPLACE (split_pos AS pos) FROM lang_pairs WHERE split = 'train'")
+add_cte("test_pairs", ["lang_pairs"], "SELECT * FROM lang_pairs WHERE split = 'test'")
+add_cte("shots", ["train_pairs"], f"""
   SELECT lang, pos, pair_id, row_number() OVER (PARTITION BY lang ORDER BY pos) AS shot_ordinal
-  FROM (SELECT *, {_md5_rank('lang')} AS rn, count(*) OVER (PARTITION BY lang) AS n FROM lang_pairs)
+  FROM (SELECT *, {_md5_rank('lang')} AS rn, count(*) OVER (PARTITION BY lang) AS n FROM train_pairs)
   WHERE rn <= {K} AND n >= {K}
 """)
 
 
 @query("few_shot_sample", with_ctes("SELECT lang, shot_ordinal, pos, pair_id FROM shots", "shots"))
 def few_shot_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lp = fx.lang_pairs(spark, sf_dir)
-    return S.sample_k(lp, K, SEED, ["lang"], "pos").select("lang", "shot_ordinal", "pos", "pair_id")
+    train = fx.train_pairs(spark, sf_dir)
+    return S.sample_k(train, K, SEED, ["lang"], "pos").select("lang", "shot_ordinal", "pos", "pair_id")
+
+
+@query("pick_rows", with_ctes("""
+SELECT t.lang, t.pos, s.shot_ordinal, t.context, t.response FROM train_pairs t JOIN shots s USING (lang, pos)
+""", "train_pairs", "shots"))
+def pick_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows at drawn positions; the draw sees positions only."""
+    train = fx.train_pairs(spark, sf_dir)
+    draws = S.sample_k(train.select("lang", "pos"), K, SEED, ["lang"], "pos")
+    return S.pick_rows(train, draws).select("lang", "pos", "shot_ordinal", "context", "response")
 
 
 @query("few_shot_sample_mt19937")
 def few_shot_sample_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 with the reference's exact generator (Mersenne Twister, seed 2023)."""
-    lp = fx.lang_pairs(spark, sf_dir)
+    lp = fx.train_pairs(spark, sf_dir)
     draws = S.draw_positions_mt(spark, S.group_counts(lp, ["lang"]), K, SEED)
     return S.pick_rows(lp, draws.drop("draw")).select("lang", "shot_ordinal", "pos", "pair_id")
 
@@ -90,11 +102,11 @@ def few_shot_sample_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ballot_sample", with_ctes(f"""
 SELECT lang, draw, pos FROM (
   SELECT lang, draw, pos, {_md5_rank('lang, draw', 'draw')} AS rn, count(*) OVER (PARTITION BY lang, draw) AS n
-  FROM lang_pairs, (VALUES ('fs'), ('mtl')) AS d(draw))
+  FROM test_pairs, (VALUES ('fs'), ('mtl')) AS d(draw))
 WHERE rn <= 100 AND n >= 100
-""", "lang_pairs"))
+""", "test_pairs"))
 def ballot_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lp = fx.lang_pairs(spark, sf_dir)
+    lp = fx.lang_pairs(spark, sf_dir).filter("split = 'test'")
     return S.sample_k(lp, 100, SEED, ["lang"], "pos", draws=["fs", "mtl"]).select("lang", "draw", "pos")
 
 
@@ -133,20 +145,20 @@ add_cte("docs_pos", [], "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY
 def interleave_reference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 with the float-modulus rule on the documents (en N=620 at sf0.01: 10 shots)."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    docs = with_row_index(docs, "doc_id", by=["lang"], width=1024)
-    return interleave(docs, "en", K, SEED, mode="reference", key="doc_id")
+    return interleave(with_row_index(docs, "doc_id", by=["lang"], width=1024), "en", K, SEED, mode="reference", key="doc_id",
+                      counts=S.group_counts(docs, ["lang"]))
 
 
-@query("interleave_reference_pairs", with_ctes(_interleave_sql("lang_pairs", "pair_id", "reference"), "lang_pairs"))
+@query("interleave_reference_pairs", with_ctes(_interleave_sql("train_pairs", "pair_id", "reference"), "train_pairs"))
 def interleave_reference_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 reference mode on the pairs (N=5,031 at sf0.01: no shot passes the test)."""
-    return interleave(fx.lang_pairs(spark, sf_dir), "en", K, SEED, mode="reference", key="pair_id")
+    """M3 reference mode on the training pairs; the float rule drops shots unless k divides N."""
+    return interleave(fx.train_pairs(spark, sf_dir), "en", K, SEED, mode="reference", key="pair_id")
 
 
-@query("interleave_spread", with_ctes(_interleave_sql("lang_pairs", "pair_id", "spread"), "lang_pairs"))
+@query("interleave_spread", with_ctes(_interleave_sql("train_pairs", "pair_id", "spread"), "train_pairs"))
 def interleave_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + M4 in spread mode: every target gets all k shots."""
-    return interleave(fx.lang_pairs(spark, sf_dir), "en", K, SEED, mode="spread", key="pair_id")
+    return interleave(fx.train_pairs(spark, sf_dir), "en", K, SEED, mode="spread", key="pair_id")
 
 
 @query("interleave_reference_mt19937")
@@ -154,8 +166,9 @@ def interleave_reference_mt_query(spark: SparkSession, sf_dir: str) -> DataFrame
     """M1 + M3 exactly as the reference: Mersenne Twister shots (seed 2023, k=10)
     placed by the float-modulus rule, on the documents."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    counts = S.group_counts(docs, ["lang"])
+    targets = counts.filter((counts.lang != "en") & (counts.lang != "pl"))
     docs = with_row_index(docs, "doc_id", by=["lang"], width=1024)
-    targets = S.group_counts(docs.filter((docs.lang != "en") & (docs.lang != "pl")), ["lang"])
     draws = S.draw_positions_mt(spark, targets, K, SEED).drop("draw")
     shots = S.pick_rows(docs, draws)
-    return interleave(docs, "en", K, SEED, mode="reference", key="doc_id", shots=shots)
+    return interleave(docs, "en", K, SEED, mode="reference", key="doc_id", shots=shots, counts=counts)

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.tokenize import tokenize
 from ..operators.index import with_row_index
 from ..operators.vocab import build_vocab, decode, encode
+from ..session import scratch_path
 from .oracle_ctes import add_cte, with_ctes
 from .registry import query
 from .sqltext import q, split_space, split_ws, strip_masks, strip_ws
@@ -26,13 +27,6 @@ PROMPT_CONFIGS = [
 ]
 
 
-def _union(parts):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _prompt_src_sql(x: str, prefix, tp, m1, m2) -> str:
     masks = bool(m1 and m2)
     if prefix and tp:
@@ -52,8 +46,8 @@ def _prompt_tgt_sql(x: str, prefix, tp, m1, m2) -> str:
     for c in PROMPT_CONFIGS), "dialogue_pairs"))
 def prompt_source_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     dp = fx.dialogue_pairs(spark, sf_dir)
-    return _union([dp.select(F.lit(c[0]).alias("config"), "pair_id",
-                             T.prompt_source(F.col("context"), *c[1:]).alias("source")) for c in PROMPT_CONFIGS])
+    per = F.array(*[F.struct(F.lit(c[0]).alias("config"), T.prompt_source(F.col("context"), *c[1:]).alias("source")) for c in PROMPT_CONFIGS])
+    return dp.select("pair_id", F.explode(per).alias("x")).select("x.config", "pair_id", "x.source")
 
 
 @query("prompt_target", with_ctes(" UNION ALL ".join(
@@ -61,8 +55,8 @@ def prompt_source_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in PROMPT_CONFIGS), "dialogue_pairs"))
 def prompt_target_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     dp = fx.dialogue_pairs(spark, sf_dir)
-    return _union([dp.select(F.lit(c[0]).alias("config"), "pair_id",
-                             T.prompt_target(F.col("response"), *c[1:]).alias("target")) for c in PROMPT_CONFIGS])
+    per = F.array(*[F.struct(F.lit(c[0]).alias("config"), T.prompt_target(F.col("response"), *c[1:]).alias("target")) for c in PROMPT_CONFIGS])
+    return dp.select("pair_id", F.explode(per).alias("x")).select("x.config", "pair_id", "x.target")
 
 
 @query("strip_masks", with_ctes(
@@ -128,18 +122,15 @@ def ngrams_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("truncate_tokens", with_ctes(f"""
-SELECT split, pair_id, least(len({split_space('context')}) + 1, 32) AS n_source,
-       least(len({split_space('response')}) + 1, CASE WHEN split = 'train' THEN 16 ELSE 24 END) AS n_target
+SELECT split, pair_id, array_to_string(list_concat({split_space('context')}[1:31], ['</s>']), ' ') AS source,
+       array_to_string(list_concat({split_space('response')}[1:CASE WHEN split = 'train' THEN 15 ELSE 23 END], ['</s>']), ' ') AS target
 FROM lang_pairs""", "lang_pairs"))
 def truncate_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source length 32; target 16 for training, 24 for validation and test."""
     lp = fx.lang_pairs(spark, sf_dir)
-    eos = F.array(F.lit("</s>"))
-    src = F.concat(F.slice(T.split_space(F.col("context")), 1, 31), eos)
-    tgt_len = I.target_max_length(F.col("split"), 16, 24)
-    tgt = F.concat(F.slice(T.split_space(F.col("response")), 1, tgt_len - 1), eos)
-    return lp.select("split", "pair_id", F.size(src).cast("long").alias("n_source"),
-                     F.size(tgt).cast("long").alias("n_target"))
+    src = I.truncate(T.split_space(F.col("context")), 32, end="</s>")
+    tgt = I.truncate(T.split_space(F.col("response")), I.target_max_length(F.col("split"), 16, 24), end="</s>")
+    return lp.select("split", "pair_id", F.array_join(src, " ").alias("source"), F.array_join(tgt, " ").alias("target"))
 
 
 # ---------------------------------------------------------------- token ids
@@ -149,7 +140,6 @@ add_cte("vocab", ["dialogue_pairs"], f"""
         FROM (SELECT unnest({split_space('context')}) AS token FROM dialogue_pairs
               UNION ALL SELECT unnest({split_space('response')}) FROM dialogue_pairs)
         GROUP BY token)
-  QUALIFY row_number() OVER (ORDER BY c DESC, token) <= 5000
 """)
 add_cte("dp_sides", ["dialogue_pairs"], f"""
   SELECT pair_id, 'src' AS side, {split_space('context')} AS t FROM dialogue_pairs
@@ -178,12 +168,21 @@ _enc_cte("enc", 1024, 128)
 _enc_cte("enc128", 128, 128)
 
 
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the dialogue pairs, written once as a tokenizer's is."""
+    return fx.materialized(spark, sf_dir, "vocab", lambda: build_vocab(fx.dialogue_pairs(spark, sf_dir), ["context", "response"]))
+
+
 def _encoded(spark: SparkSession, sf_dir: str, src_max: int = 1024, tgt_max: int = 128):
-    dp = fx.dialogue_pairs(spark, sf_dir)
-    vocab = build_vocab(dp, ["context", "response"], 5000)
-    src = encode(dp, ["pair_id"], "context", vocab, src_max, "input_ids")
-    tgt = encode(dp, ["pair_id"], "response", vocab, tgt_max, "labels")
-    return src.join(tgt, "pair_id"), vocab
+    """Both sides of the pairs in one pass: a row per side, encoded, then side by side again."""
+    dp, vocab = fx.dialogue_pairs(spark, sf_dir), _vocab(spark, sf_dir)
+    sides = F.array(F.struct(F.lit("src").alias("side"), F.col("context").alias("text"), F.lit(src_max).alias("most")),
+                    F.struct(F.lit("tgt").alias("side"), F.col("response").alias("text"), F.lit(tgt_max).alias("most")))
+    rows = dp.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.*")
+    ids = encode(rows, ["pair_id", "side"], "text", vocab, F.col("most"))
+    both = ids.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "src", F.col("ids"))).alias("input_ids"),
+                                      F.max(F.when(F.col("side") == "tgt", F.col("ids"))).alias("labels"))
+    return both, vocab
 
 
 def _ids_str(c) -> F.Column:
@@ -229,23 +228,31 @@ def mask_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("unmask_labels", with_ctes(f"""
-SELECT pair_id, array_to_string({_PADDED_LABELS}, ' ') AS ids FROM enc128""", "enc128"))
+SELECT pair_id, array_to_string({_PADDED_LABELS}, ' ') AS ids, 128 - len(labels) AS n_masked FROM enc128""", "enc128"))
 def unmask_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 on a written table of masked labels."""
     enc, _ = _encoded(spark, sf_dir, 128, 128)
-    restored = I.unmask_pad(I.mask_pad(I.pad_to("labels", 128)))
-    return enc.select("pair_id", F.array_join(restored.cast("array<string>"), " ").alias("ids"))
+    path = scratch_path(spark, "masked_labels")
+    enc.select("pair_id", I.mask_pad(I.pad_to("labels", 128)).alias("labels")).write.parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("pair_id", F.array_join(I.unmask_pad("labels").cast("array<string>"), " ").alias("ids"),
+                       F.size(F.filter("labels", lambda x: x == I.IGNORE_ID)).cast("long").alias("n_masked"))
 
 
 @query("pad_batch", with_ctes("""
 SELECT pair_id, batch_id, padded_len,
        array_to_string(list_concat(input_ids, list_transform(range(padded_len - len(input_ids)), lambda x: 0)), ' ') AS ids
 FROM (SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / 8) * 8 AS BIGINT) AS padded_len
-      FROM (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch_id FROM enc))""", "enc"))
+      FROM (SELECT *, (row_number() OVER (ORDER BY split_part(pair_id, ':', 1)::BIGINT, split_part(pair_id, ':', 2)::BIGINT) - 1) // 16 AS batch_id
+            FROM enc))""", "enc"))
 def pad_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """batches of 16 rows in pair_id order, padded to the batch's longest row
-    rounded up to a multiple of 8."""
+    """batches of 16 rows in order of conversation and turn, padded to the batch's
+    longest row rounded up to a multiple of 8. The keys are numbered on their own and
+    joined to the encoded rows, so that these are made once."""
     enc, _ = _encoded(spark, sf_dir)
-    indexed = with_row_index(enc, "pair_id", width=1 << 12)
+    keys = fx.dialogue_pairs(spark, sf_dir).select("pair_id", "conv_id", "turn", F.floor(F.col("conv_id") / 64).alias("__c"), F.floor(F.col("turn") / 1024).alias("__t"))
+    placed = with_row_index(keys, ["conv_id", "turn"], bucket=["__c", "conv_id", "__t"])
+    indexed = enc.join(placed.select("pair_id", "pos"), "pair_id")
     out = I.pad_batches(indexed, "input_ids", "pos", 16, 8)
     return out.select("pair_id", "batch_id", "padded_len",
                       F.array_join(F.col("padded").cast("array<string>"), " ").alias("ids"))

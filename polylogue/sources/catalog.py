@@ -27,10 +27,10 @@ def run_catalog(langs: DataFrame, languages: DataFrame, root: str, k: int = 10,
     """Every (language, setting) with its prediction path.
 
     ``langs`` holds the languages present in the data; ``languages`` is the
-    family dimension (one row per language, broadcast). The four settings are a
+    family dimension (one row per language). The four settings are a
     fixed array exploded per language, so there is no cross join.
     """
-    fam = langs.select("lang").distinct().join(F.broadcast(languages.select("lang", "family")), "lang")
+    fam = langs.select("lang").distinct().join(languages.select("lang", "family"), "lang")
     settings = F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(prompt).alias("is_prompt"),
                                   _path_expr(tpl, root, k, src).alias("path"))
                          for name, prompt, tpl in SETTINGS])

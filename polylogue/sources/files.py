@@ -42,7 +42,7 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False, partition_by: S
 
 def ordered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition and sort so that a write puts rows in (by, order) order:
-    part files of one group follow each other in name order."""
+    part files of one group follow each other in order of their numbers."""
     cols = list(by) + list(order)
     return df.repartitionByRange(*cols).sortWithinPartitions(*cols)
 
@@ -50,8 +50,8 @@ def ordered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame
 def read_positioned(spark: SparkSession, path: str, fmt: str = "csv", by: Sequence[str] = (),
                     dir_col: str | None = None) -> DataFrame:
     """A file read with its 0-based line position (header excluded) per ``by``
-    group (and per folder with ``dir_col``), recovered from (file, split, order
-    inside the split)."""
+    group (and per folder with ``dir_col``), recovered from (file number, split,
+    order inside the split)."""
     if fmt == "csv":
         df = read_csv(spark, path)
     elif fmt == "text":
@@ -81,7 +81,7 @@ def read_lines(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFr
 
 def load_splits(spark: SparkSession, files: Mapping[str, str], schema: str | None = None) -> DataFrame:
     """S3: train/validation/test files, CSV or JSON by extension, as one table
-    with a ``split`` column. Other extensions are refused.
+    with a ``split`` column; a cell that a file does not have is ''. Other extensions are refused.
 
     With ``schema`` (a DDL string, normally all strings) JSON is read without the
     schema-inference pass, which would otherwise scan every file twice."""
@@ -89,34 +89,33 @@ def load_splits(spark: SparkSession, files: Mapping[str, str], schema: str | Non
     for split, path in files.items():
         ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
         if ext not in SPLIT_FORMATS:
-            raise ValueError(f"`{split}` file should be a csv or a json file, got {path!r}")
+            raise ValueError(f"split {split!r}: expected a csv or a json file, not {path!r}")
         if ext == "csv":
             df = read_csv(spark, path)
         else:
             df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
-        parts.append(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-                     .na.fill("").withColumn("split", F.lit(split)))
+        parts.append(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).withColumn("split", F.lit(split)))
     if not parts:
-        raise ValueError("The training/validation file is needed.")
+        raise ValueError("no split file was named")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return out.na.fill("")
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
     """Fail early, naming the available columns, if a column is absent."""
     for n in names:
         if n is None:
-            raise ValueError("Make sure that the text and summary columns are given.")
+            raise ValueError("a column name is missing")
         if n not in df.columns:
-            raise ValueError(f"column '{n}' needs to be one of: {', '.join(df.columns)}")
+            raise ValueError(f"no column {n!r}; there are: {', '.join(df.columns)}")
 
 
 def rename_partitions(spark: SparkSession, root: str, key: str, name_format: str) -> list[str]:
-    """Turn ``root/key=value`` folders into ``root/<name_format.format(value)>``
-    (metadata-only renames), giving one named output per value as the
-    reference's one-file-per-language layout."""
+    """Turn ``root/key=value`` folders into ``root/<name_format.format(value)>``,
+    giving one named output per value as the reference's one-file-per-language
+    layout. A rename moves names only on HDFS and local disks; object stores copy."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     base = jvm.org.apache.hadoop.fs.Path(root)
@@ -126,7 +125,8 @@ def rename_partitions(spark: SparkSession, root: str, key: str, name_format: str
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(key + "="):
             target = name_format.format(name.split("=", 1)[1])
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(base, target))
+            if not fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(base, target)):
+                raise OSError(f"{name} could not be renamed to {target} below {root}")
             done.append(target)
     return sorted(done)
 

@@ -49,10 +49,34 @@ def test_require_columns_names_options(spark):
 
 def test_cached_table_reused(spark):
     path = scratch_path(spark, "t-cache")
-    first = cached_table(spark, spark.range(5), path)
-    again = cached_table(spark, spark.range(50), path)
-    assert first.count() == again.count() == 5
-    assert cached_table(spark, spark.range(50), path, overwrite=True).count() == 50
+    assert cached_table(spark, spark.range(5), path).count() == 5
+    made = cached_table(spark, spark.range(5), path).inputFiles()
+    assert made == cached_table(spark, spark.range(5), path).inputFiles()
+    # another plan, or changed inputs, never get the first one's rows
+    assert cached_table(spark, spark.range(50), path).count() == 50
+    source = scratch_path(spark, "t-cache-source")
+    spark.range(3).write.parquet(source)
+    assert cached_table(spark, spark.read.parquet(source), path).count() == 3
+    spark.range(7).write.mode("overwrite").parquet(source)
+    assert cached_table(spark, spark.read.parquet(source), path).count() == 7
+
+
+def test_splits_with_different_columns(spark):
+    path = scratch_path(spark, "t-splits")
+    spark.createDataFrame([("a", "b")], "x string, y string").write.json(f"{path}/train.json")
+    IO.write_csv(spark.createDataFrame([("c",)], "x string"), f"{path}/test.csv")
+    got = IO.load_splits(spark, {"train": f"{path}/train.json", "test": f"{path}/test.csv"}).select("split", "x", "y").collect()
+    assert sorted(map(tuple, got)) == [("test", "c", ""), ("train", "a", "b")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from polylogue.session import checkpoint_root
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
 
 
 def test_metric_files_have_split_prefix(spark):
@@ -77,7 +101,7 @@ def test_discover_languages_flat_layout(spark, tmp_path):
 def test_written_pairs_equal_lazy_plan(spark, sf):
     from polylogue import fixtures as fx
 
-    cols = ["pair_id", "lang", "doc_id", "context", "response", "split", "pos"]
+    cols = ["pair_id", "lang", "doc_id", "context", "response", "split", "pos", "split_pos"]
     a = fx.lang_pairs(spark, sf).select(*cols).collect()
     b = fx.build_lang_pairs(spark, sf).select(*cols).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))

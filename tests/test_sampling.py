@@ -70,12 +70,35 @@ def test_first_n_and_sample_sizes(spark):
     assert S.sample_sizes(df, 7, ["lang"]).first()["n_reported"] == 7
 
 
-def test_large_k_still_plans_partial_group_limit(spark):
+def test_large_k_needs_no_session_setting(spark):
     df = spark.range(5000).select((F.col("id") % 2).cast("string").alias("lang"), F.col("id").alias("pos"))
-    out = S.sample_k(df, 1500)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert S.sample_k(df, 1500).count() == 3000
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
+    plan = S.sample_k(df, 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    assert out.count() == 3000
+
+
+def test_row_index_keeps_rows_of_the_null_group(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 9)], "lang string, k long")
+    got = with_row_index(df, "k", by=["lang"], width=2).collect()
+    assert sorted(((r["lang"] or ""), r["k"], r["pos"]) for r in got) == [("", 1, 0), ("", 3, 1), ("a", 2, 0), ("a", 9, 1)]
+
+
+def test_file_order_past_five_digits(spark, tmp_path):
+    numbers = [99998, 99999, 100000, 100001]
+    for n in numbers:
+        (tmp_path / f"part-{n:05d}-x.txt").write_text(f"line {n}\n")
+    got = file_order_index(spark.read.text(str(tmp_path))).collect()
+    assert [r["value"] for r in sorted(got, key=lambda r: r["pos"])] == [f"line {n}" for n in numbers]
+
+
+def test_row_index_with_two_bucket_columns(spark):
+    df = spark.createDataFrame([(i % 37, i) for i in range(400)], "a long, b long")
+    df = df.withColumn("c", F.floor(F.col("b") / 50))
+    want = {(a, b): i for i, (a, b) in enumerate(sorted((i % 37, i) for i in range(400)))}
+    got = with_row_index(df, ["a", "b"], bucket=["a", "c"], fanout=4).collect()
+    assert {(r["a"], r["b"]): r["pos"] for r in got} == want
 
 
 def test_row_index_independent_of_partitioning(spark, sf):
