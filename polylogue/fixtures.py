@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build, order: tuple[str, ...] = ()) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, order: tuple[str, ...] = (), source: str = "documents") -> DataFrame:
     """Write ``build()`` once per application as Parquet below the shared
     checkpoint folder and read it back.
 
@@ -46,7 +46,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, order: tupl
     rather than from the raw documents.
     """
     app = spark.sparkContext.applicationId
-    tag = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    tag = fingerprint(spark, f"{sf_dir}/{source}.parquet")
     key = (app, tag, name)
     path = _WRITTEN.get(key)
     if path is None:
@@ -56,7 +56,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, order: tupl
         # sorted ranges, so that filters on language and position skip files; their
         # number follows the input, with the cluster's shuffle parallelism as least
         if order:
-            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(spark, f"{sf_dir}/documents.parquet") // FILE_BYTES)
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(spark, f"{sf_dir}/{source}.parquet") // FILE_BYTES)
             df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
@@ -124,6 +124,11 @@ def pairs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogue pairs (see ``build_dialogue_pairs``), written once per application."""
+    return materialized(spark, sf_dir, "dialogue_pairs", lambda: build_dialogue_pairs(spark, sf_dir), ("conv_id", "turn"), "conversations")
+
+
+def build_dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn directly followed by an assistant turn of the same conversation.
 
     Self equi-join on (conv_id, turn): each key matches at most one row per side,

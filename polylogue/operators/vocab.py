@@ -43,9 +43,9 @@ def encode(df: DataFrame, keys: Sequence[str], text: str | Column, vocab: DataFr
     if max_len is not None:
         most = F.lit(max_len) if isinstance(max_len, int) else max_len
         tokens = F.slice(tokens, F.lit(1), F.greatest(most - 1, F.lit(0)))
-    toks = df.select(*keys, tokens.alias("__t")).select(*keys, F.posexplode_outer("__t").alias("__i", "token"))
-    looked = toks.join(vocab.select("token", "id"), "token", "left")
-    item = F.when(F.col("__i").isNotNull(), F.struct(F.col("__i"), F.coalesce(F.col("id"), F.lit(UNK_ID))
+    toks = df.select(*keys, tokens.alias("__t")).select(*keys, F.posexplode_outer("__t").alias("__i", "__token"))
+    looked = toks.join(vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")), "__token", "left")
+    item = F.when(F.col("__i").isNotNull(), F.struct(F.col("__i"), F.coalesce(F.col("__id"), F.lit(UNK_ID))
                                                      .cast("long").alias("id")))
     grouped = looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s"))
     return grouped.select(*keys, F.concat(F.col("__s.id"), F.array(F.lit(EOS_ID).cast("long"))).alias(out))
@@ -54,9 +54,9 @@ def encode(df: DataFrame, keys: Sequence[str], text: str | Column, vocab: DataFr
 def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """Ids back to space-joined tokens, dropping the special ids (pad, eos, unk)."""
     keys = list(keys)
-    exploded = df.select(*keys, F.posexplode_outer(ids).alias("__i", "id"))
+    exploded = df.select(*keys, F.posexplode_outer(ids).alias("__i", "__id"))
     # special ids (0-2) are below every vocabulary id, so they find no token
-    looked = exploded.join(vocab.select("token", "id"), "id", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("__i", "token"))
+    looked = exploded.join(vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")), "__id", "left")
+    item = F.when(F.col("__token").isNotNull(), F.struct("__i", "__token"))
     return looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s")).select(
-        *keys, F.array_join(F.col("__s.token"), " ").alias(out))
+        *keys, F.array_join(F.col("__s.__token"), " ").alias(out))

@@ -170,7 +170,8 @@ _enc_cte("enc128", 128, 128)
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the dialogue pairs, written once as a tokenizer's is."""
-    return fx.materialized(spark, sf_dir, "vocab", lambda: build_vocab(fx.dialogue_pairs(spark, sf_dir), ["context", "response"]))
+    return fx.materialized(spark, sf_dir, "vocab", lambda: build_vocab(fx.dialogue_pairs(spark, sf_dir), ["context", "response"]),
+                           source="conversations")
 
 
 def _encoded(spark: SparkSession, sf_dir: str, src_max: int = 1024, tgt_max: int = 128):
