@@ -18,6 +18,7 @@ from .operators.index import with_row_index
 from .operators.mixing import interleave
 from .operators.sampling import DEFAULT_SEED, first_n, sample_k
 from .operators.vocab import encode
+from .session import hadoop_path
 from .sources import files as IO
 from .sources.catalog import discover_languages, run_catalog
 
@@ -52,10 +53,12 @@ def read_runs(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """(lang, system, pos, prediction) of the prediction files that the catalogue names, one scan for all."""
     runs = catalog.select("lang", F.col("setting").alias("system"), "path").collect()  # four per language
     lines = IO.read_positioned(spark, [r["path"] for r in runs], "text", dir_col="__dir")
-    of = spark.createDataFrame([(r["lang"], r["system"], r["path"].split("://")[-1].rstrip("/")) for r in runs], "lang string, system string, __path string")
-    # the scan reports absolute, escaped addresses; the catalogue's path is their end
-    return (lines.withColumn("__at", F.url_decode(F.regexp_replace("__dir", r"\+", "%2B")))
-            .join(F.broadcast(of), F.expr("endswith(__at, __path)")).select("lang", "system", "pos", F.col("value").alias("prediction")))
+    # the scan reports escaped addresses with scheme and host; both sides are reduced to the plain path
+    plain = [hadoop_path(spark, r["path"]) for r in runs]
+    of = spark.createDataFrame([(r["lang"], r["system"], fs.makeQualified(p).toUri().getPath()) for r, (fs, p) in zip(runs, plain, strict=True)],
+                               "lang string, system string, __at string")
+    at = F.url_decode(F.regexp_replace(F.regexp_replace("__dir", r"^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), r"\+", "%2B"))
+    return lines.withColumn("__at", at).join(of, "__at").select("lang", "system", "pos", F.col("value").alias("prediction"))
 
 
 def build_ballots_from_runs(spark: SparkSession, tests: str, root: str, out: str, families: DataFrame, k: int = 100,

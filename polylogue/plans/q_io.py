@@ -7,12 +7,13 @@ back; the returned DataFrame is the read side.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import human_eval as H
-from ..operators.apply import Reversed, apply_generator, batched_map
+from ..operators.apply import Reversed, apply_generator, batched_map, cached_table
 from ..operators.mixing import interleave
 from ..session import scratch_path
 from ..sources import files as IO
@@ -40,6 +41,48 @@ def csv_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("pair_id", "context", "response")
 
 
+@query("overwrite_guard", with_ctes("SELECT pair_id, context, response FROM lang_pairs WHERE split = 'test'", "lang_pairs"))
+def overwrite_guard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: an output that exists is refused, and replaced only on request."""
+    path = scratch_path(spark, "guard")
+    lp = fx.lang_pairs(spark, sf_dir).select("split", "pair_id", "context", "response")
+    test = lp.filter("split = 'test'").drop("split")
+    IO.write_csv(lp.filter("split <> 'test'").drop("split"), path)
+    try:
+        IO.write_csv(test, path)
+    except AnalysisException:
+        IO.write_csv(test, path, overwrite=True)
+        return IO.read_csv(spark, path)
+    raise AssertionError("an existing output was overwritten")
+
+
+@query("column_check", with_ctes("SELECT pair_id, context, response FROM lang_pairs", "lang_pairs"))
+def column_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named columns are there; one that is not is refused."""
+    lp = fx.lang_pairs(spark, sf_dir)
+    IO.require_columns(lp, "context", "response")
+    try:
+        IO.require_columns(lp, "context", "summary")
+    except ValueError:
+        return lp.select("pair_id", "context", "response")
+    raise AssertionError("an absent column was accepted")
+
+
+@query("cached_table", with_ctes("""
+SELECT split, pair_id FROM lang_pairs WHERE split IN ('train', 'test')
+""", "lang_pairs"))
+def cached_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One copy per plan below one path; asked again, a plan gets its own copy."""
+    path = scratch_path(spark, "cache")
+    lp = fx.lang_pairs(spark, sf_dir).select("split", "pair_id")
+    first = cached_table(spark, lp.filter("split = 'train'"), path)
+    other = cached_table(spark, lp.filter("split = 'test'"), path)
+    again = cached_table(spark, lp.filter("split = 'train'"), path)
+    if first.inputFiles() != again.inputFiles():
+        raise AssertionError("a copy was made twice")
+    return again.unionByName(other)
+
+
 @query("predictions_roundtrip", with_ctes("""
 SELECT lang, system, pos, regexp_replace(prediction, '\\r\\n|\\r|\\n', ' ', 'g') AS prediction FROM prc
 """, "prc"))

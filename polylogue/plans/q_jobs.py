@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import jobs
-from ..session import scratch_path
+from ..session import hadoop_path, scratch_path
 from ..sources import files as IO
 from ..sources.catalog import run_catalog
 from .oracle_ctes import with_ctes
@@ -60,8 +60,12 @@ def _written_ballots(spark: SparkSession, sf_dir: str) -> str:
     IO.write_per_key(tests.select("lang", "split_pos", "pair_id", "context", "response"), f"{root}/tests", "lang", "{}_test.csv", order=["split_pos"])
     lines = fx.clean_predictions(spark, sf_dir).join(tests.select("lang", "pos", "split_pos"), ["lang", "pos"])
     catalog = run_catalog(tests.select("lang"), fx.languages(spark), f"{root}/runs")
-    for r in catalog.collect():  # a file per run, as the generator leaves them
-        IO.write_lines(lines.filter((F.col("lang") == r["lang"]) & (F.col("system") == r["setting"])), r["path"], "prediction", ["split_pos"])
+    IO.write_lines(lines, f"{root}/all", "prediction", ["split_pos"], ["lang", "system"])
+    for r in catalog.collect():  # each run's folder goes where the generator leaves its file
+        fs, target = hadoop_path(spark, r["path"])
+        fs.mkdirs(target.getParent())
+        if not fs.rename(hadoop_path(spark, f"{root}/all/lang={r['lang']}/system={r['setting']}")[1], target):
+            raise OSError(f"no run for {r['path']}")
     # the third column of a test file is the context
     jobs.build_ballots_from_runs(spark, f"{root}/tests", f"{root}/runs", f"{root}/ballots", fx.languages(spark), k=20, context=2)
     return f"{root}/ballots"
