@@ -34,6 +34,8 @@ MIN_DOCS, MIN_CONTEXTS, CONTEXT_SHARE, ODDS = 3, 3, 0.4, 20.0
 CANDIDATES, TABLE_TERMS = 50_000, 150
 #: Letters from which a term may have one edit; words of a hit's window on either side.
 FUZZY_FROM, WINDOW = 5, 8
+#: Weight of misspelled hits before any evidence, as a share of that of exact ones.
+MISSPELLED = 0.8
 #: Documents with at least this score are toxic.
 THRESHOLD = 0.3
 #: Characters of text expanded at once.
@@ -251,15 +253,22 @@ def _evidence(bad: int, good: int, share: float) -> float:
     return bad * np.log(own / share) + (good * np.log((1 - own) / (1 - share)) if good else 0.0)
 
 
-def _fit(counts: np.ndarray, toxic: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps over cells of equal counts."""
+def _fit(counts: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic regression over cells of equal counts. Misspelled hits are taken to weigh
+    MISSPELLED times what exact hits do, until texts that hold some show otherwise."""
     x = _features(counts)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    for _ in range(50):
+    w = _newton(x, toxic, n, np.zeros(x.shape[1]))
+    prior = np.zeros(x.shape[1])
+    prior[4:7] = MISSPELLED * np.maximum(w[1:4], 0)
+    return _newton(x, toxic, n, prior)
+
+
+def _newton(x: np.ndarray, toxic: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    w = prior.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - toxic)) + penalty * w
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), gradient)
+        gradient = x.T @ (n * (p - toxic)) + ridge * (w - prior)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
