@@ -80,8 +80,9 @@ def quote_threads(rows: DataFrame) -> DataFrame:
     climb = stored(tree.select("conv_id", "turn", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")), "depths")
     while not climb.where("up is not null").isEmpty():
         over = climb.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        climb = stored(climb.join(over, ["conv_id", "up"], "left")
-                       .select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        further = (climb.where("up is not null").join(over, ["conv_id", "up"], "left")
+                   .select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        climb = stored(climb.where("up is null").unionByName(further), "depths")
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.filter(lines, lambda x: ~x.rlike(_MARKS))
