@@ -25,7 +25,7 @@ WILD = "<*>"
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """(doc_id, line_no, masked, path) of the lines that are not blank."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    trimmed = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    trimmed = F.btrim("line", F.lit(" \t\r"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(trimmed, r"[^ \t\r0-9]*[0-9][^ \t\r]*", WILD)).otherwise(trimmed)
     lines = lines.select("doc_id", "line_no", masked.alias("masked")).where("masked <> ''")
     words = F.split("masked", r"[ \t\r]+")
