@@ -141,9 +141,9 @@ def with_revisits(records: DataFrame) -> DataFrame:
     """``records`` with refers_to: of equal payloads of responses with numbers, the smallest number stays whole."""
     own = records.where("type = 'response' and number is not null").select("digest", "number", "record_id", "date", "uri")
     first = own.groupBy("digest").agg(F.min(F.struct("number", "record_id", "date", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = (own.select("digest", "number").join(first, "digest").where(F.col("number") != F.col("first.number"))
-             .select("number", F.col("first").alias("refers_to")).dropDuplicates(["number"]))
-    return records.join(again, "number", "left")
+    again = (own.select("digest", "number", "record_id").join(first, "digest").where(F.col("number") != F.col("first.number"))
+             .select("record_id", F.col("first").alias("refers_to")).dropDuplicates(["record_id"]))
+    return records.join(again, "record_id", "left")
 
 
 def _record_text() -> F.Column:
@@ -163,9 +163,11 @@ def _record_text() -> F.Column:
 
 
 def write_warcs(records: DataFrame, path: str, archives: int) -> None:
-    """Write ``records`` (with refers_to) as about ``archives`` compressed WARC files below ``path``."""
-    spread = records.repartition(archives, F.xxhash64("record_id"))
-    spread.select(_record_text().alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """Write ``records`` as about ``archives`` compressed WARC files below ``path``, equal payloads as revisits.
+
+    Payloads move once: the partitions by record_id that hold an archive each are also what the revisits join.
+    """
+    with_revisits(records.repartition(archives, "record_id")).select(_record_text().alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
@@ -259,7 +261,7 @@ def pages_through_warc(pages: DataFrame, path: str) -> DataFrame:
     """
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
-    records = with_revisits(convert(legacy_archives(pages)).where("type <> 'warcinfo'"))
+    records = convert(legacy_archives(pages)).where("type <> 'warcinfo'")
     write_warcs(records, path, max(1, -(-total // ARCHIVE_BYTES)))
     back = read_warcs(spark, path, payloads=False)
     ids = back.where("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("number").alias("refers_to")).dropDuplicates(["refers_to_id"])
