@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, stored, text_chunks
+from .common import mix, salted_left_join, span_hashes, stored, text_chunks
 
 #: Mean chunk length beyond the least (bytes, a power of two), least and greatest length.
 CHUNK_MEAN, CHUNK_MIN, CHUNK_MAX = 4096, 1024, 32768
@@ -123,7 +123,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
             .drop("ranks"))
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     copied = groups.where("group_size > 1")
-    return (recipes.join(copied, "recipe", "left")
+    return (salted_left_join(recipes, copied, "recipe", "doc_id")
             .select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                     F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
                     F.coalesce(F.col("group_size").isNull() | (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"), "text_sha256"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polylogue.session import scratch_path
+from polylogue.session import hadoop_path, scratch_path
 
 #: Bytes of text that a task expands into numpy arrays at once; one longer text is its own chunk.
 CHUNK_BYTES = 1 << 20
@@ -31,9 +31,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables stored on the way to a result; ``drop`` removes them once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            fs, p = hadoop_path(self.spark, path)
+            fs.delete(p, True)
+        self.paths.clear()
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """``left`` with the columns of the one row of ``right`` of its key; rows of a hot key are dealt to ``salts`` tasks."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("_salt")
+    many = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return left.select("*", salt).join(many, [key, "_salt"], "left").drop("_salt")
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty."""
-    texts = batch.column(column).fill_null("").cast(pa.large_string())
+    texts = batch.column(column)
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
     if not len(texts):
         return
     _, offs, data = texts.buffers()
@@ -45,6 +73,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         hi = min(hi, len(texts))
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -150,20 +179,21 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np
     return row[new], h[new]
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, label) of the nodes in ``links`` (a, b): label is the smallest id reachable.
 
     Every round gives a node the smallest label near it and then that label's own
     label, so paths halve; each round is written to the shared folder.
     """
-    edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
+    keep = (scratch or Scratch(spark)).stored
+    edges = keep(links.select("a", "b").where("a <> b").distinct(), "links")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        step = stored(step.join(jump, "label", "left").select("id", "was", F.least("label", "next").alias("label")), "labels")
+        step = keep(step.join(jump, "label", "left").select("id", "was", F.least("label", "next").alias("label")), "labels")
         labels = step.select("id", "label")
         if step.where("was <> label").isEmpty():
             return labels

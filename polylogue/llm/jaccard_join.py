@@ -10,10 +10,13 @@ shingles that are frequent in the corpus last; it affects the work only.
 A pair is first bounded: with h differing bits between two hashed bitmaps of
 the same width, the sets share at most (n_a + n_b - h) / 2 shingles. Pairs that
 the bound leaves are decided by intersecting the sorted arrays. A first round
-links each set with the smallest id of its buckets; the second looks only at
-buckets that still hold more than one component, at pairs across components.
-Thus a large group of copies costs a star of links, not all its pairs, and no
-link between different components is lost.
+links each set with one smaller id of its buckets, so that a large group of copies
+costs a star and not all its pairs. The second round looks only at buckets that
+still hold several components, at pairs across components that share as many
+prefix shingles as a link must. In buckets with many such pairs (a passage that many
+texts share) these shingles are counted against blocks of sets, an index in
+the task's memory, and only pairs with enough of them come out. So no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -23,18 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, shingle_sets, stored, text_chunks
+from .common import Scratch, components, salted_left_join, shingle_sets, stored, text_chunks
 
 #: A shingle in more than this share of the texts is ordered last. The share bounds
 #: their number by (mean set size / share), whatever the corpus; the list is cut at HOT_MAX.
 HOT_SHARE, HOT_MAX = 1 / 2000, 1_000_000
-#: Shingles that a task counts together when it looks for frequent ones.
-WINDOW = 2_000_000
+#: Shingles that a task counts together when it looks for frequent ones, and the part of the
+#: hash range it looks at: prefixes, the first quarter in order of the hashes, rarely reach beyond.
+WINDOW, REACH = 1_500_000, 0.4
 #: Up to so many ids, those to be verified are broadcast (8 bytes each); beyond, they are joined.
-IDS_MAX = 1_000_000
+IDS_MAX = 500_000
+#: A bucket is heavy if its pairs across components are more than HEAVY times its rows; sets of
+#: heavy buckets that are sent to the tasks as one index.
+HEAVY, BLOCK = 4, 50_000
 
 
 def _frequent(share: float):
@@ -49,6 +56,7 @@ def _frequent(share: float):
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, "text"):
                 h = shingle_sets(data, offs)[1]
+                h = h[h < np.uint64(int(REACH * 2**64))]
                 held.append(h)
                 n_held, n_docs = n_held + len(h), n_docs + hi - lo
                 if n_held >= WINDOW:
@@ -60,8 +68,11 @@ def _frequent(share: float):
 
 
 def frequent_shingles(docs: DataFrame, share: float = HOT_SHARE) -> np.ndarray:
-    """Shingles found in at least ``share`` of the texts, rarest first (an order for the prefixes, at most HOT_MAX)."""
-    least = max(3.0, share * docs.count())
+    """Shingles found in about ``share`` of the texts or more, rarest first (an order for the prefixes, at most HOT_MAX).
+
+    Tasks report what stands out among their own texts, so a count is a lower bound, and a quarter of it is asked for.
+    """
+    least = max(3.0, share * docs.count() / 4)
     rows = (docs.select("text").mapInArrow(_frequent(share), "shingle long, n long")
             .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             .orderBy(F.desc("n"), "shingle").limit(HOT_MAX).toPandas())
@@ -76,31 +87,30 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").view(np.int64)
 
 
+def _prefix_lists(row: np.ndarray, h: np.ndarray, ends: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> list[np.ndarray | None]:
+    """The n - ceil(3n/4) + 1 first shingles of each row's set; those of ``hot`` (sorted) come last, in order of ``rank``."""
+    key = h >> np.uint64(1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        is_hot = hot[at] == h
+        key[is_hot] = np.uint64(1 << 63) + rank[at[is_hot]]
+    order = np.lexsort((h, key, row))  # equal keys (two shingles that differ in the dropped bit) are settled by the hash
+    ordered = h[order].view(np.int64)
+    size = np.diff(ends)
+    return [ordered[a:a + n - (3 * n + 3) // 4 + 1] if n else None for a, n in zip(ends[:-1].tolist(), size.tolist(), strict=True)]
+
+
 def _describe(hot, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_sorted, rank = hot.value, order.value
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, "text"):
                 row, h = shingle_sets(data, offs)
-                key = h >> np.uint64(1)
-                if len(hot_sorted):
-                    at = np.minimum(np.searchsorted(hot_sorted, h), len(hot_sorted) - 1)
-                    is_hot = hot_sorted[at] == h
-                    key[is_hot] = np.uint64(1 << 63) + rank[at[is_hot]]
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                keys, maps, prefixes = [], [], []
+                prefixes = _prefix_lists(row, h, ends, hot.value, order.value)
+                keys, maps = [], []
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    n = b - a
-                    if not n:
-                        keys.append(None), maps.append(None), prefixes.append(None)
-                        continue
-                    own = h[a:b]
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    maps.append(_bitmap(own))
-                    p = n - (3 * n + 3) // 4 + 1
-                    k = key[a:b]
-                    # equal keys (two shingles that differ in the dropped bit) are settled by the hash
-                    prefixes.append(own[np.lexsort((own, k))[:p]].view(np.int64))
+                    keys.append(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None)
+                    maps.append(_bitmap(h[a:b]) if b > a else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), pa.array(keys, pa.binary()),
                      pa.array(maps, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -109,19 +119,13 @@ def _describe(hot, order):
     return run
 
 
-def _sets(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            if wanted is not None:
-                batch = batch.filter(pa.array(np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), wanted.value)))
-            for lo, hi, data, offs in text_chunks(batch, "text"):
-                row, h = shingle_sets(data, offs)
-                ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), values], ["id", "shingles"])
-
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offs in text_chunks(batch, "text"):
+            row, h = shingle_sets(data, offs)
+            ends = np.searchsorted(row, np.arange(hi - lo + 1))
+            values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), values], ["doc_id", "shingles"])
 
 
 def _bitmap_bound() -> F.Column:
@@ -145,25 +149,30 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return sizes.where(7 * _bitmap_bound() >= 3 * (na + nb))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+_SETS = "doc_id long, shingles array<long>"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (ids a, b) that are links, by intersecting the whole sets."""
-    spark = docs.sparkSession
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    source = docs
-    wanted = None
-    few = ids.limit(IDS_MAX + 1).count() <= IDS_MAX
-    if few:
-        found = ids.toPandas()["doc_id"].to_numpy(np.int64)
-        wanted = spark.sparkContext.broadcast(np.sort(found))
-    else:
-        source = docs.join(ids, "doc_id", "left_semi")
-    sets = source.mapInArrow(_sets(wanted), "id long, shingles array<long>").dropDuplicates(["id"])
-    sets = stored(sets, "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    joined = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    pairs = scratch.stored(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = scratch.stored(_of_ids(docs, ids, _sets, _SETS), "sets")  # a repeated row repeats its links only
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return scratch.stored(joined.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "verified")
+
+
+def _sent(spark: SparkSession, hot: np.ndarray) -> tuple:
+    """Broadcasts of the sorted shingles of ``hot`` and of their places in it."""
+    at = np.argsort(hot)
+    send = spark.sparkContext.broadcast
+    return send(hot[at]), send(at.astype(np.uint64))
+
+
+def _described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Size, key, bitmap and prefix of each text's set, with the shingles of ``hot`` last, in its order."""
+    return docs.mapInArrow(_describe(*_sent(docs.sparkSession, hot)), "doc_id long, n long, set_key binary, bitmap array<long>, prefix array<long>")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -176,50 +185,159 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = Scratch(spark)
     hot = frequent_shingles(docs)
-    at = np.argsort(hot)
-    send = spark.sparkContext.broadcast
-    base = stored(docs.mapInArrow(_describe(send(hot[at]), send(at.astype(np.uint64))),
-                                  "doc_id long, n long, set_key binary, bitmap array<long>, prefix array<long>"), "shingled")
+    base = scratch.stored(_described(docs, hot), "shingled")
     classes = base.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = (base.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("of")), "doc_id")
             .where("set_key = of"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("band")
-    tokens = reps.select("doc_id", "n", band, "bitmap", F.explode("prefix").alias("token"))
+    tokens = reps.select("doc_id", F.explode("prefix").alias("token"))
     # only shingles that two sets have in their prefixes make a bucket
-    keys = tokens.select("token", "doc_id")
-    shared = stored(keys.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre"))
-                    .where("m > 1").select("token", "centre"), "buckets")
-    in_bucket = stored(keys.join(shared, "token"), "bucketed")
+    bucket = Window.partitionBy("token")
+    in_bucket = (tokens.withColumns({"m": F.count("*").over(bucket), "centre": F.min("doc_id").over(bucket)})
+                 .where("m > 1").drop("m"))
+    in_bucket = scratch.stored(in_bucket, "bucketed")
+    # one link for each set first, to the smallest id it shares most shingles with
+    met = in_bucket.where("centre < doc_id").groupBy("doc_id", "centre").agg(F.count("*").alias("k"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("k", -F.col("centre"))).alias("best"))
     about = reps.select("doc_id", "n", band, "bitmap")
-    about = stored(about.join(in_bucket.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "about")
+    about = scratch.stored(about.join(in_bucket.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "about")
     one = lambda c, x: about.select(F.col("doc_id").alias(c), F.struct("n", "bitmap").alias(x))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _verified(_possible(pairs.join(one("a_id", "a"), "a_id").join(one("b_id", "b"), "b_id"))
-                         .select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), docs)
-
-    star = linked(in_bucket.where("centre < doc_id").select(F.col("centre").alias("a_id"), F.col("doc_id").alias("b_id")).distinct())
-    first = components(spark, star)
-
-    # across components: buckets that hold two or more, by tiles of neighbouring size bands
-    known = (in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id")
-             .join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    known = stored(known, "labelled")
-    mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = known.join(mixed, "token", "left_semi")
-    own = rows.select("token", F.col("band").alias("tile"), F.col("doc_id").alias("x_id"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-    met = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.col("band").alias("y_band"),
-                      F.col("doc_id").alias("y_id"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
-    across = (own.join(met, ["token", "tile"])
-              .where("x_label <> y_label and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and (y_band < tile or x_id < y_id)")
-              .select(F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id")).distinct())
-    late = linked(across)
-    label = components(spark, star.unionByName(late)) if not late.isEmpty() else first
+    def bounded(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(one("a_id", "a"), "a_id").join(one("b_id", "b"), "b_id")
+        return _possible(both).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+    links = _verified(bounded(best.select((-F.col("best.col2")).alias("a_id"), F.col("doc_id").alias("b_id"))), docs, scratch)
+    label = components(spark, links, scratch)
+
+    # what still lies between components: in light buckets pair by pair, in heavy ones by blocks of sets
+    known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
+    shares = known.groupBy("token", "label").agg(F.count("*").alias("c"))
+    buckets = (shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
+               .where("m * m > own")
+               .select("token", F.col("top.label").alias("top"), ((F.col("m") * F.col("m") - F.col("own")) / 2 > HEAVY * F.col("m")).alias("heavy")))
+    mixed = scratch.stored(known.join(buckets, "token"), "mixed")
+    heavy = (mixed.where("heavy").groupBy("doc_id", "n", "label")
+             .agg(F.collect_list("token").alias("tokens"), F.max(F.col("label") != F.col("top")).alias("minor")))
+    heavy = scratch.stored(heavy.join(about.select("doc_id", "bitmap"), "doc_id"), "heavy")
+    light = mixed.where("not heavy").join(heavy.select("doc_id", F.size("tokens").alias("h")), "doc_id", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    pairs = bounded(_meeting(light))
+    blocks = -(-heavy.where("minor").count() // BLOCK)
+    for block in range(blocks):
+        part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
+        pairs = pairs.unionByName(_meeting_block(heavy, part))
+    found = _verified(pairs.distinct(), docs, scratch)
+    if not found.isEmpty():
+        label = components(spark, links.unionByName(found), scratch)
 
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    return (base.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")))
+    out = (salted_left_join(base.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", "doc_id")
+           .select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")))
+    out = stored(out, "components")
+    scratch.drop()
+    return out
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component of each set, at first its own id."""
+    return rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def _least_shared(na, nb):
+    """Prefix shingles that the sets of a link of sizes ``na`` and ``nb`` have in common at least (numpy)."""
+    shared = -(-3 * (na + nb) // 7)
+    spare = lambda n: n - (3 * n + 3) // 4 + 1 - (n - shared)
+    return np.maximum(1, np.minimum(spare(na), spare(nb)))
+
+
+def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b): sets of ``rows`` that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
+
+    ``part``, a block of sets that are not of the largest component of all their buckets, is sent
+    to the tasks as an index from shingle to set; two sets of the largest component need no comparison.
+    Pairs that also share a light shingle are found there, so heavy ones alone must suffice.
+    """
+    found = part.select("doc_id", "n", "label", "tokens", "bitmap").toPandas()
+    ids, sizes, labels = (found[c].to_numpy(np.int64) for c in ("doc_id", "n", "label"))
+    lengths = [len(t) for t in found["tokens"]]
+    tokens = np.concatenate([np.zeros(0, np.int64), *found["tokens"]])
+    order = np.argsort(tokens, kind="stable")
+    widths = np.array([len(x) for x in found["bitmap"]], np.int64)
+    maps, place = {}, np.zeros(len(ids), np.int64)
+    for w in np.unique(widths):  # a matrix of bitmaps for each width
+        own = np.flatnonzero(widths == w)
+        maps[int(w)], place[own] = np.stack(found["bitmap"].iloc[own].tolist()), np.arange(len(own))
+    sent = rows.sparkSession.sparkContext.broadcast((ids, sizes, labels, tokens[order], np.repeat(np.arange(len(ids)), lengths)[order], widths, place, maps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, labels, tokens, owner, widths, place, maps = sent.value
+        for batch in batches:
+            pairs = [np.zeros((2, 0), np.int64)]
+            plain = (batch.column(c).to_pylist() for c in ("doc_id", "n", "label", "minor"))
+            for doc, n, label, minor, own, bits in zip(*plain, batch.column("tokens"), batch.column("bitmap"), strict=True):
+                own = own.values.to_numpy()
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                size = hi - lo
+                ends = np.cumsum(size)
+                at = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
+                who, k = np.unique(owner[at], return_counts=True)
+                m = sizes[who]
+                ok = (labels[who] != label) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (k >= _least_shared(m, n))
+                if minor:  # a pair of two such sets is met from either side
+                    ok &= ids[who] > doc
+                who = who[ok]
+                differing = _differing(bits.values.to_numpy(), who, widths, place, maps)
+                who = who[7 * ((n + sizes[who] - differing) // 2) >= 3 * (n + sizes[who])]
+                other = ids[who]
+                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc)]))
+            a, b = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long")
+
+
+def _differing(bits: np.ndarray, who: np.ndarray, widths: np.ndarray, place: np.ndarray, maps: dict[int, np.ndarray]) -> np.ndarray:
+    """Differing bits of a bitmap and those of the sets ``who``, the wider folded to the narrower."""
+    out, w = np.zeros(len(who), np.int64), len(bits)
+    for v in np.unique(widths[who]).tolist():
+        at = np.flatnonzero(widths[who] == v)
+        other, own = maps[v][place[who[at]]], bits
+        if v > w:
+            other = np.bitwise_or.reduce(other.reshape(len(at), v // w, w), axis=1)
+        elif v < w:
+            own = np.bitwise_or.reduce(own.reshape(w // v, v), axis=0)
+        out[at] = np.bitwise_count((other ^ own).view(np.uint64)).sum(axis=1)
+    return out
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(a_id, b_id): sets of different components that share enough shingles of their prefixes.
+
+    ``rows`` has token, doc_id, n, band, label and h, the number of a set's prefix shingles that are left out here.
+    At least min(p_a - d_a, p_b - d_b) prefix shingles of a linked pair are common, where p is
+    a prefix's length and d what a set may hold that the other lacks.
+    """
+    own = rows.select("token", F.col("band").alias("tile"), F.struct("doc_id", "n", "h", "label").alias("x"))
+    met = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.struct("doc_id", "n", "h", "label", "band").alias("y"))
+    pairs = own.join(met, ["token", "tile"]).where(
+        "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and (y.band < tile or x.doc_id < y.doc_id)")
+    flip = F.col("x.doc_id") < F.col("y.doc_id")
+    pairs = pairs.select(F.when(flip, F.struct("x.doc_id", "x.n", "x.h")).otherwise(F.struct("y.doc_id", "y.n", "y.h")).alias("a"),
+                         F.when(flip, F.struct("y.doc_id", "y.n", "y.h")).otherwise(F.struct("x.doc_id", "x.n", "x.h")).alias("b"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
+    least = F.ceil((3 * (F.col("a.n") + F.col("b.n"))) / F.lit(7.0) - 1e-9)
+    spare = lambda x: F.col(f"{x}.n") - F.ceil(3 * F.col(f"{x}.n") / F.lit(4.0)) + 1 - (F.col(f"{x}.n") - least)
+    enough = F.col("k") + F.least(F.col("a.h"), F.col("b.h")) >= F.least(spare("a"), spare("b"))
+    return counted.where(enough).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"))
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow(run)`` over the rows of ``docs`` with one of ``ids``, which are broadcast up to IDS_MAX and joined beyond."""
+    ids = ids.distinct()
+    few = ids.limit(IDS_MAX + 1).count() <= IDS_MAX
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, schema)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,9 +104,11 @@ def near_rows(prose):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1 / 2000, 0.02])
-def test_components_equal_brute_force(frame, prose, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "heavy", "block"), [(1 / 2000, 8, 10**6), (0.02, 8, 10**6), (1.0, 0.4, 10**6), (1.0, 0.4, 15)])
+def test_components_equal_brute_force(frame, prose, monkeypatch, hot, heavy, block):
     rows = near_rows(prose)
+    monkeypatch.setattr(J, "HEAVY", heavy)
+    monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J.frequent_shingles, "__defaults__", (hot,))
     got = J.jaccard_components(frame(rows)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
