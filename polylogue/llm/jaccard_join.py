@@ -41,7 +41,7 @@ WINDOW, REACH = 1_500_000, 0.4
 IDS_MAX = 500_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; sets of
 #: heavy buckets that are sent to the tasks as one index.
-HEAVY, BLOCK = 4, 50_000
+HEAVY, BLOCK = 4, 20_000
 
 
 def _frequent(share: float):
@@ -259,16 +259,16 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
     to the tasks as an index from shingle to set; two sets of the largest component need no comparison.
     Pairs that also share a light shingle are found there, so heavy ones alone must suffice.
     """
-    found = part.select("doc_id", "n", "label", "tokens", "bitmap").toPandas()
-    ids, sizes, labels = (found[c].to_numpy(np.int64) for c in ("doc_id", "n", "label"))
-    lengths = [len(t) for t in found["tokens"]]
-    tokens = np.concatenate([np.zeros(0, np.int64), *found["tokens"]])
+    found = part.select("doc_id", "n", "label", "tokens", "bitmap").toArrow()
+    ids, sizes, labels = (found.column(c).to_numpy() for c in ("doc_id", "n", "label"))
+    lengths, tokens = _flat(found.column("tokens"))
     order = np.argsort(tokens, kind="stable")
-    widths = np.array([len(x) for x in found["bitmap"]], np.int64)
+    widths, words = _flat(found.column("bitmap"))
+    begins = np.cumsum(widths) - widths
     maps, place = {}, np.zeros(len(ids), np.int64)
     for w in np.unique(widths):  # a matrix of bitmaps for each width
         own = np.flatnonzero(widths == w)
-        maps[int(w)], place[own] = np.stack(found["bitmap"].iloc[own].tolist()), np.arange(len(own))
+        maps[int(w)], place[own] = words[begins[own][:, None] + np.arange(w)], np.arange(len(own))
     sent = rows.sparkSession.sparkContext.broadcast((ids, sizes, labels, tokens[order], np.repeat(np.arange(len(ids)), lengths)[order], widths, place, maps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +298,13 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long")
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each list, all elements)."""
+    lengths = [np.diff(np.asarray(c.offsets)).astype(np.int64) for c in lists.chunks]
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks]
+    return np.concatenate([np.zeros(0, np.int64), *lengths]), np.concatenate([np.zeros(0, np.int64), *values])
+
+
 def _differing(bits: np.ndarray, who: np.ndarray, widths: np.ndarray, place: np.ndarray, maps: dict[int, np.ndarray]) -> np.ndarray:
     """Differing bits of a bitmap and those of the sets ``who``, the wider folded to the narrower."""
     out, w = np.zeros(len(who), np.int64), len(bits)
