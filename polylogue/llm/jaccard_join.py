@@ -153,14 +153,14 @@ _SETS = "doc_id long, shingles array<long>"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs`` (ids a, b) that are links, by intersecting the whole sets."""
+    """(a, b): the components la and lb of those ``pairs`` (ids a, b) that are links, by intersecting the whole sets."""
     pairs = scratch.stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     sets = scratch.stored(_of_ids(docs, ids, _sets, _SETS), "sets")  # a repeated row repeats its links only
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return scratch.stored(joined.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "verified")
+    return scratch.stored(joined.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "verified")
 
 
 def _sent(spark: SparkSession, hot: np.ndarray) -> tuple:
@@ -207,9 +207,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     def bounded(pairs: DataFrame) -> DataFrame:
         both = pairs.join(one("a_id", "a"), "a_id").join(one("b_id", "b"), "b_id")
-        return _possible(both).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        return _possible(both).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "la", "lb")
 
-    links = _verified(bounded(best.select((-F.col("best.col2")).alias("a_id"), F.col("doc_id").alias("b_id"))), docs, scratch)
+    star = best.select((-F.col("best.col2")).alias("a_id"), F.col("doc_id").alias("b_id"))
+    links = _verified(bounded(star.withColumns({"la": F.col("a_id"), "lb": F.col("b_id")})), docs, scratch)
     label = components(spark, links, scratch)
 
     # what still lies between components: in light buckets pair by pair, in heavy ones by blocks of sets
@@ -229,10 +230,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
         pairs = pairs.unionByName(_meeting_block(heavy, part))
     found = _verified(pairs.distinct(), docs, scratch)
-    if not found.isEmpty():
-        label = components(spark, links.unionByName(found), scratch)
-
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
+    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
+    joined = components(spark, found, scratch).select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components, one link for two
+    named = named.join(joined, "first", "left").select("set_key", F.coalesce("last", "first").alias("component"))
     out = (salted_left_join(base.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", "doc_id")
            .select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")))
     out = stored(out, "components")
@@ -253,7 +253,7 @@ def _least_shared(na, nb):
 
 
 def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """(a, b): sets of ``rows`` that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
+    """(a, b, la, lb): sets of ``rows``, with their components, that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
 
     ``part``, a block of sets that are not of the largest component of all their buckets, is sent
     to the tasks as an index from shingle to set; two sets of the largest component need no comparison.
@@ -274,7 +274,7 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, labels, tokens, owner, widths, place, maps = sent.value
         for batch in batches:
-            pairs = [np.zeros((2, 0), np.int64)]
+            pairs = [np.zeros((4, 0), np.int64)]
             plain = (batch.column(c).to_pylist() for c in ("doc_id", "n", "label", "minor"))
             for doc, n, label, minor, own, bits in zip(*plain, batch.column("tokens"), batch.column("bitmap"), strict=True):
                 own = own.values.to_numpy()
@@ -291,11 +291,11 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
                 differing = _differing(bits.values.to_numpy(), who, widths, place, maps)
                 who = who[7 * ((n + sizes[who] - differing) // 2) >= 3 * (n + sizes[who])]
                 other = ids[who]
-                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc)]))
-            a, b = np.concatenate(pairs, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                first = other < doc
+                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc), np.where(first, labels[who], label), np.where(first, label, labels[who])]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(pairs, axis=1)], ["a", "b", "la", "lb"])
 
-    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long")
+    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long, la long, lb long")
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +320,7 @@ def _differing(bits: np.ndarray, who: np.ndarray, widths: np.ndarray, place: np.
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """(a_id, b_id): sets of different components that share enough shingles of their prefixes.
+    """(a_id, b_id, la, lb): sets of different components, and these, that share enough shingles of their prefixes.
 
     ``rows`` has token, doc_id, n, band, label and h, the number of a set's prefix shingles that are left out here.
     At least min(p_a - d_a, p_b - d_b) prefix shingles of a linked pair are common, where p is
@@ -331,13 +331,13 @@ def _meeting(rows: DataFrame) -> DataFrame:
     pairs = own.join(met, ["token", "tile"]).where(
         "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and (y.band < tile or x.doc_id < y.doc_id)")
     flip = F.col("x.doc_id") < F.col("y.doc_id")
-    pairs = pairs.select(F.when(flip, F.struct("x.doc_id", "x.n", "x.h")).otherwise(F.struct("y.doc_id", "y.n", "y.h")).alias("a"),
-                         F.when(flip, F.struct("y.doc_id", "y.n", "y.h")).otherwise(F.struct("x.doc_id", "x.n", "x.h")).alias("b"))
+    part = lambda c: F.struct(*(f"{c}.{k}" for k in ("doc_id", "n", "h", "label")))
+    pairs = pairs.select(F.when(flip, part("x")).otherwise(part("y")).alias("a"), F.when(flip, part("y")).otherwise(part("x")).alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
     least = F.ceil((3 * (F.col("a.n") + F.col("b.n"))) / F.lit(7.0) - 1e-9)
     spare = lambda x: F.col(f"{x}.n") - F.ceil(3 * F.col(f"{x}.n") / F.lit(4.0)) + 1 - (F.col(f"{x}.n") - least)
     enough = F.col("k") + F.least(F.col("a.h"), F.col("b.h")) >= F.least(spare("a"), spare("b"))
-    return counted.where(enough).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"))
+    return counted.where(enough).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
