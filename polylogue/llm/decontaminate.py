@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the three-word sequences of a test item that are rare in the corpus by
-the item's own measure: their document frequency is close to the item's lower
-quartile. So sequences of common words drop out, while an item that has leaked
-into many documents keeps its seeds. Training passages around seeds are joined to
-the items of those seeds, and local alignment of the words scores how much of an
-item a passage holds, with edits, gaps and changed words. Documents are read in
-place; only passages around seeds move.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Seeds are all three-word sequences of a test item, however many documents hold
+them, so that a passage held by thousands of documents counts like any other. Of
+the words around a document's seeds, those go on to alignment that hold enough of
+an item's words to reach the least score at all, a bound that loses nothing. Local
+alignment of the words scores how much of an item a passage holds, with edits, gaps
+and changed words. Documents are read in place and nothing of them moves.
 """
 
 from __future__ import annotations
@@ -16,15 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import flagged_spans, mix, span_hashes, text_chunks
 
 #: Words of a seed; seeds of one block of items, which is what a pass over the corpus broadcasts.
 SEED_WORDS, BLOCK_SEEDS = 3, 2_000_000
-#: A sequence is rare for its item up to RARE times the lower quartile of document frequencies, and RARE_MORE.
-RARE, RARE_MORE = 2.0, 2
+#: Words around seeds that are bounded at once.
+AROUND_WORDS = 1 << 21
 #: Alignment scores of a match, a changed word and a gap; share of an item's full score that marks a leak.
 MATCH, CHANGE, GAP, LEAK = 2, -1, -1, 0.5
 
@@ -60,12 +59,9 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in _lower_chunks(batch):
             row, words = _words(data, offs)
-            at, grams = _grams(row, words)
             ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-            gram_ends = np.searchsorted(row[at], np.arange(hi - lo + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(gram_ends), pa.array(grams.view(np.int64)))], ["item_id", "words", "grams"])
+                [batch.column("item_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64)))], ["item_id", "words"])
 
 
 def _found(seeds: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -73,50 +69,66 @@ def _found(seeds: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return seeds[at] == grams
 
 
-def _document_frequency(sent):
-    """(gram, texts): a row per gram and task batch, each text counted once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for _, _, data, offs in _lower_chunks(batch):
-                row, words = _words(data, offs)
-                at, grams = _grams(row, words)
-                hit = _found(sent.value, grams)
-                pairs = np.unique(np.stack([grams[hit], row[at[hit]].astype(np.uint64)]), axis=1)
-                found.append(pairs[0])
-            grams, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    return run
-
-
-def _passages(sent):
-    """(doc_id, start, words, seeds) of the passages around seeds; start counts words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, reach = sent.value
-        for batch in batches:
-            for lo, _hi, data, offs in _lower_chunks(batch):
-                row, words = _words(data, offs)
-                at, grams = _grams(row, words)
-                hit = _found(seeds, grams)
-                at, grams = at[hit], grams[hit]
-                first = np.searchsorted(row, np.arange(len(offs)))
-                new = np.ones(len(at), bool)
-                new[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] - at[:-1] > reach)
-                cuts = np.append(np.flatnonzero(new), len(at))
-                ids, starts, texts, found = [], [], [], []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    r = row[at[a]]
-                    s, e = max(first[r], at[a] - reach), min(first[r + 1], at[b - 1] + SEED_WORDS + reach)
-                    ids.append(lo + r)
-                    starts.append(s - first[r])
-                    texts.append(words[s:e].view(np.int64))
-                    found.append(np.unique(grams[a:b]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()),
-                     pa.array(texts, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "start", "words", "seeds"])
-
-    return run
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Items:
+    """The words of a block of items, the items of each seed, and how far an alignment worth ``least`` reaches from a seed."""
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], least: float):
+        self.ids, self.words, self.least = ids, words, least
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        # what gaps may cost an item of which all words match, and its own words
+        self.reach = np.ceil(self.sizes * (1 + (1 - least) * MATCH / -GAP)).astype(np.int64)
+        every = np.concatenate(words)
+        self.vocabulary, self.codes = np.unique(every, return_inverse=True)
+        owner = np.repeat(np.arange(len(words)), self.sizes)
+        at, grams = _grams(owner, every)
+        owner = owner[at]
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        self.owner = owner[new]
+        self.seeds, self.seed_firsts, self.seed_items = np.unique(grams[new], return_index=True, return_counts=True)
+
+    def around(self, row: np.ndarray, words: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, start, end) of the passages around seeds that hold enough words of their item."""
+        at, grams = _grams(row, words)
+        hit = _found(self.seeds, grams)
+        at, seed = at[hit], np.searchsorted(self.seeds, grams[hit])
+        first = np.searchsorted(row, np.arange(n_rows + 1))
+        known = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = np.where(self.vocabulary[known] == words, known, -1)
+        far = np.concatenate(([0], np.cumsum(self.reach[self.owner])))
+        load = np.cumsum(far[self.seed_firsts[seed] + self.seed_items[seed]] - far[self.seed_firsts[seed]])
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + AROUND_WORDS, "right")))
+            n = self.seed_items[seed[i:j]]
+            item, place = self.owner[_spread(self.seed_firsts[seed[i:j]], n)], np.repeat(at[i:j], n)
+            order = np.lexsort((place, item, row[place]))
+            item, place = item[order], place[order]
+            of, reach = row[place], self.reach[item]
+            new = np.ones(len(item), bool)
+            new[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[1:])
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(item)) - 1
+            of, item, reach = of[a], item[a], reach[a]
+            starts, ends = np.maximum(first[of], place[a] - reach), np.minimum(first[of + 1], place[b] + SEED_WORDS + reach)
+            # no score is above that of the item's words that stand anywhere in the passage
+            size, width = self.sizes[item], ends - starts
+            which, pair = known[_spread(starts, width)], np.repeat(np.arange(len(item)), width)
+            there = np.unique((pair * len(self.vocabulary) + which)[which >= 0])
+            pair = np.repeat(np.arange(len(item)), size)
+            wanted = pair * len(self.vocabulary) + self.codes[_spread(self.firsts[item], size)]
+            held = np.bincount(pair[_found(there, wanted)], minlength=len(item))
+            keep = (MATCH * held) / (MATCH * size) >= self.least
+            yield of[keep], item[keep], starts[keep], ends[keep]
+            i = j
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,27 +156,47 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     return best, end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        items = [x.values.to_numpy() for x in batch.column("item_words")]
-        passages = [x.values.to_numpy() for x in batch.column("words")]
-        scores, starts, ends = np.zeros(len(items)), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-        order = sorted(range(len(items)), key=lambda i: len(passages[i]))
-        i = 0
-        while i < len(order):
-            j = i + 1
-            while j < len(order) and (j + 1 - i) * len(passages[order[j]]) <= 1 << 17:
-                j += 1
-            pick = order[i:j]
-            best, end = smith_waterman([items[k] for k in pick], [passages[k] for k in pick])
+def _align(items: list[np.ndarray], passages: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, start, end) of the best alignment of each pair; start and end only where the score is ``least`` or more."""
+    scores, starts, ends = np.zeros(len(items)), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    order = sorted(range(len(items)), key=lambda i: len(passages[i]))
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * len(passages[order[j]]) <= 1 << 17:
+            j += 1
+        pick = order[i:j]
+        best, end = smith_waterman([items[k] for k in pick], [passages[k] for k in pick])
+        scores[pick] = best / (MATCH * np.array([len(items[k]) for k in pick]))
+        ends[pick] = end
+        pick = [k for k in pick if scores[k] >= least]
+        if pick:
             # the same alignment from its end backwards gives where it begins
-            back = smith_waterman([items[k][::-1] for k in pick], [passages[k][:e][::-1] if e else passages[k][:1] for k, e in zip(pick, end, strict=True)])[1]
-            for k, s, e, length in zip(pick, best, end, back, strict=True):
-                scores[k], starts[k], ends[k] = s / (MATCH * len(items[k])), e - length, e
-            i = j
-        start = batch.column("start").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(scores), pa.array(start + starts), pa.array(start + ends)],
-                                         ["doc_id", "item_id", "score", "from_word", "to_word"])
+            back = smith_waterman([items[k][::-1] for k in pick], [passages[k][:ends[k]][::-1] if ends[k] else passages[k][:1] for k in pick])[1]
+            starts[pick] = ends[pick] - back
+        i = j
+    return scores, starts, ends
+
+
+def _aligned(sent):
+    """(doc_id, item_id, score, from_word, to_word) of the passages that score the least score or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        for batch in batches:
+            for lo, hi, data, offs in _lower_chunks(batch):
+                row, words = _words(data, offs)
+                first = np.searchsorted(row, np.arange(hi - lo))
+                for of, item, starts, ends in block.around(row, words, hi - lo):
+                    passages = [words[s:e] for s, e in zip(starts, ends, strict=True)]
+                    scores, begins, stops = _align([block.words[k] for k in item], passages, block.least)
+                    good = np.flatnonzero(scores >= block.least)
+                    place = starts[good] - first[of[good]]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(lo + of[good], pa.int64())), pa.array(block.ids[item[good]], pa.int64()), pa.array(scores[good]),
+                         pa.array(place + begins[good], pa.int64()), pa.array(place + stops[good], pa.int64())],
+                        ["doc_id", "item_id", "score", "from_word", "to_word"])
+
+    return run
 
 
 def aligned_passages(docs: DataFrame, items: DataFrame, least: float = LEAK, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -179,35 +211,17 @@ def aligned_passages(docs: DataFrame, items: DataFrame, least: float = LEAK, blo
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = (items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-             .mapInArrow(_item_words, "item_id long, words array<long>, grams array<long>").where(F.size("grams") > 0))
-    total = known.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
+             .mapInArrow(_item_words, "item_id long, words array<long>").where(F.size("words") >= SEED_WORDS).distinct())
+    total = known.agg(F.sum(F.size("words") - (SEED_WORDS - 1)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_seeds))
     out = None
     for block in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        pairs = part.select("item_id", F.explode("grams").alias("gram")).distinct()
-        every = np.sort(pairs.select("gram").distinct().toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
-        if not len(every):
-            continue
-        counted = (docs.mapInArrow(_document_frequency(spark.sparkContext.broadcast(every)), "gram long, n long")
-                   .groupBy("gram").agg(F.sum("n").alias("n")))
-        own = Window.partitionBy("item_id")
-        rare = (pairs.join(counted, "gram").withColumn("quartile", F.percentile("n", F.lit(0.25)).over(own))
-                .where(F.col("n") <= RARE * F.col("quartile") + RARE_MORE).select("gram", "item_id").toPandas())
-        if not len(rare):
+        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
+        if not part.num_rows:
             continue
-        longest = part.agg(F.max(F.size("words")).alias("n")).first()["n"]
-        seeds = np.unique(rare["gram"].to_numpy(np.int64).view(np.uint64))
-        passages = docs.mapInArrow(_passages(spark.sparkContext.broadcast((seeds, int(longest) + int(longest) // 4))),
-                                   "doc_id long, start long, words array<long>, seeds array<long>")
-        of_seed = spark.createDataFrame(rare).withColumnsRenamed({"gram": "seed"})
-        here = passages.withColumn("passage", F.struct("doc_id", "start"))
-        matched = (here.select("passage", "words", F.explode("seeds").alias("seed")).join(F.broadcast(of_seed), "seed")
-                   .groupBy("passage", "item_id").agg(F.first("words").alias("words")))
-        scored = (matched.join(part.select("item_id", F.col("words").alias("item_words")), "item_id")
-                  .select(F.col("passage.doc_id").alias("doc_id"), F.col("passage.start").alias("start"), "words", "item_id", "item_words")
-                  .mapInArrow(_aligned, "doc_id long, item_id long, score double, from_word long, to_word long"))
-        best = (scored.where(F.col("score") >= least).groupBy("doc_id", "item_id")
+        words = [x.values.to_numpy().view(np.uint64) for x in part.column("words")]
+        sent = spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), words, least))
+        best = (docs.mapInArrow(_aligned(sent), "doc_id long, item_id long, score double, from_word long, to_word long").groupBy("doc_id", "item_id")
                 .agg(F.max(F.struct("score", -F.col("from_word"), "to_word")).alias("b"))
                 .select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("from_word"), "b.to_word"))
         out = best if out is None else out.unionByName(best)

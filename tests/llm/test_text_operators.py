@@ -62,6 +62,39 @@ def test_an_item_that_leaked_everywhere_keeps_its_seeds(spark, frame, prose):
     assert {r["doc_id"] for r in found} == {d for d in range(90) if d % 3} and {r["score"] for r in found} == {1.0}
 
 
+def test_hot_parts_and_edited_copies_of_an_item_are_found_beside_a_full_leak(spark, frame, prose):
+    item = prose(26, 7).split()
+    edited = [w if i % 4 != 3 else f"new{i}" for i, w in enumerate(item)]
+    docs = [(0, prose(60, 500) + " " + " ".join(item)), *((d, prose(60, 500 + d) + " " + " ".join(item[:18]) + " " + prose(20, 900 + d)) for d in range(1, 40)),
+            *((d, prose(60, 500 + d) + " " + " ".join(edited)) for d in range(40, 50)), (50, prose(60, 550))]
+    found = D.aligned_passages(frame(docs), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(50))
+
+
+def test_passages_are_those_that_alignment_of_whole_documents_finds(spark, frame, prose, monkeypatch):
+    monkeypatch.setattr(D, "AROUND_WORDS", 100)
+    rng = random.Random(3)
+    items = [(i, " ".join(prose(8, 10).split()[:4] + prose(rng.randint(3, 30), 70 + i).split())) for i in range(15)]
+    docs = []
+    for d in range(60):
+        words = prose(60, 300 + d).split()
+        for _ in range(3):
+            part = rng.choice(items)[1].split()
+            part = part[rng.randrange(len(part)):] if rng.random() < 0.5 else [w for w in part if rng.random() < 0.8]
+            words[rng.randrange(len(words)):0] = part
+        docs.append((d, " ".join(words)))
+    found = D.aligned_passages(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            seeds = {tuple(a[k:k + 3]) for k in range(len(a) - 2)} & {tuple(b[k:k + 3]) for k in range(len(b) - 2)}
+            score = plain_smith_waterman(a, b) / (2 * len(a))
+            if seeds and score >= D.LEAK:
+                want[d, i] = score
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+
+
 def test_decontamination_edge_cases(spark, frame, prose):
     item = prose(30, 1)
     items = spark.createDataFrame([(1, item), (2, None), (3, "two words"), (None, item), (4, "")], "item_id long, text string")
