@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned: words that stand in many different places of texts
-labelled toxic and hardly in others. Its trie is intersected with Levenshtein
+labelled toxic and hardly in others. Equal texts teach once, and places are counted,
+not texts, so that copies neither make nor unmake a term. Its trie is intersected with Levenshtein
 automata into deterministic tables that accept each term and, from FUZZY_FROM
 letters on, each word one edit away; a whole batch of words runs through a table
 one letter at a time, and nearly all words leave after two or three letters.
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flagged_spans, held_out
+from .common import Scratch, flagged_spans, held_out
 
 #: The model is fitted on about so many labelled rows at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 60_000
-#: A term stands in at least MIN_DOCS toxic texts and MIN_CONTEXTS places (words before
-#: and after it), of which a share of its texts differ, and is ODDS times likelier there,
-#: with evidence that no candidate is expected to reach by chance.
-MIN_DOCS, MIN_CONTEXTS, CONTEXT_SHARE, ODDS = 3, 3, 0.4, 20.0
+#: A term stands in at least MIN_CONTEXTS different places (words before and after it)
+#: of toxic texts and is ODDS times likelier there, with evidence that no candidate is
+#: expected to reach by chance.
+MIN_CONTEXTS, ODDS = 3, 20.0
 #: Candidates from toxic texts that are counted in the others; terms of one table.
 CANDIDATES, TABLE_TERMS = 50_000, 150
 #: Letters from which a term may have one edit; words of a hit's window on either side.
@@ -221,15 +222,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(candidates):
-    """(word, texts) of candidates in each batch."""
+    """(word, first of its places in a text, two words on either side) of the candidates in each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = candidates.value
         for batch in batches:
-            n: dict[str, int] = {}
+            words, places = [], []
             for text in batch.column("text").to_pylist():
-                for w in wanted.intersection(re.findall(r"\w+", (text or "").lower())):
-                    n[w] = n.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+                all_words = re.findall(r"\w+", (text or "").lower())
+                first: dict[str, int] = {}
+                for i, w in enumerate(all_words):
+                    if w in wanted:
+                        first.setdefault(w, i)
+                words += first
+                places += [f"{' '.join(all_words[max(0, i - 2):i])}|{' '.join(all_words[i + 1:i + 3])}" for i in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.string())], ["word", "place"])
 
     return run
 
@@ -280,7 +286,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
 
     ``train_rows`` bounds the labelled rows: beyond it a hash of doc_id picks the
     share. Null labels, ids or texts teach nothing; an id labelled twice counts as
-    toxic if either label says so. Without toxic rows the lexicon is empty.
+    toxic if either label says so. Copies of a text with equal labels teach as one text.
+    Without toxic rows the lexicon is empty.
     """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -288,18 +295,20 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     marks = (usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1 << 20)) < round(share * (1 << 20)))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    train = train.select("doc_id", F.sha2("text", 256).alias("text_key"), (F.col("toxic") == 1).cast("int").alias("toxic"), "text")
+    scratch = Scratch(spark)
+    train = scratch.stored(train.dropDuplicates(["text_key", "toxic"]), "toxicity-training")
+    half = F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(2))
     toxic, clean = train.where("toxic = 1").select("text"), train.where("toxic <> 1").select("text")
-    seen = (toxic.mapInArrow(_contexts, "word string, place string").groupBy("word", "place").agg(F.count("*").alias("n"))
-            .groupBy("word").agg(F.sum("n").alias("docs"), F.count("*").alias("places"))
-            .where((F.col("docs") >= MIN_DOCS) & (F.col("places") >= F.greatest(F.lit(MIN_CONTEXTS), CONTEXT_SHARE * F.col("docs"))))
-            .orderBy(F.desc("docs"), "word").limit(CANDIDATES).toPandas())
-    sizes = {r["toxic"] == 1: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(True, 0), sizes.get(False, 0)
+    seen = (toxic.mapInArrow(_contexts, "word string, place string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+            .where(F.col("n") >= MIN_CONTEXTS).orderBy(F.desc("n"), "word").limit(CANDIDATES).toPandas())
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
     send = spark.sparkContext.broadcast
-    there = clean.mapInArrow(_present(send(frozenset(seen["word"]))), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    there = (clean.mapInArrow(_present(send(frozenset(seen["word"]))), "word string, place string").select("word", F.xxhash64("place").alias("place")).distinct()
+             .groupBy("word").agg(F.count("*").alias("n")).toPandas())
     in_clean = dict(zip(there["word"], there["n"], strict=True))
-    terms = [w for w, n in zip(seen["word"], seen["docs"], strict=True)
+    terms = [w for w, n in zip(seen["word"], seen["n"], strict=True)
              if (n + 0.5) / (bad + 1) >= ODDS * (in_clean.get(w, 0) + 0.5) / (good + 1)
              and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= np.log(len(seen)) + 2]
     automata = [Automaton(terms[i:i + TABLE_TERMS]) for i in range(0, len(terms), TABLE_TERMS)]
@@ -314,6 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     model.clean_variants = halves[0] | halves[1]
     if len(cells):
         model.weights = _fit(cells[["abuse", "misspelled", "quoted"]].to_numpy(), (cells["toxic"] == 1).to_numpy(float), cells["n"].to_numpy(float))
+    scratch.drop()
     return model
 
 

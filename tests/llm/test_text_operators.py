@@ -183,6 +183,21 @@ def test_toxicity_learns_terms_and_catches_misspellings(spark, frame, toxic_rows
     assert all(rows[r["doc_id"]][1].lower()[r["start"]:r["end"]] for r in spans)
 
 
+@pytest.mark.parametrize(("toxic", "edit"), [(1, False), (1, True), (0, False), (0, True)])
+def test_copies_neither_make_nor_unmake_terms(spark, frame, prose, toxic_rows, toxic, edit):
+    rows, labels = toxic_rows
+    plain = T.learn(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text = prose(40, 77) + " blorfen onlyhere zwicket " + prose(40, 78) + " grumpfel snarkol " + prose(40, 79)
+    many = [(5000 + d, text + (f" extra{d}" if edit else "")) for d in range(1500)]
+    model = T.learn(frame(rows + many), spark.createDataFrame(labels + [(d, 1, toxic) for d, _ in many], "doc_id long, quality int, toxic int"))
+    terms = {t for a in model.automata for t in a.terms}
+    assert terms == {t for a in plain.automata for t in a.terms} and {"blorfen", "zwicket", "grumpfel", "snarkol"} <= terms
+    if not edit:
+        got = {r["doc_id"]: r["score"] for r in T.score_toxicity(frame(rows + many), model).collect()}
+        wrong = [d for d, _, x in labels if (got[d] >= T.THRESHOLD) != bool(x)]
+        assert len(wrong) <= 6 and all(got[d] >= T.THRESHOLD for d, _ in many if toxic)
+
+
 def test_toxicity_edge_cases(spark, frame, toxic_rows):
     rows, labels = toxic_rows
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
