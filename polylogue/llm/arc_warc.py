@@ -53,20 +53,21 @@ def _unzipped(data: bytes) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file, the version block first: its header fields by name, body, and whether it is cut short.
+    """Records of an ARC file, the version block first: its header fields by name, body, whether it is cut short and whether it is the version block.
 
     A header line with too few fields or without a length ends the file with a ValueError.
     Blank lines between records are skipped; spaces in an address belong to it.
     """
     at, version = 0, 0
     while at < len(data):
+        about = not version
         if data[at] in b"\r\n":
             at += 1
             continue
         end = data.find(b"\n", at)
         line = data[at:end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
         at = end + 1 if end >= 0 else len(data)
-        if not version:
+        if about:
             version = int(data[at:at + 1] or b"0") if data[at:at + 1].isdigit() else 0
             if version not in ARC_FIELDS or not line.startswith("filedesc:"):
                 raise ValueError(f"not an ARC version block: {line[:80]!r}")
@@ -79,7 +80,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             raise ValueError(f"bad ARC header line: {line[:80]!r}")
         size = int(parts[-1])
         body = data[at:at + size]
-        yield dict(zip(names, parts, strict=True)) | {"body": body, "cut": len(body) < size}
+        yield dict(zip(names, parts, strict=True)) | {"body": body, "cut": len(body) < size, "about": about}
         at += size
 
 
@@ -91,10 +92,13 @@ def warc_date(date: str) -> str:
 
 
 def as_warc(record: dict) -> dict:
-    """The equivalent WARC record of an ARC record, before revisits are resolved."""
+    """The equivalent WARC record of an ARC record, before revisits are resolved.
+
+    The version block, which becomes the warcinfo record, is known by ``about``; without that field, by its address.
+    """
     body, url = record["body"], record["URL"]
     head, payload, kind, mime = b"", body, "resource", record["Content-type"] or "application/octet-stream"
-    if url.startswith("filedesc:"):
+    if record.get("about", url.startswith("filedesc:")):
         kind, mime = "warcinfo", "application/warc-fields"
         payload = b"software: ARC converter\r\nformat: WARC File Format 1.1\r\n"
     elif body.startswith(b"HTTP/"):

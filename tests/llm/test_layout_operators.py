@@ -174,6 +174,13 @@ def test_archive_edge_cases(spark):
     assert got == [(3, "response", 0), (5, "revisit", 3), (5, "revisit", 3)]
 
 
+def test_a_page_with_the_address_of_a_version_block_is_a_page(spark):
+    pages = [(1, "filedesc://page.arc", "<p>one</p>"), (2, "http://h/2", "<p>two</p>"), (3, "filedesc:x", "<p>two</p>"), (4, "filedesc:y", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in A.pages_through_warc(df, scratch_path(spark, "t-warc3")).collect())
+    assert got == [(1, 10, "response", 0), (2, 10, "response", 0), (3, 10, "revisit", 2), (4, 0, "response", 0)]
+
+
 def test_payloads_survive_whole(spark):
     arc = V1 + b"".join(b"http://a/%d 1.2.3.4 19970101 image/png 43\nHTTP/1.0 200 OK\r\nX-Record-Number: %02d\r\n\r\n%b\n" % (i, i, b"\x00\xff\r") for i in range(3))
     path = scratch_path(spark, "t-warc2")
