@@ -17,8 +17,11 @@ from . import (
     extendible_shards,
     jaccard_join,
     line_templates,
+    qdwh_whitening,
     quality_ftrl,
     quote_threads,
+    secret_crf,
+    spelling_variants,
     toxicity,
 )
 from .common import held_out
@@ -122,6 +125,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.tokenised(spark, _table(spark, sf_dir, "documents"), sf_dir)
 
 
+@_query("op11_qdwh_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding's whitened components."""
+    return qdwh_whitening.whitened_components(spark, _table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_spelling_variants", spelling_variants.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word with its form and root."""
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_secret_crf")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_crf.secret_spans(docs, secret_crf.learn(docs))
+    count = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_crf.KINDS}
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count["assign"], count["access"], count["hex"], F.sha2(secret_crf.span_text(base), 256).alias("base_sha256"),
+                        secret_crf.span_text(F.col("spans")).alias("spans"), count["crf"])
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline."""

@@ -81,7 +81,7 @@ def test_filtering_stages_return_documents(spark, corpus):
 def test_pipeline_order_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "tokenisation"]
     assert sorted(QUERIES, key=lambda q: (q == "pipeline", int(q[2:].split("_")[0]) if q != "pipeline" else 0))[-1] == "pipeline"
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(ORACLE) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"} and set(ORACLE) <= set(QUERIES)
 
 
 def test_toxic_documents_go_and_clean_ones_stay(spark, corpus):
