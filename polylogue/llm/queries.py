@@ -142,10 +142,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of each document."""
     docs = _table(spark, sf_dir, "documents")
     found = secret_crf.secret_spans(docs, secret_crf.learn(docs))
-    count = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_crf.KINDS}
     base = F.filter("spans", lambda s: s["kind"] != "crf")
-    return found.select("doc_id", count["assign"], count["access"], count["hex"], F.sha2(secret_crf.span_text(base), 256).alias("base_sha256"),
-                        secret_crf.span_text(F.col("spans")).alias("spans"), count["crf"])
+    return found.select("doc_id", *(secret_crf.count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+                        F.sha2(secret_crf.span_text(base), 256).alias("base_sha256"), secret_crf.span_text(F.col("spans")).alias("spans"),
+                        secret_crf.count_of("spans", "crf").alias("n_crf"))
 
 
 @_query("pipeline")

@@ -382,3 +382,8 @@ def secret_spans(docs: DataFrame, model: SecretField) -> DataFrame:
 def span_text(spans: Column) -> Column:
     """The spans as ``kind:start:end``, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    """How many of the spans are of ``kind``."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
