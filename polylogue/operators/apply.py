@@ -4,12 +4,15 @@ and a write-once cache of a transformed table."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import fingerprint, hadoop_path
+from ..session import fingerprint, hadoop_path, scratch_path
+from ..sources.files import write_staged
 
 
 def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
@@ -59,5 +62,34 @@ def cached_table(spark: SparkSession, df: DataFrame, path: str, overwrite: bool
     own = f"{path}/{hashlib.sha1(f'{df.semanticHash()}|{df.schema.json()}|{inputs}'.encode()).hexdigest()[:16]}"
     fs, done = hadoop_path(spark, f"{own}/_SUCCESS")
     if overwrite or not fs.exists(done):
-        df.write.mode("overwrite").parquet(own)
+        write_staged(spark, own, df.write.parquet)
     return spark.read.parquet(own)
+
+
+def _finished(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the ranges below ``path`` that were committed."""
+    fs, base = hadoop_path(spark, path)
+    ranges = [st.getPath().toString() for st in fs.listStatus(base)] if fs.exists(base) else []
+    whole = [r for r in sorted(ranges) if fs.exists(hadoop_path(spark, f"{r}/_SUCCESS")[1])]
+    return spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
+
+
+def generate_resumable(df: DataFrame, factory: Callable[[], Callable[..., Sequence[str]]], text: str, keys: Sequence[str], path: str,
+                       ranges: int = 16, out: str = "prediction", **generate_kwargs) -> DataFrame:
+    """X3 with commits: (keys..., out) of every row of ``df``, generated below ``path`` in ``ranges`` of a hash of the keys.
+
+    Each range is a job of its own over all tasks, whose success marker commits its rows. A call after a failure, or
+    with rows that came since, anti-joins what is committed and generates the rest only. ``keys`` must
+    identify a row. What a range left unfinished is not read.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + f", `{out}` string"
+    there = _finished(spark, path, schema).select(*[F.col(k).alias(f"__done_{k}") for k in keys])
+    rest = df.select(*keys, text).join(there, [df[k].eqNullSafe(there[f"__done_{k}"]) for k in keys], "left_anti")
+    todo = scratch_path(spark, "to-generate")
+    rest.withColumn("__range", F.pmod(F.xxhash64(*keys), F.lit(ranges)).cast("int")).write.partitionBy("__range").parquet(todo)
+    fs, base = hadoop_path(spark, todo)
+    for name in sorted(st.getPath().getName() for st in fs.listStatus(base) if st.getPath().getName().startswith("__range=")):
+        rows = spark.read.schema(df.select(*keys, text).schema).parquet(f"{todo}/{name}")
+        apply_generator(rows, factory, text, keys, out, **generate_kwargs).write.parquet(f"{path}/{name[2:]}-{uuid.uuid4().hex[:12]}")
+    return _finished(spark, path, schema)

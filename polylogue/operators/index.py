@@ -25,7 +25,7 @@ def _exclusive_sum(df: DataFrame, by: list[str], order: list[str], value: str, o
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Equi-join in which NULL equals NULL; the columns of ``left`` stay."""
     renamed = right.withColumnsRenamed({c: f"__pl_r_{c}" for c in on})
     match = [left[c].eqNullSafe(renamed[f"__pl_r_{c}"]) for c in on]
@@ -49,11 +49,28 @@ def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str | Sequence[
            .transform(lambda d: _exclusive_sum(d, by, [_SB], "__pl_sv", "__pl_soff"))
            .drop("__pl_sv"))
     inner = _exclusive_sum(sup, by + [_SB], bucket, value, "__pl_ioff")
-    return (_same(inner, top, by + [_SB])
+    return (null_safe_join(inner, top, by + [_SB])
             .withColumn(out, F.col("__pl_soff") + F.col("__pl_ioff"))
             .drop("__pl_soff", "__pl_ioff", _SB))
 
 
+def nested_offsets(counts: DataFrame, levels: Sequence[str], value: str, out: str = _OFF) -> DataFrame:
+    """Exclusive prefix sum of ``value`` in the order of ``levels``, each of which refines the one before it.
+
+    A window sees only the values of one level below one value of the level above, so
+    none grows with the table. ``levels`` must identify a row and hold no NULL.
+    """
+    levels = list(levels)
+    found, parts = counts, []
+    for i in range(len(levels)):
+        upto = levels[:i + 1]
+        sums = counts.groupBy(*upto).agg(F.sum(value).alias("__pl_sum"))
+        part = f"__pl_part{i}"
+        parts.append(part)
+        found = found.join(_exclusive_sum(sums, levels[:i], [levels[i]], "__pl_sum", part).drop("__pl_sum"), upto)
+    return found.withColumn(out, sum((F.col(p) for p in parts[1:]), F.col(parts[0]))).drop(*parts)
+
+
 def with_row_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str] = (),
                    bucket: Column | Sequence[str] | None = None, width: int = 1 << 16,
                    out: str = "pos", fanout: int | None = 4096) -> DataFrame:
@@ -81,7 +98,7 @@ def with_row_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str]
     counts = tagged.groupBy(*by, *bucket_cols).agg(F.count(F.lit(1)).alias(_N))
     offsets = bucket_offsets(counts, by, bucket_cols, _N, _OFF, fanout)
     w = Window.partitionBy(*by, *bucket_cols).orderBy(*order_cols)
-    return (_same(tagged, offsets.drop(_N), by + bucket_cols)
+    return (null_safe_join(tagged, offsets.drop(_N), by + bucket_cols)
             .withColumn(out, (F.col(_OFF) + F.row_number().over(w) - 1).cast("long"))
             .drop(_OFF, *[c for c in bucket_cols if c == _B]))
 

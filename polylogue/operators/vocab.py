@@ -1,42 +1,108 @@
 """vocabulary, token -> id encoding and id -> text decoding.
 
 The vocabulary is a table of any size. Encoding cuts each row's tokens to the
-length that can be kept, explodes them with their positions, looks them up with an
-ordinary join (broadcast by Spark if the table is small) and rebuilds the ordered
-id list per row.
+length that can be kept, explodes them with their positions, looks them up and rebuilds
+the ordered id list per row. The lookup is split: tokens that a sketch finds frequent
+(a few words are half of any text) are settled by a broadcast table of bounded size, the
+others by an ordinary join, so that no token's rows meet in one task. Decoding does the
+same with ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import EOS_ID, PAD_ID, UNK_ID
 from ..functions.text import split_space
-from .index import with_row_index
+from ..session import written
+from .index import nested_offsets
 
 SPECIAL_IDS = (PAD_ID, EOS_ID, UNK_ID)
+#: Values of the broadcast table, values that a task's sketch follows, and bytes of a token that may be in the table.
+HOT, FOLLOWED, HOT_BYTES = 2048, 1 << 14, 1024
+#: Tokens that one task puts in order.
+BUCKET = 1 << 16
 
 
-def build_vocab(texts: DataFrame, cols: Sequence[str], first_id: int = 3) -> DataFrame:
+def build_vocab(texts: DataFrame, cols: Sequence[str], first_id: int = 3, most: int = BUCKET) -> DataFrame:
     """(token, id) of all space-separated tokens, the most frequent first (ties by token), ids from ``first_id``.
 
-    Ids are positions counted in buckets of equal frequency and leading characters, so
-    no task sorts the whole vocabulary.
+    Ids are positions counted in buckets of equal frequency and leading characters (see
+    ``prefix_buckets``), so no task sorts the whole vocabulary. The counts are stored first.
     """
     toks = texts.select(F.explode(F.concat(*[split_space(F.col(c)) for c in cols])).alias("token"))
-    counts = toks.groupBy("token").agg((-F.count(F.lit(1))).alias("__neg"))
-    placed = with_row_index(counts.withColumn("__start", F.substring("token", 1, 3)), ["__neg", "token"], bucket=["__neg", "__start"], out="id")
-    return placed.select("token", (F.col("id") + first_id).alias("id"))
+    counts = written(toks.groupBy("token").agg((-F.count(F.lit(1))).alias("__neg")), "vocabulary-counts")
+    placed = prefix_buckets(counts, "__neg", "token", most)
+    sizes = placed.groupBy("__neg", "__start").agg(F.count(F.lit(1)).alias("__n"))
+    first = [F.substring("__start", 1, n).alias(f"__c{n}") for n in (1, 2)]
+    offsets = nested_offsets(sizes.select("__neg", *first, "__start", "__n"), ["__neg", "__c1", "__c2", "__start"], "__n", "__off")
+    rank = F.row_number().over(Window.partitionBy("__neg", "__start").orderBy("token")) - 1
+    return (placed.withColumn("__rank", rank).join(offsets.select("__neg", "__start", "__off"), ["__neg", "__start"])
+            .select("token", (F.col("__off") + F.col("__rank") + first_id).cast("long").alias("id")))
+
+
+def prefix_buckets(counts: DataFrame, group: str, token: str, most: int = BUCKET, letters: int = 3) -> DataFrame:
+    """``counts`` with ``__start``, the leading characters of ``token`` (distinct in a ``group``) that name its bucket.
+
+    An adaptive directory: a bucket is named by ``letters`` characters, and one that holds more than ``most`` tokens of a
+    group is split by twice as many, until each fits or its tokens are spelled out. Names of buckets sort as their tokens do.
+    """
+    placed = counts.withColumn("__start", F.substring(token, 1, letters))
+    while True:
+        longer = 2 * letters
+        big = written(placed.groupBy(group, "__start").agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > most) & (F.char_length("__start") == letters))
+                      .select(group, "__start", F.lit(True).alias("__big")), "vocabulary-directory")
+        n_big = big.count()
+        if not n_big:
+            return placed
+        marked = placed.join(F.broadcast(big) if n_big <= most else big, [group, "__start"], "left")
+        placed = marked.withColumn("__start", F.when(F.col("__big"), F.substring(token, 1, longer)).otherwise(F.col("__start"))).drop("__big")
+        letters = longer
+
+
+def frequent(values: DataFrame, column: str, most: int = HOT, followed: int = FOLLOWED) -> DataFrame:
+    """(column): at most ``most`` values, with all that are more than about one in ``followed`` / 4 of the rows.
+
+    Each task keeps a sketch of ``followed`` counters and the sketches are merged, so no value moves. A
+    token over HOT_BYTES bytes is left out, which bounds the table to ``most`` x HOT_BYTES.
+    """
+    kind = dict(values.dtypes)[column]
+    usable = values.select(column).filter(F.octet_length(column) <= HOT_BYTES if kind == "string" else F.col(column).isNotNull())
+    found = usable.agg(F.expr(f"approx_top_k(`{column}`, {most}, {followed})").alias("top")).first()["top"]
+    return values.sparkSession.createDataFrame([(x["item"],) for x in found or []], f"`{column}` {kind}")
+
+
+def looked_up(rows: DataFrame, keys: Sequence[str], key: str, table: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+    """(keys..., __i, value): ``rows`` with ``value`` of the row of ``table`` that has the same ``key``, else null; ``keys`` and ``__i`` identify a row.
+
+    Values of ``hot``, which is bounded, come from a broadcast table. Rows that are settled, or have nothing to look
+    up, pass the join under keys of their own that spread over all tasks and meet nothing.
+    """
+    spark = rows.sparkSession
+    kinds = dict(table.dtypes)
+    named = {r[key]: r[value] for r in table.select(key, value).join(F.broadcast(hot), key).collect()}
+    settled = spark.createDataFrame([(r[key], named.get(r[key])) for r in hot.collect()], f"`{key}` {kinds[key]}, __hot {kinds[value]}").withColumn("__settled", F.lit(True))
+    own = F.xxhash64(*keys, "__i")
+    # no token holds a space, and no id is negative
+    nowhere = F.concat(F.lit(" "), own.cast("string")) if kinds[key] == "string" else -1 - F.shiftrightunsigned(own, 1)
+    split = rows.join(F.broadcast(settled), key, "left")
+    sent = split.withColumn(key, F.when(F.col("__settled") | F.col(key).isNull(), nowhere).otherwise(F.col(key)))
+    return sent.join(table.select(key, F.col(value).alias("__tail")), key, "left").select(*keys, "__i", F.coalesce("__hot", "__tail").alias(value))
+
+
+def _inner(vocab: DataFrame) -> DataFrame:
+    """The vocabulary under names that no key column has."""
+    return vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
 
 
 def encode(df: DataFrame, keys: Sequence[str], text: str | Column, vocab: DataFrame,
-           max_len: int | Column | None = None, out: str = "ids") -> DataFrame:
+           max_len: int | Column | None = None, out: str = "ids", hot: DataFrame | None = None) -> DataFrame:
     """(keys..., out ARRAY<BIGINT>): ids of the text's tokens (unknown -> 2),
     truncated so that the appended end-of-sequence id fits in ``max_len``.
-    ``keys`` must identify a row."""
+    ``keys`` must identify a row. ``hot`` (token) names the frequent tokens where they are known; else they are found."""
     keys = list(keys)
     t = F.col(text) if isinstance(text, str) else text
     tokens = split_space(t)
@@ -44,19 +110,21 @@ def encode(df: DataFrame, keys: Sequence[str], text: str | Column, vocab: DataFr
         most = F.lit(max_len) if isinstance(max_len, int) else max_len
         tokens = F.slice(tokens, F.lit(1), F.greatest(most - 1, F.lit(0)))
     toks = df.select(*keys, tokens.alias("__t")).select(*keys, F.posexplode_outer("__t").alias("__i", "__token"))
-    looked = toks.join(vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")), "__token", "left")
-    item = F.when(F.col("__i").isNotNull(), F.struct(F.col("__i"), F.coalesce(F.col("__id"), F.lit(UNK_ID))
-                                                     .cast("long").alias("id")))
-    grouped = looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s"))
+    hot = frequent(toks, "__token") if hot is None else hot.select(F.col("token").alias("__token"))
+    found = looked_up(toks, keys, "__token", _inner(vocab), "__id", hot)
+    item = F.when(F.col("__i").isNotNull(), F.struct(F.col("__i"), F.coalesce(F.col("__id"), F.lit(UNK_ID)).cast("long").alias("id")))
+    grouped = found.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s"))
     return grouped.select(*keys, F.concat(F.col("__s.id"), F.array(F.lit(EOS_ID).cast("long"))).alias(out))
 
 
-def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """Ids back to space-joined tokens, dropping the special ids (pad, eos, unk)."""
+def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text", hot: DataFrame | None = None) -> DataFrame:
+    """Ids back to space-joined tokens, dropping the special ids (pad, eos, unk), which are
+    not looked up. ``hot`` (id) names the frequent ids where they are known; else they are found."""
     keys = list(keys)
-    exploded = df.select(*keys, F.posexplode_outer(ids).alias("__i", "__id"))
-    # special ids (0-2) are below every vocabulary id, so they find no token
-    looked = exploded.join(vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")), "__id", "left")
+    kept = F.filter(ids, lambda x: ~x.isin(*SPECIAL_IDS))
+    exploded = df.select(*keys, F.posexplode_outer(kept).alias("__i", "__id"))
+    hot = frequent(exploded, "__id") if hot is None else hot.select(F.col("id").alias("__id"))
+    found = looked_up(exploded, keys, "__id", _inner(vocab), "__token", hot)
     item = F.when(F.col("__token").isNotNull(), F.struct("__i", "__token"))
-    return looked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s")).select(
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s")).select(
         *keys, F.array_join(F.col("__s.__token"), " ").alias(out))

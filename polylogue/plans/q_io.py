@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import human_eval as H
-from ..operators.apply import Reversed, apply_generator, batched_map, cached_table
+from ..operators.apply import Reversed, apply_generator, batched_map, cached_table, generate_resumable
 from ..operators.mixing import interleave
 from ..session import scratch_path
 from ..sources import files as IO
 from ..sources.catalog import discover_languages
+from ..sources.csv_split import read_csv_split
 from .oracle_ctes import with_ctes
 from .q_human import ballot_build_query  # noqa: F401  (registers the ballot CTEs)
 from .q_sampling import _interleave_sql  # noqa: F401  (also registers 'shots')
@@ -192,3 +193,73 @@ def few_shot_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     IO.write_per_key(shots, path, "lang", "{}_fs_10.csv", order=["shot_ordinal"])
     back = IO.read_positioned(spark, f"{path}/*", "csv", dir_col="__dir")
     return back.select(F.regexp_extract("__dir", r"/([^/_]+)_fs_10\.csv$", 1).alias("lang"), "pos", "pair_id")
+
+
+@query("csv_split_scan", with_ctes("SELECT pair_id, context, response FROM dialogue_pairs", "dialogue_pairs"))
+def csv_split_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted cells with line breaks, read by byte ranges in parallel."""
+    path = scratch_path(spark, "csv_split")
+    IO.write_csv(fx.dialogue_pairs(spark, sf_dir).select("pair_id", "context", "response"), path)
+    return read_csv_split(spark, path).select("pair_id", "context", "response")
+
+
+@query("single_file_output", with_ctes("""
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY pos) - 1 AS pos, pair_id, context, response FROM train_pairs
+""", "train_pairs"))
+def single_file_output_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K3: one CSV file ``<lang>_train.csv`` per language, read back by byte ranges with record numbers."""
+    root = scratch_path(spark, "single_files")
+    train = fx.train_pairs(spark, sf_dir).select("lang", "pos", "pair_id", "context", "response")
+    names = IO.single_files(train, root, "lang", "{}_train.csv", ["pos"])
+    back = read_csv_split(spark, [f"{root}/{n}" for n in names])
+    return back.select(F.regexp_extract("file", r"/([^/_]+)_train\.csv$", 1).alias("lang"), "pos", "pair_id", "context", "response")
+
+
+@query("overwrite_staged", with_ctes("""
+SELECT 'kept' AS state, pair_id, response FROM lang_pairs WHERE split = 'train'
+UNION ALL SELECT 'replaced', pair_id, response FROM lang_pairs WHERE split = 'test'
+""", "lang_pairs"))
+def overwrite_staged_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rewrite that fails midway leaves the old output; one that does not replaces it."""
+    path = scratch_path(spark, "staged")
+    lp = fx.lang_pairs(spark, sf_dir).select("split", "pair_id", "response")
+    train, test = (lp.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    IO.write_csv(train, path)
+    broken = test.withColumn("response", F.when(F.xxhash64("pair_id") % 50 == 0, F.raise_error(F.lit("stopped midway"))).otherwise(F.col("response")))
+    try:
+        IO.write_csv(broken.unionByName(train.limit(0)), path, overwrite=True)
+    except Exception as e:  # the kind of error depends on where the task stopped
+        if "stopped midway" not in str(e):
+            raise
+    kept = scratch_path(spark, "staged-kept")
+    IO.read_csv(spark, path).write.parquet(kept)
+    IO.write_csv(test, path, overwrite=True)
+    columns = ["pair_id", "response"]
+    return (spark.read.parquet(kept).select(F.lit("kept").alias("state"), *columns)
+            .unionByName(IO.read_csv(spark, path).select(F.lit("replaced").alias("state"), *columns)))
+
+
+class _Stops(Reversed):
+    """Fails on the texts of some rows, as a lost machine would."""
+
+    def __call__(self, texts, num_beams=None):
+        if any(len(t) % 17 == 5 for t in texts):
+            raise RuntimeError("stopped midway")
+        return super().__call__(texts, num_beams)
+
+
+@query("generate_resume", with_ctes(f"""
+SELECT pair_id, array_to_string(list_reverse({split_ws('context')}), ' ') AS prediction, CAST(1 AS BIGINT) AS times
+FROM lang_pairs WHERE split = 'test'""", "lang_pairs"))
+def generate_resume_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a run that stops midway a second one generates the rest; every row is there once."""
+    path = scratch_path(spark, "generated")
+    test = fx.lang_pairs(spark, sf_dir).filter(F.col("split") == "test")
+    generate_resumable(test.filter("lang = 'de'"), Reversed, "context", ["pair_id"], path, ranges=4)
+    try:
+        generate_resumable(test, _Stops, "context", ["pair_id"], path, ranges=4)
+    except Exception as e:
+        if "stopped midway" not in str(e):
+            raise
+    rows = generate_resumable(test, Reversed, "context", ["pair_id"], path, ranges=4)
+    return rows.groupBy("pair_id").agg(F.max("prediction").alias("prediction"), F.count("*").alias("times"))

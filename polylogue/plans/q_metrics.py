@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import bleu as B
-from ..operators.distinct import distinct_n
+from ..operators.distinct import ERROR, distinct_from_sketches, distinct_n, merged_sketches, ngram_sketches
 from ..functions.text import clean_prediction
 from ..operators.report import aligned_strictly, best_run, metrics_report, write_metrics
-from ..session import scratch_path
+from ..operators.user_metric import aggregate_metric
+from ..session import scratch_path, written
+from ..sources.buckets import bucketed, co_located
 from . import bleu_sql as BS
 from .oracle_ctes import add_cte, with_ctes
 from .registry import query
@@ -261,3 +263,69 @@ def metrics_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_metrics(report, f"{path}/{prefix}_results.json", prefix)
     back = spark.read.schema("lang string, system string, metric string, value double").json([f"{path}/{p}_results.json" for p in prefixes])
     return back.select("lang", "system", "metric", "value")
+
+
+# ---------------------------------------------------------------- stored sketches, user metrics, co-located joins
+@query("distinct_n_sketch", with_ctes(f"""
+SELECT lang, system, n, count(*) AS total, TRUE AS within
+FROM (SELECT lang, system, 1 AS n, unnest(t) AS gram FROM prc_tok UNION ALL SELECT lang, system, 2, unnest({ngram_list('t', 2)}) FROM prc_tok)
+GROUP BY lang, system, n
+""", "prc_tok"))
+def distinct_n_sketch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 from stored sketches of parts, one of which comes twice; ``within``: the estimate is within ERROR of the exact count."""
+    prc = fx.clean_predictions(spark, sf_dir).withColumn("part", F.pmod("pos", F.lit(4)))
+    keys = ["lang", "system"]
+    early = written(ngram_sketches(prc.filter("part < 3"), keys, "part"), "sketches")
+    stored = written(merged_sketches(early, ngram_sketches(prc.filter("part >= 2"), keys, "part"), keys, "part"), "sketches")
+    exact = distinct_n(prc, keys)
+    found = distinct_from_sketches(stored, keys).join(exact, keys)
+    share = F.when(F.col("n") == 1, F.col("distinct_1")).otherwise(F.col("distinct_2"))
+    unique = F.round(share * F.col("total") / 100)
+    return found.select(*keys, "n", "total", (F.abs(F.col("estimate") - unique) <= F.greatest(ERROR * unique, F.lit(1.0))).alias("within"))
+
+
+class LengthRatio:
+    """A metric as a user writes it: words of a prediction against words of its reference, per row and over all, and the longest prediction."""
+
+    def init(self):
+        return (0, 0.0, 0, 0, 0)
+
+    def update(self, state, rows):
+        said = [len(t.split(" ")) for t in rows.column("prediction").to_pylist()]
+        wanted = [len(t.split(" ")) for t in rows.column("response").to_pylist()]
+        ratios = sum(a / b for a, b in zip(said, wanted, strict=True))
+        return self.merge(state, (len(said), ratios, sum(said), sum(wanted), max(said)))
+
+    def merge(self, a, b):
+        return (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], max(a[4], b[4]))
+
+    def finish(self, state):
+        n, ratios, said, wanted, longest = state
+        return {"mean_ratio": ratios / n, "total_ratio": said / wanted, "longest": longest, "samples": n}
+
+
+@query("metric_user_defined", with_ctes(f"""
+SELECT lang, system, {r6('avg(a / b)')} AS mean_ratio, {r6('sum(a) / sum(b)')} AS total_ratio, max(a)::DOUBLE AS longest, count(*)::DOUBLE AS samples
+FROM (SELECT p.lang, p.system, len(string_split(p.prediction, ' '))::DOUBLE AS a, len(string_split({strip_ws(strip_masks('l.response', fx.MASK1, fx.MASK2))}, ' '))::DOUBLE AS b
+  FROM prc p JOIN lang_pairs l ON l.lang = p.lang AND l.pos = p.pos)
+GROUP BY lang, system
+""", "prc", "lang_pairs"))
+def metric_user_defined_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate by language and system, merged in a tree."""
+    out = aggregate_metric(_scored_rows(spark, sf_dir), ["lang", "system"], ["prediction", "response"], LengthRatio(), ["mean_ratio", "total_ratio", "longest", "samples"])
+    return _r6(out, {"mean_ratio", "total_ratio"})
+
+
+@query("metrics_copartitioned", BLEU_CORPUS_SQL)
+def metrics_copartitioned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU over predictions and references that lie in buckets of (lang, pos), joined without an exchange."""
+    rows = _copartitioned_rows(spark, sf_dir)
+    out = B.corpus_bleu(rows, ["lang", "system"], ["pos"], "__hyp_tokens", "__ref_tokens", tokenize=None, keep_stats=False)
+    return _r6(out, set(SCORE_COLS))
+
+
+def _copartitioned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on, buckets = ["lang", "pos"], 32
+    ref = bucketed(B.tokenized_references(_cleaned(fx.lang_pairs(spark, sf_dir)), on, ["response"], "13a", False), on, buckets, "references")
+    prc = bucketed(fx.clean_predictions(spark, sf_dir), on, buckets, "predictions")
+    return B.tokenized_hypotheses(co_located(prc, ref, on), "prediction", "13a", False)

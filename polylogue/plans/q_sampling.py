@@ -13,6 +13,8 @@ from .registry import query
 
 SEED = S.DEFAULT_SEED
 K = 10
+#: More than S.RANKED / S.TOP_PARTS.
+K_LARGE = 1100
 
 
 def _md5_rank(part: str, draw: str | None = None) -> str:
@@ -46,6 +48,15 @@ def head_n_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_n(lp, 50, ["lang", "split"], ["doc_id", "line_pos"]).select("lang", "split", "pair_id")
 
 
+@query("head_n_large", with_ctes("""
+SELECT lang, pair_id FROM (SELECT lang, pair_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_pos) AS rn FROM lang_pairs)
+WHERE rn <= 5000
+""", "lang_pairs"))
+def head_n_large_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 with an n beyond what one task ranks: the cut-off is found by counting."""
+    return S.first_n(fx.lang_pairs(spark, sf_dir), 5000, ["lang"], ["doc_id", "line_pos"]).select("lang", "pair_id")
+
+
 @query("sample_sizes", with_ctes("""
 SELECT lang, split, least(100, count(*)) AS n_reported FROM lang_pairs GROUP BY lang, split
 """, "lang_pairs"))
@@ -81,6 +92,16 @@ def few_shot_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sample_k(train, K, SEED, ["lang"], "pos").select("lang", "shot_ordinal", "pos", "pair_id")
 
 
+@query("few_shot_large", with_ctes(f"""
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY pos) AS shot_ordinal, pos, pair_id
+FROM (SELECT *, {_md5_rank('lang')} AS rn, count(*) OVER (PARTITION BY lang) AS n FROM lang_pairs) WHERE rn <= {K_LARGE} AND n >= {K_LARGE}
+""", "lang_pairs"))
+def few_shot_large_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with a k beyond what one task ranks: selection by counts, ordinals by the row index."""
+    lp = fx.lang_pairs(spark, sf_dir)
+    return S.sample_k(lp, K_LARGE, SEED, ["lang"], "pos").select("lang", "shot_ordinal", "pos", "pair_id")
+
+
 @query("pick_rows", with_ctes("""
 SELECT t.lang, t.pos, s.shot_ordinal, t.context, t.response FROM train_pairs t JOIN shots s USING (lang, pos)
 """, "train_pairs", "shots"))

@@ -190,6 +190,12 @@ def _ids_str(c) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), " ")
 
 
+@query("vocab_order", with_ctes("SELECT token, id FROM vocab", "vocab"))
+def vocab_order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the whole vocabulary in its order, with buckets of 64 tokens so that many are split."""
+    return build_vocab(fx.dialogue_pairs(spark, sf_dir), ["context", "response"], most=64)
+
+
 @query("encode_pairs", with_ctes("""
 SELECT pair_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels FROM enc
 """, "enc"))

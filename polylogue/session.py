@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "polylogue",
@@ -66,6 +66,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored once below the shared folder and read again; this also cuts the lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for ``path``."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
