@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, salted_left_join, span_hashes, stored, text_chunks
+from .common import mix, salted_left_join, span_hashes, stored, text_chunks, without
 
 #: Mean chunk length beyond the least (bytes, a power of two), least and greatest length.
 CHUNK_MEAN, CHUNK_MIN, CHUNK_MAX = 4096, 1024, 32768
@@ -129,8 +129,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
                     F.coalesce(F.col("group_size").isNull() | (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"), "text_sha256"))
 
 
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts only the row with the largest doc_id stays."""
-    gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """Pipeline stage: of equal texts only the row with the largest doc_id stays.
+
+    Rows are dropped by id and text, so another text under the same id stays, as do
+    rows that repeat both. Copies with a null id go where a row with an id
+    holds the text; where none does they all stay.
+    """
+    groups = exact_duplicates(docs).where("not kept and keep_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    return without(marked, groups, ["_id", "_sha"]).drop("_id", "_sha")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,21 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, s
     return left.select("*", salt).join(many, [key, "_salt"], "left").drop("_salt")
 
 
+#: Rows to drop that are broadcast at most (two numbers each); beyond, they are joined.
+GONE_MAX = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` without the rows that have the ``keys`` of a row of ``gone`` (null equals null).
+
+    The keys are stored first, so their number is known: few are broadcast and no text moves.
+    """
+    gone = stored(gone.distinct(), "gone")
+    few = gone.limit(GONE_MAX + 1).count() <= GONE_MAX
+    named = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    return docs.join(F.broadcast(named) if few else named, [docs[k].eqNullSafe(named[f"_gone_{k}"]) for k in keys], "left_anti")
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty."""
     texts = batch.column(column)
@@ -76,6 +92,17 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
     pa.default_memory_pool().release_unused()
 
 
+def text_lists(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about ``limit`` bytes; null reads as empty."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, pc.fill_null(texts.slice(lo, hi - lo), "").to_pylist()
+        lo = hi
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     h = h ^ (h >> _U(32))

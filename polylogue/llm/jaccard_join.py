@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, salted_left_join, shingle_sets, stored, text_chunks
+from .common import Scratch, components, salted_left_join, shingle_sets, stored, text_chunks, without
 
 #: A shingle in more than this share of the texts is ordered last. The share bounds
 #: their number by (mean set size / share), whatever the corpus; the list is cut at HOT_MAX.
@@ -179,12 +179,49 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts have no shingles and are linked with nothing: their
-    component is their own id. Rows repeated under one doc_id are each returned.
+    component is their own id. Rows repeated under one doc_id are each returned, and
+    different texts under one id are linked each by itself (see ``row_components``).
     A row with a null doc_id gets the component of the set it repeats, else null.
-    An empty table gives an empty result.
+    Texts of any length are read whole. An empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return row_components(docs).drop("row", "stays") if ids_repeat(docs) else _components(docs)
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Do some rows have one doc_id and different texts?"""
+    text = F.xxhash64("text")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    return not ids.where("low <> high").isEmpty()
+
+
+def row_id() -> F.Column:
+    """A number for a row of (doc_id, text), null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+
+
+def row_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, stays) of every row, where ids do not identify texts.
+
+    Rows are linked under numbers of their own (``row_id``); component_id is the smallest doc_id of the
+    component, and the first row by (doc_id, row) is the one that stays. Rows with a null id stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("row"))
+    parts = stored(_components(rows.select(F.col("row").alias("doc_id"), "text")), "row-components")
+    ids = rows.where("row is not null").select("row", "doc_id").distinct()
+    named = stored(parts.where("doc_id is not null").withColumnRenamed("doc_id", "row").distinct().join(ids, "row"), "row-names")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    placed = named.join(first, "component_id").select("row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col("row")).alias("stays"))
+    # as many rows as came in; copies of one row may be many
+    out = salted_left_join(rows.where("row is not null").select("row", F.monotonically_increasing_id().alias("n")), placed, "row", "n")
+    unnamed = parts.where("doc_id is null").join(first, "component_id", "left")
+    return out.select("doc_id", "row", "n_shingles", "component_id", "stays").unionByName(
+        unnamed.select("doc_id", F.lit(None).cast("long").alias("row"), "n_shingles", F.col("first.doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` of rows whose ids identify their texts."""
+    spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     hot = frequent_shingles(docs)
     base = scratch.stored(_described(docs, hot), "shingled")
@@ -348,7 +385,16 @@ def _of_ids(docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component only the document that names it stays."""
-    parts = jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = parts.where("_id <> component_id").select("_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """Pipeline stage: of each component only the document that names it stays.
+
+    Where one id has different texts, each row is judged by itself. Rows with a null id stay, as do rows that repeat
+    the id and text of one that stays.
+    """
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids_repeat(texts):
+        gone = row_components(texts).where("not stays").select(F.col("row").alias("_id"))
+        own = docs.withColumn("_id", row_id())
+    else:
+        gone = _components(texts).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    return without(own, gone, ["_id"]).drop("_id")

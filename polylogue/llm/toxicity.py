@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flagged_spans, held_out
+from .common import Scratch, flagged_spans, held_out, text_lists
 
 #: The model is fitted on about so many labelled rows at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 60_000
@@ -31,8 +31,8 @@ TRAIN_ROWS = 60_000
 #: of toxic texts and is ODDS times likelier there, with evidence that no candidate is
 #: expected to reach by chance.
 MIN_CONTEXTS, ODDS = 3, 20.0
-#: Candidates from toxic texts that are counted in the others; terms of one table.
-CANDIDATES, TABLE_TERMS = 50_000, 150
+#: Terms of one table.
+TABLE_TERMS = 150
 #: Letters from which a term may have one edit; words of a hit's window on either side.
 FUZZY_FROM, WINDOW = 5, 8
 #: Weight of misspelled hits before any evidence, as a share of that of exact ones.
@@ -109,7 +109,7 @@ class Automaton:
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What the automaton accepts for each span of code points (see ``accepts``)."""
-        symbol = np.zeros(0x110000, np.uint8)
+        symbol = np.zeros(0x110000, np.uint16 if len(self.symbols) < 1 << 16 else np.int32)
         for c, i in self.symbols.items():
             symbol[ord(c)] = i
         symbols = symbol[codes]
@@ -168,36 +168,62 @@ def _features(counts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), a >= 1, a >= 2, a >= 4, m >= 1, m >= 2, m >= 4, q >= 1, q >= 2], 1).astype(float)
 
 
-def _quoted(text: str, at: int, end: int, words: list[str]) -> bool:
-    """Does the hit at ``text[at:end]`` stand in a quotation? ``words``: of its window."""
-    if any(w in ADDRESS for w in words):
-        return False
-    line = text.rfind("\n", 0, at) + 1
-    stop = text.find("\n", end)
-    before, after = text[line:at], text[end:len(text) if stop < 0 else stop]
-    if before.lstrip().startswith(">"):
-        return True
-    if before.count('"') % 2 and '"' in after:
-        return True
-    if max((before.rfind(c) for c in _OPEN), default=-1) > max(before.rfind(c) for c in _CLOSE) and any(c in after for c in _CLOSE + "“"):
-        return True
-    return any(w in REPORTING for w in words)
+_SPACES = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
+def _quoted(codes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the spans stand in quotation marks or in a line marked as quoted, by the places of the marks in the joined texts, which end at ``bounds``."""
+    def places(chars: str) -> np.ndarray:
+        return np.flatnonzero(np.isin(codes, np.array([ord(c) for c in chars], np.uint32)))
+
+    def last_before(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(of, at)
+        return np.where(k > 0, of[np.maximum(k - 1, 0)], -1) if len(of) else np.full(len(at), -1)
+
+    def between(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return np.searchsorted(of, hi) - np.searchsorted(of, lo)
+
+    # a line begins after a line break or where a text does, and ends before the next of either
+    breaks = places("\n")
+    begins, stops = np.union1d(breaks + 1, np.concatenate(([0], bounds))), np.union1d(breaks, bounds)
+    line, stop = begins[np.searchsorted(begins, starts, "right") - 1], stops[np.searchsorted(stops, ends)]
+    marks, closing = places('"'), places(_CLOSE + "“")
+    paired = (between(marks, line, starts) % 2 == 1) & (between(marks, ends, stop) > 0)
+    opened, closed = last_before(places(_OPEN), starts), last_before(places(_CLOSE), starts)
+    inside = (opened >= line) & (opened > closed) & (between(closing, ends, stop) > 0)
+    arrows = places(">")
+    k = np.searchsorted(arrows, line)
+    first = np.append(arrows, len(codes))[k]  # the first arrow from the line's begin, with nothing but white space before it
+    ink = np.append(np.flatnonzero(~np.isin(codes, _SPACES)), len(codes))
+    marked = (first < starts) & (ink[np.searchsorted(ink, line)] == first)
+    return paired | inside | marked
 
 
 def _hits(model: ToxicityModel, texts: list[str]) -> Iterator[tuple[int, int, int, str, bool, bool]]:
     """(row, start, end, term, misspelled, quoted) of the terms in ``texts``; offsets are into the lower-case text."""
     for lo, low, whole, codes, starts, ends, rows in _word_runs(texts):
         bases = np.cumsum([0, *map(len, low)])
-        for automaton in model.automata:
-            got = automaton.run(codes, starts, ends)
-            for i in np.flatnonzero(got):
-                s, e, r = int(starts[i]), int(ends[i]), int(rows[i])
-                if got[i] < 0 and whole[s:e] in model.clean_variants:
-                    continue
-                a, b = max(0, i - WINDOW), i + WINDOW + 1
-                near = [whole[x:y] for x, y, z in zip(starts[a:b].tolist(), ends[a:b].tolist(), rows[a:b].tolist(), strict=True) if z == r]
-                base = int(bases[r])
-                yield lo + r, s - base, e - base, automaton.terms[abs(int(got[i])) - 1], bool(got[i] < 0), _quoted(low[r], s - base, e - base, near)
+        found = [(i, automaton.terms[abs(a) - 1], a < 0) for automaton in model.automata
+                 for got in [automaton.run(codes, starts, ends)] for i, a in zip(np.flatnonzero(got).tolist(), got[got != 0].tolist(), strict=True)]
+        found = [(i, term, edited) for i, term, edited in found if not (edited and whole[starts[i]:ends[i]] in model.clean_variants)]
+        if not found:
+            continue
+        at = np.array([i for i, _, _ in found])
+        # the words of all windows, each looked up once
+        first = np.maximum(np.searchsorted(rows, rows[at]), at - WINDOW)
+        last = np.minimum(np.searchsorted(rows, rows[at], "right"), at + WINDOW + 1)
+        near = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(near, first, 1)
+        np.add.at(near, last, -1)
+        address, reporting = np.zeros(len(starts) + 1, np.int64), np.zeros(len(starts) + 1, np.int64)
+        for i in np.flatnonzero(np.cumsum(near)[:-1] > 0).tolist():
+            word = whole[starts[i]:ends[i]]
+            address[i + 1], reporting[i + 1] = word in ADDRESS, word in REPORTING
+        address, reporting = np.cumsum(address), np.cumsum(reporting)
+        quoted = (address[last] == address[first]) & ((reporting[last] > reporting[first]) | _quoted(codes, bases[1:], starts[at], ends[at]))
+        for (i, term, edited), q in zip(found, quoted.tolist(), strict=True):
+            row = int(rows[i])
+            yield lo + row, int(starts[i] - bases[row]), int(ends[i] - bases[row]), term, edited, q
 
 
 def _counts(model: ToxicityModel, texts: list[str]) -> np.ndarray:
@@ -207,35 +233,22 @@ def _counts(model: ToxicityModel, texts: list[str]) -> np.ndarray:
     return counts
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, first of its places in a text as hash of neighbours) of each distinct word of each text."""
-    for batch in batches:
-        words, places = [], []
-        for text in batch.column("text").to_pylist():
-            all_words = re.findall(r"\w+", (text or "").lower())
-            first: dict[str, int] = {}
-            for i, w in enumerate(all_words):
-                first.setdefault(w, i)
-            words += first
-            places += [f"{all_words[i - 1] if i else ''} {all_words[i + 1] if i + 1 < len(all_words) else ''}" for i in first.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.string())], ["word", "place"])
-
-
-def _present(candidates):
-    """(word, first of its places in a text, two words on either side) of the candidates in each text."""
+def _places(width: int, wanted=None):
+    """(word, first of its places in a text: ``width`` words on either side) of each distinct word of each text, or of the wanted ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = candidates.value
+        only = wanted.value if wanted is not None else None
         for batch in batches:
-            words, places = [], []
-            for text in batch.column("text").to_pylist():
-                all_words = re.findall(r"\w+", (text or "").lower())
-                first: dict[str, int] = {}
-                for i, w in enumerate(all_words):
-                    if w in wanted:
-                        first.setdefault(w, i)
-                words += first
-                places += [f"{' '.join(all_words[max(0, i - 2):i])}|{' '.join(all_words[i + 1:i + 3])}" for i in first.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.string())], ["word", "place"])
+            for _, texts in text_lists(batch, "text"):
+                words, places = [], []
+                for text in texts:
+                    all_words = re.findall(r"\w+", text.lower())
+                    first: dict[str, int] = {}
+                    for i, w in enumerate(all_words):
+                        if only is None or w in only:
+                            first.setdefault(w, i)
+                    words += first
+                    places += [f"{' '.join(all_words[max(0, i - width):i])}|{' '.join(all_words[i + 1:i + 1 + width])}" for i in first.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.string())], ["word", "place"])
 
     return run
 
@@ -245,9 +258,10 @@ def _variants(automata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[str] = set()
-            for _, _, whole, codes, starts, ends, _ in _word_runs([t or "" for t in batch.column("text").to_pylist()]):
-                for a in automata.value:
-                    found.update(whole[starts[i]:ends[i]] for i in np.flatnonzero(a.run(codes, starts, ends) < 0))
+            for _, texts in text_lists(batch, "text"):
+                for _, _, whole, codes, starts, ends, _ in _word_runs(texts):
+                    for a in automata.value:
+                        found.update(whole[starts[i]:ends[i]] for i in np.flatnonzero(a.run(codes, starts, ends) < 0))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     return run
@@ -300,17 +314,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     train = scratch.stored(train.dropDuplicates(["text_key", "toxic"]), "toxicity-training")
     half = F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(2))
     toxic, clean = train.where("toxic = 1").select("text"), train.where("toxic <> 1").select("text")
-    seen = (toxic.mapInArrow(_contexts, "word string, place string").distinct().groupBy("word").agg(F.count("*").alias("n"))
-            .where(F.col("n") >= MIN_CONTEXTS).orderBy(F.desc("n"), "word").limit(CANDIDATES).toPandas())
+    kind = "word string, place string"
+    candidates = scratch.stored(toxic.mapInArrow(_places(1), kind).select("word", F.xxhash64("place").alias("place")).distinct()
+                                .groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS), "toxicity-candidates")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    n_candidates = candidates.count()
+    needed = np.log(max(1, n_candidates)) + 2
+    # what a word in no clean text could show at most settles most candidates
+    likely = candidates.where(F.col("n") * float(_evidence(1, 0, bad / max(1, bad + good))) >= float(needed)) if bad and good else candidates
+    seen = likely.orderBy(F.desc("n"), "word").toPandas()
     send = spark.sparkContext.broadcast
-    there = (clean.mapInArrow(_present(send(frozenset(seen["word"]))), "word string, place string").select("word", F.xxhash64("place").alias("place")).distinct()
+    there = (clean.mapInArrow(_places(2, send(frozenset(seen["word"]))), kind).select("word", F.xxhash64("place").alias("place")).distinct()
              .groupBy("word").agg(F.count("*").alias("n")).toPandas())
     in_clean = dict(zip(there["word"], there["n"], strict=True))
     terms = [w for w, n in zip(seen["word"], seen["n"], strict=True)
              if (n + 0.5) / (bad + 1) >= ODDS * (in_clean.get(w, 0) + 0.5) / (good + 1)
-             and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= np.log(len(seen)) + 2]
+             and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= needed]
     automata = [Automaton(terms[i:i + TABLE_TERMS]) for i in range(0, len(terms), TABLE_TERMS)]
     # variants found in one half of the clean texts are left out when the weights are fitted on the other
     # half, so that unseen words near a term weigh what they weigh in texts not read yet
@@ -332,10 +352,11 @@ def _counted(docs: DataFrame, model: ToxicityModel, *extra: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = _counts(sent.value, [t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", *extra)] + [pa.array(c) for c in counts.T] + [pa.array(sent.value.score(counts))],
-                ["doc_id", *extra, "abuse", "misspelled", "quoted", "score"])
+            for lo, texts in text_lists(batch, "text"):
+                counts = _counts(sent.value, texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(lo, len(texts)) for c in ("doc_id", *extra)] + [pa.array(c) for c in counts.T] + [pa.array(sent.value.score(counts))],
+                    ["doc_id", *extra, "abuse", "misspelled", "quoted", "score"])
 
     kinds = "".join(f"{c} {dict(docs.dtypes)[c]}, " for c in extra)
     return docs.select("doc_id", *extra, "text").mapInArrow(run, f"doc_id long, {kinds}abuse long, misspelled long, quoted long, score double")
@@ -357,7 +378,7 @@ def term_spans(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = [(ids[h[0]], *h[1:]) for h in _hits(sent.value, [t or "" for t in batch.column("text").to_pylist()])]
+            found = [(ids[lo + h[0]], *h[1:]) for lo, texts in text_lists(batch, "text") for h in _hits(sent.value, texts)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
             columns = zip(*found, strict=True) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -374,7 +395,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = sent.value.score(_counts(sent.value, [t or "" for t in batch.column("text").to_pylist()]))
-            yield batch.filter(pa.array(scores < THRESHOLD))
+            for lo, texts in text_lists(batch, "text"):
+                scores = sent.value.score(_counts(sent.value, texts))
+                yield batch.slice(lo, len(texts)).filter(pa.array(scores < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -88,3 +88,44 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, corpus):
     folder, docs, _ = corpus
     kept = {r["doc_id"] for r in T.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()}
     assert kept == {d for d, t in docs if sum(w in BAD for w in (t or "").split()) < 2}
+
+
+def test_repeated_and_null_ids_in_every_stage(spark, corpus, prose):
+    """Rows are judged one by one, also where ids repeat."""
+    from polylogue.llm.chunk_dedup import drop_exact_copies
+    from polylogue.llm.decontaminate import drop_contaminated
+    from polylogue.llm.jaccard_join import jaccard_components, keep_one_of_each
+
+    folder, docs, items = corpus
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(stage, rows):
+        frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema).repartition(3)
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame, folder).collect()), key=str)
+
+    a, b, c = (prose(40, 9000 + i) for i in range(3))
+    rows = [(1, a), (2, a), (1, b), (None, a), (None, c), (None, c), (3, c + " x"), (3, None), (4, ""), (None, None), (5, b + " y"), (5, b + " y")]
+    # 'a' stays with id 2 alone; c has only null ids; b is the text of one row; of the empty texts, id 4 stays
+    assert run(drop_exact_copies, rows) == sorted([(2, a), (1, b), (None, c), (None, c), (3, c + " x"), (4, ""), (5, b + " y"), (5, b + " y")], key=str)
+    near = [(1, a), (2, edited(a, 1, 3)), (2, b), (None, a), (7, c), (7, c), (8, None), (None, ""), (9, edited(b, 1, 4))]
+    assert run(keep_one_of_each, near) == sorted([(1, a), (2, b), (None, a), (7, c), (7, c), (8, None), (None, "")], key=str)
+    assert run(keep_one_of_each, near[:2] + near[4:8]) == sorted([(1, a), (7, c), (7, c), (8, None), (None, "")], key=str)
+    parts = jaccard_components(spark.createDataFrame(near, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in parts.collect()), key=str) == sorted(
+        [(1, 1), (2, 1), (2, 2), (None, 1), (7, 7), (7, 7), (8, 8), (None, None), (9, 2)], key=str)
+    leak = f"{a} {items[0][1]} {b}"
+    leaks = [(1, leak), (1, c), (None, leak), (None, c), (2, None), (3, "")]
+    assert run(drop_contaminated, leaks) == sorted([(1, c), (None, c), (2, None), (3, "")], key=str)
+    bad = " ".join([*a.split()[:20], *BAD, *a.split()[20:]])
+    kept = run(T.drop_toxic, [(d, t) for d, t in docs[:500]] + [(9001, bad), (9001, c), (None, bad), (None, c)])
+    assert (9001, c) in kept and (None, c) in kept and (9001, bad) not in kept and (None, bad) not in kept
+
+
+def test_more_rows_than_are_broadcast(spark, frame, monkeypatch):
+    from polylogue.llm import common
+
+    docs = frame([(i % 7 if i % 5 else None, f"t{i}") for i in range(60)])
+    gone = frame([(3, "t3"), (None, "t5"), (2, "other")]).select("doc_id", "text")
+    few = sorted(map(str, common.without(docs, gone, ["doc_id", "text"]).collect()))
+    monkeypatch.setattr(common, "GONE_MAX", 1)
+    assert sorted(map(str, common.without(docs, gone, ["doc_id", "text"]).collect())) == few and len(few) == 58

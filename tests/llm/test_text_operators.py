@@ -269,3 +269,83 @@ def test_bpe_query_edge_cases(spark, frame, prose):
         text = next(t for d, t in rows if d == r["doc_id"]) or ""
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
     assert B.encode_decode(frame([]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity: whole texts, alphabets, long lines
+def plain_hits(terms, clean_variants, text):
+    """(start, end, term, misspelled, quoted) of a text, word by word."""
+    import re
+
+    low = text.lower()
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+", low)]
+    out = []
+
+    def one_edit(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    for i, (s, e, w) in enumerate(words):
+        exact = w in terms
+        near = sorted(t for t in terms if len(t) >= T.FUZZY_FROM and one_edit(t, w))
+        if not exact and (not near or w in clean_variants):
+            continue
+        window = [x for _, _, x in words[max(0, i - T.WINDOW):i + T.WINDOW + 1]]
+        line, stop = low.rfind("\n", 0, s) + 1, low.find("\n", e)
+        before, after = low[line:s], low[e:len(low) if stop < 0 else stop]
+        opened, closed = max(before.rfind(c) for c in "“«„"), max(before.rfind(c) for c in "”»")
+        quoted = not any(x in T.ADDRESS for x in window) and (
+            before.lstrip().startswith(">") or (before.count('"') % 2 == 1 and '"' in after)
+            or (opened > closed and any(c in after for c in "”»“")) or any(x in T.REPORTING for x in window))
+        out.append((s, e, w if exact else None, not exact, quoted))
+    return out
+
+
+def test_hits_of_whole_texts_equal_a_plain_statement():
+    import random
+
+    rng = random.Random(21)
+    terms = ["blorfen", "zwicket", "ugh", "größlich"]
+    model = T.ToxicityModel([T.Automaton(terms[:2]), T.Automaton(terms[2:])], frozenset(["blorfan"]), np.zeros(9))
+    pieces = ["blorfen", "blorfan", "blorfn", "ZWICKET", "zwickett", "ugh", "ughh", "größlich", "grösslich", "you", "said", "word", "plain", "x", "\n", '"', "“", "”", "«", "»", "„", "> ", " >", "\t", ".", "  "]
+    texts = ["", "\n", " ", *["".join(rng.choice(pieces) + rng.choice(("", " ", " ")) for _ in range(rng.randrange(60))) for _ in range(300)]]
+    got = [[] for _ in texts]
+    for row, s, e, term, misspelled, quoted in T._hits(model, texts):
+        got[row].append((s, e, None if misspelled else term, misspelled, quoted))
+    assert [sorted(g) for g in got] == [sorted(plain_hits(terms, {"blorfan"}, t)) for t in texts]
+    counts = T._counts(model, texts)
+    for k, t in enumerate(texts):
+        hits = plain_hits(terms, {"blorfan"}, t)
+        assert counts[k].tolist() == [sum(not q and not m for *_, m, q in hits), sum(not q and m for *_, m, q in hits), sum(q for *_, q in hits)]
+
+
+def test_alphabets_of_many_letters():
+    terms = [chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) for i in range(300)]
+    model = T.ToxicityModel([T.Automaton(terms)], frozenset(), np.zeros(9))
+    text = " ".join(terms) + " " + terms[0][::-1]
+    assert [h[3] for h in T._hits(model, [text])] == terms
+
+
+def test_a_long_line_with_many_hits_takes_linear_time():
+    import time
+
+    model = T.ToxicityModel([T.Automaton(["blorfen"])], frozenset(), np.zeros(9))
+    text = 'he "said blorfen or so ' * 230_000  # over 5 MB
+    t0 = time.perf_counter()
+    counts = T._counts(model, [text])
+    assert time.perf_counter() - t0 < 10 and counts.sum() == 230_000
+
+
+def test_texts_are_split_by_bytes():
+    import pyarrow as pa
+
+    from polylogue.llm.common import text_lists
+
+    texts = ["a" * 10, None, "", "é" * 20, "b" * 300, "c", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skip", *texts], pa.string())], ["text"]).slice(1)
+    for limit in (1, 12, 60, 10_000):
+        runs = list(text_lists(batch, "text", limit))
+        assert [t for _, run in runs for t in run] == [t or "" for t in texts]
+        assert [lo for lo, _ in runs] == list(np.cumsum([0, *[len(run) for _, run in runs]])[:-1])
