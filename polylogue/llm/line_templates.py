@@ -1,99 +1,160 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line's path in the tree is its number of words and its leading words, with any
-word that holds a digit replaced by a wildcard. In a leaf, each position keeps the
-word that most of the leaf's lines have there, or becomes a wildcard; lines that
-agree with enough of those words share the leaf's template, any other line is its
-own. Lines whose template occurs in MIN_DOCS documents or more are dropped. Leaves
-found in fewer documents hold no recurring template, so their lines end at the
-first count; what moves on are the lines of the other leaves.
+word that holds a digit replaced by a wildcard. The lines of a leaf are clustered in
+rounds. In a round each position of a cluster keeps the word that most of its lines
+have there, or becomes a wildcard; if enough words are left, they are a
+template, and the lines that agree with enough of these words share it. The other
+lines of the cluster are split by the commonest word at a place that each shares with some but not
+all lines, until a line shares no more words: it is then its own template. Lines
+whose template recurs in enough documents are dropped; a long line needs fewer
+documents, since long passages do not recur by chance. Leaves with fewer lines than their
+documents must be hold no recurring template, so nothing moves for them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
-#: Leading words of a path, share of lines that a template's word needs, share of words
-#: that a line must have from it, and documents from which a template recurs.
-DEPTH, KEEP, SIMILAR, MIN_DOCS = 3, 0.5, 0.7, 10
+#: Leading words of a path, share of a cluster's lines that a template's word needs, share of a line's words that
+#: a template keeps at least, and share of these words that a line must have.
+DEPTH, KEEP, CONSTANT, SIMILAR = 3, 0.5, 0.5, 0.7
+#: Documents from which a template recurs, by least number of words.
+LIMITS = ((50, 2), (20, 5), (0, 10))
+#: Up to so many leaves, those that are looked at are broadcast; beyond, they are joined.
+LEAVES = 200_000
 WILD = "<*>"
 
+_BLANK = r"[ \t\r]+"
+
+
+def _limit(words: Column, min_docs: int | None) -> Column:
+    if min_docs is not None:
+        return F.lit(min_docs)
+    out = F.lit(LIMITS[-1][1])
+    for least, docs in reversed(LIMITS[:-1]):
+        out = F.when(words >= least, docs).otherwise(out)
+    return out
+
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, line_no, masked, path) of the lines that are not blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, h, line_no, masked, size, path) of the lines that are not blank."""
+    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     trimmed = F.btrim("line", F.lit(" \t\r"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(trimmed, r"[^ \t\r0-9]*[0-9][^ \t\r]*", WILD)).otherwise(trimmed)
-    lines = lines.select("doc_id", "line_no", masked.alias("masked")).where("masked <> ''")
-    words = F.split("masked", r"[ \t\r]+")
-    return (lines.withColumn("words", words).select("doc_id", "line_no", "masked",
-            F.concat_ws(" ", F.size("words"), F.slice("words", 1, depth)).alias("path")))
+    lines = lines.select("doc_id", "h", "line_no", masked.alias("masked")).where("masked <> ''").withColumn("words", F.split("masked", _BLANK))
+    return lines.select("doc_id", "h", "line_no", "masked", F.size("words").alias("size"), F.concat_ws(" ", F.size("words"), F.slice("words", 1, depth)).alias("path"))
+
+
+def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float, similar: float) -> DataFrame:
+    """(masked, template) of the distinct ``lines`` (path, masked, n)."""
+    rest = scratch.stored(lines.select(F.col("path").alias("cluster"), "masked", "n"), "template-clusters")
+    named = []
+    while not rest.isEmpty():
+        words = rest.withColumn("words", F.split("masked", _BLANK))
+        votes = words.select("cluster", "n", F.posexplode("words").alias("at", "word")).groupBy("cluster", "at", "word").agg(F.sum("n").alias("n"))
+        best = votes.groupBy("cluster", "at").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("of"))
+        word = F.when(F.col("best.n") >= keep * F.col("of"), F.col("best.word")).otherwise(WILD)
+        template = (best.select("cluster", "at", word.alias("word"), "of").groupBy("cluster")
+                    .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("template"), F.first("of").alias("of")))
+        own = words.join(template, "cluster")
+        kept = F.size(F.filter("template", lambda t: t != WILD))
+        agree = F.size(F.filter(F.zip_with("words", "template", lambda w, t: (w == t) & (t != WILD)), lambda x: x))
+        member = (kept >= constant * F.size("words")) & (agree >= similar * kept)
+        own = scratch.stored(own.select("cluster", "masked", "n", "words", "of", member.alias("member"), F.array_join("template", " ").alias("template")), "template-lines")
+        named.append(own.where("member").select("masked", "template"))
+        # the word of a line that most lines of the cluster have at its place, but not all
+        left = own.where("not member").select("cluster", "masked", F.col("n").alias("own"), "of", F.posexplode("words").alias("at", "word"))
+        shared = left.where(F.col("word") != WILD).join(votes, ["cluster", "at", "word"]).where("n > own and n < of")
+        picks = shared.groupBy("masked").agg(F.max(F.struct("n", -F.col("at"), "word")).alias("pick"))
+        split = own.where("not member").select("cluster", "masked", "n").join(picks, "masked", "left")
+        split = scratch.stored(split.select("masked", "n", F.when(F.col("pick").isNotNull(), F.concat_ws("\x1f", "cluster", -F.col("pick.col2"), "pick.word")).alias("cluster")), "template-split")
+        named.append(split.where("cluster is null").select("masked", F.array_join(F.split("masked", _BLANK), " ").alias("template")))
+        rest = split.where("cluster is not null")
+    out = lines.select("masked", F.col("masked").alias("template")).limit(0)
+    for part in named:
+        out = out.unionByName(part)
+    return out
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, keep: float = KEEP, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, line_no, template) of every line of a recurring template; line_no counts from 0.
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, keep: float = KEEP, constant: float = CONSTANT, similar: float = SIMILAR,
+                    min_docs: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, h, line_no, template) of every line of a recurring template; line_no counts from 0, h is a hash of the text.
 
     ``docs`` has doc_id and text, other columns are ignored. Null texts have no lines,
-    blank lines no template. A row repeated under its doc_id counts as one document.
+    blank lines no template. Rows are documents, told apart by id and text; one that is repeated
+    counts once. Equally common words are settled by their place and spelling. ``min_docs``
+    replaces the limits by length. Lines of any length are read whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = scratch or Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     lines = _lines(docs, depth)
-    often = (lines.select("path", "doc_id").distinct().groupBy("path").agg(F.count("*").alias("docs"))
-             .where(F.col("docs") >= min_docs).select("path"))
-    lines = stored(lines.join(often, "path"), "template-lines")
-    distinct = lines.groupBy("path", "masked").agg(F.count("*").alias("n"))
-    words = distinct.select("path", "n", F.posexplode(F.split("masked", r"[ \t\r]+")).alias("at", "word"))
-    votes = words.groupBy("path", "at", "word").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("path", "at").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("all"))
-    leaf = (best.select("path", "at", F.when(F.col("best.n") >= keep * F.col("all"), F.col("best.word")).otherwise(WILD).alias("word"))
-            .groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("template")))
-    own = distinct.join(leaf, "path").withColumn("words", F.split("masked", r"[ \t\r]+"))
-    same = F.size(F.filter(F.zip_with("words", "template", lambda w, t: (w == t) & (t != WILD)), lambda x: x))
-    named = own.select("path", "masked", F.when(same >= similar * F.size("words"), F.array_join("template", " "))
-                       .otherwise(F.array_join("words", " ")).alias("template"))
-    named = stored(named, "line-templates")
-    lines = lines.join(named, ["path", "masked"]).select("doc_id", "line_no", "template")
-    recurs = (lines.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-              .where(F.col("docs") >= min_docs).select("template"))
-    return lines.join(recurs, "template").select("doc_id", "line_no", "template")
+    leaves = scratch.stored(lines.groupBy("path", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _limit(F.col("size"), min_docs)).select("path"), "template-leaves")
+    few = leaves.count() <= LEAVES
+    held = scratch.stored(lines.join(F.broadcast(leaves) if few else leaves, "path", "left_semi"), "template-held")
+    named = scratch.stored(_clustered(held.groupBy("path", "masked").agg(F.count("*").alias("n")), scratch, keep, constant, similar), "template-named")
+    found = held.join(named, "masked").select("doc_id", "h", "line_no", "size", "template")
+    docs_of = found.select("template", "size", "doc_id", "h").distinct().groupBy("template", "size").agg(F.count("*").alias("docs"))
+    recurs = docs_of.where(F.col("docs") >= _limit(F.col("size"), min_docs)).select("template")
+    return found.join(recurs, "template", "left_semi").select("doc_id", "h", "line_no", "template")
 
 
 def without_recurring_lines(docs: DataFrame, **how: float) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): every row with the lines of recurring templates taken out.
 
-    Null text counts as empty (one blank line). Repeated rows lose the same lines.
+    Null text counts as empty (one blank line). Rows with equal id and text lose the same lines; rows with
+    equal ids and other texts, or with null ids, each lose their own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = recurring_lines(docs, **how).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = (recurring_lines(docs, **how).groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("gone"))
+             .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "gone"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
-    return docs.join(found, "doc_id", "left").select(
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["h"] == found["_h"]), "left").select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+#: Rounds that the SQL states; what is left after them would be its own template.
+SQL_ROUNDS = 12
+
+
+def _sql_round(k: int) -> str:
+    """Round ``k`` over the lines c{k} (cluster, masked, n, words)."""
+    return f"""
+v{k} AS (SELECT cluster, pos, word, sum(n) AS n FROM (SELECT cluster, n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM c{k}) GROUP BY ALL),
+b{k} AS (SELECT cluster, pos, CASE WHEN max(n) >= {KEEP} * sum(n) THEN arg_max(word, (n, word)) ELSE '{WILD}' END AS word, sum(n) AS total FROM v{k} GROUP BY cluster, pos),
+t{k} AS (SELECT cluster, list(word ORDER BY pos) AS template, any_value(total) AS total FROM b{k} GROUP BY cluster),
+o{k} AS (SELECT c.*, template, total, len(list_filter(template, lambda x: x <> '{WILD}')) AS kept,
+    len(list_filter(list_zip(words, template), lambda x: x[1] = x[2] AND x[2] <> '{WILD}')) AS agree FROM c{k} c JOIN t{k} USING (cluster)),
+m{k} AS (SELECT *, kept >= {CONSTANT} * len(words) AND agree >= {SIMILAR} * kept AS member FROM o{k}),
+p{k} AS (SELECT l.masked, arg_max({{'pos': l.pos, 'word': l.word}}, (v.n, -l.pos, l.word)) AS pick
+  FROM (SELECT cluster, masked, n AS own, total, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM m{k} WHERE NOT member) l
+  JOIN v{k} v ON v.cluster = l.cluster AND v.pos = l.pos AND v.word = l.word WHERE l.word <> '{WILD}' AND v.n > own AND v.n < total GROUP BY l.masked),
+n{k} AS (SELECT masked, array_to_string(template, ' ') AS template FROM m{k} WHERE member
+  UNION ALL SELECT masked, array_to_string(words, ' ') FROM m{k} WHERE NOT member AND masked NOT IN (SELECT masked FROM p{k})),
+c{k + 1} AS (SELECT m.cluster || chr(31) || (pick.pos - 1) || chr(31) || pick.word AS cluster, m.masked, m.n, m.words FROM m{k} m JOIN p{k} USING (masked) WHERE NOT member),"""
+
+
+_LIMIT_SQL = "CASE " + " ".join(f"WHEN {{0}} >= {least} THEN {docs}" for least, docs in LIMITS) + " END"
+
 ORACLE = f"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS line_no, regexp_replace(x, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS line
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-m AS (SELECT doc_id, line_no, regexp_replace(line, '[^ \\t\\r0-9]*[0-9][^ \\t\\r]*', '{WILD}', 'g') AS masked FROM l WHERE line <> ''),
-p AS (SELECT *, regexp_split_to_array(masked, '[ \\t\\r]+') AS words FROM m),
-q AS (SELECT *, concat_ws(' ', len(words), array_to_string(words[1:{DEPTH}], ' ')) AS path FROM p),
-often AS (SELECT path FROM q GROUP BY path HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-r AS (SELECT q.* FROM q JOIN often USING (path)),
-w AS (SELECT path, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM r),
-v AS (SELECT path, pos, word, count(*) AS n FROM w GROUP BY ALL),
-b AS (SELECT path, pos, CASE WHEN max(n) >= {KEEP} * sum(n) THEN arg_max(word, (n, word)) ELSE '{WILD}' END AS word FROM v GROUP BY path, pos),
-t AS (SELECT path, list(word ORDER BY pos) AS template FROM b GROUP BY path),
-s AS (SELECT r.doc_id, r.line_no, CASE WHEN len(list_filter(list_zip(words, template), lambda x: x[1] = x[2] AND x[2] <> '{WILD}')) >= {SIMILAR} * len(words)
-        THEN array_to_string(template, ' ') ELSE array_to_string(words, ' ') END AS template FROM r JOIN t USING (path)),
-recurs AS (SELECT template FROM s GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-gone AS (SELECT DISTINCT doc_id, line_no FROM s JOIN recurs USING (template)),
-kept AS (SELECT d.doc_id, string_agg(x, chr(10) ORDER BY i) FILTER (g.doc_id IS NULL) AS text, count(*) AS n_lines, count(g.doc_id) AS n_dropped
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) d
-  LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.line_no = d.i - 1 GROUP BY d.doc_id)
-SELECT doc_id, n_lines, n_dropped, sha256(coalesce(text, '')) AS text_sha256 FROM kept
+  SELECT doc_id, text, i - 1 AS line_no, regexp_replace(x, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS line
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+m AS (SELECT doc_id, text, line_no, regexp_replace(line, '[^ \\t\\r0-9]*[0-9][^ \\t\\r]*', '{WILD}', 'g') AS masked FROM l WHERE line <> ''),
+q AS (SELECT *, regexp_split_to_array(masked, '[ \\t\\r]+') AS words FROM m),
+c0 AS (SELECT concat_ws(' ', len(words), array_to_string(words[1:{DEPTH}], ' ')) AS cluster, masked, count(*) AS n, words FROM q GROUP BY ALL),
+{"".join(_sql_round(k) for k in range(SQL_ROUNDS))}
+named AS ({" UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(SQL_ROUNDS))} UNION ALL SELECT masked, array_to_string(words, ' ') FROM c{SQL_ROUNDS}),
+s AS (SELECT doc_id, text, line_no, len(words) AS size, template FROM q JOIN named USING (masked)),
+recurs AS (SELECT template FROM (SELECT DISTINCT template, size, doc_id, text FROM s) GROUP BY template, size HAVING count(*) >= {_LIMIT_SQL.format("size")}),
+gone AS (SELECT DISTINCT doc_id, text, line_no FROM s SEMI JOIN recurs USING (template)),
+kept AS (SELECT d.doc_id, d.text, string_agg(x, chr(10) ORDER BY i) FILTER (g.line_no IS NULL) AS left_over, count(*) AS n_lines, count(g.line_no) AS n_dropped
+  FROM (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) d
+  LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.text = d.text AND g.line_no = d.i - 1 GROUP BY d.doc_id, d.text)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(left_over, '')) AS text_sha256 FROM kept
 """
