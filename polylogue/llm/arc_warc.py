@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import salted_left_join
 
 #: Bytes of payload of a written archive, and of a legacy archive made from pages.
 ARCHIVE_BYTES, ARC_BYTES = 16 << 20, 1 << 20
@@ -32,7 +33,7 @@ ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-_NUMBER = re.compile(rb"(?im)^X-Record-Number: *(\d+)")
+_NUMBER = re.compile(rb"(?im)^X-Record-Number: *(-?\d+)")
 _LENGTH = re.compile(rb"(?im)^Content-Length: *(\d+)")
 
 
@@ -107,10 +108,11 @@ def as_warc(record: dict) -> dict:
         at = cut.end() if cut else len(body)
         head, payload = body[:at], body[at:]
     number = _NUMBER.search(head)
-    name = f"{url} {record['Archive-date']} {number[1].decode() if number else sha1_base32(body)}"
+    digest = sha1_base32(payload)
+    name = f"{url} {record['Archive-date']} {number[1].decode() if number else sha1_base32(body)} {digest}"  # other payloads are other records
     return {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}", "type": kind, "date": warc_date(record["Archive-date"]), "uri": url,
             "ip": record["IP-address"], "mime": mime, "number": int(number[1]) if number else None, "head": head, "payload": payload,
-            "digest": sha1_base32(payload), "size": len(payload), "cut": record["cut"]}
+            "digest": digest, "size": len(payload), "cut": record["cut"]}
 
 
 _RECORD = "record_id string, type string, date string, uri string, ip string, mime string, number long, head binary, payload binary, digest string, size long, cut boolean"
@@ -142,10 +144,15 @@ def convert(arcs: DataFrame) -> DataFrame:
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
-    """``records`` with refers_to: of equal payloads of responses with numbers, the smallest number stays whole."""
-    own = records.where("type = 'response' and number is not null").select("digest", "number", "record_id", "date", "uri")
-    first = own.groupBy("digest").agg(F.min(F.struct("number", "record_id", "date", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = (own.select("digest", "number", "record_id").join(first, "digest").where(F.col("number") != F.col("first.number"))
+    """``records`` with refers_to: of equal payloads of responses the one with the smallest number stays whole; one without a number stays only where none has one.
+
+    The many records of one payload are dealt to several tasks.
+    """
+    own = records.where("type = 'response'").select("digest", "number", "record_id", "date", "uri")
+    named = F.when(F.col("number").isNotNull(), F.struct("number", "record_id", "date", "uri"))
+    first = own.groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    again = (salted_left_join(own.select("digest", "number", "record_id"), first, "digest", "record_id")
+             .where(F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
              .select("record_id", F.col("first").alias("refers_to")).dropDuplicates(["record_id"]))
     return records.join(again, "record_id", "left")
 
@@ -161,7 +168,8 @@ def _record_text() -> F.Column:
         line("WARC-IP-Address", F.col("ip"), F.col("type") == "response"), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"), F.col("type") != "warcinfo"),
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), revisit),
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to.record_id", F.lit(">")), revisit), line("WARC-Refers-To-Target-URI", F.col("refers_to.uri"), revisit),
-        line("WARC-Refers-To-Date", F.col("refers_to.date"), revisit), line("WARC-Truncated", F.lit("length"), F.col("cut")),
+        line("WARC-Refers-To-Date", F.col("refers_to.date"), revisit), line("X-Refers-To-Record-Number", F.col("refers_to.number").cast("string"), revisit),
+        line("WARC-Truncated", F.lit("length"), F.col("cut")),
         line("Content-Type", F.col("mime")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     return F.concat(fields.cast("binary"), block, F.lit("\r\n").cast("binary")).cast("string")
 
@@ -188,7 +196,7 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         at = end + 4 + size + 4
 
 
-_READ = "record_id string, type string, date string, uri string, number long, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
+_READ = "record_id string, type string, date string, uri string, number long, refers_to_id string, refers_to_number long, payload_bytes long, payload_digest string, payload binary"
 _READ_ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _READ.split(", "))])
 
 
@@ -210,7 +218,8 @@ def read_warcs(spark: SparkSession, path: str, payloads: bool = True) -> DataFra
             if kind == "revisit":
                 size, digest = int(length[1]) if length else None, r.get("warc-payload-digest", "").removeprefix("sha1:")
             yield {"record_id": r["warc-record-id"].strip("<>"), "type": kind, "date": r.get("warc-date"), "uri": r.get("warc-target-uri"), "number": int(number[1]) if number else None,
-                   "refers_to_id": r["warc-refers-to"].strip("<>") if "warc-refers-to" in r else None, "payload_bytes": size, "payload_digest": digest,
+                   "refers_to_id": r["warc-refers-to"].strip("<>") if "warc-refers-to" in r else None,
+                   "refers_to_number": int(r["x-refers-to-record-number"]) if "x-refers-to-record-number" in r else None, "payload_bytes": size, "payload_digest": digest,
                    "payload": payload if payloads and kind != "revisit" else None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +234,7 @@ def legacy_archives(pages: DataFrame) -> DataFrame:
     """(content): ARC files of about ARC_BYTES made from ``pages`` (page_id, url, html), versions 1 and 2 in turn.
 
     Each page is an HTTP response whose header holds the page's number and length; null html is an
-    empty body and a null address "about:blank". Rows with a null page_id are left out.
+    empty body and a null address "about:blank". A row with a null page_id has no number.
     """
     epoch = datetime(2000, 1, 1)
 
@@ -234,8 +243,9 @@ def legacy_archives(pages: DataFrame) -> DataFrame:
         about = f"{version} 0 legacy\n{' '.join(fields)}\n\n".encode()
         out = [f"filedesc://legacy.arc 0.0.0.0 20000101000000 text/plain {len(about)}\n".encode() + about + b"\n"]
         for number, url, html in records:
-            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Record-Number: {number}\r\n\r\n".encode() + html
-            date = (epoch + timedelta(seconds=abs(number) % (1 << 32))).strftime("%Y%m%d%H%M%S")
+            named = "" if number is None else f"X-Record-Number: {number}\r\n"
+            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n{named}\r\n".encode() + html
+            date = (epoch + timedelta(seconds=abs(number or 0) % (1 << 32))).strftime("%Y%m%d%H%M%S")
             more = "" if version == 1 else " 200 - - 0 legacy.arc"
             out.append(f"{url} 0.0.0.0 {date} text/html{more} {len(body)}\n".encode() + body + b"\n")
         return b"".join(out)
@@ -253,21 +263,23 @@ def legacy_archives(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([arc(1 + made % 2, held)], pa.binary())], ["content"])
                     held, n, made = [], 0, made + 1
 
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return pages.mapInArrow(run, "content binary")
 
 
 def pages_through_warc(pages: DataFrame, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the pages, converted to WARC files below ``path`` and read back.
 
-    Equal payloads of 0 bytes or more are revisits of the smallest page_id. Repeated rows under one
-    page_id are each a response or each a revisit. An empty table gives an empty result.
+    Equal payloads of 0 bytes or more are revisits of the smallest page_id, also where ids repeat: rows of one id with other
+    payloads are records of their own, and rows that repeat id and payload are each a response or each a revisit.
+    A row with a null page_id is a revisit where a row with an id has its payload, else a response. Pages of any
+    length pass whole. An empty table gives an empty result.
+
+    A revisit's header names the record it refers to and its number, so nothing is joined after reading.
     """
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
     records = convert(legacy_archives(pages)).where("type <> 'warcinfo'")
     write_warcs(records, path, max(1, -(-total // ARCHIVE_BYTES)))
-    back = read_warcs(spark, path, payloads=False)
-    ids = back.where("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("number").alias("refers_to")).dropDuplicates(["refers_to_id"])
-    return (back.join(ids, "refers_to_id", "left")
-            .select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"))
+    return read_warcs(spark, path, payloads=False).select(
+        F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_number").alias("refers_to"))
