@@ -1,9 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are all three-word sequences of a test item, however many documents hold
-them, so that a passage held by thousands of documents counts like any other. Of
-the words around a document's seeds, those go on to alignment that hold enough of
-an item's words to reach the least score at all, a bound that loses nothing. Local
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Of each test item the words that stand in the fewest documents are kept, and a seed is
+QUORUM of these near each other, in any order and with gaps (a skip-gram of rare words). The cover is
+proven: an alignment worth ``least`` of an item of L words matches at least
+ceil(least * L) of them, so of any L - ceil(least * L) + q words of the item it holds
+q, and it is at most L * (1 + (1 - least) * MATCH / -GAP) words wide. So every passage
+that scores enough has a seed, whatever words are changed, put in or left out, while
+words that many documents or items share are no seeds as long as rarer ones
+do. Of the words around a document's seeds, those go on to alignment that hold enough
+of an item's words to reach the least score at all, a bound that loses nothing. Local
 alignment of the words scores how much of an item a passage holds, with edits, gaps
 and changed words. Documents are read in place and nothing of them moves.
 """
@@ -20,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import flagged_spans, mix, span_hashes, text_chunks
 
-#: Words of a seed; seeds of one block of items, which is what a pass over the corpus broadcasts.
-SEED_WORDS, BLOCK_SEEDS = 3, 2_000_000
-#: Words around seeds that are bounded at once.
-AROUND_WORDS = 1 << 21
+#: Rare words that make a seed, and least words of an item; words of one block of items, which is what a pass over the corpus broadcasts.
+QUORUM, LEAST_WORDS, BLOCK_SEEDS = 4, 3, 2_000_000
+#: Rare words of items, and words around seeds, that are looked at at once.
+HITS, AROUND_WORDS = 1 << 18, 1 << 19
 #: Alignment scores of a match, a changed word and a gap; share of an item's full score that marks a leak.
 MATCH, CHANGE, GAP, LEAK = 2, -1, -1, 0.5
 
@@ -43,18 +48,6 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, span_hashes(data, starts, ends)
 
 
-def _grams(row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the first word, hash) of the SEED_WORDS-grams within rows."""
-    k = len(words) - SEED_WORDS + 1
-    if k <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(k, np.uint64)
-    for i in range(SEED_WORDS):
-        h = (h + words[i:i + k]) * _MULT
-    at = np.flatnonzero(row[:k] == row[SEED_WORDS - 1:])
-    return at, mix(h[at])
-
-
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in _lower_chunks(batch):
@@ -74,10 +67,21 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def rare_words(words: np.ndarray, documents: np.ndarray, least: float, quorum: int = QUORUM) -> tuple[np.ndarray, int]:
+    """(places of an item's rarest words, how many of them every alignment worth ``least`` holds)."""
+    matched = int(np.ceil(least * len(words) - 1e-9))  # two points a match, so half the score is half the words at least
+    q = max(1, min(quorum, matched))
+    order = np.lexsort((np.arange(len(words)), words, documents))
+    return np.sort(order[:len(words) - matched + q]), q
+
+
 class Items:
-    """The words of a block of items, the items of each seed, and how far an alignment worth ``least`` reaches from a seed."""
+    """The words of a block of items, the items of each rare word, and how far an alignment worth ``least`` reaches.
 
-    def __init__(self, ids: np.ndarray, words: list[np.ndarray], least: float):
+    ``documents`` has the number of documents with each word of ``vocabulary`` (sorted).
+    """
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], least: float, vocabulary: np.ndarray, documents: np.ndarray):
         self.ids, self.words, self.least = ids, words, least
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
@@ -85,51 +89,81 @@ class Items:
         self.reach = np.ceil(self.sizes * (1 + (1 - least) * MATCH / -GAP)).astype(np.int64)
         every = np.concatenate(words)
         self.vocabulary, self.codes = np.unique(every, return_inverse=True)
-        owner = np.repeat(np.arange(len(words)), self.sizes)
-        at, grams = _grams(owner, every)
-        owner = owner[at]
-        order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-        self.owner = owner[new]
-        self.seeds, self.seed_firsts, self.seed_items = np.unique(grams[new], return_index=True, return_counts=True)
+        counts = np.zeros(len(self.vocabulary), np.int64)
+        if len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+            counts = np.where(vocabulary[at] == self.vocabulary, documents[at], 0)
+        seeds, owners, self.quorum = [], [], np.zeros(len(words), np.int64)
+        for k, (w, first) in enumerate(zip(words, self.firsts.tolist(), strict=True)):
+            places, self.quorum[k] = rare_words(w, counts[self.codes[first:first + len(w)]], least)
+            seeds.append(np.unique(w[places]))
+            owners.append(np.full(len(seeds[-1]), k))
+        seeds, owners = np.concatenate(seeds), np.concatenate(owners)
+        order = np.argsort(seeds, kind="stable")
+        self.owner = owners[order]
+        self.seeds, self.seed_firsts, self.seed_items = np.unique(seeds[order], return_index=True, return_counts=True)
 
     def around(self, row: np.ndarray, words: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(row, item, start, end) of the passages around seeds that hold enough words of their item."""
-        at, grams = _grams(row, words)
-        hit = _found(self.seeds, grams)
-        at, seed = at[hit], np.searchsorted(self.seeds, grams[hit])
+        at = np.flatnonzero(_found(self.seeds, words))
+        seed = np.searchsorted(self.seeds, words[at])
         first = np.searchsorted(row, np.arange(n_rows + 1))
         known = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = np.where(self.vocabulary[known] == words, known, -1)
-        far = np.concatenate(([0], np.cumsum(self.reach[self.owner])))
-        load = np.cumsum(far[self.seed_firsts[seed] + self.seed_items[seed]] - far[self.seed_firsts[seed]])
-        i = 0
-        while i < len(at):
-            j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + AROUND_WORDS, "right")))
+        load = np.cumsum(self.seed_items[seed])
+        widest = int(self.reach.max())
+        begin = 0
+        while begin < len(at):
+            # rare words in runs of about HITS words times items; a run sees as far as a seed that begins in it reaches
+            cut = max(begin + 1, int(np.searchsorted(load, (load[begin - 1] if begin else 0) + HITS, "right")))
+            i, j, begin = begin, int(np.searchsorted(at, at[cut - 1] + widest, "right")), cut
             n = self.seed_items[seed[i:j]]
             item, place = self.owner[_spread(self.seed_firsts[seed[i:j]], n)], np.repeat(at[i:j], n)
             order = np.lexsort((place, item, row[place]))
             item, place = item[order], place[order]
             of, reach = row[place], self.reach[item]
+            # the quorum's last word lies within reach of its first
+            far = self.quorum[item] - 1
+            last = np.minimum(np.arange(len(item)) + far, len(item) - 1)
+            whole = (np.arange(len(item)) + far < len(item)) & (item[last] == item) & (of[last] == of) & (place[last] - place < reach)
+            if not whole.any():
+                continue
+            # words of any quorum, chained where they are within reach
+            part = np.zeros(len(item) + 1, np.int64)
+            np.add.at(part, np.flatnonzero(whole), 1)
+            np.add.at(part, last[whole] + 1, -1)
+            held = np.cumsum(part)[:-1] > 0
+            item, place, of, reach = item[held], place[held], of[held], reach[held]
             new = np.ones(len(item), bool)
             new[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[1:])
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(item)) - 1
             of, item, reach = of[a], item[a], reach[a]
-            starts, ends = np.maximum(first[of], place[a] - reach), np.minimum(first[of + 1], place[b] + SEED_WORDS + reach)
-            # no score is above that of the item's words that stand anywhere in the passage
-            size, width = self.sizes[item], ends - starts
-            which, pair = known[_spread(starts, width)], np.repeat(np.arange(len(item)), width)
-            there = np.unique((pair * len(self.vocabulary) + which)[which >= 0])
-            pair = np.repeat(np.arange(len(item)), size)
-            wanted = pair * len(self.vocabulary) + self.codes[_spread(self.firsts[item], size)]
-            held = np.bincount(pair[_found(there, wanted)], minlength=len(item))
-            keep = (MATCH * held) / (MATCH * size) >= self.least
-            yield of[keep], item[keep], starts[keep], ends[keep]
+            starts, ends = np.maximum(first[of], place[a] - reach), np.minimum(first[of + 1], place[b] + 1 + reach)
+            yield from self._bounded(of, item, starts, ends, known)
+
+    def _bounded(self, of: np.ndarray, item: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Those passages that hold enough words of their item, in runs of about AROUND_WORDS words."""
+        width = ends - starts
+        upto = np.cumsum(width)
+        i = 0
+        while i < len(item):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AROUND_WORDS, "right")))
+            part = slice(i, j)
+            keep = self._enough(item[part], starts[part], width[part], known)
+            yield of[part][keep], item[part][keep], starts[part][keep], ends[part][keep]
             i = j
 
+    def _enough(self, item: np.ndarray, starts: np.ndarray, width: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """No score is above that of the item's words that stand anywhere in the passage."""
+        size = self.sizes[item]
+        which, pair = known[_spread(starts, width)], np.repeat(np.arange(len(item)), width)
+        there = np.unique((pair * len(self.vocabulary) + which)[which >= 0])
+        pair = np.repeat(np.arange(len(item)), size)
+        wanted = pair * len(self.vocabulary) + self.codes[_spread(self.firsts[item], size)]
+        held = np.bincount(pair[_found(there, wanted)], minlength=len(item))
+        return (MATCH * held) / (MATCH * size) >= self.least
+
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(best local score, end of that alignment in the passage) of each pair, a row of all pairs' tables at a time."""
@@ -199,17 +233,39 @@ def _aligned(sent):
     return run
 
 
-def _blocks(spark: SparkSession, items: DataFrame, least: float, block_seeds: int) -> Iterator:
-    """Broadcasts of the items, in blocks of about ``block_seeds`` seeds."""
+def _documents_with(sent):
+    """(word, n): how many texts of a task hold each word of the sorted vocabulary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        counts = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for _, _, data, offs in _lower_chunks(batch):
+                row, words = _words(data, offs)
+                hit = _found(vocabulary, words)
+                there = np.unique(row[hit] * len(vocabulary) + np.searchsorted(vocabulary, words[hit]))
+                counts += np.bincount(there % len(vocabulary), minlength=len(vocabulary))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(vocabulary[some].view(np.int64)), pa.array(counts[some])], ["word", "n"])
+
+    return run
+
+
+def _blocks(docs: DataFrame, items: DataFrame, least: float, block_seeds: int) -> Iterator:
+    """Broadcasts of the items, in blocks of about ``block_seeds`` words; the documents with each of a block's words are counted first."""
+    spark = docs.sparkSession
     known = (items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-             .mapInArrow(_item_words, "item_id long, words array<long>").where(F.size("words") >= SEED_WORDS).distinct())
-    total = known.agg(F.sum(F.size("words") - (SEED_WORDS - 1)).alias("n")).first()["n"] or 0
+             .mapInArrow(_item_words, "item_id long, words array<long>").where(F.size("words") >= LEAST_WORDS).distinct())
+    total = known.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_seeds))
     for block in range(blocks):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
         if part.num_rows:
             words = [x.values.to_numpy().view(np.uint64) for x in part.column("words")]
-            yield spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), words, least))
+            vocabulary = np.unique(np.concatenate(words))
+            found = docs.select("text").mapInArrow(_documents_with(spark.sparkContext.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+            held = found["word"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(held)
+            yield spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), words, least, held[order], found["n"].to_numpy(np.int64)[order]))
 
 
 def aligned_passages(docs: DataFrame, items: DataFrame, least: float = LEAK, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -218,13 +274,14 @@ def aligned_passages(docs: DataFrame, items: DataFrame, least: float = LEAK, blo
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.
     score is the alignment's share of the item's full score, from_word and to_word bound
     the passage in words of the document. Null and empty texts, and items of fewer than
-    three words, give nothing. Rows repeated under one id count once. Items are taken
-    in blocks of about ``block_seeds`` seeds, each a pass over the documents.
+    three words, give nothing. Rows repeated under one id count once; of equally good passages
+    the first is given. Texts of any length are read whole. Items are taken
+    in blocks of about ``block_seeds`` words, for each of which the documents are read twice.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for sent in _blocks(spark, items, least, block_seeds):
+    for sent in _blocks(docs, items, least, block_seeds):
         best = (docs.mapInArrow(_aligned(sent), "doc_id long, item_id long, score double, from_word long, to_word long").groupBy("doc_id", "item_id")
                 .agg(F.max(F.struct("score", -F.col("from_word"), "to_word")).alias("b"))
                 .select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("from_word"), "b.to_word"))
@@ -255,6 +312,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Each row is judged where it lies, so no text moves, and rows that share an id or have none are told apart.
     """
-    for sent in _blocks(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), LEAK, BLOCK_SEEDS):
+    for sent in _blocks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), LEAK, BLOCK_SEEDS):
         docs = docs.mapInArrow(_clean_rows(sent), docs.schema)
     return docs
