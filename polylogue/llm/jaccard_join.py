@@ -36,12 +36,12 @@ from .common import Scratch, components, salted_left_join, shingle_sets, stored,
 HOT_SHARE, HOT_MAX = 1 / 2000, 1_000_000
 #: Shingles that a task counts together when it looks for frequent ones, and the part of the
 #: hash range it looks at: prefixes, the first quarter in order of the hashes, rarely reach beyond.
-WINDOW, REACH = 1_500_000, 0.4
+WINDOW, REACH = 750_000, 0.4
 #: Up to so many ids, those to be verified are broadcast (8 bytes each); beyond, they are joined.
 IDS_MAX = 500_000
-#: A bucket is heavy if its pairs across components are more than HEAVY times its rows; sets of
+#: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
 #: heavy buckets that are sent to the tasks as one index.
-HEAVY, BLOCK = 4, 20_000
+HEAVY, BLOCK_BYTES = 4, 32 << 20
 
 
 def _frequent(share: float):
@@ -262,7 +262,9 @@ def _components(docs: DataFrame) -> DataFrame:
     heavy = scratch.stored(heavy.join(about.select("doc_id", "bitmap"), "doc_id"), "heavy")
     light = mixed.where("not heavy").join(heavy.select("doc_id", F.size("tokens").alias("h")), "doc_id", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     pairs = bounded(_meeting(light))
-    blocks = -(-heavy.where("minor").count() // BLOCK)
+    # a hash deals the sets to blocks of about BLOCK_BYTES; what a block weighs is known before it is read
+    weight = 8 * (F.size("tokens") + F.size("bitmap")) + 64
+    blocks = -(-(heavy.where("minor").agg(F.sum(weight)).first()[0] or 0) // BLOCK_BYTES)
     for block in range(blocks):
         part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
         pairs = pairs.unionByName(_meeting_block(heavy, part))
@@ -359,14 +361,18 @@ def _differing(bits: np.ndarray, who: np.ndarray, widths: np.ndarray, place: np.
 def _meeting(rows: DataFrame) -> DataFrame:
     """(a_id, b_id, la, lb): sets of different components, and these, that share enough shingles of their prefixes.
 
-    ``rows`` has token, doc_id, n, band, label and h, the number of a set's prefix shingles that are left out here.
+    ``rows`` has token, doc_id, n, band, label, top (the largest component of the token's bucket) and h, the number of a set's prefix
+    shingles that are left out here. Only sets that are not of the largest component look for others, so a
+    bucket of m near copies and a few other sets costs m times these few, not m times m.
     At least min(p_a - d_a, p_b - d_b) prefix shingles of a linked pair are common, where p is
     a prefix's length and d what a set may hold that the other lacks.
     """
-    own = rows.select("token", F.col("band").alias("tile"), F.struct("doc_id", "n", "h", "label").alias("x"))
-    met = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.struct("doc_id", "n", "h", "label", "band").alias("y"))
+    minor = F.col("label") != F.col("top")
+    own = rows.select("token", F.col("band").alias("tile"), F.struct("doc_id", "n", "h", "label", minor.alias("minor")).alias("x"))
+    met = rows.where(minor).select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("tile"), F.struct("doc_id", "n", "h", "label").alias("y"))
+    # two sets that both look for others would meet twice
     pairs = own.join(met, ["token", "tile"]).where(
-        "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and (y.band < tile or x.doc_id < y.doc_id)")
+        "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and (not x.minor or x.doc_id < y.doc_id)")
     flip = F.col("x.doc_id") < F.col("y.doc_id")
     part = lambda c: F.struct(*(f"{c}.{k}" for k in ("doc_id", "n", "h", "label")))
     pairs = pairs.select(F.when(flip, part("x")).otherwise(part("y")).alias("a"), F.when(flip, part("y")).otherwise(part("x")).alias("b"))
