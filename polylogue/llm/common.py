@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from polylogue.session import hadoop_path, scratch_path
 
 #: Bytes of text that a task expands into numpy arrays at once; one longer text is its own chunk.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: The C library's call that returns free memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -75,32 +79,41 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty."""
+    """(first row, end row, UTF-8 bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty. The bytes are the batch's own."""
     texts = batch.column(column)
-    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
-    if not len(texts):
-        return
-    _, offs, data = texts.buffers()
-    offs = np.frombuffer(offs, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    for lo, hi in _runs(texts, limit):
+        part = texts.slice(lo, hi - lo)
+        part = part.fill_null("") if part.null_count else part
+        _, offs, data = part.buffers()
+        offs = np.frombuffer(offs, np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset:part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        yield lo, hi, data[offs[0]:offs[-1]], offs - offs[0]
+    _release()
+
+
+def _runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of about ``limit`` bytes; one longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, len(texts))
-        yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
         lo = hi
+
+
+def _release() -> None:
+    """Give memory that a batch has used and nothing holds back to the system: a worker serves one stage after another."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_lists(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of rows of about ``limit`` bytes; null reads as empty."""
     texts = batch.column(column)
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+    for lo, hi in _runs(texts, limit):
         yield lo, pc.fill_null(texts.slice(lo, hi - lo), "").to_pylist()
-        lo = hi
+    _release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

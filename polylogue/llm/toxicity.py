@@ -40,7 +40,7 @@ MISSPELLED = 0.8
 #: Documents with at least this score are toxic.
 THRESHOLD = 0.3
 #: Characters of text expanded at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 #: Words of reporting and of address.
 REPORTING = frozenset("said says wrote writes quoted quote quotes called term word insult slur zitat sagte schrieb wort dit écrit mot cité dijo escribió palabra".split())

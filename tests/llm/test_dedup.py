@@ -108,7 +108,7 @@ def near_rows(prose):
 def test_components_equal_brute_force(frame, prose, monkeypatch, hot, heavy, block):
     rows = near_rows(prose)
     monkeypatch.setattr(J, "HEAVY", heavy)
-    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 600 * block)
     monkeypatch.setattr(J.frequent_shingles, "__defaults__", (hot,))
     got = J.jaccard_components(frame(rows)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
@@ -164,3 +164,26 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["id"]: r["label"] for r in components(spark, links).collect()}
     assert got == {**{i: 1 for i in range(1, 71)}, 100: 100, 101: 100}
+
+
+def test_pairs_grow_with_the_copies_and_not_with_their_square(spark, prose):
+    """5,000 near copies and two other sets in one bucket: the sets that look for others are two."""
+    n = 5000
+    rows = [(7, i, 100, 16, 1, 0, 1) for i in range(1, n + 1)] + [(7, 20_000, 100, 16, 20_000, 0, 1), (7, 20_001, 101, 16, 20_001, 0, 1)]
+    mixed = spark.createDataFrame(rows, "token long, doc_id long, n long, band int, label long, h long, top long")
+    plan = J._meeting(mixed)
+    pairs = plan.collect()
+    assert len(pairs) == 2 * n + 1 and {(r["la"], r["lb"]) for r in pairs} == {(1, 20_000), (1, 20_001), (20_000, 20_001)}
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in text
+    own, met = n + 2, 3 * 2  # rows that are met, and looking rows in three tiles each
+    assert mixed.where("label <> top").count() * 3 == met and own * 2 < 4 * n
+
+
+def test_texts_under_one_id_are_linked_by_themselves(frame, prose):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a), (5, edited(a, 1, 1)), (5, b), (7, edited(b, 1, 2)), (7, None), (None, a), (None, edited(a, 1, 9)), (9, "short"), (9, "short")]
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in J.jaccard_components(frame(rows)).collect()), key=str)
+    assert len(got) == len(rows)
+    assert {(d, c) for d, n, c in got if n} == {(1, 1), (5, 1), (5, 5), (7, 5), (0, 1), (9, 9)} | {(0, c) for d, n, c in got if d == 0}
+    assert (7, 0, 7) in got and got.count((9, 1, 9)) == 2

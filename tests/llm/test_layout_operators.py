@@ -39,6 +39,108 @@ def test_line_edge_cases(frame, prose):
     assert len(got) == 3 and all(r["n_dropped"] == 0 for r in got)
 
 
+def kept_lines(frame, rows, **how):
+    return sorted((r["doc_id"] or 0, r["text"]) for r in L.without_recurring_lines(frame(rows), **how).collect())
+
+
+def test_a_template_with_many_variable_words(frame, words):
+    """Five of nine words are the template's; names and addresses vary in every line."""
+    rows = [(i, f"2024-01-{i % 28 + 1:02d} 10:00:{i % 60:02d} INFO user {words[i]}{words[-i - 1]} logged in from 10.0.0.{i}") for i in range(100)]
+    assert all(t == "" for _, t in kept_lines(frame, rows))
+
+
+def test_two_templates_in_one_leaf(frame, words):
+    rows = [(i, f"the server said {words[i]} was refused by the gate of node") for i in range(50)]
+    rows += [(100 + i, f"the server said all jobs that {words[i]} has sent are lost") for i in range(50)]
+    rows += [(200 + i, f"the server said {words[3 * i]} {words[3 * i + 1]} {words[3 * i + 2]} {words[i + 90]} {words[i + 120]} {words[i + 150]} {words[i + 180]} {words[i + 200]}") for i in range(20)]
+    got = {r["doc_id"]: r["template"] for r in L.recurring_lines(frame(rows)).collect()}
+    assert {d for d in got if d < 50} == set(range(50)) and {d for d in got if 100 <= d < 150} == set(range(100, 150)) and not {d for d in got if d >= 200}
+    assert set(got.values()) == {"the server said <*> was refused by the gate of node", "the server said all jobs that <*> has sent are lost"}
+
+
+def test_long_lines_need_fewer_documents(frame, prose):
+    shared = {n: prose(n, 800 + n) for n in (12, 30, 60)}
+    rows = [(i, f"{prose(8, i)}\n{shared[60]}") for i in range(2)] + [(10 + i, f"{prose(8, 40 + i)}\n{shared[30]}") for i in range(5)]
+    rows += [(20 + i, f"{prose(8, 80 + i)}\n{shared[30][:-1]}x") for i in range(4)] + [(30 + i, f"{prose(8, 120 + i)}\n{shared[12]}") for i in range(9)]
+    got = dict(kept_lines(frame, rows))
+    assert all("\n" not in got[i] for i in (0, 1)) and all(got[10 + i].count("\n") == 0 for i in range(5))
+    assert all(shared[12] in got[30 + i] for i in range(9))
+
+
+def test_rows_with_one_id_lose_their_own_lines(frame, prose):
+    common = prose(55, 7)
+    rows = [(5, f"{common}\n{prose(9, 1)}"), (5, f"{prose(9, 2)}\n{prose(9, 3)}"), (6, f"{prose(9, 4)}\n{common}"), (None, common), (None, prose(9, 5)), (7, "same\n" + prose(9, 6)), (7, "same\n" + prose(9, 6))]
+    assert kept_lines(frame, rows) == sorted([(5, prose(9, 1)), (5, f"{prose(9, 2)}\n{prose(9, 3)}"), (6, prose(9, 4)), (0, ""), (0, prose(9, 5)), (7, "same\n" + prose(9, 6)), (7, "same\n" + prose(9, 6))])
+
+
+def plain_templates(lines):
+    """Template of each distinct line (a tuple of words, masked) with its count, cluster by cluster."""
+    from collections import Counter, defaultdict
+
+    clusters, out = defaultdict(dict), {}
+    for words, n in lines.items():
+        clusters[(len(words), words[:L.DEPTH])][words] = n
+    clusters = list(clusters.values())
+    while clusters:
+        cluster = clusters.pop()
+        total = sum(cluster.values())
+        votes = Counter()
+        for words, n in cluster.items():
+            for at, w in enumerate(words):
+                votes[at, w] += n
+        size = len(next(iter(cluster)))
+        template = []
+        for at in range(size):
+            n, w = max((votes[at, w], w.encode()) for w in {x[at] for x in cluster})
+            template.append(w.decode() if n >= L.KEEP * total else L.WILD)
+        kept = sum(t != L.WILD for t in template)
+        split = defaultdict(dict)
+        for words, n in cluster.items():
+            agree = sum(w == t != L.WILD for w, t in zip(words, template, strict=True))
+            picks = [(votes[at, w], -at, w) for at, w in enumerate(words) if w != L.WILD and n < votes[at, w] < total]
+            if kept >= L.CONSTANT * size and agree >= L.SIMILAR * kept:
+                out[words] = " ".join(template)
+            elif picks:
+                split[max(picks)[1:]][words] = n
+            else:
+                out[words] = " ".join(words)
+        clusters += split.values()
+    return out
+
+
+def test_templates_equal_a_plain_statement(frame):
+    import random
+    import re
+    from collections import Counter, defaultdict
+
+    rng = random.Random(31)
+    some = "alpha beta gamma delta eps zeta eta theta 17 x9".split()
+    rows = [(d, "\n".join(" ".join(["go", "to", "it"][:rng.randrange(4)] + [rng.choice(some[:rng.choice((2, 10))]) for _ in range(rng.choice((3, 3, 7)))]) for _ in range(6))) for d in range(150)]
+    lines, docs = Counter(), defaultdict(set)
+    for d, text in rows:
+        for line in text.split("\n"):
+            words = tuple(re.sub(r"[^ ]*[0-9][^ ]*", L.WILD, line).split(" "))
+            lines[words] += 1
+    named = plain_templates(lines)
+    for d, text in rows:
+        for line in text.split("\n"):
+            words = tuple(re.sub(r"[^ ]*[0-9][^ ]*", L.WILD, line).split(" "))
+            docs[named[words], len(words)].add(d)
+    for least in (2, 6, 30):
+        recur = {t for (t, _), ds in docs.items() if len(ds) >= least}
+        got = {(r["doc_id"], r["line_no"], r["template"]) for r in L.recurring_lines(frame(rows), min_docs=least).collect()}
+        want = {(d, i, named[w]) for d, text in rows for i, line in enumerate(text.split("\n"))
+                for w in [tuple(re.sub(r"[^ ]*[0-9][^ ]*", L.WILD, line).split(" "))] if named[w] in recur}
+        assert got == want
+
+
+def test_lines_of_more_leaves_than_are_broadcast(frame, words, monkeypatch):
+    rows = [(i, f"first {words[i % 5]} kind of line\nsecond kind of {words[i % 3]} line here") for i in range(40)]
+    few = kept_lines(frame, rows)
+    monkeypatch.setattr(L, "LEAVES", 0)
+    assert kept_lines(frame, rows) == few
+
+
 def brute_shards(rows, limit):
     bits = {d: f"{int(hashlib.md5(('' if d is None else str(d)).encode()).hexdigest()[:15], 16):060b}" for d, _ in rows}
     out = {}
@@ -170,8 +272,8 @@ def test_archive_edge_cases(spark):
     kinds = "page_id long, url string, html string"
     assert A.pages_through_warc(spark.createDataFrame([], kinds), scratch_path(spark, "t-warc0")).count() == 0
     twice = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (3, "v", "same"), (None, "w", "same")], kinds)
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in A.pages_through_warc(twice, scratch_path(spark, "t-warc1")).collect())
-    assert got == [(3, "response", 0), (5, "revisit", 3), (5, "revisit", 3)]
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in A.pages_through_warc(twice, scratch_path(spark, "t-warc1")).collect())
+    assert got == [(0, "revisit", 3), (3, "response", 0), (5, "revisit", 3), (5, "revisit", 3)]
 
 
 def test_a_page_with_the_address_of_a_version_block_is_a_page(spark):
@@ -188,3 +290,25 @@ def test_payloads_survive_whole(spark):
     back = A.read_warcs(spark, path).collect()
     assert sorted((r["type"], r["number"], r["payload"]) for r in back if r["type"] != "warcinfo") == [
         ("response", 0, bytearray(b"\x00\xff\r")), ("revisit", 1, None), ("revisit", 2, None)] and len(back) == 4
+
+
+def test_repeated_negative_and_null_numbers_keep_their_payloads(spark):
+    """Rows of one id with other payloads are other records; the smallest id may be negative; a row without id refers to one with."""
+    import re
+
+    rows = [(3, "v", "same"), (5, "u", "same"), (5, "u", "other text"), (-7, "w", "minus"), (2, "x", "minus"), (None, "n", "same"), (None, "n", "only here"), (None, "m", "only here"),
+            (9, "r", "twice"), (9, "r", "twice"), (0, "z", None), (-1, "z", ""), (4, "filedesc://x", "f")]
+    path = scratch_path(spark, "t-warc")
+    got = A.pages_through_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = []
+    for i, _, t in rows:
+        ids = [j for j, _, other in rows if (other or "") == (t or "") and j is not None]
+        refers = min(ids) if ids and min(ids) != i else None
+        want.append((i, len((t or "").encode()), digest(t), "response" if refers is None else "revisit", refers))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    # every payload is in the archives
+    records = A.read_warcs(spark, path).collect()
+    assert {r["payload"].decode() for r in records if r["type"] == "response"} == {t or "" for _, _, t in rows}
+    ids = {r["record_id"] for r in records}
+    assert all(r["refers_to_id"] in ids for r in records if r["type"] == "revisit") and all(re.fullmatch(r"urn:uuid:[0-9a-f-]{36}", i) for i in ids)

@@ -271,6 +271,94 @@ def test_bpe_query_edge_cases(spark, frame, prose):
     assert B.encode_decode(frame([]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+# ---------------------------------------------------------------- decontamination: cover by rare words
+def test_every_third_word_changed_or_words_put_between(spark, frame, words):
+    """Copies without a common pair of words in a row, at the least score."""
+    item = words[:45]
+    third = [w if i % 3 else f"q{i}" for i, w in enumerate(item)]
+    apart = [x for i, w in enumerate(item[:44]) for x in ((w, f"z{i}") if i % 2 else (w,))]
+    half = item[:23]
+    docs = [(1, " ".join(words[100:150] + third + words[150:200])), (2, " ".join(words[200:230] + apart)), (3, " ".join(half)), (4, " ".join(words[100:300])),
+            (5, " ".join(item[::-1]))]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in D.aligned_passages(frame(docs), items).collect()}
+    code = {w: i for i, w in enumerate(words)}
+    for d, text in docs:
+        plain = local_score([code[w] for w in item], [code.get(w, -1 - i) for i, w in enumerate(text.split())]) / (D.MATCH * len(item))
+        assert got.get(d) == (plain if plain >= D.LEAK else None), (d, plain)
+    assert set(got) == {1, 2, 3}
+
+
+def local_score(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (D.MATCH if x == y else D.CHANGE), row[j + 1] + D.GAP, new[j] + D.GAP))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_seeds_cover_every_alignment_worth_the_least_score():
+    """Any alignment of least score holds the quorum of rare words within reach, whatever is counted as rare."""
+    rng = random.Random(17)
+    for _ in range(300):
+        size, least = rng.randrange(3, 16), rng.choice((0.3, 0.5, 0.7))
+        item = [rng.randrange(9) for _ in range(size)]
+        text = []
+        for w in item:  # an edited copy
+            text += rng.choice(([w], [w], [w], [], [50 + rng.randrange(9)], [w, 50], [50, w]))
+        score = local_score(item, text) / (D.MATCH * size)
+        places, q = D.rare_words(np.array(item, np.uint64), np.array([rng.randrange(4) for _ in item]), least)
+        if score >= least:
+            seeds = {item[p] for p in places}
+            at = [i for i, w in enumerate(text) if w in seeds]
+            reach = int(np.ceil(size * (1 + (1 - least) * D.MATCH / -D.GAP)))
+            assert any(at[i + q - 1] - at[i] < reach for i in range(len(at) - q + 1))
+
+
+def test_items_that_share_common_words_cost_little(spark, frame, words):
+    """2,000 items hold 'which of the'; a document full of it meets none of them."""
+    import time
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12)) + " which of the " + " ".join(rng.choice(words) for _ in range(6))) for i in range(2000)]
+    block = D.Items(np.arange(2000), [hashes(t) for _, t in items], D.LEAK, *counted([" ".join(["which of the"] * 50)] * 30 + [" ".join(words)] * 30))
+    text = " ".join("which of the " + rng.choice(words) for _ in range(1250))
+    row, codes = np.zeros(5000, np.int64), hashes(text)
+    t0 = time.perf_counter()
+    assert sum(len(part[0]) for part in block.around(row, codes, 1)) == 0
+    assert time.perf_counter() - t0 < 1
+    leak = hashes(text + " " + items[77][1])
+    assert {int(k) for _, item, _, _ in block.around(np.zeros(len(leak), np.int64), leak, 1) for k in item} == {77}
+
+
+def hashes(text):
+    raw = text.encode()
+    return D._words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+
+
+def counted(texts):
+    found = np.concatenate([np.unique(hashes(t)) for t in texts])
+    return np.unique(found, return_counts=True)
+
+
+def test_passages_across_the_runs_of_a_long_text(spark, frame, words, monkeypatch):
+    monkeypatch.setattr(D, "HITS", 16)
+    monkeypatch.setattr(D, "AROUND_WORDS", 64)
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(12)]
+    text = " ".join(rng.choice(words) for _ in range(300))
+    for i in (2, 5, 5, 9):
+        at = rng.randrange(len(text))
+        at = text.find(" ", at)
+        text = f"{text[:at]} {items[i][1]}{text[at:]}"
+    block = D.Items(np.arange(12), [hashes(t) for _, t in items], D.LEAK, *counted([text]))
+    codes = hashes(text)
+    met = {int(k) for _, item, _, _ in block.around(np.zeros(len(codes), np.int64), codes, 1) for k in item}
+    assert {i for i, t in items if t in text} <= met
+
+
 # ---------------------------------------------------------------- toxicity: whole texts, alphabets, long lines
 def plain_hits(terms, clean_variants, text):
     """(start, end, term, misspelled, quoted) of a text, word by word."""
