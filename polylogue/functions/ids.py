@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +50,12 @@ def unmask_pad(labels, pad: int = PAD_ID) -> Column:
 
 
 def pad_batches(df: DataFrame, ids: str, pos: str, batch_size: int, multiple: int | None = None,
-                pad: int = PAD_ID, out: str = "padded") -> DataFrame:
+                pad: int = PAD_ID, out: str = "padded", by: Sequence[str] = ()) -> DataFrame:
     """dynamic padding: rows in batches of ``batch_size`` consecutive
-    positions are padded to the longest row of their batch, rounded up to
+    positions (of a group ``by``) are padded to the longest row of their batch, rounded up to
     ``multiple``. Each window holds one batch."""
     batch = F.floor(F.col(pos) / batch_size).cast("long")
-    longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
+    longest = F.max(F.size(ids)).over(Window.partitionBy(*by, "batch_id"))
     width = (F.ceil(longest / multiple) * multiple).cast("int") if multiple else longest
     return (df.withColumn("batch_id", batch)
             .withColumn("padded_len", width.cast("long"))

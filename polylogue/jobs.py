@@ -6,19 +6,21 @@ Paths may lie in any store that Spark reads.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ids import mask_pad, pad_to
+from .functions.ids import IGNORE_ID, mask_pad, pad_batches, pad_to, target_max_length
 from .functions.text import clean_prediction, prompt_source, prompt_target
-from .operators.human_eval import BALLOT_COLUMNS, BALLOT_HEADER, build_ballots, tally, with_positional_comparison
-from .operators.index import with_row_index
+from .operators.human_eval import BALLOT_COLUMNS, BALLOT_HEADER, build_ballots, tally, tally_by_family, with_positional_comparison
+from .operators.bleu import tokenized_hypotheses, tokenized_references
 from .operators.mixing import interleave
+from .operators.report import aligned_strictly, metrics_report
 from .operators.sampling import DEFAULT_SEED, first_n, sample_k
 from .operators.vocab import encode
-from .session import hadoop_path
+from .session import hadoop_path, written
 from .sources import files as IO
 from .sources.catalog import discover_languages, run_catalog
 
@@ -77,13 +79,79 @@ def build_ballots_from_runs(spark: SparkSession, tests: str, root: str, out: str
     return IO.write_per_key(named, out, "lang", "human_eval_{}.csv", order=["row_no"], overwrite=overwrite)
 
 
-def tally_files(spark: SparkSession, folder: str, block_size: int = 100) -> DataFrame:
+def tally_files(spark: SparkSession, folder: str, block_size: int = 100, families: DataFrame | None = None) -> DataFrame:
     """(lang, comparison, plain, neutral, prompt, total) of the answered ballots ``human_eval_<lang>.csv`` in
-    ``folder``; the comparison follows from the line."""
+    ``folder``; the comparison follows from the line. With ``families`` (lang, family) the tallies are those of
+    each family instead, over the languages that have one."""
     rows = IO.read_positioned(spark, f"{folder}/human_eval_*.csv", "csv", dir_col="__dir")
     named = rows.select(F.regexp_extract("__dir", r"human_eval_([^/]+)\.csv$", 1).alias("lang"), (F.col("pos") + 1).alias("row_no"),
                         *[F.col(f"`{h}`").alias(c) for c, h in zip(BALLOT_COLUMNS, BALLOT_HEADER, strict=True)])
-    return tally(with_positional_comparison(named, block_size))
+    placed = with_positional_comparison(named, block_size)
+    return tally(placed) if families is None else tally_by_family(placed, families)
+
+
+def _encoded_sides(rows: DataFrame, vocab: DataFrame, keys: list[str], max_source: F.Column, max_target: F.Column, prefix: str | None,
+                   target_prefix: str | None, masks: tuple[str, str] | None) -> DataFrame:
+    """(keys..., __src, __tgt): the ids of the templates around context and response, both looked up in one pass."""
+    m1, m2 = masks or (None, None)
+    sides = F.array(
+        F.struct(F.lit("src").alias("side"), prompt_source(F.col("context"), prefix, target_prefix, m1, m2).alias("text"), max_source.alias("most")),
+        F.struct(F.lit("tgt").alias("side"), prompt_target(F.col("response"), prefix, target_prefix, m1, m2).alias("text"), max_target.alias("most")))
+    ids = encode(rows.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.*"), [*keys, "side"], "text", vocab, F.col("most"))
+    return ids.groupBy(*keys).agg(F.max(F.when(F.col("side") == "src", F.col("ids"))).alias("__src"),
+                                  F.max(F.when(F.col("side") == "tgt", F.col("ids"))).alias("__tgt"))
+
+
+def training_tables(pairs: DataFrame, vocab: DataFrame, key: str, by: Sequence[str] = ("lang", "split"), pos: str = "split_pos", split: str = "split",
+                    max_source: int = 1024, max_target: int = 128, max_target_eval: int | None = None, prefix: str | None = None,
+                    target_prefix: str | None = None, masks: tuple[str, str] | None = None, max_samples: Mapping[str, int] | None = None,
+                    batch_size: int = 16, multiple: int | None = 8, ignore_pad: bool = True) -> DataFrame:
+    """(by..., key, pos, batch_id, input_ids, attention_mask, labels): the model's inputs of all rows of every split, in batches.
+
+    The template is put around context and response and both are encoded and cut; targets of the training split at
+    ``max_target``, those of the others at ``max_target_eval`` (default: the same). ``batch_size`` rows that follow each
+    other in ``pos`` form a batch, padded to its longest row rounded up to ``multiple``; labels are padded
+    with -100, or with the pad id where padding is not to be ignored. ``max_samples`` keeps the
+    first rows of the groups of the splits that it names; by default all rows are kept.
+    """
+    by = list(by)
+    rows = pairs
+    for name, n in (max_samples or {}).items():
+        rows = rows.filter((F.col(split) != name) | (F.col(pos) < n))  # positions begin at 0 in every group
+    keys = [*by, key, pos]
+    both = _encoded_sides(rows, vocab, keys, F.lit(max_source), target_max_length(F.col(split), max_target, max_target_eval), prefix, target_prefix, masks)
+    padded = pad_batches(both, "__src", pos, batch_size, multiple, out="input_ids", by=by)
+    padded = pad_batches(padded.withColumnRenamed("padded_len", "__width"), "__tgt", pos, batch_size, multiple, IGNORE_ID if ignore_pad else 0, "labels", by)
+    seen = F.concat(F.transform("__src", lambda x: F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), (F.col("__width") - F.size("__src")).cast("int")))
+    return padded.select(*keys, "batch_id", "input_ids", seen.alias("attention_mask"), "labels")
+
+
+def evaluate(spark: SparkSession, references: DataFrame, runs: DataFrame, out: str, prefix: str = "predict", max_samples: int | None = None,
+             masks: tuple[str, str] = ("<extra_id_0>", "<extra_id_1>"), overwrite: bool = False) -> DataFrame:
+    """Metrics of runs against test files, and the files that an evaluation leaves: returns (lang, system, metric, value).
+
+    ``references`` has lang, pos and response, as ``read_language_files`` reads them; ``runs`` is a catalogue (lang, setting, path) of
+    generated lines. Predictions and labels are freed of mask tokens and outer white space and aligned
+    by position; a prediction without a label is an error. ``max_samples`` takes the first rows of each language.
+    Below ``out/<lang>/<setting>`` go ``<prefix>_results.json`` and ``generated_predictions.txt``, the
+    cleaned predictions; the number of rows is reported as ``<prefix>_samples``.
+    """
+    first = lambda df: df if max_samples is None else df.filter(F.col("pos") < max_samples)
+    labels = first(references).select("lang", "pos", clean_prediction(F.col("response"), *masks).alias("response"))
+    # read from the files once: metrics, samples and lines all use it
+    lines = written(first(read_runs(spark, runs)).withColumn("prediction", clean_prediction(F.col("prediction"), *masks)), "evaluated-runs")
+    tokens = aligned_strictly(lines, tokenized_references(labels, ["lang", "pos"], ["response"]), ["lang", "pos"], "__ref_tokens")
+    report = metrics_report(lines, tokenized_hypotheses(tokens, "prediction"), ["lang", "system"], ["pos"], reference=None)
+    report = written(report.select("lang", "system", F.concat(F.lit(f"{prefix}_"), F.regexp_replace("metric", "^distinct_", "distinct-")).alias("metric"), "value"), "evaluation")
+    found: dict[tuple[str, str], dict[str, float]] = {}
+    for r in report.collect():  # seven numbers for each run
+        found.setdefault((r["lang"], r["system"]), {})[r["metric"]] = r["value"]
+    for (lang, system), values in found.items():
+        IO.write_small(spark, f"{out}/{lang}/{system}/{prefix}_results.json", json.dumps(values, indent=4, sort_keys=True), overwrite)
+    run = F.concat_ws("/", "lang", "system")
+    IO.single_line_files(lines.withColumn("__run", run), "prediction", "__run", ["pos"],
+                         {f"{lang}/{system}": f"{out}/{lang}/{system}/generated_predictions.txt" for lang, system in found}, f"{out}/lines", overwrite)
+    return report
 
 
 def preprocess(pairs: DataFrame, vocab: DataFrame, keys: Sequence[str], max_source: int = 1024, max_target: int = 128, prefix: str | None = None,
@@ -95,17 +163,8 @@ def preprocess(pairs: DataFrame, vocab: DataFrame, keys: Sequence[str], max_sour
     ``max_samples`` keeps the first rows in ``order`` of each group ``by`` before anything is encoded.
     """
     keys = list(keys)
-    rows = pairs
-    if max_samples is not None:
-        rows = first_n(rows, max_samples, list(by), list(order)) if by else with_row_index(
-            rows, list(order), bucket=list(order)).filter(F.col("pos") < max_samples).drop("pos")
-    m1, m2 = masks or (None, None)
-    sides = F.array(
-        F.struct(F.lit("src").alias("side"), prompt_source(F.col("context"), prefix, target_prefix, m1, m2).alias("text"), F.lit(max_source).alias("most")),
-        F.struct(F.lit("tgt").alias("side"), prompt_target(F.col("response"), prefix, target_prefix, m1, m2).alias("text"), F.lit(max_target).alias("most")))
-    ids = encode(rows.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.*"), [*keys, "side"], "text", vocab, F.col("most"))
-    both = ids.groupBy(*keys).agg(F.max(F.when(F.col("side") == "src", F.col("ids"))).alias("__src"),
-                                  F.max(F.when(F.col("side") == "tgt", F.col("ids"))).alias("__tgt"))
+    rows = pairs if max_samples is None else first_n(pairs, max_samples, list(by), list(order))
+    both = _encoded_sides(rows, vocab, keys, F.lit(max_source), F.lit(max_target), prefix, target_prefix, masks)
     ones = F.transform("__src", lambda x: F.lit(1).cast("long"))
     if not pad:
         return both.select(*keys, F.col("__src").alias("input_ids"), ones.alias("attention_mask"), F.col("__tgt").alias("labels"))

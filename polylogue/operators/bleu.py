@@ -119,6 +119,24 @@ def tokenized_hypotheses(df: DataFrame, hypothesis: str, tokenize: str = "13a",
     return df.withColumn(out, tokenize_col(F.coalesce(F.col(hypothesis), F.lit("")), tokenize, lowercase))
 
 
+def tokenized_by_each(hypotheses: DataFrame, references: DataFrame, on: Sequence[str], system: str, hypothesis: str, reference: str,
+                      tokenizers: Sequence[str], lowercase: bool = False) -> DataFrame:
+    """(tokenizer, on..., system, __hyp_tokens, __ref_tokens) of every hypothesis under every tokeniser.
+
+    The hypotheses of all systems for one reference are brought together first, as the join does anyway, so that each
+    tokeniser sees a reference once and not once a system, and only texts move.
+    """
+    on = list(on)
+    said = hypotheses.groupBy(*on).agg(F.collect_list(F.struct(F.col(system).alias("__s"), F.coalesce(F.col(hypothesis), F.lit("")).alias("__h"))).alias("__said"))
+    text = F.coalesce(F.col(reference), F.lit(""))
+    rows = said.join(references.select(*on, text.alias("__ref")), on)
+    rows = rows.select(*on, "__said", *[tokenize_col(F.col("__ref"), t, lowercase).alias(f"__r{i}") for i, t in enumerate(tokenizers)])
+    rows = rows.select(*on, *[f"__r{i}" for i in range(len(tokenizers))], F.explode("__said").alias("__x"))
+    each = F.array(*[F.struct(F.lit(t).alias("tokenizer"), tokenize_col(F.col("__x.__h"), t, lowercase).alias("__hyp_tokens"), F.array(f"__r{i}").alias("__ref_tokens"))
+                     for i, t in enumerate(tokenizers)])
+    return rows.select(*on, F.col("__x.__s").alias(system), F.explode(each).alias("__y")).select("__y.tokenizer", *on, system, "__y.__hyp_tokens", "__y.__ref_tokens")
+
+
 def _order_structs(toks: Column, j: Column) -> list[Column]:
     """(j, n, w=1, grams) for n = 1..4 of one token array."""
     return [F.struct(j.cast("int").alias("j"), F.lit(n).alias("n"), F.lit(1).cast("long").alias("w"),

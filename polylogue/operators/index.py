@@ -113,13 +113,13 @@ def file_order_index(df: DataFrame, by: Sequence[str] = (), out: str = "pos",
     the split, so numbering never needs more than one split per task; the rows of
     one split are numbered by ``monotonically_increasing_id`` only relative to
     each other, which does not depend on partition ids. With ``dir_col`` the
-    parent folder of each file becomes a column of that name and positions
-    restart in every folder (a folder written by Spark is one logical file).
+    logical file becomes a column of that name and positions restart in each: the
+    folder of Spark's part files, any other file itself.
     ``df`` must be the file scan itself (its ``_metadata`` is read here).
     """
     extra = []
     if dir_col:
-        extra.append(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias(dir_col))
+        extra.append(F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "").alias(dir_col))
     tagged = df.select(
         "*", *extra,
         F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS bigint)"), F.lit(-1)).alias("__pl_part"),

@@ -12,12 +12,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .index import bucket_offsets
 from .sampling import DEFAULT_SEED, group_counts, sample_k
 
 MODES = ("spread", "reference")
+#: Up to so many shots their places are numbers in the plan; beyond, a table that is joined.
+LITERALS = 1024
+
+
+def hits_table(spark: SparkSession, n_src: int, k: int) -> DataFrame:
+    """(candidate, hit, passed): for each of the candidate rows 0..k of mode ``reference`` the source row (1-based) that it
+    stands for, where it passes the float test, and how many up to it pass. Made by Spark, so neither the plan nor the driver grows with ``k``."""
+    j = F.col("id")
+    row = lambda m: F.expr(f"(2 * ({m}) * {n_src} + {k}) div {2 * k}")
+    step = float(n_src / k)
+    c = row("id")
+    passes = (j >= 1) & c.between(1, n_src) & ((j == 1) | (c != row("id - 1"))) & (c.cast("double") % F.lit(step) == 0.0)
+    marked = spark.range(k + 1).select(j.alias("candidate"), c.alias("row"), passes.alias("ok"))
+    bucket = F.floor(F.col("candidate") / (1 << 16))
+    sizes = marked.groupBy(bucket.alias("__b")).agg(F.count_if("ok").alias("__n"))
+    before = bucket_offsets(sizes, [], "__b", "__n", "__before").select("__b", "__before")
+    upto = F.count_if("ok").over(Window.partitionBy("__b").orderBy("candidate").rowsBetween(Window.unboundedPreceding, 0))
+    counted = marked.withColumn("__b", bucket).withColumn("__upto", upto).join(F.broadcast(before), "__b")
+    return counted.select("candidate", F.when(F.col("ok"), F.col("row")).alias("hit"), (F.col("__before") + F.col("__upto")).alias("passed"))
+
+
+def candidates_before(i: F.Column, n_src: int, k: int) -> F.Column:
+    """How many candidate rows of mode ``reference`` stand before the 1-based source row ``i``: candidate j is at floor(j*N/k + 1/2)."""
+    ceiling = F.call_function("div", (2 * i - 1) * F.lit(k).cast("long") + (2 * n_src - 1), F.lit(2 * n_src).cast("long"))
+    return F.least(ceiling - 1, F.lit(k).cast("long"))
 
 
 def hits_array(n_src: F.Column, k: F.Column, mode: str) -> F.Column:
@@ -54,8 +80,7 @@ def placed_before(i: F.Column, n_src: int, k: int, mode: str) -> F.Column:
         c = (2 * j * n_src + k) // (2 * k)
         passed.append(passed[-1] + int(1 <= c <= n_src and c != last and c % step == 0.0))
         last = c
-    below = F.least(F.ceil(((2 * i - 1) * k).cast("double") / F.lit(2.0 * n_src)).cast("int") - 1, F.lit(k))
-    return F.element_at(F.array(*[F.lit(p) for p in passed]), below + 1).cast("long")
+    return F.element_at(F.array(*[F.lit(p) for p in passed]), (candidates_before(i, n_src, k) + 1).cast("int")).cast("long")
 
 
 def interleave(corpus: DataFrame, source_lang: str, k: int, seed: int = DEFAULT_SEED,
@@ -79,11 +104,25 @@ def interleave(corpus: DataFrame, source_lang: str, k: int, seed: int = DEFAULT_
         return corpus.select(F.col(lang).alias("tgt_lang"), F.col(pos).cast("long").alias("out_pos"), key,
                              F.lit(False).alias("is_shot"), *payload).limit(0)
     i = F.col(pos) + 1
-    src_out = corpus.filter(F.col(lang) == source_lang).select(
+    source = corpus.filter(F.col(lang) == source_lang)
+    joined = mode == "reference" and k > LITERALS
+    if joined:
+        table = hits_table(corpus.sparkSession, n_src, k)
+        source = source.withColumn("candidate", candidates_before(i, n_src, k)).join(table.select("candidate", "passed"), "candidate")
+    src_out = source.select(
         F.explode(F.array(*[F.lit(t) for t in targets])).alias("tgt_lang"),
-        (i + placed_before(i, n_src, k, mode) - 1).cast("long").alias("out_pos"), key, F.lit(False).alias("is_shot"), *payload)
+        (i + (F.col("passed") if joined else placed_before(i, n_src, k, mode)) - 1).cast("long").alias("out_pos"), key, F.lit(False).alias("is_shot"), *payload)
     if shots is None:
         shots = sample_k(corpus.filter(F.col(lang).isin(targets)), k, seed, [lang], pos)
+    if k > LITERALS:
+        # a shot's place follows from its number: by the table, or as floor(j*N/k)
+        if joined:
+            placed = shots.join(table.filter("hit is not null").select(F.col("passed").alias("shot_ordinal"), "hit"), "shot_ordinal")
+        else:
+            placed = shots.withColumn("hit", F.expr(f"(shot_ordinal * {n_src}) div {k}"))
+        shot_out = placed.filter(F.col(lang).isin(targets)).select(
+            F.col(lang).alias("tgt_lang"), (F.col("hit") + F.col("shot_ordinal") - 1).alias("out_pos"), key, F.lit(True).alias("is_shot"), *payload)
+        return src_out.unionByName(shot_out)
     hits = hits_array(F.lit(n_src).cast("long"), F.lit(k).cast("long"), mode)
     shot_out = (shots.filter(F.col(lang).isin(targets)).withColumn("__hits", hits)
                 .filter(F.col("shot_ordinal") <= F.size("__hits"))

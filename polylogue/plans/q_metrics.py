@@ -183,10 +183,9 @@ BLEU_TOK_SQL = with_ctes(
 
 @query("bleu_tokenizers", BLEU_TOK_SQL)
 def bleu_tokenizers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """four tokenisers; rows are expanded per tokeniser so the fixture is read once."""
-    rows = _scored_rows(spark, sf_dir)
-    out = B.corpus_bleu(rows, ["lang", "system"], ["pos"], references="response", tokenize=BLEU_TOKENIZERS,
-                        keep_stats=False)
+    """five tokenisers; each tokenises a reference once for all systems."""
+    rows = B.tokenized_by_each(fx.clean_predictions(spark, sf_dir), _cleaned(fx.lang_pairs(spark, sf_dir)), ["lang", "pos"], "system", "prediction", "response", BLEU_TOKENIZERS)
+    out = B.corpus_bleu(rows, ["tokenizer", "lang", "system"], ["pos"], "__hyp_tokens", "__ref_tokens", tokenize=None, keep_stats=False)
     return out.select("tokenizer", "lang", "system", F.round("score", 6).alias("score"))
 
 
@@ -207,22 +206,27 @@ def reference_count_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- report
-METRICS_SQL = with_ctes(f"""
+def metrics_sql(prc: str, tokens: str, rows: str) -> str:
+    """The metric table over cleaned predictions, their tokens, and rows with the tokens of prediction and references."""
+    return f"""
 SELECT lang, system, metric, value FROM (
   SELECT s.lang, s.system, d.distinct_1, d.distinct_2, b.score AS sacrebleu_score, b.p1 AS sacrebleu_1,
          b.p2 AS sacrebleu_2, b.bp AS sacrebleu_bp, CAST(s.samples AS DOUBLE) AS samples
-  FROM (SELECT lang, system, count(*) AS samples FROM prc GROUP BY ALL) s
+  FROM (SELECT lang, system, count(*) AS samples FROM {prc} GROUP BY ALL) s
   JOIN (SELECT lang, system, {BS.score_select(['score', 'p1', 'p2', 'bp'])}
-        FROM {BS.stats_sql("bl_rows", ["lang", "system"], ["pos"])}) b USING (lang, system)
+        FROM {BS.stats_sql(rows, ["lang", "system"], ["pos"])}) b USING (lang, system)
   LEFT JOIN (SELECT lang, system,
           {r6("100.0 * count(DISTINCT gram) FILTER (WHERE n = 1) / nullif(count(*) FILTER (WHERE n = 1), 0)")} AS distinct_1,
           {r6("100.0 * count(DISTINCT gram) FILTER (WHERE n = 2) / nullif(count(*) FILTER (WHERE n = 2), 0)")} AS distinct_2
-        FROM (SELECT lang, system, 1 AS n, unnest(t) AS gram FROM prc_tok
-              UNION ALL SELECT lang, system, 2 AS n, unnest({ngram_list('t', 2)}) AS gram FROM prc_tok)
+        FROM (SELECT lang, system, 1 AS n, unnest(t) AS gram FROM {tokens}
+              UNION ALL SELECT lang, system, 2 AS n, unnest({ngram_list('t', 2)}) AS gram FROM {tokens})
         GROUP BY lang, system) d USING (lang, system)
 ) UNPIVOT INCLUDE NULLS (value FOR metric IN (distinct_1, distinct_2, sacrebleu_score, sacrebleu_1, sacrebleu_2,
                                sacrebleu_bp, samples))
-""", "prc_tok", "bl_rows")
+"""
+
+
+METRICS_SQL = with_ctes(metrics_sql("prc", "prc_tok", "bl_rows"), "prc_tok", "bl_rows")
 
 
 @query("metrics_report", METRICS_SQL)

@@ -195,13 +195,30 @@ def _work_of(df: DataFrame, path: str, overwrite: bool) -> str:
     return f"{path}.parts-{uuid.uuid4().hex[:12]}"
 
 
-def _joined(spark: SparkSession, columns: Sequence[str], folders: Mapping[str, str], work: str, overwrite: bool) -> None:
-    """Each file of ``folders`` from a header and the parts of its folder; ``work`` goes."""
-    titles = spark.createDataFrame([(i, *columns) for i in range(len(folders))], "file int, " + ", ".join(f"c{i} string" for i in range(len(columns))))
-    titles.coalesce(1).write.options(**_BARE).partitionBy("file").csv(f"{work}/titles")
+def single_line_files(df: DataFrame, text: str, key: str, order: Sequence[str], paths: Mapping[str, str], work: str, overwrite: bool = False) -> None:
+    """K4: for every value of ``key`` the file ``paths[value]`` with a line per row, in ``order`` (see ``single_files``); a value without a path is left out."""
+    spark = df.sparkSession
+    work = _work_of(df, work, True)
+    numbers = spark.createDataFrame([(value, i) for i, value in enumerate(paths)], f"`{key}` string, __file int")
+    write_lines(df.join(F.broadcast(numbers), key), f"{work}/rows", text, order, ["__file"])
+    fs, _ = hadoop_path(spark, work)
+    folders = {}
+    for i, path in enumerate(paths.values()):
+        folder = f"{work}/rows/__file={i}"
+        fs.mkdirs(hadoop_path(spark, folder)[1])  # a run without rows is an empty file
+        fs.mkdirs(hadoop_path(spark, path)[1].getParent())
+        folders[path] = folder
+    _joined(spark, None, folders, work, overwrite)
+
+
+def _joined(spark: SparkSession, columns: Sequence[str] | None, folders: Mapping[str, str], work: str, overwrite: bool) -> None:
+    """Each file of ``folders`` from a header (with ``columns``) and the parts of its folder; ``work`` goes."""
+    if columns is not None:
+        titles = spark.createDataFrame([(i, *columns) for i in range(len(folders))], "file int, " + ", ".join(f"c{i} string" for i in range(len(columns))))
+        titles.coalesce(1).write.options(**_BARE).partitionBy("file").csv(f"{work}/titles")
     copies, made = [], {}
     for i, (path, folder) in enumerate(folders.items()):
-        parts = [*_parts(spark, f"{work}/titles/file={i}"), *_parts(spark, folder)]
+        parts = [*(_parts(spark, f"{work}/titles/file={i}") if columns is not None else []), *_parts(spark, folder)]
         made[path] = f"{work}/whole-{i}"
         at = 0
         for part, size in parts:
@@ -212,16 +229,20 @@ def _joined(spark: SparkSession, columns: Sequence[str], folders: Mapping[str, s
         kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path, whole in made.items():
             parts = [part for part, target, _ in copies if target == whole]
+            if not parts:
+                continue
             rest = spark.sparkContext._gateway.new_array(kind, len(parts) - 1)
             for k, part in enumerate(parts[1:]):
                 rest[k] = kind(part)
             if len(rest):
                 fs.concat(kind(parts[0]), rest)
             made[path] = parts[0]
-    else:
+    elif copies:
         _copied(spark, copies)
     for path, whole in made.items():
         target = hadoop_path(spark, path)[1]
+        if not fs.exists(hadoop_path(spark, whole)[1]):
+            fs.create(hadoop_path(spark, whole)[1], True).close()
         if overwrite:
             fs.delete(target, True)
         if fs.exists(target) or not fs.rename(hadoop_path(spark, whole)[1], target):
@@ -293,16 +314,22 @@ def _files(spark: SparkSession, folder: str) -> dict[str, int]:
     return out
 
 
-def _seal(spark: SparkSession, folder: str) -> None:
-    fs, at = hadoop_path(spark, f"{folder}/{MANIFEST}")
-    listed = json.dumps(_files(spark, folder), sort_keys=True)
+def write_small(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """A small text file (a report) of the driver's; folders above it are made."""
+    fs, at = hadoop_path(spark, path)
+    if fs.exists(at) and not overwrite:
+        raise FileExistsError(f"{path} exists")
     stream = fs.create(at, True)
     try:
-        stream.write(bytearray(listed.encode()))
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
 
 
+def _seal(spark: SparkSession, folder: str) -> None:
+    write_small(spark, f"{folder}/{MANIFEST}", json.dumps(_files(spark, folder), sort_keys=True), True)
+
+
 def is_sealed(spark: SparkSession, folder: str) -> bool:
     """Has ``folder`` a manifest, and every file of it with its size?"""
     fs, at = hadoop_path(spark, f"{folder}/{MANIFEST}")
