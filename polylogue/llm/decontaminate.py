@@ -7,8 +7,8 @@ ceil(least * L) of them, so of any L - ceil(least * L) + q words of the item it
 q, and it is at most L * (1 + (1 - least) * MATCH / -GAP) words wide. So every passage
 that scores enough has a seed, whatever words are changed, put in or left out, while
 words that many documents or items share are no seeds as long as rarer ones
-do. Of the words around a document's seeds, those go on to alignment that hold enough
-of an item's words to reach the least score at all, a bound that loses nothing. Local
+do. Of the words around a document's seeds, those go on to alignment where
+ceil(least * L) words of the item stand within the width of an alignment, a bound that loses nothing. Local
 alignment of the words scores how much of an item a passage holds, with edits, gaps
 and changed words. Documents are read in place and nothing of them moves.
 """
@@ -67,9 +67,14 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def least_matched(size: int, least: float) -> int:
+    """How many words of an item an alignment worth ``least`` matches at least: matches alone add to its score."""
+    return max(1, int(np.ceil(least * size - 1e-9)))
+
+
 def rare_words(words: np.ndarray, documents: np.ndarray, least: float, quorum: int = QUORUM) -> tuple[np.ndarray, int]:
     """(places of an item's rarest words, how many of them every alignment worth ``least`` holds)."""
-    matched = int(np.ceil(least * len(words) - 1e-9))  # two points a match, so half the score is half the words at least
+    matched = least_matched(len(words), least)
     q = max(1, min(quorum, matched))
     order = np.lexsort((np.arange(len(words)), words, documents))
     return np.sort(order[:len(words) - matched + q]), q
@@ -93,23 +98,28 @@ class Items:
         if len(vocabulary):
             at = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
             counts = np.where(vocabulary[at] == self.vocabulary, documents[at], 0)
-        seeds, owners, self.quorum = [], [], np.zeros(len(words), np.int64)
-        for k, (w, first) in enumerate(zip(words, self.firsts.tolist(), strict=True)):
-            places, self.quorum[k] = rare_words(w, counts[self.codes[first:first + len(w)]], least)
-            seeds.append(np.unique(w[places]))
+        seeds, owners, self.quorum, self.matched = [], [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for k, (size, first) in enumerate(zip(self.sizes.tolist(), self.firsts.tolist(), strict=True)):
+            codes = self.codes[first:first + size]
+            places, self.quorum[k] = rare_words(codes, counts[codes], least)
+            self.matched[k] = least_matched(size, least)
+            seeds.append(np.unique(codes[places]))
             owners.append(np.full(len(seeds[-1]), k))
         seeds, owners = np.concatenate(seeds), np.concatenate(owners)
         order = np.argsort(seeds, kind="stable")
         self.owner = owners[order]
-        self.seeds, self.seed_firsts, self.seed_items = np.unique(seeds[order], return_index=True, return_counts=True)
+        # of each word of the vocabulary: where its items begin among the owners, and how many there are
+        self.seed_items = np.bincount(seeds, minlength=len(self.vocabulary))
+        self.seed_firsts = np.cumsum(self.seed_items) - self.seed_items
+        self.pairs = np.unique(np.repeat(np.arange(len(words)), self.sizes) * len(self.vocabulary) + self.codes)
 
     def around(self, row: np.ndarray, words: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(row, item, start, end) of the passages around seeds that hold enough words of their item."""
-        at = np.flatnonzero(_found(self.seeds, words))
-        seed = np.searchsorted(self.seeds, words[at])
         first = np.searchsorted(row, np.arange(n_rows + 1))
         known = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = np.where(self.vocabulary[known] == words, known, -1)
+        at = np.flatnonzero((known >= 0) & (self.seed_items[known] > 0))
+        seed = known[at]
         load = np.cumsum(self.seed_items[seed])
         widest = int(self.reach.max())
         begin = 0
@@ -143,26 +153,41 @@ class Items:
             yield from self._bounded(of, item, starts, ends, known)
 
     def _bounded(self, of: np.ndarray, item: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Those passages that hold enough words of their item, in runs of about AROUND_WORDS words."""
+        """The parts of these passages in which enough words of the item stand within an alignment's width, in runs of about AROUND_WORDS words."""
         width = ends - starts
         upto = np.cumsum(width)
         i = 0
         while i < len(item):
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AROUND_WORDS, "right")))
-            part = slice(i, j)
-            keep = self._enough(item[part], starts[part], width[part], known)
-            yield of[part][keep], item[part][keep], starts[part][keep], ends[part][keep]
+            place, pair = _spread(starts[i:j], width[i:j]), np.repeat(np.arange(i, j), width[i:j])
+            some = known[place] >= 0
+            place, pair = place[some], pair[some]
+            own = _found(self.pairs, item[pair] * len(self.vocabulary) + known[place])
+            place, pair = place[own], pair[own]
+            far, reach = self.matched[item[pair]] - 1, self.reach[item[pair]]
+            last = np.minimum(np.arange(len(pair)) + far, max(len(pair) - 1, 0))
+            good = np.flatnonzero((np.arange(len(pair)) + far < len(pair)) & (pair[last] == pair) & (place[last] - place < reach))
             i = j
+            if not len(good):
+                continue
+            # an alignment that holds these words lies between these places
+            pair, begin, end = pair[good], place[last[good]] - reach[good] + 1, place[good] + reach[good]
+            begin, end = np.maximum(begin, starts[pair]), np.minimum(end, ends[pair])
+            new = np.ones(len(pair), bool)
+            new[1:] = (pair[1:] != pair[:-1]) | (begin[1:] > end[:-1])
+            a = np.flatnonzero(new)
+            pair, begin, end = pair[a], begin[a], end[np.append(a[1:], len(pair)) - 1]
+            keep = self._enough(item[pair], begin, end - begin, known)
+            yield of[pair[keep]], item[pair[keep]], begin[keep], end[keep]
 
     def _enough(self, item: np.ndarray, starts: np.ndarray, width: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """No score is above that of the item's words that stand anywhere in the passage."""
+        """Which of the passages hold enough words of their item, each counted as often as the item has it."""
         size = self.sizes[item]
         which, pair = known[_spread(starts, width)], np.repeat(np.arange(len(item)), width)
         there = np.unique((pair * len(self.vocabulary) + which)[which >= 0])
         pair = np.repeat(np.arange(len(item)), size)
-        wanted = pair * len(self.vocabulary) + self.codes[_spread(self.firsts[item], size)]
-        held = np.bincount(pair[_found(there, wanted)], minlength=len(item))
-        return (MATCH * held) / (MATCH * size) >= self.least
+        held = _found(there, pair * len(self.vocabulary) + self.codes[_spread(self.firsts[item], size)])
+        return np.bincount(pair[held], minlength=len(item)) >= self.matched[item]
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,8 @@ HOT_SHARE, HOT_MAX = 1 / 2000, 1_000_000
 WINDOW, REACH = 750_000, 0.4
 #: Up to so many ids, those to be verified are broadcast (8 bytes each); beyond, they are joined.
 IDS_MAX = 500_000
+#: Up to so many possible links between components, all are looked at in one round.
+AT_ONCE = 50_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
 #: heavy buckets that are sent to the tasks as one index.
 HEAVY, BLOCK_BYTES = 4, 32 << 20
@@ -152,17 +154,56 @@ def _possible(pairs: DataFrame) -> DataFrame:
 _SETS = "doc_id long, shingles array<long>"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): the components la and lb of those ``pairs`` (ids a, b) that are links, by intersecting the whole sets."""
-    pairs = scratch.stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = scratch.stored(_of_ids(docs, ids, _sets, _SETS), "sets")  # a repeated row repeats its links only
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): the components la and lb of those ``pairs`` (ids a, b) that are links, by intersecting the whole ``sets`` (doc_id, shingles)."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return scratch.stored(joined.where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "verified")
 
 
+def _sets_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, shingles) of the ids in ``pairs``; a repeated row repeats its links only."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    return scratch.stored(_of_ids(docs, ids, _sets, _SETS), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, label): the components that the links among ``pairs`` (a, b, la, lb, k) make of the components la and lb.
+
+    A large group of near copies may leave many small components with many possible links between them, of which
+    few suffice. So each component first tries its one best pair, by shared prefix shingles, then
+    its best of 8, of 64 and so on parts of the rest; pairs whose ends have come together meanwhile need no look. Every pair is looked at or lies in one component.
+    """
+    label, parts = None, 1
+    rest = scratch.stored(pairs, "candidates")
+    while True:
+        n = rest.count()
+        if not n:
+            return label if label is not None else components(rest.sparkSession, rest.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+        if n > AT_ONCE:
+            ends = rest.select("*", F.explode(F.array("la", "lb")).alias("end"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
+            best = ends.groupBy("end", "part").agg(F.max(F.struct("k", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+            chosen = scratch.stored(rest.join(best, ["a", "b"], "left_semi"), "chosen")
+            rest = rest.join(best, ["a", "b"], "left_anti")
+        else:
+            chosen, rest = rest, rest.limit(0)
+        found = components(rest.sparkSession, _verified(chosen, sets, scratch), scratch)
+        label = found if label is None else _composed(label, found)
+        label = scratch.stored(label, "merged")
+        for end in ("la", "lb"):
+            rest = rest.join(found.select(F.col("id").alias(end), F.col("label").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        rest = scratch.stored(rest.where("la <> lb"), "candidates")
+        parts *= 8
+
+
+def _composed(label: DataFrame, further: DataFrame) -> DataFrame:
+    """(id, label): first ``label``, then ``further`` on what it gives; ids that only ``further`` has keep it."""
+    then = further.select(F.col("id").alias("label"), F.col("label").alias("_to"))
+    known = label.join(then, "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
+    return known.unionByName(further.join(label.select("id"), "id", "left_anti").select("id", "label"))
+
+
 def _sent(spark: SparkSession, hot: np.ndarray) -> tuple:
     """Broadcasts of the sorted shingles of ``hot`` and of their places in it."""
     at = np.argsort(hot)
@@ -244,11 +285,11 @@ def _components(docs: DataFrame) -> DataFrame:
 
     def bounded(pairs: DataFrame) -> DataFrame:
         both = pairs.join(one("a_id", "a"), "a_id").join(one("b_id", "b"), "b_id")
-        return _possible(both).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "la", "lb")
+        return _possible(both).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "la", "lb", "k")
 
     star = best.select((-F.col("best.col2")).alias("a_id"), F.col("doc_id").alias("b_id"))
-    links = _verified(bounded(star.withColumns({"la": F.col("a_id"), "lb": F.col("b_id")})), docs, scratch)
-    label = components(spark, links, scratch)
+    star = scratch.stored(bounded(star.withColumns({"la": F.col("a_id"), "lb": F.col("b_id"), "k": F.lit(1).cast("long")})), "star")
+    label = components(spark, _verified(star, _sets_of(star, docs, scratch), scratch), scratch)
 
     # what still lies between components: in light buckets pair by pair, in heavy ones by blocks of sets
     known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
@@ -268,9 +309,10 @@ def _components(docs: DataFrame) -> DataFrame:
     for block in range(blocks):
         part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
         pairs = pairs.unionByName(_meeting_block(heavy, part))
-    found = _verified(pairs.distinct(), docs, scratch)
+    pairs = scratch.stored(pairs.groupBy("a", "b", "la", "lb").agg(F.max("k").alias("k")), "pairs")
+    merged = _linked(pairs, _sets_of(pairs, docs, scratch), scratch)
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
-    joined = components(spark, found, scratch).select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components, one link for two
+    joined = merged.select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components
     named = named.join(joined, "first", "left").select("set_key", F.coalesce("last", "first").alias("component"))
     out = (salted_left_join(base.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", "doc_id")
            .select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")))
@@ -292,7 +334,7 @@ def _least_shared(na, nb):
 
 
 def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """(a, b, la, lb): sets of ``rows``, with their components, that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
+    """(a, b, la, lb, k): sets of ``rows``, with their components, that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
 
     ``part``, a block of sets that are not of the largest component of all their buckets, is sent
     to the tasks as an index from shingle to set; two sets of the largest component need no comparison.
@@ -313,7 +355,7 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, labels, tokens, owner, widths, place, maps = sent.value
         for batch in batches:
-            pairs = [np.zeros((4, 0), np.int64)]
+            pairs = [np.zeros((5, 0), np.int64)]
             plain = (batch.column(c).to_pylist() for c in ("doc_id", "n", "label", "minor"))
             for doc, n, label, minor, own, bits in zip(*plain, batch.column("tokens"), batch.column("bitmap"), strict=True):
                 own = own.values.to_numpy()
@@ -326,15 +368,16 @@ def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
                 ok = (labels[who] != label) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (k >= _least_shared(m, n))
                 if minor:  # a pair of two such sets is met from either side
                     ok &= ids[who] > doc
-                who = who[ok]
+                who, k = who[ok], k[ok]
                 differing = _differing(bits.values.to_numpy(), who, widths, place, maps)
-                who = who[7 * ((n + sizes[who] - differing) // 2) >= 3 * (n + sizes[who])]
+                ok = 7 * ((n + sizes[who] - differing) // 2) >= 3 * (n + sizes[who])
+                who, k = who[ok], k[ok]
                 other = ids[who]
                 first = other < doc
-                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc), np.where(first, labels[who], label), np.where(first, label, labels[who])]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(pairs, axis=1)], ["a", "b", "la", "lb"])
+                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc), np.where(first, labels[who], label), np.where(first, label, labels[who]), k]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(pairs, axis=1)], ["a", "b", "la", "lb", "k"])
 
-    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long, la long, lb long")
+    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long, la long, lb long, k long")
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +402,7 @@ def _differing(bits: np.ndarray, who: np.ndarray, widths: np.ndarray, place: np.
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """(a_id, b_id, la, lb): sets of different components, and these, that share enough shingles of their prefixes.
+    """(a_id, b_id, la, lb, k): sets of different components, and these, that share enough shingles of their prefixes.
 
     ``rows`` has token, doc_id, n, band, label, top (the largest component of the token's bucket) and h, the number of a set's prefix
     shingles that are left out here. Only sets that are not of the largest component look for others, so a
@@ -380,7 +423,7 @@ def _meeting(rows: DataFrame) -> DataFrame:
     least = F.ceil((3 * (F.col("a.n") + F.col("b.n"))) / F.lit(7.0) - 1e-9)
     spare = lambda x: F.col(f"{x}.n") - F.ceil(3 * F.col(f"{x}.n") / F.lit(4.0)) + 1 - (F.col(f"{x}.n") - least)
     enough = F.col("k") + F.least(F.col("a.h"), F.col("b.h")) >= F.least(spare("a"), spare("b"))
-    return counted.where(enough).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
+    return counted.where(enough).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), "k")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:

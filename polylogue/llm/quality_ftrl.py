@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import flagged_spans, held_out, mix, span_hashes, text_chunks
 
-#: The model is fitted on about so many labelled rows at most, chosen by a hash of doc_id.
-TRAIN_ROWS = 16_000
+#: The model is fitted on about so many labelled rows and bytes of their texts at most, chosen by a hash of doc_id.
+TRAIN_ROWS, TRAIN_BYTES = 16_000, 96 << 20
 BITS, SHARDS, EPOCHS = 18, 4, 4
 #: FTRL: learning rate, its smoothing, and the penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -77,10 +77,11 @@ def _ftrl(table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([len(examples)], pa.int64()), "weights": pa.array([w.astype("<f4").tobytes()], pa.binary())})
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> np.ndarray:
     """Weights learned from labelled rows outside the held-out fold.
 
-    ``train_rows`` bounds the rows (a hash of doc_id picks the share beyond it). Null
+    ``train_rows`` and ``train_bytes`` bound the rows (a hash of doc_id picks the share beyond
+    them), so that a shard fits its task however long texts are. Null
     labels and ids teach nothing; an id labelled twice counts with the smaller label.
     Without any row all weights are 0 and every score is 0.5.
     """
@@ -90,6 +91,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
     marks = (usable.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) < round(share * (1 << 20)))
              .groupBy(key.alias("doc_id")).agg(F.min("quality").cast("long").alias("quality")))
     train = docs.select(key.alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > train_bytes:
+        train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < int(train_bytes / size * (1 << 20)))
     order = F.xxhash64("doc_id", F.lit(5))
     parts = (train.select("doc_id", "text", "quality", order.alias("order")).withColumn("shard", F.pmod("order", F.lit(SHARDS)))
              .groupBy("shard").applyInArrow(_ftrl, "n long, weights binary").toPandas())

@@ -75,7 +75,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each message with its parent, without quotations."""
     out = quote_threads.quote_threads(_table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "parent_turn", "linked", "depth", "quoted_lines", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("conv_id", "turn", "role", "parent_turn", "linked", "depth", "place", "quoted_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
 @_query("op6_chunk_dedup", """

@@ -166,10 +166,38 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 1 for i in range(1, 71)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("at_once", [0, 3, 10**6])
+def test_links_in_rounds_equal_all_at_once(spark, monkeypatch, at_once):
+    """Random possible links between components, some of which hold."""
+    from polylogue.llm.common import Scratch
+
+    rng = random.Random(41)
+    base = [rng.getrandbits(40) for _ in range(400)]
+    sets = {i: sorted({*rng.sample(base[40 * (i // 8):40 * (i // 8) + 40], 34 + i % 3)}) for i in range(64)}
+    pairs = [(a, b, a, b, rng.randrange(4)) for a in sets for b in sets if a < b and (a // 8 == b // 8 or rng.random() < 0.05)]
+    monkeypatch.setattr(J, "AT_ONCE", at_once)
+    got = J._linked(spark.createDataFrame(pairs, "a long, b long, la long, lb long, k long"), spark.createDataFrame(list(sets.items()), "doc_id long, shingles array<long>"), Scratch(spark))
+    label = {r["id"]: r["label"] for r in got.collect()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b, *_ in pairs:
+        k = len(set(sets[a]) & set(sets[b]))
+        if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert {i: label.get(i, i) for i in sets} == {i: root(i) for i in sets} and len(set(map(root, sets))) < 40
+    assert J._linked(spark.createDataFrame([], "a long, b long, la long, lb long, k long"), spark.createDataFrame([], "doc_id long, shingles array<long>"), Scratch(spark)).count() == 0
+
+
 def test_pairs_grow_with_the_copies_and_not_with_their_square(spark, prose):
     """5,000 near copies and two other sets in one bucket: the sets that look for others are two."""
     n = 5000
-    rows = [(7, i, 100, 16, 1, 0, 1) for i in range(1, n + 1)] + [(7, 20_000, 100, 16, 20_000, 0, 1), (7, 20_001, 101, 16, 20_001, 0, 1)]
+    rows = [(7, i, 100, 16, 1, 30, 1) for i in range(1, n + 1)] + [(7, 20_000, 100, 16, 20_000, 30, 1), (7, 20_001, 101, 16, 20_001, 30, 1)]
     mixed = spark.createDataFrame(rows, "token long, doc_id long, n long, band int, label long, h long, top long")
     plan = J._meeting(mixed)
     pairs = plan.collect()

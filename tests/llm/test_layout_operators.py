@@ -197,7 +197,8 @@ def test_replies_follow_their_quotations(spark):
                        (2, 0): (None, False, 0), (2, 5): (0, False, 1), (2, 9): (5, False, 2), (None, 3): (None, False, 0), (3, None): (None, False, 0)}
     assert got[1, 3]["text"] == "Yes, do that." and got[1, 3]["quoted_lines"] == 2 and got[2, 0]["text"] == ""
     chats = {(r["conv_id"], r["block"]): r["chat"] for r in Q.chat_blocks(Q.quote_threads(df), 2).collect()}
-    assert chats[1, 1] == "<|user|> re:0\nStill the first question.\n<|end|>\n<|assistant|> re:1\nYes, do that.\n<|end|>"
+    assert chats[1, 1] == "<|assistant|> re:1\nYes, do that.\n<|end|>\n<|user|>\nOk.\n<|end|>" and chats[1, 2] == "<|user|> re:0\nStill the first question.\n<|end|>"
+    assert {k: r["place"] for k, r in got.items()} == {(1, 0): 0, (1, 1): 1, (1, 3): 2, (1, 4): 3, (1, 2): 4, (2, 0): 0, (2, 5): 1, (2, 9): 2, (None, 3): None, (3, None): None}
     assert Q.quote_threads(df.limit(0)).count() == 0
 
 
@@ -211,10 +212,11 @@ def test_quotations_equal_the_sql_statement(spark):
         for t in range(14):
             own = f"Line {c} {t} alpha.\nSecond line, {t % 4}!"
             quoted = texts[(t * 7 + c) % t].split("\n") if t and (t + c) % 3 else []
+            quoted = ["> " + x for x in quoted] if (t + c) % 5 == 0 else quoted  # all of it one level deeper
             texts.append("\n".join([*["> " + x for x in quoted], own]))
             rows.append((c, t, "user" if t % 2 else "assistant", texts[-1]))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = Q.quote_threads(df).select("conv_id", "turn", "role", "parent_turn", "linked", "depth", "quoted_lines", F.sha2("text", 256).alias("text_sha256"))
+    out = Q.quote_threads(df).select("conv_id", "turn", "role", "parent_turn", "linked", "depth", "place", "quoted_lines", F.sha2("text", 256).alias("text_sha256"))
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
     want = con.sql(Q.ORACLE).fetchall()
@@ -222,6 +224,37 @@ def test_quotations_equal_the_sql_statement(spark):
     assert sum(r[4] for r in want) > 30
 
 
+def test_the_shallowest_quotation_with_a_source_links(spark):
+    rows = [(1, 0, "user", "Where is the key?"), (1, 1, "assistant", "In the box by the door."), (1, 2, "user", "Thanks."), (1, 3, "assistant", "> > Where is the key?\nStill there."),
+            (1, 4, "user", "> nobody said this\n> > In the box by the door.\nNo."), (1, 5, "user", "> Thanks.\n> > Where is the key?\n> > In the box by the door.\nSure.")]
+    got = Q.quote_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["turn"]: (r["parent_turn"], r["linked"]) for r in got} == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (2, True)}
+
+
+def test_places_follow_the_replies(spark, monkeypatch):
+    """Random trees, a message with many replies and a long line of replies, against a walk."""
+    import random
+
+    monkeypatch.setattr(Q, "TURN_BLOCK", 8)
+    rng = random.Random(4)
+    rows = []
+    for c in range(5):
+        turns = sorted(rng.sample(range(500), 60))
+        for i, t in enumerate(turns):
+            rows.append((c, t, None if i == 0 else turns[{0: 0, 1: i - 1}.get(c, rng.randrange(i))]))
+    got = {(r["conv_id"], r["turn"]): r["place"] for r in Q._places(spark.createDataFrame(rows, "conv_id long, turn long, parent long")).collect()}
+    for c in range(5):
+        children = {}
+        for _, t, p in (r for r in rows if r[0] == c):
+            children.setdefault(p, []).append(t)
+        order, todo = [], children[None][:]
+        while todo:
+            t = todo.pop()
+            order.append(t)
+            todo += reversed(children.get(t, []))
+        assert [got[c, t] for t in order] == list(range(60))
+
+
 def test_a_long_conversation(spark):
     df = spark.range(3000).select(F.lit(1).alias("conv_id"), "id", F.lit("user").alias("role"), F.lit("same text").alias("text")).withColumnRenamed("id", "turn")
     got = Q.quote_threads(df).where("depth = turn").count()

@@ -323,7 +323,7 @@ def test_items_that_share_common_words_cost_little(spark, frame, words):
 
     rng = random.Random(3)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(12)) + " which of the " + " ".join(rng.choice(words) for _ in range(6))) for i in range(2000)]
-    block = D.Items(np.arange(2000), [hashes(t) for _, t in items], D.LEAK, *counted([" ".join(["which of the"] * 50)] * 30 + [" ".join(words)] * 30))
+    block = D.Items(np.arange(2000), [hashes(t) for _, t in items], D.LEAK, *counted([" ".join(["which of the"] * 50)] * 300 + [" ".join(words)] * 30))
     text = " ".join("which of the " + rng.choice(words) for _ in range(1250))
     row, codes = np.zeros(5000, np.int64), hashes(text)
     t0 = time.perf_counter()
@@ -437,3 +437,57 @@ def test_texts_are_split_by_bytes():
         runs = list(text_lists(batch, "text", limit))
         assert [t for _, run in runs for t in run] == [t or "" for t in texts]
         assert [lo for lo, _ in runs] == list(np.cumsum([0, *[len(run) for _, run in runs]])[:-1])
+
+
+# ---------------------------------------------------------------- quality: the update against a plain loop
+def plain_ftrl(rows):
+    """Weights of FTRL-proximal by its recurrence, a dictionary of cells, one example after another."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(c):
+        if abs(z.get(c, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[c] - math.copysign(Q.L1, z[c])) / ((Q.BETA + math.sqrt(n.get(c, 0.0))) / Q.ALPHA + Q.L2)
+
+    for _ in range(Q.EPOCHS):
+        for _, _, text, label in sorted(rows, key=lambda r: (r[0], r[1])):
+            raw = text.encode()
+            _, found, size = Q.cells(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            counts = {}
+            for c in found.tolist():
+                counts[c] = counts.get(c, 0) + 1
+            x = {c: k / math.sqrt(max(1, size[0])) for c, k in counts.items()} | {1 << Q.BITS: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(c) * v for c, v in x.items())))
+            for c, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(c, 0.0) + g * g) - math.sqrt(n.get(c, 0.0))) / Q.ALPHA
+                w = weight(c)
+                z[c] = z.get(c, 0.0) + g - sigma * w
+                n[c] = n.get(c, 0.0) + g * g
+    out = np.zeros((1 << Q.BITS) + 1)
+    for c in z:
+        out[c] = weight(c)
+    return out
+
+
+def test_the_ftrl_update_equals_a_plain_loop(prose):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    rows = [(rng.randrange(50), d, prose(rng.randrange(1, 25), d) if d % 9 else "", rng.randrange(2)) for d in range(70)]
+    table = pa.table({"order": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "text": [r[2] for r in rows], "quality": [r[3] for r in rows]})
+    got = Q._ftrl(table)
+    assert got.column("n").to_pylist() == [70]
+    assert np.allclose(np.frombuffer(got.column("weights")[0].as_py(), "<f4"), plain_ftrl(rows), atol=1e-6)
+
+
+def test_training_is_bounded_by_bytes(spark, frame, prose, monkeypatch):
+    rows = [(d, prose(300, d) if d % 2 else prose(300, d) + " !!! ??? !!! ???" * 20) for d in range(400)]
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(Q, "SHARDS", 1)
+    whole, part = Q.learn(frame(rows), labels), Q.learn(frame(rows), labels, train_bytes=150_000)
+    assert not np.array_equal(whole, part) and (part != 0).any()
+    scores = {r["doc_id"]: r["score"] for r in Q.score_quality(frame(rows), part).collect()}
+    assert np.mean([(scores[d] >= 0.5) == (d % 2) for d, _ in rows]) > 0.95
