@@ -268,7 +268,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -
     Null text counts as empty and has no tokens. With ``ids`` the ids themselves
     (array<long>) follow. ``path`` names the rank file on every executor. Each row is
     encoded on its own, so repeated rows and ids give repeated results and an empty
-    table gives none.
+    table gives none. Texts of any length are encoded whole; of pairs of equal rank the leftmost merges.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)

@@ -107,7 +107,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Null text counts as empty; all empty texts are one group. keep_id is the
     largest doc_id of the group; a row repeated under that id is kept with it.
     Rows with a null doc_id count in group_size and are never the one to keep
-    (keep_id is null where a group has no other). An empty table gives an empty result.
+    (keep_id is null where a group has no other). Texts of any length are compared whole, chunk by
+    chunk. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = docs.select("text").mapInArrow(_recipes(True), "hash long, chunk binary")

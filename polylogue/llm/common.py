@@ -81,7 +81,7 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of rows of about ``limit`` bytes; null reads as empty. The bytes are the batch's own."""
     texts = batch.column(column)
-    for lo, hi in _runs(texts, limit):
+    for lo, hi in text_runs(texts, limit):
         part = texts.slice(lo, hi - lo)
         part = part.fill_null("") if part.null_count else part
         _, offs, data = part.buffers()
@@ -91,7 +91,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
     _release()
 
 
-def _runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+def text_runs(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """(first row, end row) of runs of about ``limit`` bytes; one longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
@@ -111,7 +111,7 @@ def _release() -> None:
 def text_lists(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of rows of about ``limit`` bytes; null reads as empty."""
     texts = batch.column(column)
-    for lo, hi in _runs(texts, limit):
+    for lo, hi in text_runs(texts, limit):
         yield lo, pc.fill_null(texts.slice(lo, hi - lo), "").to_pylist()
     _release()
 

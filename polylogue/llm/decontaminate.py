@@ -23,23 +23,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flagged_spans, mix, span_hashes, text_chunks
+from .common import flagged_spans, span_hashes, text_chunks, text_runs
 
 #: Rare words that make a seed, and least words of an item; words of one block of items, which is what a pass over the corpus broadcasts.
 QUORUM, LEAST_WORDS, BLOCK_SEEDS = 4, 3, 2_000_000
 #: Rare words of items, and words around seeds, that are looked at at once.
-HITS, AROUND_WORDS = 1 << 18, 1 << 19
+HITS, AROUND_WORDS = 1 << 16, 1 << 17
 #: Alignment scores of a match, a changed word and a gap; share of an item's full score that marks a leak.
 MATCH, CHANGE, GAP, LEAK = 2, -1, -1, 0.5
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def _lower_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Chunks of the lower-case texts."""
-    yield from text_chunks(pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column("text"))], ["text"]), "text")
+    """Chunks of the lower-case texts, made for one run of rows at a time."""
+    for lo, hi in text_runs(batch.column("text")):
+        low = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column("text").slice(lo, hi - lo))], ["text"])
+        for a, b, data, offs in text_chunks(low, "text"):
+            yield lo + a, lo + b, data, offs
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,8 @@ def extendible_shards(rows: DataFrame, key: str, size: Column, limit: int = SHAR
 
     ``size`` gives a row's bytes (null: 0); equal keys stay together while they fit. A row
     that alone exceeds the limit has a shard of its own, marked oversized. A null key
-    is a key. An empty table gives an empty result; without a split the prefix is empty.
+    is a key. An empty table gives an empty result; without a split the prefix is empty. Texts are measured, not
+    read, whatever their length; equal rows are dealt apart by their row number only where their key is split.
     """
     text = F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
     salt = F.concat_ws("#", text, F.monotonically_increasing_id().cast("string"))

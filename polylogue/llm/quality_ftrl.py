@@ -106,7 +106,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text; others are ignored), 0 to 1.
 
     Null and empty texts get the constant's score. Repeated rows are scored alike;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Texts of any length are scored whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 

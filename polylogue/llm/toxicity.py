@@ -206,6 +206,8 @@ def _hits(model: ToxicityModel, texts: list[str]) -> Iterator[tuple[int, int, in
         found = [(i, automaton.terms[abs(a) - 1], a < 0) for automaton in model.automata
                  for got in [automaton.run(codes, starts, ends)] for i, a in zip(np.flatnonzero(got).tolist(), got[got != 0].tolist(), strict=True)]
         found = [(i, term, edited) for i, term, edited in found if not (edited and whole[starts[i]:ends[i]] in model.clean_variants)]
+        if len(model.automata) > 1:  # one hit a word: the term itself, else the first of those it may be
+            found = list({i: (i, term, edited) for i, term, edited in sorted(found, key=lambda x: (x[2], x[1]), reverse=True)}.values())
         if not found:
             continue
         at = np.array([i for i, _, _ in found])
@@ -366,7 +368,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, abuse, misspelled, quoted, score) of every row of ``docs`` (doc_id, text; others are ignored).
 
     Null and empty texts have no hits and get the score of that. Repeated rows are
-    scored alike; an empty table gives an empty result.
+    scored alike; an empty table gives an empty result. Texts of any length are read whole. A word
+    that is one edit from several terms is one hit; a term itself is never a misspelling of another.
     """
     return _counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
 
