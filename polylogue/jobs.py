@@ -23,16 +23,30 @@ from .operators.vocab import encode
 from .session import hadoop_path, written
 from .sources import files as IO
 from .sources.catalog import discover_languages, run_catalog
+from .sources.csv_split import read_csv_split
+
+
+#: Plain files from this size on are read by byte ranges in parallel.
+SPLIT_BYTES = 64 << 20
 
 
 def read_language_files(spark: SparkSession, folder: str, suffix: str, languages: Sequence[str]) -> DataFrame:
-    """(lang, pos, columns...) of ``folder/<lang>_<suffix>.csv`` of the languages: one scan for all."""
+    """(lang, pos, columns...) of ``folder/<lang>_<suffix>.csv`` of the languages: one scan for all, two where plain files are large."""
     paths = [f"{folder}/{code}_{suffix}.csv" for code in languages]
+    if _large_files(spark, paths):
+        rows = read_csv_split(spark, paths).withColumnRenamed("file", "__dir")
+    else:
+        rows = IO.read_positioned(spark, paths, "csv", dir_col="__dir")
     lang = F.regexp_extract("__dir", rf"/([^/_]+)_{suffix}\.csv$", 1)
-    rows = IO.read_positioned(spark, paths, "csv", dir_col="__dir")
     return rows.withColumn("lang", lang).drop("__dir")
 
 
+def _large_files(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Are all of these plain files, and one of them so large that one task should not read it?"""
+    found = [fs.getFileStatus(p) for fs, p in (hadoop_path(spark, path) for path in paths)]
+    return bool(found) and all(st.isFile() for st in found) and max(st.getLen() for st in found) >= SPLIT_BYTES
+
+
 def build_corpora(spark: SparkSession, folder: str, out: str, source: str = "en", k: int = 10, seed: int = DEFAULT_SEED,
                   mode: str = "spread", blocklist: Sequence[str] = ("pl",), overwrite: bool = False) -> list[str]:
     """Few-shot sets ``<lang>_fs_<k>.csv`` and multitask sets ``<source>_<lang>_<k>_train.csv`` of every

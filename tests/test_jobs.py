@@ -51,6 +51,16 @@ def test_evaluation_leaves_the_files_of_each_run(spark, evaluated, tmp_path, mos
     assert de["eval_distinct-1"] == pytest.approx(100 * 2 / (2 * (most or 12))) and len(de) == 7
 
 
+def test_large_plain_files_are_read_by_ranges(spark, evaluated, tmp_path, monkeypatch):
+    root, tests, _, _ = evaluated
+    rows = [(i, f"c{i}", f'r "{i}"\nsecond line, {i}') for i in range(300)]
+    IO.single_file(spark.createDataFrame(rows, "pos long, context string, response string"), f"{tmp_path}/da_test.csv", ["pos"])
+    plain = sorted(map(tuple, jobs.read_language_files(spark, str(tmp_path), "test", ["da"]).select("lang", "pos", "context", "response").collect()))
+    monkeypatch.setattr(jobs, "SPLIT_BYTES", 1)
+    split = sorted(map(tuple, jobs.read_language_files(spark, str(tmp_path), "test", ["da"]).select("lang", "pos", "context", "response").collect()))
+    assert split == plain == [("da", *r) for r in rows]
+
+
 def test_a_prediction_without_a_label_is_an_error(spark, evaluated, tmp_path):
     root, _, _, catalog = evaluated
     references = jobs.read_language_files(spark, root, "test", ["de", "fr"]).filter("pos <> 3")
