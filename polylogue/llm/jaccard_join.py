@@ -39,6 +39,8 @@ HOT_SHARE, HOT_MAX = 1 / 2000, 1_000_000
 WINDOW, REACH = 750_000, 0.4
 #: Up to so many ids, those to be verified are broadcast (8 bytes each); beyond, they are joined.
 IDS_MAX = 500_000
+#: Turns in which sets of several components try one other set each, before all that is left is looked at.
+STARS = 8
 #: Up to so many possible links between components, all are looked at in one round.
 AT_ONCE = 50_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
@@ -292,11 +294,24 @@ def _components(docs: DataFrame) -> DataFrame:
     label = components(spark, _verified(star, _sets_of(star, docs, scratch), scratch), scratch)
 
     # what still lies between components: in light buckets pair by pair, in heavy ones by blocks of sets
-    known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
-    shares = known.groupBy("token", "label").agg(F.count("*").alias("c"))
-    buckets = (shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
-               .where("m * m > own")
-               .select("token", F.col("top.label").alias("top"), ((F.col("m") * F.col("m") - F.col("own")) / 2 > HEAVY * F.col("m")).alias("heavy")))
+    pairs_across = (F.col("m") * F.col("m") - F.col("own")) / 2
+    turn, useful = 0, True
+    while True:
+        known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
+        shares = known.groupBy("token", "label").agg(F.count("*").alias("c"))
+        buckets = scratch.stored(shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
+                                 .where("m * m > own")
+                                 .select("token", "m", F.col("top.label").alias("top"), pairs_across.alias("across"), (pairs_across > HEAVY * F.col("m")).alias("heavy")), "buckets")
+        seen = buckets.agg(F.sum("m"), F.sum("across")).first()
+        if not useful or turn == STARS or (seen[1] or 0) <= HEAVY * (seen[0] or 0):
+            break
+        # a large group of near copies is still in many parts: every set tries another set of its buckets, dealt anew each turn
+        turn += 1
+        star = scratch.stored(bounded(_dealt(known.join(buckets.select("token"), "token", "left_semi"), turn)), "star")
+        found = components(spark, _verified(star, _sets_of(star, docs, scratch), scratch), scratch)
+        useful = found.where("id <> label").count() >= 0.05 * known.join(buckets.select("token"), "token", "left_semi").select("label").distinct().count()
+        label = scratch.stored(_composed(label, found), "merged")
+    buckets = buckets.select("token", "top", "heavy")
     mixed = scratch.stored(known.join(buckets, "token"), "mixed")
     heavy = (mixed.where("heavy").groupBy("doc_id", "n", "label")
              .agg(F.collect_list("token").alias("tokens"), F.max(F.col("label") != F.col("top")).alias("minor")))
@@ -321,6 +336,17 @@ def _components(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _dealt(known: DataFrame, turn: int) -> DataFrame:
+    """(a_id, b_id, la, lb, k): each set with one set of another component, the one of the first sets of its buckets, in an order of
+    this ``turn``, that it shares most prefix shingles with."""
+    first = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("order"), "doc_id", "label")).alias("first")
+    centres = known.groupBy("token").agg(first).select("token", F.col("first.doc_id").alias("centre"), F.col("first.label").alias("to"))
+    met = known.join(centres, "token").where("label <> to").groupBy("doc_id", "label", "centre", "to").agg(F.count("*").alias("k"))
+    best = met.groupBy("doc_id", "label").agg(F.max(F.struct("k", "centre", "to")).alias("best"))
+    return best.select(F.least("doc_id", "best.centre").alias("a_id"), F.greatest("doc_id", "best.centre").alias("b_id"),
+                       F.col("label").alias("la"), F.col("best.to").alias("lb"), F.col("best.k").alias("k"))
+
+
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """``rows`` with the component of each set, at first its own id."""
     return rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))

@@ -31,8 +31,8 @@ TRAIN_ROWS = 60_000
 #: of toxic texts and is ODDS times likelier there, with evidence that no candidate is
 #: expected to reach by chance.
 MIN_CONTEXTS, ODDS = 3, 20.0
-#: Terms of one table.
-TABLE_TERMS = 150
+#: Terms of one table; one in EARLY clean texts is read before the others.
+TABLE_TERMS, EARLY = 150, 16
 #: Letters from which a term may have one edit; words of a hit's window on either side.
 FUZZY_FROM, WINDOW = 5, 8
 #: Weight of misspelled hits before any evidence, as a share of that of exact ones.
@@ -326,13 +326,16 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     # what a word in no clean text could show at most settles most candidates
     likely = candidates.where(F.col("n") * float(_evidence(1, 0, bad / max(1, bad + good))) >= float(needed)) if bad and good else candidates
     seen = likely.orderBy(F.desc("n"), "word").toPandas()
+    terms = list(zip(seen["word"], seen["n"], strict=True))
     send = spark.sparkContext.broadcast
-    there = (clean.mapInArrow(_places(2, send(frozenset(seen["word"]))), kind).select("word", F.xxhash64("place").alias("place")).distinct()
-             .groupBy("word").agg(F.count("*").alias("n")).toPandas())
-    in_clean = dict(zip(there["word"], there["n"], strict=True))
-    terms = [w for w, n in zip(seen["word"], seen["n"], strict=True)
-             if (n + 0.5) / (bad + 1) >= ODDS * (in_clean.get(w, 0) + 0.5) / (good + 1)
-             and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= needed]
+    # places in clean texts only speak against a word, so common words are settled by a part of these texts
+    for texts in (clean.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(EARLY)) == 0), clean):
+        there = (texts.mapInArrow(_places(2, send(frozenset(w for w, _ in terms))), kind).select("word", F.xxhash64("place").alias("place")).distinct()
+                 .groupBy("word").agg(F.count("*").alias("n")).toPandas())
+        in_clean = dict(zip(there["word"], there["n"], strict=True))
+        terms = [(w, n) for w, n in terms if (n + 0.5) / (bad + 1) >= ODDS * (in_clean.get(w, 0) + 0.5) / (good + 1)
+                 and _evidence(n, in_clean.get(w, 0), bad / (bad + good)) >= needed]
+    terms = [w for w, _ in terms]
     automata = [Automaton(terms[i:i + TABLE_TERMS]) for i in range(0, len(terms), TABLE_TERMS)]
     # variants found in one half of the clean texts are left out when the weights are fitted on the other
     # half, so that unseen words near a term weigh what they weigh in texts not read yet
