@@ -39,8 +39,8 @@ HOT_SHARE, HOT_MAX = 1 / 2000, 1_000_000
 WINDOW, REACH = 750_000, 0.4
 #: Up to so many ids, those to be verified are broadcast (8 bytes each); beyond, they are joined.
 IDS_MAX = 500_000
-#: Turns in which sets of several components try one other set each, before all that is left is looked at.
-STARS = 8
+#: Turns in which sets of several components try one other set each, before all that is left is looked at, and tries that make a turn worth while.
+STARS, FEW = 6, 2000
 #: Up to so many possible links between components, all are looked at in one round.
 AT_ONCE = 50_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
@@ -178,24 +178,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     its best of 8, of 64 and so on parts of the rest; pairs whose ends have come together meanwhile need no look. Every pair is looked at or lies in one component.
     """
     label, parts = None, 1
-    rest = scratch.stored(pairs, "candidates")
+    spark, rest, before = pairs.sparkSession, pairs, Scratch(pairs.sparkSession)
     while True:
         n = rest.count()
         if not n:
-            return label if label is not None else components(rest.sparkSession, rest.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+            scratch.paths += before.paths
+            return label if label is not None else components(spark, rest.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+        own = Scratch(spark)
         if n > AT_ONCE:
             ends = rest.select("*", F.explode(F.array("la", "lb")).alias("end"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
             best = ends.groupBy("end", "part").agg(F.max(F.struct("k", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-            chosen = scratch.stored(rest.join(best, ["a", "b"], "left_semi"), "chosen")
-            rest = rest.join(best, ["a", "b"], "left_anti")
+            chosen = own.stored(rest.join(best, ["a", "b"], "left_semi"), "chosen")
+            rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
         else:
             chosen, rest = rest, rest.limit(0)
-        found = components(rest.sparkSession, _verified(chosen, sets, scratch), scratch)
-        label = found if label is None else _composed(label, found)
-        label = scratch.stored(label, "merged")
+        found = components(spark, _verified(chosen, sets, own), own)
+        label = own.stored(found if label is None else _composed(label, found), "merged")
         for end in ("la", "lb"):
             rest = rest.join(found.select(F.col("id").alias(end), F.col("label").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        rest = scratch.stored(rest.where("la <> lb"), "candidates")
+        rest = own.stored(rest.where("la <> lb"), "candidates")
+        before.drop()  # the tables of the round before
+        before = own
         parts *= 8
 
 
@@ -297,20 +300,25 @@ def _components(docs: DataFrame) -> DataFrame:
     pairs_across = (F.col("m") * F.col("m") - F.col("own")) / 2
     turn, useful = 0, True
     while True:
-        known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
+        own = Scratch(spark)  # a turn's tables go with it
+        known = own.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
         shares = known.groupBy("token", "label").agg(F.count("*").alias("c"))
-        buckets = scratch.stored(shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
-                                 .where("m * m > own")
-                                 .select("token", "m", F.col("top.label").alias("top"), pairs_across.alias("across"), (pairs_across > HEAVY * F.col("m")).alias("heavy")), "buckets")
+        buckets = own.stored(shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
+                             .where("m * m > own")
+                             .select("token", "m", F.col("top.label").alias("top"), pairs_across.alias("across"), (pairs_across > HEAVY * F.col("m")).alias("heavy")), "buckets")
         seen = buckets.agg(F.sum("m"), F.sum("across")).first()
         if not useful or turn == STARS or (seen[1] or 0) <= HEAVY * (seen[0] or 0):
+            scratch.paths += own.paths
             break
-        # a large group of near copies is still in many parts: every set tries another set of its buckets, dealt anew each turn
+        # a large group of near copies is still in many parts: every set tries another set of its buckets, dealt anew each turn,
+        # for as long as many such pairs pass the bound and a good share of them are links
         turn += 1
-        star = scratch.stored(bounded(_dealt(known.join(buckets.select("token"), "token", "left_semi"), turn)), "star")
-        found = components(spark, _verified(star, _sets_of(star, docs, scratch), scratch), scratch)
-        useful = found.where("id <> label").count() >= 0.05 * known.join(buckets.select("token"), "token", "left_semi").select("label").distinct().count()
+        star = own.stored(bounded(_dealt(known.join(buckets.select("token"), "token", "left_semi"), turn)), "star")
+        found = components(spark, _verified(star, _sets_of(star, docs, own), own), own)
+        tried = star.count()
+        useful = tried >= FEW and found.where("id <> label").count() >= 0.1 * tried
         label = scratch.stored(_composed(label, found), "merged")
+        own.drop()
     buckets = buckets.select("token", "top", "heavy")
     mixed = scratch.stored(known.join(buckets, "token"), "mixed")
     heavy = (mixed.where("heavy").groupBy("doc_id", "n", "label")
