@@ -298,27 +298,36 @@ def _components(docs: DataFrame) -> DataFrame:
 
     # what still lies between components: in light buckets pair by pair, in heavy ones by blocks of sets
     pairs_across = (F.col("m") * F.col("m") - F.col("own")) / 2
-    turn, useful = 0, True
-    while True:
+    known = scratch.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
+
+    def between(rows: DataFrame) -> DataFrame:
+        """The buckets that hold several components."""
+        return (rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
+                .agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top")).where("m * m > own")
+                .select("token", "m", F.col("top.label").alias("top"), pairs_across.alias("across"), (pairs_across > HEAVY * F.col("m")).alias("heavy")))
+
+    buckets = scratch.stored(between(known), "buckets")
+    seen = buckets.agg(F.sum("m"), F.sum("across")).first()
+    # a large group of near copies is still in many parts: every set tries another set of its buckets, dealt anew each turn. After the
+    # first turn only sets whose try has passed the bound go on, for as long as these are many and a good share are links
+    active, merged = known.join(buckets.select("token"), "token", "left_semi"), None
+    for turn in range(1, STARS + 1 if (seen[1] or 0) > HEAVY * (seen[0] or 0) else 1):
         own = Scratch(spark)  # a turn's tables go with it
-        known = own.stored(_labelled(in_bucket.select("token", "doc_id").join(about.select("doc_id", "n", "band"), "doc_id"), label), "labelled")
-        shares = known.groupBy("token", "label").agg(F.count("*").alias("c"))
-        buckets = own.stored(shares.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "label")).alias("top"))
-                             .where("m * m > own")
-                             .select("token", "m", F.col("top.label").alias("top"), pairs_across.alias("across"), (pairs_across > HEAVY * F.col("m")).alias("heavy")), "buckets")
-        seen = buckets.agg(F.sum("m"), F.sum("across")).first()
-        if not useful or turn == STARS or (seen[1] or 0) <= HEAVY * (seen[0] or 0):
-            scratch.paths += own.paths
-            break
-        # a large group of near copies is still in many parts: every set tries another set of its buckets, dealt anew each turn,
-        # for as long as many such pairs pass the bound and a good share of them are links
-        turn += 1
-        star = own.stored(bounded(_dealt(known.join(buckets.select("token"), "token", "left_semi"), turn)), "star")
+        star = own.stored(bounded(_dealt(active, turn)), "star")
         found = components(spark, _verified(star, _sets_of(star, docs, own), own), own)
         tried = star.count()
-        useful = tried >= FEW and found.where("id <> label").count() >= 0.1 * tried
-        label = scratch.stored(_composed(label, found), "merged")
+        links = found.where("id <> label").count()
+        if links:
+            merged = scratch.stored(found if merged is None else _composed(merged, found), "merged")
+            ids = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            active = scratch.stored(_relabelled(active.join(ids, "doc_id", "left_semi"), found), "active")
         own.drop()
+        if tried < FEW or links < 0.1 * tried:
+            break
+    if merged is not None:
+        known = _relabelled(known.join(buckets.select("token"), "token", "left_semi"), merged)
+        label = scratch.stored(_composed(label, merged), "label")
+        buckets = scratch.stored(between(known), "buckets")
     buckets = buckets.select("token", "top", "heavy")
     mixed = scratch.stored(known.join(buckets, "token"), "mixed")
     heavy = (mixed.where("heavy").groupBy("doc_id", "n", "label")
@@ -333,9 +342,9 @@ def _components(docs: DataFrame) -> DataFrame:
         part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
         pairs = pairs.unionByName(_meeting_block(heavy, part))
     pairs = scratch.stored(pairs.groupBy("a", "b", "la", "lb").agg(F.max("k").alias("k")), "pairs")
-    merged = _linked(pairs, _sets_of(pairs, docs, scratch), scratch)
+    last = _linked(pairs, _sets_of(pairs, docs, scratch), scratch)
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
-    joined = merged.select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components
+    joined = last.select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components
     named = named.join(joined, "first", "left").select("set_key", F.coalesce("last", "first").alias("component"))
     out = (salted_left_join(base.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), named, "set_key", "doc_id")
            .select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")))
@@ -344,6 +353,12 @@ def _components(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the components that ``merged`` (id, label) has made of theirs."""
+    to = merged.select(F.col("id").alias("label"), F.col("label").alias("_to"))
+    return rows.join(to, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
+
+
 def _dealt(known: DataFrame, turn: int) -> DataFrame:
     """(a_id, b_id, la, lb, k): each set with one set of another component, the one of the first sets of its buckets, in an order of
     this ``turn``, that it shares most prefix shingles with."""
