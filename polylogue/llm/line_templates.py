@@ -53,7 +53,15 @@ def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float,
     """(masked, template) of the distinct ``lines`` (path, masked, n)."""
     rest = scratch.stored(lines.select(F.col("path").alias("cluster"), "masked", "n"), "template-clusters")
     named = []
-    while not rest.isEmpty():
+    plain = F.array_join(F.split("masked", _BLANK), " ").alias("template")
+    while True:
+        # a line that is alone in its cluster is its own template, and most are: nothing of it is counted
+        sizes = scratch.stored(rest.groupBy("cluster").agg(F.count("*").alias("lines"), F.first("masked").alias("masked")), "template-sizes")
+        named.append(sizes.where("lines = 1").select("masked", plain))
+        several = sizes.where("lines > 1").select("cluster")
+        if several.isEmpty():
+            break
+        rest = rest.join(several, "cluster", "left_semi")
         words = rest.withColumn("words", F.split("masked", _BLANK))
         votes = words.select("cluster", "n", F.posexplode("words").alias("at", "word")).groupBy("cluster", "at", "word").agg(F.sum("n").alias("n"))
         best = votes.groupBy("cluster", "at").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("of"))
@@ -72,7 +80,7 @@ def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float,
         picks = shared.groupBy("masked").agg(F.max(F.struct("n", -F.col("at"), "word")).alias("pick"))
         split = own.where("not member").select("cluster", "masked", "n").join(picks, "masked", "left")
         split = scratch.stored(split.select("masked", "n", F.when(F.col("pick").isNotNull(), F.concat_ws("\x1f", "cluster", -F.col("pick.col2"), "pick.word")).alias("cluster")), "template-split")
-        named.append(split.where("cluster is null").select("masked", F.array_join(F.split("masked", _BLANK), " ").alias("template")))
+        named.append(split.where("cluster is null").select("masked", plain))
         rest = split.where("cluster is not null")
     out = lines.select("masked", F.col("masked").alias("template")).limit(0)
     for part in named:
