@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_left_join
-
 #: Bytes of payload of a written archive, and of a legacy archive made from pages.
 ARCHIVE_BYTES, ARC_BYTES = 16 << 20, 1 << 20
 
@@ -144,15 +142,11 @@ def convert(arcs: DataFrame) -> DataFrame:
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
-    """``records`` with refers_to: of equal payloads of responses the one with the smallest number stays whole; one without a number stays only where none has one.
-
-    The many records of one payload are dealt to several tasks.
-    """
+    """``records`` with refers_to: of equal payloads of responses the one with the smallest number stays whole; one without a number stays only where none has one."""
     own = records.where("type = 'response'").select("digest", "number", "record_id", "date", "uri")
     named = F.when(F.col("number").isNotNull(), F.struct("number", "record_id", "date", "uri"))
     first = own.groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    again = (salted_left_join(own.select("digest", "number", "record_id"), first, "digest", "record_id")
-             .where(F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
+    again = (own.select("digest", "number", "record_id").join(first, "digest").where(~F.col("number").eqNullSafe(F.col("first.number")))
              .select("record_id", F.col("first").alias("refers_to")).dropDuplicates(["record_id"]))
     return records.join(again, "record_id", "left")
 
