@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import flagged_spans, span_hashes, text_chunks, text_runs
 
 #: Rare words that make a seed, and least words of an item; words of one block of items, which is what a pass over the corpus broadcasts.
-QUORUM, LEAST_WORDS, BLOCK_SEEDS = 4, 3, 2_000_000
+QUORUM, LEAST_WORDS, BLOCK_SEEDS = 6, 3, 2_000_000
 #: Rare words of items, and words around seeds, that are looked at at once.
 HITS, AROUND_WORDS = 1 << 16, 1 << 17
 #: Alignment scores of a match, a changed word and a gap; share of an item's full score that marks a leak.
@@ -224,7 +224,7 @@ def _align(items: list[np.ndarray], passages: list[np.ndarray], least: float) ->
     i = 0
     while i < len(order):
         j = i + 1
-        while j < len(order) and (j + 1 - i) * len(passages[order[j]]) <= 1 << 17:
+        while j < len(order) and (j + 1 - i) * len(passages[order[j]]) <= 1 << 14:
             j += 1
         pick = order[i:j]
         best, end = smith_waterman([items[k] for k in pick], [passages[k] for k in pick])
