@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .functions.ids import IGNORE_ID, mask_pad, pad_batches, pad_to, target_max_length
 from .functions.text import clean_prediction, prompt_source, prompt_target
 from .operators.human_eval import BALLOT_COLUMNS, BALLOT_HEADER, build_ballots, tally, tally_by_family, with_positional_comparison
-from .operators.bleu import tokenized_hypotheses, tokenized_references
 from .operators.mixing import interleave
 from .operators.report import aligned_strictly, metrics_report
 from .operators.sampling import DEFAULT_SEED, first_n, sample_k
@@ -154,8 +153,8 @@ def evaluate(spark: SparkSession, references: DataFrame, runs: DataFrame, out: s
     labels = first(references).select("lang", "pos", clean_prediction(F.col("response"), *masks).alias("response"))
     # read from the files once: metrics, samples and lines all use it
     lines = written(first(read_runs(spark, runs)).withColumn("prediction", clean_prediction(F.col("prediction"), *masks)), "evaluated-runs")
-    tokens = aligned_strictly(lines, tokenized_references(labels, ["lang", "pos"], ["response"]), ["lang", "pos"], "__ref_tokens")
-    report = metrics_report(lines, tokenized_hypotheses(tokens, "prediction"), ["lang", "system"], ["pos"], reference=None)
+    scored = aligned_strictly(lines, labels, ["lang", "pos"], "response")
+    report = metrics_report(lines, scored, ["lang", "system"], ["pos"], reference="response")
     report = written(report.select("lang", "system", F.concat(F.lit(f"{prefix}_"), F.regexp_replace("metric", "^distinct_", "distinct-")).alias("metric"), "value"), "evaluation")
     found: dict[tuple[str, str], dict[str, float]] = {}
     for r in report.collect():  # seven numbers for each run
