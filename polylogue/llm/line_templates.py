@@ -49,21 +49,33 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return lines.select("doc_id", "h", "line_no", "masked", F.size("words").alias("size"), F.concat_ws(" ", F.size("words"), F.slice("words", 1, depth)).alias("path"))
 
 
-def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float, similar: float) -> DataFrame:
-    """(masked, template) of the distinct ``lines`` (path, masked, n)."""
-    rest = scratch.stored(lines.select(F.col("path").alias("cluster"), "masked", "n"), "template-clusters")
+def _votes(lines: DataFrame) -> DataFrame:
+    """(cluster, at, word, n): lines of a cluster that have the word at the place."""
+    return lines.select("cluster", "n", F.posexplode("words").alias("at", "word")).groupBy("cluster", "at", "word").agg(F.sum("n").alias("n"))
+
+
+def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float, similar: float, min_docs: int | None) -> DataFrame:
+    """(masked, template) of those of the distinct ``lines`` (path, masked, size, n) whose template has lines enough to recur.
+
+    Two clusters share no template: at the place that they part, all lines of one have a word that no line of
+    the other has, and a line that agrees with the template of an earlier round has left with it. So a cluster with fewer lines
+    than the documents a template must be in holds none that recurs, nor does any that it would be split into.
+    """
+    rest = scratch.stored(lines.select(F.col("path").alias("cluster"), "masked", "size", "n"), "template-clusters")
     named = []
     plain = F.array_join(F.split("masked", _BLANK), " ").alias("template")
+    limit = _limit(F.col("size"), min_docs)
     while True:
         # a line that is alone in its cluster is its own template, and most are: nothing of it is counted
-        sizes = scratch.stored(rest.groupBy("cluster").agg(F.count("*").alias("lines"), F.first("masked").alias("masked")), "template-sizes")
+        sizes = rest.groupBy("cluster", "size").agg(F.count("*").alias("lines"), F.sum("n").alias("all"), F.first("masked").alias("masked"))
+        sizes = scratch.stored(sizes.where(F.col("all") >= limit), "template-sizes")
         named.append(sizes.where("lines = 1").select("masked", plain))
         several = sizes.where("lines > 1").select("cluster")
         if several.isEmpty():
             break
         rest = rest.join(several, "cluster", "left_semi")
         words = rest.withColumn("words", F.split("masked", _BLANK))
-        votes = words.select("cluster", "n", F.posexplode("words").alias("at", "word")).groupBy("cluster", "at", "word").agg(F.sum("n").alias("n"))
+        votes = _votes(words)
         best = votes.groupBy("cluster", "at").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("of"))
         word = F.when(F.col("best.n") >= keep * F.col("of"), F.col("best.word")).otherwise(WILD)
         template = (best.select("cluster", "at", word.alias("word"), "of").groupBy("cluster")
@@ -72,14 +84,22 @@ def _clustered(lines: DataFrame, scratch: Scratch, keep: float, constant: float,
         kept = F.size(F.filter("template", lambda t: t != WILD))
         agree = F.size(F.filter(F.zip_with("words", "template", lambda w, t: (w == t) & (t != WILD)), lambda x: x))
         member = (kept >= constant * F.size("words")) & (agree >= similar * kept)
-        own = scratch.stored(own.select("cluster", "masked", "n", "words", "of", member.alias("member"), F.array_join("template", " ").alias("template")), "template-lines")
+        own = scratch.stored(own.select("cluster", "masked", "size", "n", "words", "of", member.alias("member"), F.array_join("template", " ").alias("template")), "template-lines")
         named.append(own.where("member").select("masked", "template"))
-        # the word of a line that most lines of the cluster have at its place, but not all
-        left = own.where("not member").select("cluster", "masked", F.col("n").alias("own"), "of", F.posexplode("words").alias("at", "word"))
-        shared = left.where(F.col("word") != WILD).join(votes, ["cluster", "at", "word"]).where("n > own and n < of")
-        picks = shared.groupBy("masked").agg(F.max(F.struct("n", -F.col("at"), "word")).alias("pick"))
-        split = own.where("not member").select("cluster", "masked", "n").join(picks, "masked", "left")
-        split = scratch.stored(split.select("masked", "n", F.when(F.col("pick").isNotNull(), F.concat_ws("\x1f", "cluster", -F.col("pick.col2"), "pick.word")).alias("cluster")), "template-split")
+        # lines that no template takes stay without one if they are fewer than a template needs
+        enough = own.where("not member").groupBy("cluster", "size", "of").agg(F.sum("n").alias("all")).where(F.col("all") >= limit)
+        others = own.where("not member").join(enough.select("cluster"), "cluster", "left_semi")
+        # words of several lines of the cluster, but not all; one in too few lines would make a cluster that holds no template
+        votes = _votes(own.join(enough.select("cluster"), "cluster", "left_semi")).join(enough.select("cluster", "size", "of"), "cluster")
+        shared = votes.where((F.col("word") != WILD) & (F.col("n") >= limit) & (F.col("n") < F.col("of")))
+        shared = scratch.stored(shared.select("cluster", "at", "word", F.col("n").alias("votes")), "template-shared")
+        # a line is split by the one of these words that most lines have; it is only read at places where its cluster has any
+        places = shared.groupBy("cluster").agg(F.collect_set("at").alias("places"))
+        left = others.join(places, "cluster").select("cluster", "masked", "n", "words", F.explode("places").alias("at"))
+        met = left.select("cluster", "masked", "n", "at", F.get("words", F.col("at")).alias("word")).join(shared, ["cluster", "at", "word"]).where("votes > n")
+        picks = met.groupBy("masked").agg(F.max(F.struct("votes", -F.col("at"), "word")).alias("pick"))
+        split = others.select("cluster", "masked", "size", "n").join(picks, "masked", "left")
+        split = scratch.stored(split.select("masked", "size", "n", F.when(F.col("pick").isNotNull(), F.concat_ws("\x1f", "cluster", -F.col("pick.col2"), "pick.word")).alias("cluster")), "template-split")
         named.append(split.where("cluster is null").select("masked", plain))
         rest = split.where("cluster is not null")
     out = lines.select("masked", F.col("masked").alias("template")).limit(0)
@@ -103,7 +123,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, keep: float = KEEP, con
     leaves = scratch.stored(lines.groupBy("path", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _limit(F.col("size"), min_docs)).select("path"), "template-leaves")
     few = leaves.count() <= LEAVES
     held = scratch.stored(lines.join(F.broadcast(leaves) if few else leaves, "path", "left_semi"), "template-held")
-    named = scratch.stored(_clustered(held.groupBy("path", "masked").agg(F.count("*").alias("n")), scratch, keep, constant, similar), "template-named")
+    named = scratch.stored(_clustered(held.groupBy("path", "masked", "size").agg(F.count("*").alias("n")), scratch, keep, constant, similar, min_docs), "template-named")
     found = held.join(named, "masked").select("doc_id", "h", "line_no", "size", "template")
     docs_of = found.select("template", "size", "doc_id", "h").distinct().groupBy("template", "size").agg(F.count("*").alias("docs"))
     recurs = docs_of.where(F.col("docs") >= _limit(F.col("size"), min_docs)).select("template")
