@@ -11,6 +11,7 @@ from polylogue.llm import arc_warc as A
 from polylogue.llm import extendible_shards as X
 from polylogue.llm import line_templates as L
 from polylogue.llm import quote_threads as Q
+from polylogue.llm.common import Scratch
 from polylogue.session import scratch_path
 
 
@@ -73,6 +74,16 @@ def test_rows_with_one_id_lose_their_own_lines(frame, prose):
     assert kept_lines(frame, rows) == sorted([(5, prose(9, 1)), (5, f"{prose(9, 2)}\n{prose(9, 3)}"), (6, prose(9, 4)), (0, ""), (0, prose(9, 5)), (7, "same\n" + prose(9, 6)), (7, "same\n" + prose(9, 6))])
 
 
+def test_lines_are_not_split_into_clusters_that_cannot_recur(frame):
+    """Twelve lines of one leaf, three each with a word in common: enough for a template in three documents, not in ten."""
+    spark = frame([]).sparkSession
+    lines = ["one two three " + "wxyz"[i % 4] + "".join(f" {c}{'abcdefghijkl'[i]}" for c in "pqrs") for i in range(12)]
+    distinct = spark.createDataFrame([("8 one two three", x, 8, 1) for x in lines], "path string, masked string, size int, n long")
+    found = lambda least: L._clustered(distinct, Scratch(spark), L.KEEP, L.CONSTANT, L.SIMILAR, least).collect()
+    assert {r["template"] for r in found(3)} == {f"one two three {w} <*> <*> <*> <*>" for w in "wxyz"}
+    assert all(r["template"] == r["masked"] for r in found(None))
+
+
 def plain_templates(lines):
     """Template of each distinct line (a tuple of words, masked) with its count, cluster by cluster."""
     from collections import Counter, defaultdict
