@@ -15,14 +15,15 @@ costs a star and not all its pairs. The second round looks only at buckets that
 still hold several components, at pairs across components that share as many
 prefix shingles as a link must. In buckets with many such pairs (a passage that many
 texts share) these shingles are counted against blocks of sets, an index in
-the task's memory, and only pairs with enough of them come out. So no link between
-components is lost.
+the task's memory. Pairs with enough of them are intersected there, and only links that join
+components come out. So no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ IDS_MAX = 500_000
 AT_ONCE = 50_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
 #: heavy buckets that are sent to the tasks as one index.
-HEAVY, BLOCK_BYTES = 4, 32 << 20
+HEAVY, BLOCK_BYTES = 4, 16 << 20
 
 
 def _frequent(share: float):
@@ -191,12 +192,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         found = components(rest.sparkSession, _verified(chosen, sets, scratch), scratch)
         label = found if label is None else _composed(label, found)
         label = scratch.stored(label, "merged")
-        for end in ("la", "lb"):
-            rest = rest.join(found.select(F.col("id").alias(end), F.col("label").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        rest = scratch.stored(rest.where("la <> lb"), "candidates")
+        rest = scratch.stored(_relabelled(rest, found), "candidates")
         parts *= 8
 
 
+def _relabelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` (la, lb, ...) whose components ``found`` (id, label) has not brought together, under their new labels."""
+    for end in ("la", "lb"):
+        pairs = pairs.join(found.select(F.col("id").alias(end), F.col("label").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return pairs.where("la <> lb")
+
+
 def _composed(label: DataFrame, further: DataFrame) -> DataFrame:
     """(id, label): first ``label``, then ``further`` on what it gives; ids that only ``further`` has keep it."""
     then = further.select(F.col("id").alias("label"), F.col("label").alias("_to"))
@@ -303,14 +309,18 @@ def _components(docs: DataFrame) -> DataFrame:
     heavy = scratch.stored(heavy.join(about.select("doc_id", "bitmap"), "doc_id"), "heavy")
     light = mixed.where("not heavy").join(heavy.select("doc_id", F.size("tokens").alias("h")), "doc_id", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     pairs = bounded(_meeting(light))
-    # a hash deals the sets to blocks of about BLOCK_BYTES; what a block weighs is known before it is read
-    weight = 8 * (F.size("tokens") + F.size("bitmap")) + 64
-    blocks = -(-(heavy.where("minor").agg(F.sum(weight)).first()[0] or 0) // BLOCK_BYTES)
-    for block in range(blocks):
-        part = heavy.where("minor").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
-        pairs = pairs.unionByName(_meeting_block(heavy, part))
+    merged = None
+    if parts := _blocks(heavy, "tokens", "bitmap"):
+        # sets with a possible link first, then their links
+        met = scratch.stored(reduce(DataFrame.unionByName, [_met_in_block(heavy, part) for part in parts]).distinct(), "met")
+        whole = scratch.stored(heavy.join(met, "doc_id").join(_of_ids(docs, met, _sets, _SETS), "doc_id"), "heavy-sets")
+        links = [_linked_block(whole, part) for part in _blocks(whole, "tokens", "bitmap", "shingles")]
+        if links:
+            merged = components(spark, scratch.stored(reduce(DataFrame.unionByName, links), "heavy-links"), scratch)
+            pairs = _relabelled(scratch.stored(pairs, "light"), merged)
     pairs = scratch.stored(pairs.groupBy("a", "b", "la", "lb").agg(F.max("k").alias("k")), "pairs")
-    merged = _linked(pairs, _sets_of(pairs, docs, scratch), scratch)
+    further = _linked(pairs, _sets_of(pairs, docs, scratch), scratch)
+    merged = further if merged is None else _composed(merged, further)
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
     joined = merged.select(F.col("id").alias("first"), F.col("label").alias("last"))  # of components
     named = named.join(joined, "first", "left").select("set_key", F.coalesce("last", "first").alias("component"))
@@ -333,51 +343,164 @@ def _least_shared(na, nb):
     return np.maximum(1, np.minimum(spare(na), spare(nb)))
 
 
-def _meeting_block(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """(a, b, la, lb, k): sets of ``rows``, with their components, that share enough of their heavy shingles with one of ``part`` and pass the bound of the bitmaps.
+class _Block:
+    """An index from shingle to set of a block of sets, with their sizes, components and bitmaps."""
+
+    def __init__(self, part: DataFrame, whole: bool = False):
+        found = part.select("doc_id", "n", "label", "tokens", "bitmap", *(["shingles"] if whole else [])).toArrow()
+        self.ids, self.sizes, self.labels = (found.column(c).to_numpy() for c in ("doc_id", "n", "label"))
+        lengths, tokens = _flat(found.column("tokens"))
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(self.ids)), lengths)[order]
+        self.widths, words = _flat(found.column("bitmap"))
+        begins = np.cumsum(self.widths) - self.widths
+        self.maps, self.place = {}, np.zeros(len(self.ids), np.int64)
+        for w in np.unique(self.widths):  # a matrix of bitmaps for each width
+            own = np.flatnonzero(self.widths == w)
+            self.maps[int(w)], self.place[own] = words[begins[own][:, None] + np.arange(w)], np.arange(len(own))
+        if whole:
+            self.members, shingles = _flat(found.column("shingles"))
+            self.first, self.shingles = np.cumsum(self.members) - self.members, shingles.view(np.uint64)
+
+    def candidates(self, n: int, label: int, tokens: np.ndarray, bits: np.ndarray, looked_at=None) -> np.ndarray:
+        """Sets of other components that share enough heavy shingles with a set and pass the bound of the bitmaps, the likeliest
+        first; of those that ``looked_at`` keeps."""
+        lo, hi = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        who, k = np.unique(self.owner[_spans(lo, hi - lo)[0]], return_counts=True)
+        m = self.sizes[who]
+        ok = (self.labels[who] != label) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (k >= _least_shared(m, n))
+        who, k = who[ok], k[ok]
+        if looked_at is not None:
+            ok = looked_at(who)
+            who, k = who[ok], k[ok]
+        differing = _differing(bits, who, self.widths, self.place, self.maps)
+        ok = 7 * ((n + self.sizes[who] - differing) // 2) >= 3 * (n + self.sizes[who])
+        return who[ok][np.argsort(-k[ok], kind="stable")]
+
+    def near(self, whole: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Those of ``who`` that are linked with the set ``whole``."""
+        at, of = _spans(self.first[who], self.members[who])
+        other = self.shingles[at]
+        held = whole[np.minimum(np.searchsorted(whole, other), len(whole) - 1)] == other
+        shared = np.bincount(of[held], minlength=len(who))
+        return who[100 * shared >= 75 * (len(whole) + self.members[who] - shared)]
+
+
+def _blocks(rows: DataFrame, *columns: str) -> list[DataFrame]:
+    """The sets that are not of the largest component of all their buckets, dealt by a hash to blocks of about BLOCK_BYTES."""
+    weight = 8 * sum((F.size(c) for c in columns), F.lit(0)) + 64
+    minor = rows.where("minor")
+    blocks = -(-(minor.agg(F.sum(weight)).first()[0] or 0) // BLOCK_BYTES)  # known before a block is read
+    return [minor.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+#: Sets whose marks are one binary of ``bitmap_or_agg``.
+_MARKS = 8 * 4096
+
+
+def _met_in_block(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """(doc_id): the sets of ``rows`` and of the block ``part`` that have a possible link between the two.
+
+    Two sets of the largest component of their buckets need no comparison. Pairs that also share a light
+    shingle are found there, so heavy ones alone must suffice. A task returns each of its own sets once at most, and marks those of the block.
+    """
+    spark = rows.sparkSession
+    block = _Block(part)
+    ids, sent = block.ids, spark.sparkContext.broadcast(block)
 
-    ``part``, a block of sets that are not of the largest component of all their buckets, is sent
-    to the tasks as an index from shingle to set; two sets of the largest component need no comparison.
-    Pairs that also share a light shingle are found there, so heavy ones alone must suffice.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        marks = np.zeros(-(-len(block.ids) // _MARKS) * _MARKS, bool)
+        for batch in batches:
+            met = []
+            for doc, n, label, own, bits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "label")), batch.column("tokens"), batch.column("bitmap"), strict=True):
+                who = block.candidates(n, label, own.values.to_numpy(), bits.values.to_numpy())
+                marks[who] = True
+                if len(who):
+                    met.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.nulls(len(met), pa.int32()), pa.nulls(len(met), pa.binary())], ["doc_id", "part", "bits"])
+        parts = [(i, np.packbits(x, bitorder="little").tobytes()) for i, x in enumerate(marks.reshape(-1, _MARKS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["doc_id", "part", "bits"])
+
+    seen = stored(rows.select("doc_id", "n", "label", "tokens", "bitmap").mapInArrow(run, "doc_id long, part int, bits binary"), "met")
+    marked = [np.zeros(0, np.int64)]
+    for r in seen.where("part is not null").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():  # a few for each block
+        marked.append(ids[np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")) + r["part"] * _MARKS])
+    of_block = spark.createDataFrame(pa.table({"doc_id": pa.array(np.concatenate(marked), pa.int64())}))
+    return seen.where("part is null").select("doc_id").unionByName(of_block)
+
+
+def _linked_block(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b): components that links between sets of ``rows`` and of the block ``part`` join.
+
+    Possible links are settled where they are met, by intersecting the whole sets. A task passes over pairs whose
+    components its links have joined by then, and returns no link that its others imply: a large group of near copies
+    costs its tasks a tree each and not all its pairs.
     """
-    found = part.select("doc_id", "n", "label", "tokens", "bitmap").toArrow()
-    ids, sizes, labels = (found.column(c).to_numpy() for c in ("doc_id", "n", "label"))
-    lengths, tokens = _flat(found.column("tokens"))
-    order = np.argsort(tokens, kind="stable")
-    widths, words = _flat(found.column("bitmap"))
-    begins = np.cumsum(widths) - widths
-    maps, place = {}, np.zeros(len(ids), np.int64)
-    for w in np.unique(widths):  # a matrix of bitmaps for each width
-        own = np.flatnonzero(widths == w)
-        maps[int(w)], place[own] = words[begins[own][:, None] + np.arange(w)], np.arange(len(own))
-    sent = rows.sparkSession.sparkContext.broadcast((ids, sizes, labels, tokens[order], np.repeat(np.arange(len(ids)), lengths)[order], widths, place, maps))
+    sent = rows.sparkSession.sparkContext.broadcast(_Block(part, whole=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, labels, tokens, owner, widths, place, maps = sent.value
+        block = sent.value
+        joined = _Joined(block.labels)
         for batch in batches:
-            pairs = [np.zeros((5, 0), np.int64)]
+            joined.add(batch.column("label").to_numpy())
+            links = []
             plain = (batch.column(c).to_pylist() for c in ("doc_id", "n", "label", "minor"))
-            for doc, n, label, minor, own, bits in zip(*plain, batch.column("tokens"), batch.column("bitmap"), strict=True):
-                own = own.values.to_numpy()
-                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                size = hi - lo
-                ends = np.cumsum(size)
-                at = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
-                who, k = np.unique(owner[at], return_counts=True)
-                m = sizes[who]
-                ok = (labels[who] != label) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (k >= _least_shared(m, n))
-                if minor:  # a pair of two such sets is met from either side
-                    ok &= ids[who] > doc
-                who, k = who[ok], k[ok]
-                differing = _differing(bits.values.to_numpy(), who, widths, place, maps)
-                ok = 7 * ((n + sizes[who] - differing) // 2) >= 3 * (n + sizes[who])
-                who, k = who[ok], k[ok]
-                other = ids[who]
-                first = other < doc
-                pairs.append(np.stack([np.minimum(other, doc), np.maximum(other, doc), np.where(first, labels[who], label), np.where(first, label, labels[who]), k]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(pairs, axis=1)], ["a", "b", "la", "lb", "k"])
-
-    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap").mapInArrow(run, "a long, b long, la long, lb long, k long")
+            for doc, n, label, minor, *lists in zip(*plain, *(batch.column(c) for c in ("tokens", "bitmap", "shingles")), strict=True):
+                tokens, bits, whole = (x.values.to_numpy() for x in lists)
+                whole, most = whole.view(np.uint64), 16
+
+                def looked_at(who: np.ndarray) -> np.ndarray:
+                    apart = joined.apart(label, who)  # noqa: B023
+                    return apart & (block.ids[who] > doc) if minor else apart  # noqa: B023  a pair of two such sets is met from either side
+
+                who = block.candidates(n, label, tokens, bits, looked_at)
+                while len(who):  # what the likeliest join needs no look
+                    now, who = who[:most], who[most:]
+                    links += [(label, int(block.labels[i])) for i in block.near(whole, now).tolist() if joined.join(label, i)]
+                    who, most = who[joined.apart(label, who)], 8 * most
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select("doc_id", "n", "label", "minor", "tokens", "bitmap", "shingles").mapInArrow(run, "a long, b long")
+
+
+class _Joined:
+    """Components that the links of one task have joined: those of the sets of a block and of the task's own rows."""
+
+    def __init__(self, labels: np.ndarray):
+        known, self.of_set = np.unique(labels, return_inverse=True)
+        self.number = {x: i for i, x in enumerate(known.tolist())}
+        self.parent = np.arange(len(known))
+
+    def add(self, labels: np.ndarray) -> None:
+        for x in np.unique(labels).tolist():
+            self.number.setdefault(x, len(self.number))
+        self.parent = np.append(self.parent, np.arange(len(self.parent), len(self.number)))
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        root = self.parent[at]
+        while (up := self.parent[root]).tolist() != root.tolist():
+            root = up
+        self.parent[at] = root
+        return root
+
+    def apart(self, label: int, sets: np.ndarray) -> np.ndarray:
+        """Which of ``sets`` of the block are not yet joined with the component ``label``?"""
+        return self.roots(self.of_set[sets]) != self.roots(np.array([self.number[label]]))
+
+    def join(self, label: int, one: int) -> bool:
+        """Were the components ``label`` and that of the set ``one`` apart until now?"""
+        low, high = np.sort(self.roots(np.array([self.number[label], self.of_set[one]]))).tolist()
+        self.parent[high] = low
+        return low != high
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, span of each) of spans of ``size`` places from ``first`` on."""
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    return (first - (ends - size))[of] + np.arange(len(of)), of
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -208,6 +208,44 @@ def test_pairs_grow_with_the_copies_and_not_with_their_square(spark, prose):
     assert mixed.where("label <> top").count() * 3 == met and own * 2 < 4 * n
 
 
+def test_links_of_a_block_grow_with_its_sets_and_not_with_their_pairs(spark):
+    """400 near copies, each a component of its own, whose pairs lie about the threshold: a task returns a tree, and loses no link."""
+    rng = random.Random(8)
+    pools = [[rng.getrandbits(64) for _ in range(40)] for _ in range(2)]
+    sets = {i: np.array(sorted(rng.sample(pools[i % 2], 33 + i % 3)), np.uint64) for i in range(1, 401)}
+    lists = {i: x.view(np.int64).tolist() for i, x in sets.items()}
+    rows = [(i, len(x), i, i > 3, x, J._bitmap(sets[i]).tolist(), x) for i, x in lists.items()]
+    heavy = spark.createDataFrame(rows, "doc_id long, n long, label long, minor boolean, tokens array<long>, bitmap array<long>, shingles array<long>").repartition(2)
+    links = [(r["a"], r["b"]) for r in J._linked_block(heavy, heavy.where("minor")).collect()]
+    assert len(set(links)) <= 2 * (len(sets) - 1)  # the pairs that the bound leaves are tens of thousands
+
+    def near(a, b):
+        k = len({*lists[a]} & {*lists[b]})
+        return 100 * k >= 75 * (len(lists[a]) + len(lists[b]) - k)
+
+    def parts(pairs):
+        label = {i: i for i in sets}
+        for a, b in pairs:
+            label = {i: min(label[a], label[b]) if x in (label[a], label[b]) else x for i, x in label.items()}
+        return label
+
+    assert all(near(a, b) for a, b in links)
+    every = [(a, b) for a in sets for b in sets if a < b and b > 3 and near(a, b)]
+    assert len(every) > 5000
+    root = list(range(401))
+    for a, b in every:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    assert parts(links) == {i: top(i) for i in sets}
+
+
 def test_texts_under_one_id_are_linked_by_themselves(frame, prose):
     a, b = prose(60, 1), prose(60, 2)
     rows = [(1, a), (5, edited(a, 1, 1)), (5, b), (7, edited(b, 1, 2)), (7, None), (None, a), (None, edited(a, 1, 9)), (9, "short"), (9, "short")]
