@@ -73,7 +73,8 @@ def read_runs(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     of = spark.createDataFrame([(r["lang"], r["system"], fs.makeQualified(p).toUri().getPath()) for r, (fs, p) in zip(runs, plain, strict=True)],
                                "lang string, system string, __at string")
     at = F.url_decode(F.regexp_replace(F.regexp_replace("__dir", r"^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), r"\+", "%2B"))
-    return lines.withColumn("__at", at).join(of, "__at").select("lang", "system", "pos", F.col("value").alias("prediction"))
+    # a row for each run, so its broadcast is bounded; the lines stay where they are read
+    return lines.withColumn("__at", at).join(F.broadcast(of), "__at").select("lang", "system", "pos", F.col("value").alias("prediction"))
 
 
 def build_ballots_from_runs(spark: SparkSession, tests: str, root: str, out: str, families: DataFrame, k: int = 100,
@@ -152,7 +153,7 @@ def evaluate(spark: SparkSession, references: DataFrame, runs: DataFrame, out: s
     first = lambda df: df if max_samples is None else df.filter(F.col("pos") < max_samples)
     labels = first(references).select("lang", "pos", clean_prediction(F.col("response"), *masks).alias("response"))
     # read from the files once: metrics, samples and lines all use it
-    lines = written(first(read_runs(spark, runs)).withColumn("prediction", clean_prediction(F.col("prediction"), *masks)), "evaluated-runs")
+    lines = written(first(read_runs(spark, runs)).withColumn("prediction", clean_prediction(F.col("prediction"), *masks)), "evaluated-runs", "zstd")
     scored = aligned_strictly(lines, labels, ["lang", "pos"], "response")
     report = metrics_report(lines, scored, ["lang", "system"], ["pos"], reference="response")
     report = written(report.select("lang", "system", F.concat(F.lit(f"{prefix}_"), F.regexp_replace("metric", "^distinct_", "distinct-")).alias("metric"), "value"), "evaluation")

@@ -155,12 +155,18 @@ def job_evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fx.lang_pairs(spark, sf_dir).join(F.broadcast(fx.languages(spark).select("lang")), "lang")
     codes = [r["lang"] for r in pairs.select("lang").distinct().collect()]
     found = None
-    for split, prefix, most in (("test", "predict", None), ("validation", "eval", EVAL_SAMPLES)):
+    runs = (("test", "predict", None), ("validation", "eval", EVAL_SAMPLES))
+    splits = tuple(r[0] for r in runs)
+    places = pairs.filter(F.col("split").isin(*splits)).select("lang", "pos", "split", "split_pos")
+    # outputs of these languages alone, made where they are used, cross the join once for both splits
+    raw = fx.build_predictions(spark, sf_dir, pairs, splits).join(places, ["lang", "pos"])
+    generated = scratch_path(spark, "job-evaluate-runs")
+    IO.write_lines(raw, generated, "prediction", ["split_pos"], ["split", "lang", "system"])
+    for split, prefix, most in runs:
         root = scratch_path(spark, f"job-evaluate-{split}")
         part = pairs.filter(F.col("split") == split)
         IO.write_per_key(part.select("lang", "split_pos", "pair_id", "context", "response"), f"{root}/files", "lang", f"{{}}_{split}.csv", order=["split_pos"])
-        raw = fx.predictions(spark, sf_dir).join(part.select("lang", "pos", "split_pos"), ["lang", "pos"])
-        catalog = _written_runs(spark, raw, part, root)
+        catalog = _placed_runs(spark, f"{generated}/split={split}", part, root)
         references = jobs.read_language_files(spark, f"{root}/files", split, codes)
         report = jobs.evaluate(spark, references, catalog, f"{root}/out", prefix, most, (M1, M2))
         back = _read_results(spark, f"{root}/out", prefix, report)
@@ -174,12 +180,17 @@ def job_evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_runs(spark: SparkSession, predictions: DataFrame, rows: DataFrame, root: str) -> DataFrame:
     """Run files as a generator leaves them, and their catalogue."""
-    catalog = run_catalog(rows.select("lang"), fx.languages(spark), f"{root}/runs")
     IO.write_lines(predictions, f"{root}/all", "prediction", ["split_pos"], ["lang", "system"])
+    return _placed_runs(spark, f"{root}/all", rows, root)
+
+
+def _placed_runs(spark: SparkSession, lines: str, rows: DataFrame, root: str) -> DataFrame:
+    """The catalogue of the runs below ``root``, whose lines come from the folders by language and system in ``lines``."""
+    catalog = run_catalog(rows.select("lang"), fx.languages(spark), f"{root}/runs")
     for r in catalog.collect():  # each run's folder goes where the generator leaves its file
         fs, target = hadoop_path(spark, r["path"])
         fs.mkdirs(target.getParent())
-        if not fs.rename(hadoop_path(spark, f"{root}/all/lang={r['lang']}/system={r['setting']}")[1], target):
+        if not fs.rename(hadoop_path(spark, f"{lines}/lang={r['lang']}/system={r['setting']}")[1], target):
             raise OSError(f"no run for {r['path']}")
     return catalog
 

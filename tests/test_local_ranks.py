@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from polylogue import fixtures as fx
-from polylogue.operators.index import with_global_ranks, with_local_ranks
+from polylogue.operators.index import file_order_index, with_global_ranks, with_local_ranks
 
 
 def plan(df) -> str:
@@ -34,3 +34,41 @@ def test_pairs_get_the_positions_of_the_plain_index(spark, tmp_path):
     assert sorted(map(str, found.drop(*fx.POSITIONS).collect())) == sorted(map(str, plain.drop(*fx.POSITIONS).collect()))
     text = plan(found)
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_files_are_numbered_where_they_are_read(spark, tmp_path):
+    """No row of a file moves for its position; positions restart in each folder and follow part numbers, blocks and null groups."""
+    for name, parts in {"a": 3, "b": 1}.items():
+        spark.range(1000).select(F.format_string(f"{name}%04d", "id").alias("value")).repartitionByRange(parts, "value").write.text(f"{tmp_path}/{name}")
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = file_order_index(spark.read.text([f"{tmp_path}/a", f"{tmp_path}/b"]), dir_col="folder")
+        assert df.rdd.getNumPartitions() > 8
+        got = {(r["folder"].rsplit("/", 1)[1], r["value"]): r["pos"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert got == {(n, f"{n}{i:04d}"): i for n in "ab" for i in range(1000)}
+    text = df._jdf.queryExecution().executedPlan().toString()
+    main = text[:text.index("BroadcastExchange")]  # the plan of the rows themselves comes before that of the splits' counts
+    assert "Exchange" not in main and "Sort" not in main
+
+
+def test_documents_move_before_they_are_cut(spark, sf):
+    """A line is in two pairs: the shuffle has each text once, and the pairs are those of the table."""
+    df = fx.pairs_in_order(spark, sf)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange rangepartitioning") == 1 and text.index("Generate") < text.index("Exchange rangepartitioning")  # leaves come last
+    cols = ["pair_id", "lang", "doc_id", "line_pos", "context", "response", "split"]
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(map(tuple, fx.pairs_from_documents(spark, sf).select(cols).collect()))
+
+
+def test_evaluation_moves_outputs_of_its_splits_once(spark, sf):
+    """Outputs made from a training row never reach the join with the places of the evaluated rows."""
+    pairs = fx.lang_pairs(spark, sf).filter("lang <> 'en'")
+    some = fx.build_predictions(spark, sf, pairs, ("test", "validation"))
+    places = pairs.filter("split <> 'train'").select("lang", "pos")
+    whole = fx.build_predictions(spark, sf, pairs)
+    assert sorted(map(tuple, some.join(places, ["lang", "pos"]).collect())) == sorted(map(tuple, whole.join(places, ["lang", "pos"]).collect()))
+    sizes = {r["system"]: r["count"] for r in some.groupBy("system").count().collect()}
+    assert sizes["fs"] == pairs.count() and {sizes[s] for s in fx.SYSTEMS if s != "fs"} == {places.count()}
