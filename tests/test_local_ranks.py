@@ -54,6 +54,13 @@ def test_files_are_numbered_where_they_are_read(spark, tmp_path):
     assert "Exchange" not in main and "Sort" not in main
 
 
+def test_a_column_of_the_files_gives_way_to_the_position(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{9 - i}", f"x {i}") for i in range(10)], "pos string, `a ?. (b)` string").coalesce(1)
+    rows.write.option("header", "true").csv(str(tmp_path / "t"))
+    got = file_order_index(spark.read.option("header", "true").csv(str(tmp_path / "t")))
+    assert got.columns == ["pos", "a ?. (b)"] and sorted(map(tuple, got.collect())) == [(i, f"x {i}") for i in range(10)]
+
+
 def test_documents_move_before_they_are_cut(spark, sf):
     """A line is in two pairs: the shuffle has each text once, and the pairs are those of the table."""
     df = fx.pairs_in_order(spark, sf)
