@@ -18,7 +18,7 @@ from .operators.human_eval import BALLOT_COLUMNS, BALLOT_HEADER, build_ballots,
 from .operators.mixing import interleave
 from .operators.report import aligned_strictly, metrics_report
 from .operators.sampling import DEFAULT_SEED, first_n, sample_k
-from .operators.vocab import encode
+from .operators.vocab import encode_columns
 from .session import hadoop_path, written
 from .sources import files as IO
 from .sources.catalog import discover_languages, run_catalog
@@ -108,12 +108,8 @@ def _encoded_sides(rows: DataFrame, vocab: DataFrame, keys: list[str], max_sourc
                    target_prefix: str | None, masks: tuple[str, str] | None) -> DataFrame:
     """(keys..., __src, __tgt): the ids of the templates around context and response, both looked up in one pass."""
     m1, m2 = masks or (None, None)
-    sides = F.array(
-        F.struct(F.lit("src").alias("side"), prompt_source(F.col("context"), prefix, target_prefix, m1, m2).alias("text"), max_source.alias("most")),
-        F.struct(F.lit("tgt").alias("side"), prompt_target(F.col("response"), prefix, target_prefix, m1, m2).alias("text"), max_target.alias("most")))
-    ids = encode(rows.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.*"), [*keys, "side"], "text", vocab, F.col("most"))
-    return ids.groupBy(*keys).agg(F.max(F.when(F.col("side") == "src", F.col("ids"))).alias("__src"),
-                                  F.max(F.when(F.col("side") == "tgt", F.col("ids"))).alias("__tgt"))
+    return encode_columns(rows, keys, {"__src": (prompt_source(F.col("context"), prefix, target_prefix, m1, m2), max_source),
+                                       "__tgt": (prompt_target(F.col("response"), prefix, target_prefix, m1, m2), max_target)}, vocab)
 
 
 def training_tables(pairs: DataFrame, vocab: DataFrame, key: str, by: Sequence[str] = ("lang", "split"), pos: str = "split_pos", split: str = "split",
