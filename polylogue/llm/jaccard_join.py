@@ -45,6 +45,8 @@ AT_ONCE = 50_000
 #: A bucket is heavy if its pairs across components are more than HEAVY times its rows; bytes of the sets of
 #: heavy buckets that are sent to the tasks as one index.
 HEAVY, BLOCK_BYTES = 4, 16 << 20
+#: Places of a block's index that a task looks at together.
+MEETINGS = 1 << 20
 
 
 def _frequent(share: float):
@@ -362,6 +364,30 @@ class _Block:
             self.members, shingles = _flat(found.column("shingles"))
             self.first, self.shingles = np.cumsum(self.members) - self.members, shingles.view(np.uint64)
 
+    def may_meet(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The sets of ``batch`` that have ``candidates`` by sizes, components and shared heavy shingles: found for many sets at
+        once, as most have none in a block."""
+        lengths, tokens = _flat(pa.chunked_array([batch.column("tokens")]))
+        n, labels = (batch.column(c).to_numpy() for c in ("n", "label"))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        lo = np.searchsorted(self.tokens, tokens, "left")
+        size = np.searchsorted(self.tokens, tokens, "right") - lo
+        ends, met = np.concatenate(([0], np.cumsum(size)))[np.cumsum(lengths)], np.zeros(len(lengths), bool)
+        first = np.cumsum(lengths) - lengths
+        a = 0
+        while a < len(lengths):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MEETINGS, "right")))
+            part = slice(first[a], first[b - 1] + lengths[b - 1])
+            at, of = _spans(lo[part], size[part])
+            who, of = self.owner[at], row[part][of]
+            m = self.sizes[who]
+            ok = (self.labels[who] != labels[of]) & (4 * np.minimum(m, n[of]) >= 3 * np.maximum(m, n[of]))
+            pair, k = np.unique(of[ok] * len(self.ids) + who[ok], return_counts=True)
+            of, who = np.divmod(pair, max(len(self.ids), 1))
+            met[of[k >= _least_shared(self.sizes[who], n[of])]] = True
+            a = b
+        return batch.filter(pa.array(met))
+
     def candidates(self, n: int, label: int, tokens: np.ndarray, bits: np.ndarray, looked_at=None) -> np.ndarray:
         """Sets of other components that share enough heavy shingles with a set and pass the bound of the bitmaps, the likeliest
         first; of those that ``looked_at`` keeps."""
@@ -412,7 +438,7 @@ def _met_in_block(rows: DataFrame, part: DataFrame) -> DataFrame:
         block = sent.value
         marks = np.zeros(-(-len(block.ids) // _MARKS) * _MARKS, bool)
         for batch in batches:
-            met = []
+            met, batch = [], block.may_meet(batch)
             for doc, n, label, own, bits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "label")), batch.column("tokens"), batch.column("bitmap"), strict=True):
                 who = block.candidates(n, label, own.values.to_numpy(), bits.values.to_numpy())
                 marks[who] = True
@@ -443,6 +469,7 @@ def _linked_block(rows: DataFrame, part: DataFrame) -> DataFrame:
         block = sent.value
         joined = _Joined(block.labels)
         for batch in batches:
+            batch = block.may_meet(batch)
             joined.add(batch.column("label").to_numpy())
             links = []
             plain = (batch.column(c).to_pylist() for c in ("doc_id", "n", "label", "minor"))

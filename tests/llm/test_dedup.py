@@ -253,3 +253,27 @@ def test_texts_under_one_id_are_linked_by_themselves(frame, prose):
     assert len(got) == len(rows)
     assert {(d, c) for d, n, c in got if n} == {(1, 1), (5, 1), (5, 5), (7, 5), (0, 1), (9, 9)} | {(0, c) for d, n, c in got if d == 0}
     assert (7, 0, 7) in got and got.count((9, 1, 9)) == 2
+
+
+def test_sets_that_meet_nothing_in_a_block_are_passed_over(spark, monkeypatch):
+    """Many sets at once are tried on a block by what they share; the same are left as when each is looked at by itself."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(i, n := rng.choice([8, 20, 27, 200]), rng.choice([i, 1, 2]), rng.sample(range(40), rng.choice([0, 1, 3, 12])), [rng.getrandbits(62)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, label long, tokens array<long>, bitmap array<long>")
+    block = J._Block(df.where("doc_id % 3 = 0"))
+    batch = pa.RecordBatch.from_pylist([dict(zip(df.columns, r, strict=True)) for r in rows], pa.schema(
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bitmap", pa.list_(pa.int64()))]))
+    monkeypatch.setattr(J, "_differing", lambda bits, who, *rest: np.zeros(len(who), np.int64))  # the bound of the bitmaps lets all pass
+    alone = [i for i, n, label, tokens, bits in rows if len(block.candidates(n, label, np.array(tokens, np.int64), np.array(bits)))]
+    for most in (J.MEETINGS, 50):
+        monkeypatch.setattr(J, "MEETINGS", most)
+        assert block.may_meet(batch).column("doc_id").to_pylist() == alone and 0 < len(alone) < 150
+        assert block.may_meet(batch.slice(7, 90)).column("doc_id").to_pylist() == [i for i in alone if 7 <= i < 97]
+    assert block.may_meet(batch.slice(0, 0)).num_rows == 0
+    nothing = J._Block(df.where("false"))
+    assert nothing.may_meet(batch).num_rows == 0
